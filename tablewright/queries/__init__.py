@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     from tablewright.queries import (  # noqa: F401
-        q_audit, q_prep, q_stats, q_eda, q_planning, q_eval, q_ml, q_catalog,
+        q_audit, q_prep, q_stats, q_eda, q_scalars, q_planning, q_eval, q_ml, q_catalog,
     )
 
 
