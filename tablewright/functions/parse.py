@@ -104,3 +104,30 @@ def pick_ts_format(sample: str | None) -> str | None:
         except ValueError:
             continue
     return None
+
+
+def coerce_datetime_candidates(df, order_by: list[str], threshold: float = 0.8):
+    """Profile-style date coercion: per text column, one layout chosen from its
+    first non-null value (by ``order_by``); when at least ``threshold`` of the
+    non-null values parse with it, the column becomes a timestamp.
+
+    Two small jobs: one ordered ``first`` per column, one parse-count pass."""
+    from pyspark.sql import types as T
+    from tablewright.schema import q
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df
+    firsts = df.agg(*[F.min_by(F.col(q(c)), F.when(F.col(q(c)).isNotNull(),
+                                                    F.struct(*[F.col(q(k)) for k in order_by])))
+                      .alias(f"f{i}") for i, c in enumerate(texts)]).collect()[0]
+    fmts = {c: pick_ts_format(firsts[f"f{i}"]) for i, c in enumerate(texts)}
+    cand = {c: f for c, f in fmts.items() if f}
+    if not cand:
+        return df
+    names = list(cand)
+    row = df.agg(*[F.count(F.col(q(c))).alias(f"n{i}") for i, c in enumerate(names)],
+                 *[F.count(_ts_with(F.trim(F.col(q(c))), cand[c])).alias(f"p{i}") for i, c in enumerate(names)]
+                 ).collect()[0]
+    chosen = {c for i, c in enumerate(names) if row[f"n{i}"] and row[f"p{i}"] / row[f"n{i}"] >= threshold}
+    return df.select(*[(_ts_with(F.trim(F.col(q(c))), cand[c]) if c in chosen else F.col(q(c))).alias(c)
+                       for c in df.columns])
