@@ -1 +1,276 @@
-"""Registered queries."""
+"""Feature pipeline, split/folds, models and comparison.
+
+Closed-form oracles where SQL can state the answer (imputers, scaler, one-hot,
+split and folds with an arithmetic order key, one-feature OLS / ridge /
+lasso); the tree and boosting models and the leaderboard are rows-only."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tablewright.ml import models as M
+from tablewright.ml.compare import build_pipeline, predict, train_and_compare
+from tablewright.ml.features import ExactMedianImputer, ModeImputer, PopulationScaler, preprocessor
+from tablewright.ml.split import assign_split_folds
+from tablewright.queries import register
+from tablewright.queries.sqlhelp import with_dirty
+from tablewright.sources.tables import dirty_orders, table
+
+R = 6
+_MEMO: dict = {}
+
+
+def _memo(key, fn):
+    if key not in _MEMO:
+        _MEMO[key] = fn()
+    return _MEMO[key]
+
+
+@register("ml_impute_num", with_dirty() + "SELECT o_orderkey, COALESCE(amount, (SELECT median(amount) FROM dirty_orders)) AS amount_imp FROM dirty_orders")
+def ml_impute_num(spark, sf):
+    d = dirty_orders(spark, sf)
+    m = ExactMedianImputer(inputCols=["amount"], outputCols=["amount_imp"]).fit(d)
+    return m.transform(d).select("o_orderkey", "amount_imp")
+
+
+_MODE_CAT = "(SELECT category FROM dirty_orders WHERE category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+@register("ml_impute_cat", with_dirty() + f"SELECT o_orderkey, COALESCE(category, {_MODE_CAT}) AS category_imp FROM dirty_orders")
+def ml_impute_cat(spark, sf):
+    d = dirty_orders(spark, sf)
+    m = ModeImputer(inputCols=["category"], outputCols=["category_imp"]).fit(d)
+    return m.transform(d).select("o_orderkey", "category_imp")
+
+
+@register("ml_scale", with_dirty() + f"SELECT o_orderkey, round((amount - (SELECT avg(amount) FROM dirty_orders)) / "
+                                     f"(SELECT CASE WHEN stddev_pop(amount) > 0 THEN stddev_pop(amount) ELSE 1 END FROM dirty_orders), {R}) AS amount_sc "
+                                     "FROM dirty_orders")
+def ml_scale(spark, sf):
+    d = dirty_orders(spark, sf)
+    m = PopulationScaler(inputCols=["amount"], outputCols=["amount_sc"]).fit(d)
+    return m.transform(d).select("o_orderkey", F.round("amount_sc", R).alias("amount_sc"))
+
+
+_LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _onehot_sql():
+    cols = ", ".join(f"CASE WHEN c = '{lv}' THEN 1.0 ELSE 0.0 END AS oh_{i}" for i, lv in enumerate(_LEVELS))
+    return with_dirty() + f"SELECT o_orderkey, {cols} FROM (SELECT o_orderkey, COALESCE(category, {_MODE_CAT}) AS c FROM dirty_orders)"
+
+
+def _unpack(df, col, n, prefix):
+    arr = vector_to_array(F.col(col))
+    return [arr[i].alias(f"{prefix}{i}") for i in range(n)]
+
+
+@register("ml_onehot", _onehot_sql())
+def ml_onehot(spark, sf):
+    d = dirty_orders(spark, sf)
+    pm = preprocessor(d, ["category"], output="oh").fit(d)
+    out = pm.transform(d)
+    return out.select("o_orderkey", *_unpack(out, "oh", len(_LEVELS), "oh_"))
+
+
+@register("ml_preprocess", with_dirty() + (
+    "SELECT o_orderkey, round((COALESCE(amount, m) - mu) / sd, 6) AS f0, " +
+    ", ".join(f"CASE WHEN COALESCE(category, {_MODE_CAT}) = '{lv}' THEN 1.0 ELSE 0.0 END AS f{i + 1}" for i, lv in enumerate(_LEVELS)) +
+    " FROM dirty_orders, (SELECT median(amount) AS m FROM dirty_orders), "
+    "(SELECT avg(a) AS mu, CASE WHEN stddev_pop(a) > 0 THEN stddev_pop(a) ELSE 1 END AS sd FROM "
+    "(SELECT COALESCE(amount, (SELECT median(amount) FROM dirty_orders)) AS a FROM dirty_orders))"))
+def ml_preprocess(spark, sf):
+    d = dirty_orders(spark, sf)
+    pm = preprocessor(d, ["amount", "category"]).fit(d)
+    out = pm.transform(d)
+    cols = _unpack(out, "features", 1 + len(_LEVELS), "f")
+    return out.select("o_orderkey", F.round(cols[0], 6).alias("f0"), *cols[1:])
+
+
+# split / folds on customer with an order both engines can compute
+_ORD_SQL = "((c_custkey * 7919) % 10007)"
+
+
+def _ord():
+    return (F.col("c_custkey") * 7919) % 10007
+
+
+def _split_sql(strat: bool):
+    part = "PARTITION BY c_mktsegment" if strat else ""
+    return (
+        f"WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER ({part} ORDER BY {_ORD_SQL}, c_custkey) - 1 AS rk, "
+        f"count(*) OVER ({part}) AS n FROM customer), "
+        "t AS (SELECT *, CAST(ceil(0.2 * n) AS BIGINT) AS tn FROM r), "
+        "k AS (SELECT greatest(2, least(5, " + ("min(n - tn)" if strat else "(max(n - tn)) // 5") + ")) AS k FROM t) "
+        "SELECT c_custkey, CASE WHEN rk < tn THEN 'test' ELSE 'train' END AS split, "
+        "CASE WHEN rk >= tn THEN CAST(floor((rk - tn) * k / (n - tn)) AS INTEGER) ELSE -1 END AS fold FROM t, k")
+
+
+@register("ml_split", _split_sql(True))
+def ml_split(spark, sf):
+    c = table(spark, sf, "customer")
+    out, _ = assign_split_folds(c, "c_mktsegment", "classification", order=_ord(), tie_cols=["c_custkey"])
+    # test rows have no fold: shown as -1
+    return out.select("c_custkey", F.col("_split").alias("split"), F.coalesce("_fold", F.lit(-1)).alias("fold"))
+
+
+@register("ml_folds", _split_sql(False))
+def ml_folds(spark, sf):
+    c = table(spark, sf, "customer")
+    out, _ = assign_split_folds(c, "c_acctbal", "regression", order=_ord(), tie_cols=["c_custkey"])
+    # test rows have no fold: shown as -1
+    return out.select("c_custkey", F.col("_split").alias("split"), F.coalesce("_fold", F.lit(-1)).alias("fold"))
+
+
+@register("ml_folds_n", "SELECT 'classification' AS task, greatest(2, least(5, min(n - CAST(ceil(0.2 * n) AS BIGINT)))) AS folds "
+                        "FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment) UNION ALL "
+                        "SELECT 'regression', greatest(2, least(5, (count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT)) // 5)) FROM customer")
+def ml_folds_n(spark, sf):
+    c = table(spark, sf, "customer")
+    _, a = assign_split_folds(c, "c_mktsegment", "classification", order=_ord(), tie_cols=["c_custkey"])
+    _, b = assign_split_folds(c, "c_acctbal", "regression", order=_ord(), tie_cols=["c_custkey"])
+    return spark.createDataFrame([("classification", a["folds"]), ("regression", b["folds"])], "task string, folds int")
+
+
+def _one_feature_fit(spark, sf, name):
+    li = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    data = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li) \
+        .withColumn("_label", F.col("l_extendedprice"))
+    row = li.agg(F.count("l_extendedprice").alias("n"), F.stddev_pop("l_extendedprice").alias("sd")).collect()[0]
+    st = M.FoldStats(n=row["n"], label_sd_pop=row["sd"], n_features=1)
+    m = M.regressor(name, st).fit(data)
+    return spark.createDataFrame([(round(float(m.intercept), R), round(float(m.coefficients[0]), R))],
+                                 "intercept double, slope double")
+
+
+@register("ml_linreg", f"SELECT round(regr_intercept(l_extendedprice, l_quantity), {R}) AS intercept, "
+                       f"round(regr_slope(l_extendedprice, l_quantity), {R}) AS slope FROM lineitem")
+def ml_linreg(spark, sf):
+    return _one_feature_fit(spark, sf, "Linear Regression")
+
+
+@register("ml_ridge", f"SELECT round(avg(l_extendedprice) - any_value(s) * avg(l_quantity), {R}) AS intercept, round(any_value(s), {R}) AS slope "
+                      "FROM lineitem, (SELECT covar_pop(l_quantity, l_extendedprice) * count(*) / "
+                      f"(var_pop(l_quantity) * count(*) + {M.RIDGE_ALPHA}) AS s FROM lineitem)")
+def ml_ridge(spark, sf):
+    return _one_feature_fit(spark, sf, "Ridge")
+
+
+@register("ml_lasso", f"SELECT round(avg(l_extendedprice) - any_value(s) * avg(l_quantity), {R}) AS intercept, round(any_value(s), {R}) AS slope "
+                      "FROM lineitem, (SELECT sign(covar_pop(l_quantity, l_extendedprice)) * "
+                      f"greatest(abs(covar_pop(l_quantity, l_extendedprice)) - {M.LASSO_ALPHA}, 0) / var_pop(l_quantity) AS s FROM lineitem)")
+def ml_lasso(spark, sf):
+    return _one_feature_fit(spark, sf, "Lasso")
+
+
+def docs_labelled(spark, sf):
+    """documents joined to their quality labels (labels cover some docs)."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
+    return d.join(lab, "doc_id")
+
+
+_DOC_FEATS = ["lang", "source", "n_chars"]
+_EV_FEATS = ["user_id", "event_type"]
+
+
+def _single_model(spark, sf, task, name):
+    """Fit one candidate on the training part and predict the test part."""
+    def run():
+        if task == "classification":
+            df, target, feats, keys = docs_labelled(spark, sf), "quality", _DOC_FEATS, ["doc_id"]
+        else:
+            df, target, feats, keys = table(spark, sf, "events"), "value", _EV_FEATS, ["event_id"]
+        data = df.select(*keys, *feats, target)
+        tagged, _ = assign_split_folds(data, target, task, tie_cols=keys)
+        train = tagged.filter("_split = 'train'")
+        test = tagged.filter("_split = 'test'")
+        model = build_pipeline(train, target, feats, task, name).fit(train)
+        return model.transform(test).select(*keys, F.col(target).cast("string").alias("actual"),
+                                            F.col("predicted").cast("string").alias("predicted"))
+    return _memo(("single", sf, task, name), run)
+
+
+@register("ml_logreg")
+def ml_logreg(spark, sf):
+    return _single_model(spark, sf, "classification", "Logistic Regression")
+
+
+@register("ml_rf_cls")
+def ml_rf_cls(spark, sf):
+    return _single_model(spark, sf, "classification", "Random Forest")
+
+
+@register("ml_gbt_cls")
+def ml_gbt_cls(spark, sf):
+    return _single_model(spark, sf, "classification", "Gradient Boosting")
+
+
+@register("ml_rf_reg")
+def ml_rf_reg(spark, sf):
+    return _single_model(spark, sf, "regression", "Random Forest")
+
+
+@register("ml_gbt_reg")
+def ml_gbt_reg(spark, sf):
+    return _single_model(spark, sf, "regression", "Gradient Boosting")
+
+
+def comparison(spark, sf, task, transform="none"):
+    def run():
+        if task == "classification":
+            return train_and_compare(docs_labelled(spark, sf), "quality", "classification",
+                                     feature_columns=_DOC_FEATS, key_cols=["doc_id"])
+        return train_and_compare(table(spark, sf, "events"), "value", "regression", feature_columns=_EV_FEATS,
+                                 key_cols=["event_id"], target_transform=transform)
+    return _memo(("cmp", sf, task, transform), run)
+
+
+@register("ml_leaderboard")
+def ml_leaderboard(spark, sf):
+    return comparison(spark, sf, "classification").leaderboard
+
+
+@register("sort_leaderboard")
+def sort_leaderboard(spark, sf):
+    return comparison(spark, sf, "regression").leaderboard
+
+
+@register("ml_fit_best")
+def ml_fit_best(spark, sf):
+    return comparison(spark, sf, "classification").test_predictions
+
+
+@register("ml_setup")
+def ml_setup(spark, sf):
+    return comparison(spark, sf, "regression").setup
+
+
+@register("ml_scoring")
+def ml_scoring(spark, sf):
+    """Per-fold scores of the regression comparison (r2, rmse, mae)."""
+    return comparison(spark, sf, "regression").fold_scores
+
+
+@register("ml_log_target")
+def ml_log_target(spark, sf):
+    a = _memo(("log", sf), lambda: train_and_compare(
+        table(spark, sf, "events"), "value", "regression", feature_columns=["user_id", "event_type"],
+        key_cols=["event_id"], target_transform="log1p", model_names=["Linear Regression", "Ridge"]))
+    return a.setup
+
+
+@register("ml_predict")
+def ml_predict(spark, sf):
+    a = comparison(spark, sf, "classification")
+    d = docs_labelled(spark, sf)
+    return predict(a.best_model, d).select("doc_id", F.col("predicted").alias("predicted"))
+
+
+@register("ml_check_classes", "SELECT 'c_mktsegment' AS target, count(DISTINCT c_mktsegment) >= 2 AS ok FROM customer")
+def ml_check_classes(spark, sf):
+    c = table(spark, sf, "customer")
+    ok = c.select("c_mktsegment").filter("c_mktsegment IS NOT NULL").distinct().limit(2).count() >= 2
+    return spark.createDataFrame([("c_mktsegment", ok)], "target string, ok boolean")
