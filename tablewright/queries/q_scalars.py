@@ -99,3 +99,23 @@ def q_qcut4(spark, sf):
 
 
 __all__ = ["quantiles"]
+
+
+@register("abs", "SELECT c_custkey, abs(c_acctbal) AS abs_acctbal FROM customer")
+def q_abs(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.abs("c_acctbal").alias("abs_acctbal"))
+
+
+@register("round", "SELECT c_custkey, round(c_acctbal / 3, 2) AS third_rounded FROM customer")
+def q_round(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.round(F.col("c_acctbal") / 3, 2).alias("third_rounded"))
+
+
+@register("log1p", f"SELECT event_id, round(ln(1 + value), {R}) AS log_value FROM events")
+def q_log1p(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(F.log1p("value"), R).alias("log_value"))
+
+
+@register("expm1", f"SELECT event_id, round(exp(value / 100.0) - 1, {R}) AS exp_value FROM events")
+def q_expm1(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(F.expm1(F.col("value") / 100.0), R).alias("exp_value"))
