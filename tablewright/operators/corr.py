@@ -58,8 +58,18 @@ def _sd_positive(df: DataFrame, cols: list[str]) -> dict:
 
 
 def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    vals = pearson_pairs(df, _pairs(cols))
-    return _matrix(df.sparkSession, cols, vals, _sd_positive(df, cols))
+    """All pairs and the per-column deviations (for the diagonal) in one pass
+    (chunked for very wide tables)."""
+    pairs = _pairs(cols)
+    xs = {c: as_double(df, c) for c in cols}
+    exprs = [pearson_exprs(xs[a], xs[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    exprs += [F.stddev_pop(xs[c]).alias(f"s{i}") for i, c in enumerate(cols)]
+    row: dict = {}
+    for s in range(0, len(exprs), AGG_CHUNK):
+        row.update(df.agg(*exprs[s:s + AGG_CHUNK]).collect()[0].asDict())
+    vals = {p: row[f"p{i}"] for i, p in enumerate(pairs)}
+    sd_pos = {c: (row[f"s{i}"] or 0) > 0 for i, c in enumerate(cols)}
+    return _matrix(df.sparkSession, cols, vals, sd_pos)
 
 
 # ---- ranks -----------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.scalars import bin_edges, hist_bin, to_text
 from tablewright.operators.audit import iqr_bounds, missing_table
-from tablewright.operators.stats import long_values, nunique, quantiles
+from tablewright.operators.stats import nunique, quantiles
 from tablewright.schema import as_double, categorical_cols, dtype_name, numeric_cols, q
 
 
@@ -56,15 +56,27 @@ def missingness(df: DataFrame, top_n: int = 12) -> DataFrame:
 
 def histograms(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
     """(column, bin, lo, hi, count): equal-width bins over [min, max] of each
-    column's non-null values, every bin present (empty bins count 0)."""
-    long = long_values(df, cols, numeric=True)
-    rng = long.groupBy("column").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
-    # rng has one row per column: broadcast is size-bounded
-    binned = (long.join(F.broadcast(rng), "column")
-                  .withColumn("bin", hist_bin(F.col("value"), F.col("mn"), F.col("mx"), bins))
-                  .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
-    grid = rng.select("column", "mn", "mx", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    column's non-null values, every bin present (empty bins count 0).
+
+    Two scans: min/max of every column in one aggregate (k values brought back
+    as literals), then one binning pass grouped by (column, bin)."""
+    spark = df.sparkSession
+    row = df.agg(*[F.min(as_double(df, c)).alias(f"mn{i}") for i, c in enumerate(cols)],
+                 *[F.max(as_double(df, c)).alias(f"mx{i}") for i, c in enumerate(cols)]).collect()[0]
+    ranges = {c: (row[f"mn{i}"], row[f"mx{i}"]) for i, c in enumerate(cols) if row[f"mn{i}"] is not None}
+    schema = "column string, bin int, lo double, hi double, count long"
+    if not ranges:
+        return spark.createDataFrame([], schema)
+    names = list(ranges)
+    structs = [F.struct(F.lit(c).alias("column"),
+                        hist_bin(as_double(df, c), F.lit(ranges[c][0]), F.lit(ranges[c][1]), bins).alias("bin"))
+               for c in names]
+    binned = (df.select(F.inline(F.array(*structs))).filter(F.col("bin").isNotNull())
+                .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("count")))
+    grid = spark.createDataFrame([(c, ranges[c][0], ranges[c][1], b) for c in names for b in range(bins)],
+                                 "column string, mn double, mx double, bin int")
     lo, hi = bin_edges(F.col("mn"), F.col("mx"), F.col("bin"), bins)
+    # grid and counts both have at most k * bins rows
     return (grid.join(binned, ["column", "bin"], "left")
                 .select("column", "bin", lo.alias("lo"), hi.alias("hi"),
                         F.coalesce("count", F.lit(0)).cast("long").alias("count")))
