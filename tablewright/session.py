@@ -47,16 +47,25 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from the session (``spark.checkpoint.dir`` / the context's checkpoint
-    dir).  Only when nothing is configured -- local tests -- a private temp
-    folder is created and registered.
+    Read from the session (the context's checkpoint dir, else
+    ``spark.checkpoint.dir``).  Only a local-mode session without one -- tests,
+    a laptop -- gets a private temp folder; on a cluster a machine-local folder
+    would be wrong, so a missing setting is an error there.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no context; the server owns the setting
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        return d
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir (a shared folder all executors can reach)")
         d = tempfile.mkdtemp(prefix="tablewright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

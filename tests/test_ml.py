@@ -101,3 +101,13 @@ def test_errors(spark, cls_df, reg_df):
     neg = reg_df.withColumn("target", F.lit(-1.0) * F.abs("target") - 1)
     with pytest.raises(ValueError):
         train_and_compare(neg, "target", "regression", target_transform="log1p", key_cols=["id"])
+
+
+def test_driver_side_helpers(spark, reg_df):
+    from tablewright.operators.planning import check_custom_preset, resolve_task, target_lost
+    assert resolve_task(reg_df, "target", "classification") == "classification"
+    assert resolve_task(reg_df, "target", None) == "regression"
+    assert check_custom_preset(reg_df, "target", ["feature_1", "feature_1"]) == ["feature_1"]
+    with pytest.raises(ValueError):
+        check_custom_preset(reg_df, "target", [])
+    assert target_lost(reg_df.drop("target"), "target")
