@@ -56,7 +56,11 @@ def assign_split_folds(df: DataFrame, target: str, task: str, order: Column | No
              .withColumn("_ord", order)
     for i, t in enumerate(ties):
         base = base.withColumn(f"_tie{i}", t)
-    order_cols = ["_ord"] + [f"_tie{i}" for i in range(len(ties))]
+    # Exact copies share every order key; a per-row id spreads them over range
+    # slices (which copy lands where cannot change any result, and the ranking
+    # step checkpoints the assignment, so a recomputation cannot move it).
+    base = base.withColumn("_tieid", F.monotonically_increasing_id())
+    order_cols = ["_ord"] + [f"_tie{i}" for i in range(len(ties))] + ["_tieid"]
     counts = {r["_cls"]: r["n"] for r in base.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).collect()}
     if strat and any(v < 2 for v in counts.values()):
         raise ValueError("The least populated class has only 1 member; stratified split needs at least 2.")
@@ -76,7 +80,7 @@ def assign_split_folds(df: DataFrame, target: str, task: str, order: Column | No
     fold = F.when(~is_test, F.floor((F.col("_below") - t) * F.lit(k) / m).cast("int"))
     out = (ranked.withColumn("_split", F.when(is_test, "test").otherwise("train"))
                  .withColumn("_fold", fold)
-                 .drop("_below", "_total", "_cls", "_ord", *[f"_tie{i}" for i in range(len(ties))]))
+                 .drop("_below", "_total", "_cls", "_ord", "_tieid", *[f"_tie{i}" for i in range(len(ties))]))
     info = {"folds": k, "train_rows": sum(train_n.values()), "test_rows": sum(test_n.values()),
             "class_counts": counts}
     return out, info

@@ -74,12 +74,18 @@ def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # ---- ranks -----------------------------------------------------------------
 
-def avg_rank_table(vals: DataFrame, value_col: str = "value") -> DataFrame:
-    """(value, rank): average 1-based rank of each distinct value."""
+# Rank tables up to this many distinct values are broadcast to the row side
+# (the count is known before the join, so the size bound is proven).
+BROADCAST_RANK_ROWS = 2_000_000
+
+
+def avg_rank_table(vals: DataFrame, value_col: str = "value") -> tuple[DataFrame, int]:
+    """((value, rank), distinct count): average 1-based rank of each value."""
     freq = vals.groupBy(value_col).agg(F.count(F.lit(1)).alias("count")).withColumn("_g", F.lit(0))
-    small = freq.count() <= SMALL_FREQ_ROWS
-    off = running_weight(freq, ["_g"], [value_col], "count", small=small)
-    return off.select(value_col, (F.col("_below") + (F.col("count") + F.lit(1)) / F.lit(2.0)).alias("rank"))
+    n_distinct = freq.count()
+    off = running_weight(freq, ["_g"], [value_col], "count", small=n_distinct <= SMALL_FREQ_ROWS)
+    ranks = off.select(value_col, (F.col("_below") + (F.col("count") + F.lit(1)) / F.lit(2.0)).alias("rank"))
+    return ranks, n_distinct
 
 
 def _ranked(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -87,9 +93,11 @@ def _ranked(df: DataFrame, cols: list[str]) -> DataFrame:
     base = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     out = base
     for i, _ in enumerate(cols):
-        rt = avg_rank_table(base.select(F.col(f"v{i}").alias("value")).filter("value IS NOT NULL"))
-        out = out.join(rt.withColumnRenamed("value", f"v{i}").withColumnRenamed("rank", f"r{i}"),
-                       on=f"v{i}", how="left")
+        rt, nd = avg_rank_table(base.select(F.col(f"v{i}").alias("value")).filter("value IS NOT NULL"))
+        rt = rt.withColumnRenamed("value", f"v{i}").withColumnRenamed("rank", f"r{i}")
+        # small rank table: broadcast (no shuffle of the rows, hot values harmless);
+        # otherwise a shuffle join that AQE splits when one value is hot
+        out = out.join(F.broadcast(rt) if nd <= BROADCAST_RANK_ROWS else rt, on=f"v{i}", how="left")
     return out
 
 

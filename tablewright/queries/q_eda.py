@@ -119,12 +119,14 @@ def _spearman_pair_sql(a, b):
 _EC = ["o_orderkey", "amount", "flag"]
 
 
-@register("eda_corr", with_dirty() + union_all(
+@register("eda_corr", "SELECT * REPLACE (CASE WHEN r = 0 THEN 0.0 ELSE r END AS r) FROM (" + with_dirty() + union_all(
     [f"SELECT '{c}' AS a, '{c}' AS b, 1.0 AS r" for c in _EC] +
     _spearman_pair_sql("o_orderkey", "amount") + _spearman_pair_sql("o_orderkey", "flag") +
-    _spearman_pair_sql("amount", "flag")))
+    _spearman_pair_sql("amount", "flag")) + ")")
 def eda_corr(spark, sf):
-    return corr_matrix(dirty_orders(spark, sf), _EC, "spearman").withColumn("r", F.round("r", R))
+    m = corr_matrix(dirty_orders(spark, sf), _EC, "spearman")
+    r = F.round("r", R)
+    return m.withColumn("r", F.when(r == 0, F.lit(0.0)).otherwise(r))
 
 
 @register("eda_pairwise", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders "

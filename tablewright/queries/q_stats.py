@@ -90,11 +90,18 @@ def _pearson_sql(tbl, cols):
     return union_all(br)
 
 
-def _rounded(m):
-    return m.withColumn("r", F.round("r", R))
+def _rounded(m, col="r"):
+    """Round for the cross-engine compare; -0.0 shown as 0.0."""
+    r = F.round(col, R)
+    return m.withColumn(col, F.when(r == 0, F.lit(0.0)).otherwise(r))
 
 
-@register("corr_pearson", _pearson_sql("lineitem", LINE_NUM))
+def _z(sql, col="r"):
+    """Same normalisation on the SQL side."""
+    return f"SELECT * REPLACE (CASE WHEN {col} = 0 THEN 0.0 ELSE {col} END AS {col}) FROM ({sql})"
+
+
+@register("corr_pearson", _z(_pearson_sql("lineitem", LINE_NUM)))
 def corr_pearson(spark, sf):
     return _rounded(C.pearson_matrix(table(spark, sf, "lineitem"), LINE_NUM))
 
@@ -105,7 +112,7 @@ _SP_RANKED = ("rk AS (SELECT " + ", ".join(
     " FROM lineitem)")
 
 
-@register("corr_spearman", f"WITH {_SP_RANKED} " + _pearson_sql("rk", _SP_COLS))
+@register("corr_spearman", _z(f"WITH {_SP_RANKED} " + _pearson_sql("rk", _SP_COLS)))
 def corr_spearman(spark, sf):
     return _rounded(C.spearman_matrix(table(spark, sf, "lineitem"), _SP_COLS))
 
@@ -115,11 +122,11 @@ _KT = ("WITH pr AS (SELECT sum(sign(a.p_size - b.p_size) * sign(a.p_retailprice
        "count(*) AS n0 FROM part a JOIN part b ON a.p_partkey < b.p_partkey) ")
 
 
-@register("corr_kendall", _KT + union_all([
+@register("corr_kendall", _z(_KT + union_all([
     "SELECT 'p_size' AS a, 'p_size' AS b, 1.0 AS r",
     "SELECT 'p_retailprice' AS a, 'p_retailprice' AS b, 1.0 AS r",
     f"SELECT 'p_size' AS a, 'p_retailprice' AS b, round(s / sqrt((n0 - tx) * (n0 - ty)), {R}) AS r FROM pr",
-    f"SELECT 'p_retailprice' AS a, 'p_size' AS b, round(s / sqrt((n0 - tx) * (n0 - ty)), {R}) AS r FROM pr"]))
+    f"SELECT 'p_retailprice' AS a, 'p_size' AS b, round(s / sqrt((n0 - tx) * (n0 - ty)), {R}) AS r FROM pr"])))
 def corr_kendall(spark, sf):
     return _rounded(C.kendall_matrix(table(spark, sf, "part"), ["p_size", "p_retailprice"]))
 
@@ -127,13 +134,12 @@ def corr_kendall(spark, sf):
 _CT_FEATS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
 
 
-@register("corr_target", union_all([
+@register("corr_target", _z(union_all([
     f"SELECT '{c}' AS \"column\", round(covar_pop({c}, l_extendedprice) / NULLIF(stddev_pop({c}) * stddev_pop(l_extendedprice), 0), {R}) AS r "
-    f"FROM lineitem WHERE {c} IS NOT NULL AND l_extendedprice IS NOT NULL" for c in _CT_FEATS]))
+    f"FROM lineitem WHERE {c} IS NOT NULL AND l_extendedprice IS NOT NULL" for c in _CT_FEATS])))
 def corr_target(spark, sf):
     from tablewright.operators.planning import target_correlations
-    return target_correlations(table(spark, sf, "lineitem"), "l_extendedprice", _CT_FEATS) \
-        .withColumn("r", F.round("r", R))
+    return _rounded(target_correlations(table(spark, sf, "lineitem"), "l_extendedprice", _CT_FEATS))
 
 
 @register("value_counts", with_dirty() + union_all([
