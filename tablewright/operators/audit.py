@@ -4,11 +4,12 @@ a counting pass) over the whole input."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.parse import parse_num, parse_ts
-from tablewright.operators.stats import quantiles
+from tablewright.operators.stats import fence_stats, freq_quantiles, freq_table, quantiles
 from tablewright.schema import as_double, numeric_cols, q, text_cols
 
 
@@ -87,25 +88,34 @@ def iqr_bounds(df: DataFrame, cols: list[str]) -> dict:
 
 def audit_outliers(df: DataFrame) -> DataFrame:
     """(column, outliers, outlier_pct): values outside Q1-1.5 IQR .. Q3+1.5 IQR
-    (strict on both sides), share of non-null values; IQR 0 -> 0 outliers."""
+    (strict on both sides), share of non-null values; IQR 0 -> 0 outliers.
+
+    One pass over the rows (the frequency table); quartiles and the counts
+    outside the fences are then small jobs over that table."""
     cols = numeric_cols(df)
     spark = df.sparkSession
     schema = "column string, outliers long, outlier_pct double"
-    bounds = iqr_bounds(df, cols) if cols else {}
-    if not bounds:
+    if not cols:
         return spark.createDataFrame([], schema)
-    names = [c for c in cols if c in bounds]
-    aggs = []
-    for i, c in enumerate(names):
-        q1, q3, lo, hi = bounds[c]
-        v = as_double(df, c)
-        outside = F.lit(0) if q3 - q1 == 0 else F.count_if((v < F.lit(lo)) | (v > F.lit(hi)))
-        aggs += [outside.alias(f"__o{i}"), F.count(v).alias(f"__n{i}")]
-    one = df.agg(*aggs)
-    long = _unpivot_row(one, [(c, [("outliers", f"__o{i}"), ("n", f"__n{i}")]) for i, c in enumerate(names)])
-    return (long.select("column", F.col("outliers").cast("long").alias("outliers"),
-                        F.round(F.col("outliers") / F.col("n") * 100.0, 2).alias("outlier_pct"))
-            .orderBy(F.desc("outlier_pct"), F.desc("outliers"), F.asc("column")))
+    freq = freq_table(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        qs: dict = {}
+        for r in freq_quantiles(freq, [0.25, 0.75]):
+            qs.setdefault(r["column"], {})[r["p"]] = r["value"]
+        bounds = {c: (v[0.25] - 1.5 * (v[0.75] - v[0.25]), v[0.75] + 1.5 * (v[0.75] - v[0.25]))
+                  for c, v in qs.items()}
+        fs = fence_stats(freq, bounds)
+    finally:
+        freq.unpersist()
+    rows = []
+    for c in cols:
+        if c not in fs:
+            continue  # all-null column
+        iqr = qs[c][0.75] - qs[c][0.25]
+        out = 0 if iqr == 0 else int(fs[c]["below"] + fs[c]["above"])
+        rows.append((c, out, round(out / fs[c]["n"] * 100.0, 2)))
+    t = spark.createDataFrame(rows, schema)
+    return t.orderBy(F.desc("outlier_pct"), F.desc("outliers"), F.asc("column"))
 
 
 def audit_dataset(df: DataFrame) -> dict[str, DataFrame]:

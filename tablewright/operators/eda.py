@@ -7,12 +7,13 @@ and "first n rows" samples taken by an explicit order key (TakeOrdered).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.scalars import bin_edges, hist_bin, to_text
 from tablewright.operators.audit import iqr_bounds, missing_table
-from tablewright.operators.stats import nunique, quantiles
+from tablewright.operators.stats import fence_stats, freq_quantiles, freq_table, nunique
 from tablewright.schema import as_double, categorical_cols, dtype_name, numeric_cols, q
 
 
@@ -85,28 +86,25 @@ def histograms(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
 def boxplot(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, n, q1, median, q3, whisker_lo, whisker_hi, fliers_lo, fliers_hi):
     whiskers are the most extreme values inside Q1-1.5 IQR .. Q3+1.5 IQR,
-    fliers the counts outside."""
+    fliers the counts outside.  One pass over the rows (frequency table)."""
     spark = df.sparkSession
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75])
-    names = [c for c in cols if c in qs]
-    if not names:
-        return spark.createDataFrame([], "column string, n long, q1 double, median double, q3 double, "
-                                         "whisker_lo double, whisker_hi double, fliers_lo long, fliers_hi long")
-    aggs = []
-    for i, c in enumerate(names):
-        q1, q3 = qs[c][0.25], qs[c][0.75]
-        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        v = as_double(df, c)
-        aggs += [F.count(v).alias(f"n{i}"),
-                 F.min(F.when(v >= lo, v)).alias(f"wl{i}"), F.max(F.when(v <= hi, v)).alias(f"wh{i}"),
-                 F.count_if(v < lo).alias(f"fl{i}"), F.count_if(v > hi).alias(f"fh{i}")]
-    one = df.agg(*aggs)
-    structs = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("long").alias("n"),
-                        F.lit(qs[c][0.25]).alias("q1"), F.lit(qs[c][0.5]).alias("median"),
-                        F.lit(qs[c][0.75]).alias("q3"), F.col(f"wl{i}").alias("whisker_lo"),
-                        F.col(f"wh{i}").alias("whisker_hi"), F.col(f"fl{i}").cast("long").alias("fliers_lo"),
-                        F.col(f"fh{i}").cast("long").alias("fliers_hi")) for i, c in enumerate(names)]
-    return one.select(F.inline(F.array(*structs)))
+    schema = ("column string, n long, q1 double, median double, q3 double, "
+              "whisker_lo double, whisker_hi double, fliers_lo long, fliers_hi long")
+    if not cols:
+        return spark.createDataFrame([], schema)
+    freq = freq_table(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        qs: dict = {}
+        for r in freq_quantiles(freq, [0.25, 0.5, 0.75]):
+            qs.setdefault(r["column"], {})[r["p"]] = r["value"]
+        bounds = {c: (v[0.25] - 1.5 * (v[0.75] - v[0.25]), v[0.75] + 1.5 * (v[0.75] - v[0.25]))
+                  for c, v in qs.items()}
+        fs = fence_stats(freq, bounds)
+    finally:
+        freq.unpersist()
+    rows = [(c, int(fs[c]["n"]), qs[c][0.25], qs[c][0.5], qs[c][0.75], fs[c]["whisker_lo"], fs[c]["whisker_hi"],
+             int(fs[c]["below"]), int(fs[c]["above"])) for c in cols if c in fs]
+    return spark.createDataFrame(rows, schema)
 
 
 def categories(df: DataFrame, max_cols: int = 3, max_levels: int = 15) -> DataFrame:

@@ -52,6 +52,67 @@ def freq_table(df: DataFrame, cols: list[str], numeric: bool = True,
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
 
 
+def freq_quantiles(freq: DataFrame, probs: list[float], small: bool | None = None) -> list:
+    """Exact quantiles from a (column, value, count) table: rows of
+    (column, p, n, value).  ``small`` (checked size) picks the per-column
+    window; otherwise the range-sliced running counts are used."""
+    if small is None:
+        small = freq.count() <= SMALL_FREQ_ROWS
+    off = running_weight(freq, ["column"], ["value"], "count", small=small)
+    n1 = F.col("_total") - F.lit(1)
+    hit = F.lit(False)
+    for p in probs:
+        k = F.floor(n1 * F.lit(float(p)))
+        for kk in (k, k + F.lit(1)):
+            hit = hit | ((F.col("_below") <= kk) & (kk < F.col("_below") + F.col("count")))
+    cand = off.filter(hit)
+    ex = cand.select("column", "value", "count", "_below", "_total",
+                     F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    pos = (F.col("_total") - F.lit(1)) * F.col("p")
+    ex = ex.withColumn("_pos", pos).withColumn("_k", F.floor(F.col("_pos")))
+    inside = lambda kk: (F.col("_below") <= kk) & (kk < F.col("_below") + F.col("count"))
+    res = (ex.groupBy("column", "p")
+             .agg(F.max(F.when(inside(F.col("_k")), F.col("value"))).alias("lo"),
+                  F.max(F.when(inside(F.col("_k") + F.lit(1)), F.col("value"))).alias("hi"),
+                  F.max("_total").alias("n"),
+                  F.max("_pos").alias("_pos"), F.max("_k").alias("_k")))
+    frac = F.col("_pos") - F.col("_k")
+    value = F.when((frac == 0) | F.col("hi").isNull(), F.col("lo")) \
+             .otherwise(F.col("lo") + frac * (F.col("hi") - F.col("lo")))
+    return res.select("column", "p", F.col("n").cast("long").alias("n"), value.alias("value")).collect()
+
+
+def fence_stats(freq: DataFrame, bounds: dict) -> dict:
+    """From a (column, value, count) table and per-column (lo, hi): values
+    below lo / above hi, the most extreme values inside, and n -- one small
+    aggregate over the frequency table, no pass over the rows."""
+    if not bounds:
+        return {}
+    lo_map = F.create_map(*[x for c, (lo, _) in bounds.items() for x in (F.lit(c), F.lit(float(lo)))])
+    hi_map = F.create_map(*[x for c, (_, hi) in bounds.items() for x in (F.lit(c), F.lit(float(hi)))])
+    lo, hi = F.element_at(lo_map, F.col("column")), F.element_at(hi_map, F.col("column"))
+    v, w = F.col("value"), F.col("count")
+    rows = (freq.filter(F.col("column").isin(list(bounds)))
+                .groupBy("column")
+                .agg(F.sum(F.when(v < lo, w).otherwise(0)).alias("below"),
+                     F.sum(F.when(v > hi, w).otherwise(0)).alias("above"),
+                     F.min(F.when(v >= lo, v)).alias("whisker_lo"),
+                     F.max(F.when(v <= hi, v)).alias("whisker_hi"),
+                     F.sum(w).alias("n")).collect())
+    return {r["column"]: r.asDict() for r in rows}
+
+
+def add_weight(freq: DataFrame, extra: dict) -> DataFrame:
+    """Frequency table with ``extra[column] = (value, count)`` added -- e.g.
+    the rows a median imputation fills in."""
+    if not extra:
+        return freq
+    spark = freq.sparkSession
+    add = spark.createDataFrame([(c, float(v), int(n)) for c, (v, n) in extra.items()],
+                                "column string, value double, count long")
+    return (freq.unionByName(add).groupBy("column", "value").agg(F.sum("count").alias("count")))
+
+
 def quantile_table(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """Exact quantiles, linear interpolation at position (n-1)p of the sorted
     non-null values (pandas ``quantile`` / SQL ``quantile_cont``).
@@ -61,30 +122,7 @@ def quantile_table(df: DataFrame, cols: list[str], probs: list[float]) -> DataFr
     """
     freq = freq_table(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        small = freq.count() <= SMALL_FREQ_ROWS
-        off = running_weight(freq, ["column"], ["value"], "count", small=small)
-        n1 = F.col("_total") - F.lit(1)
-        hit = F.lit(False)
-        for p in probs:
-            k = F.floor(n1 * F.lit(float(p)))
-            for kk in (k, k + F.lit(1)):
-                hit = hit | ((F.col("_below") <= kk) & (kk < F.col("_below") + F.col("count")))
-        cand = off.filter(hit)
-        ex = cand.select("column", "value", "count", "_below", "_total",
-                         F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-        pos = (F.col("_total") - F.lit(1)) * F.col("p")
-        ex = ex.withColumn("_pos", pos).withColumn("_k", F.floor(F.col("_pos")))
-        inside = lambda kk: (F.col("_below") <= kk) & (kk < F.col("_below") + F.col("count"))
-        res = (ex.groupBy("column", "p")
-                 .agg(F.max(F.when(inside(F.col("_k")), F.col("value"))).alias("lo"),
-                      F.max(F.when(inside(F.col("_k") + F.lit(1)), F.col("value"))).alias("hi"),
-                      F.max("_total").alias("n"),
-                      F.max("_pos").alias("_pos"), F.max("_k").alias("_k")))
-        frac = F.col("_pos") - F.col("_k")
-        value = F.when((frac == 0) | F.col("hi").isNull(), F.col("lo")) \
-                 .otherwise(F.col("lo") + frac * (F.col("hi") - F.col("lo")))
-        out = res.select("column", "p", F.col("n").cast("long").alias("n"), value.alias("value"))
-        rows = out.collect()
+        rows = freq_quantiles(freq, probs)
     finally:
         freq.unpersist()
     spark = df.sparkSession

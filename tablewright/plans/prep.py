@@ -20,12 +20,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.parse import parse_num, parse_ts
 from tablewright.functions.scalars import clip as clip_expr
-from tablewright.operators.stats import modes, quantiles
+from tablewright.operators.stats import add_weight, fence_stats, freq_quantiles, freq_table, modes
 from tablewright.schema import as_double, is_numeric_type, q, text_cols
 from tablewright.session import checkpoint_dir
 
@@ -165,79 +166,92 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
         cur = _materialize(df.dropDuplicates())
         report["duplicate_rows_removed"] = report["original_rows"] - cur.count()
 
-    # 2 + 3: both parse shares for every text column in one pass; the date
-    # share of a column is only used when the column was not coerced.
+    # 2 + 3 (+ the null counts every later step needs) in one pass: both parse
+    # shares for each text column and the null count of every column.  After
+    # coercion / expansion a column's nulls are rows minus parsed values, so no
+    # second pass is needed.
     texts = text_cols(cur)
-    if texts and (o.coerce_numeric or o.expand_dates):
-        aggs = []
-        for i, c in enumerate(texts):
-            col = F.col(q(c))
-            aggs += [F.count(col).alias(f"n{i}"), F.count(parse_num(col)).alias(f"p{i}"),
-                     F.count(parse_ts(col)).alias(f"t{i}")]
-        row = cur.agg(*aggs).collect()[0]
-        for i, c in enumerate(texts):
-            nn = row[f"n{i}"]
-            num_ratio = row[f"p{i}"] / nn if nn else 0.0
-            ts_ratio = row[f"t{i}"] / nn if nn else 0.0
-            if o.coerce_numeric and num_ratio >= o.numeric_threshold:
-                plan.coerce.append(c)
-            elif o.expand_dates and ts_ratio >= o.datetime_threshold:
-                plan.expand.append(c)
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    aggs += [F.count_if(F.col(q(c)).isNull()).alias(f"z{i}") for i, c in enumerate(cur.columns)]
+    for i, c in enumerate(texts):
+        col = F.col(q(c))
+        aggs += [F.count(col).alias(f"n{i}"), F.count(parse_num(col)).alias(f"p{i}"),
+                 F.count(parse_ts(col)).alias(f"t{i}")]
+    row = cur.agg(*aggs).collect()[0]
+    n = row["__n"]
+    nulls = {c: row[f"z{i}"] for i, c in enumerate(cur.columns)}
+    parsed_num, parsed_ts = {}, {}
+    for i, c in enumerate(texts):
+        nn = row[f"n{i}"]
+        parsed_num[c], parsed_ts[c] = row[f"p{i}"], row[f"t{i}"]
+        num_ratio = row[f"p{i}"] / nn if nn else 0.0
+        ts_ratio = row[f"t{i}"] / nn if nn else 0.0
+        if o.coerce_numeric and num_ratio >= o.numeric_threshold:
+            plan.coerce.append(c)
+        elif o.expand_dates and ts_ratio >= o.datetime_threshold:
+            plan.expand.append(c)
     report["columns_coerced_numeric"] = list(plan.coerce)
     report["date_columns_expanded"] = list(plan.expand)
+    for c in plan.coerce:
+        nulls[c] = n - parsed_num[c]
+    for c in plan.expand:
+        for part in ("year", "month", "day"):
+            nulls[f"{c}_{part}"] = n - parsed_ts[c]
     cur = plan._expanded(plan._coerced(cur))
 
-    # 4 + "has a null" for 5/6: one null-count pass.
-    cols = cur.columns
-    row = cur.agg(F.count(F.lit(1)).alias("__n"),
-                  *[F.count_if(F.col(q(c)).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).collect()[0]
-    n = row["__n"]
-    nulls = {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    # 4
     if o.max_missing_pct > 0 and n:
-        plan.drop = [c for c in cols if nulls[c] / n * 100.0 > o.max_missing_pct]
+        plan.drop = [c for c in cur.columns if nulls[c] / n * 100.0 > o.max_missing_pct]
         report["columns_dropped_for_missing"] = list(plan.drop)
         cur = cur.drop(*plan.drop)
 
+    # 5 + 7 share one frequency table of the numeric columns: medians from it,
+    # then the clip quartiles from it with each median added at its fill count,
+    # and the "would change" counts from the same table.
     kinds = {f.name: f.dataType for f in cur.schema.fields}
     numeric = [c for c in cur.columns if is_numeric_type(kinds[c]) and not isinstance(kinds[c], T.BooleanType)]
     other = [c for c in cur.columns if c not in numeric]
-    if o.impute_numeric:
-        need = [c for c in numeric if nulls[c] > 0]
-        med = quantiles(cur, need, [0.5]) if need else {}
-        for c in need:
-            plan.fill_numeric[c] = med.get(c, {}).get(0.5)
-        report["numeric_columns_imputed"] = list(need)
-    if o.impute_categorical:
-        need = [c for c in other if nulls[c] > 0]
-        md = modes(cur, need) if need else {}
-        for c in need:
-            v = md.get(c)
-            plan.fill_categorical[c] = "missing" if v is None else v
-        report["categorical_columns_imputed"] = list(need)
-    cur = plan._filled(cur)
-
-    if o.clip_outliers:
-        kinds = {f.name: f.dataType for f in cur.schema.fields}
-        cand = [c for c in cur.columns if is_numeric_type(kinds[c]) and not isinstance(kinds[c], T.BooleanType)]
-        qs = quantiles(cur, cand, [0.25, 0.75]) if cand else {}
-        bounds = {}
-        for c in cand:
-            if c not in qs:
-                continue
-            q1, q3 = qs[c][0.25], qs[c][0.75]
-            iqr = q3 - q1
-            if iqr == 0:
-                continue
-            bounds[c] = (q1 - 1.5 * iqr, q3 + 1.5 * iqr)
-        if bounds:
-            names = list(bounds)
-            row = cur.agg(*[F.count_if((as_double(cur, c) < bounds[c][0]) | (as_double(cur, c) > bounds[c][1]))
-                            .alias(f"c{i}") for i, c in enumerate(names)]).collect()[0]
-            for i, c in enumerate(names):
-                if row[f"c{i}"] > 0:
+    need_num = [c for c in numeric if nulls[c] > 0] if o.impute_numeric else []
+    freq = None
+    if numeric and (need_num or o.clip_outliers):
+        freq = freq_table(cur, numeric, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if o.impute_numeric:
+            med = {r["column"]: r["value"] for r in freq_quantiles(freq, [0.5])
+                   if r["column"] in need_num} if need_num else {}
+            for c in need_num:
+                plan.fill_numeric[c] = med.get(c)
+            report["numeric_columns_imputed"] = list(need_num)
+        if o.impute_categorical:
+            need = [c for c in other if nulls[c] > 0]
+            md = modes(cur, need) if need else {}
+            for c in need:
+                v = md.get(c)
+                plan.fill_categorical[c] = "missing" if v is None else v
+            report["categorical_columns_imputed"] = list(need)
+        if o.clip_outliers and numeric:
+            filled = {c: (plan.fill_numeric[c], nulls[c]) for c in need_num if plan.fill_numeric.get(c) is not None}
+            adj = add_weight(freq, filled)
+            qs: dict = {}
+            for r in freq_quantiles(adj, [0.25, 0.75]):
+                qs.setdefault(r["column"], {})[r["p"]] = r["value"]
+            bounds = {}
+            for c in numeric:
+                if c not in qs:
+                    continue
+                q1, q3 = qs[c][0.25], qs[c][0.75]
+                if q3 - q1 == 0:
+                    continue
+                bounds[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+            fs = fence_stats(adj, bounds)
+            for c in numeric:
+                if c in bounds and (fs[c]["below"] + fs[c]["above"]) > 0:
                     plan.clip[c] = bounds[c]
-        report["outlier_columns_clipped"] = list(plan.clip)
-        cur = plan._clipped(cur)
+            report["outlier_columns_clipped"] = list(plan.clip)
+    finally:
+        if freq is not None:
+            freq.unpersist()
+    cur = plan._clipped(plan._filled(cur))
 
     report["final_rows"] = report["original_rows"] - report["duplicate_rows_removed"]
     report["final_cols"] = len(cur.columns)
