@@ -16,7 +16,7 @@ from tablewright.schema import as_double, q
 
 # Distinct (column, value) pairs up to which a frequency table is treated as
 # small enough for a per-column window; above it the range-sliced path runs.
-SMALL_FREQ_ROWS = 200_000
+SMALL_FREQ_ROWS = 1_000_000
 # Aggregate expressions per generated ``agg`` (keeps codegen methods small).
 AGG_CHUNK = 120
 

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.parse import parse_num, parse_ts
 from tablewright.functions.scalars import clip as clip_expr
-from tablewright.operators.stats import add_weight, fence_stats, freq_quantiles, freq_table, modes
+from tablewright.operators.stats import SMALL_FREQ_ROWS, add_weight, fence_stats, freq_quantiles, freq_table, modes
 from tablewright.schema import as_double, is_numeric_type, q, text_cols
 from tablewright.session import checkpoint_dir
 
@@ -69,6 +69,8 @@ class PrepPlan:
     fill_categorical: dict[str, Any] = field(default_factory=dict)
     clip: dict[str, tuple[float, float]] = field(default_factory=dict)
     report: dict[str, Any] = field(default_factory=dict)
+    # the deduplicated copy written while fitting (reused by apply_preparation)
+    deduped: DataFrame | None = field(default=None, repr=False, compare=False)
 
     # -- application -------------------------------------------------------
     def _coerced(self, df: DataFrame) -> DataFrame:
@@ -157,14 +159,23 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
     o = options or PrepOptions(**kw)
     plan = PrepPlan(options=o)
     report: dict[str, Any] = {k: [] for k in REPORT_LISTS}
-    report["original_rows"] = df.count()
     report["original_cols"] = len(df.columns)
     report["duplicate_rows_removed"] = 0
 
     cur = df
     if o.drop_duplicates:
-        cur = _materialize(df.dropDuplicates())
-        report["duplicate_rows_removed"] = report["original_rows"] - cur.count()
+        # one shuffle: distinct rows with their multiplicity (map-side combined,
+        # so a row copied a billion times costs one row per map task), written
+        # once; both row counts come from the written copy.
+        grouped = _materialize(df.groupBy(*[F.col(q(c)) for c in df.columns])
+                               .agg(F.count(F.lit(1)).alias("__copies")))
+        tot = grouped.agg(F.sum("__copies").alias("rows"), F.count(F.lit(1)).alias("distinct")).collect()[0]
+        report["original_rows"] = int(tot["rows"] or 0)
+        report["duplicate_rows_removed"] = report["original_rows"] - int(tot["distinct"])
+        cur = grouped.drop("__copies")
+        plan.deduped = cur
+    else:
+        report["original_rows"] = df.count()
 
     # 2 + 3 (+ the null counts every later step needs) in one pass: both parse
     # shares for each text column and the null count of every column.  After
@@ -213,11 +224,14 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
     other = [c for c in cur.columns if c not in numeric]
     need_num = [c for c in numeric if nulls[c] > 0] if o.impute_numeric else []
     freq = None
+    small = True
     if numeric and (need_num or o.clip_outliers):
         freq = freq_table(cur, numeric, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
+        # the adjusted table below has at most len(numeric) more rows
+        small = freq.count() + len(numeric) <= SMALL_FREQ_ROWS
     try:
         if o.impute_numeric:
-            med = {r["column"]: r["value"] for r in freq_quantiles(freq, [0.5])
+            med = {r["column"]: r["value"] for r in freq_quantiles(freq, [0.5], small)
                    if r["column"] in need_num} if need_num else {}
             for c in need_num:
                 plan.fill_numeric[c] = med.get(c)
@@ -233,7 +247,7 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
             filled = {c: (plan.fill_numeric[c], nulls[c]) for c in need_num if plan.fill_numeric.get(c) is not None}
             adj = add_weight(freq, filled)
             qs: dict = {}
-            for r in freq_quantiles(adj, [0.25, 0.75]):
+            for r in freq_quantiles(adj, [0.25, 0.75], small):
                 qs.setdefault(r["column"], {})[r["p"]] = r["value"]
             bounds = {}
             for c in numeric:
@@ -262,6 +276,9 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
 def apply_preparation(df: DataFrame, **kw) -> tuple[DataFrame, dict[str, Any]]:
     """(prepared DataFrame, report) -- the reference's call shape."""
     plan = fit_preparation(df, **kw)
+    if plan.deduped is not None:
+        # the fit already wrote the distinct rows: no second distinct shuffle
+        return plan.transform(plan.deduped, dedupe=False), plan.report
     return plan.transform(df), plan.report
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators.audit import audit_dataset
-from tablewright.plans.prep import PrepOptions, fit_preparation, preparation_notes
+from tablewright.plans.prep import PrepOptions, apply_preparation, fit_preparation, preparation_notes
 from tablewright.queries import register
 from tablewright.queries.sqlhelp import parse_date_sql, parse_num_sql, with_dirty
 from tablewright.sources.tables import dirty_orders
@@ -26,7 +26,8 @@ def options_upto(step: str) -> PrepOptions:
 
 def _prepared(spark, sf, step):
     d = dirty_orders(spark, sf)
-    return fit_preparation(d, options_upto(step)).transform(d)
+    out, _ = apply_preparation(d, **options_upto(step).__dict__)
+    return out
 
 
 # --- oracle CTE chain ---------------------------------------------------------
