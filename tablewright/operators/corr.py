@@ -8,7 +8,7 @@
 * Kendall tau-b: block decomposition.  Values are cut into value-range blocks
   (heavy values become single-value blocks); pairs in different x *and* y
   blocks are counted from the small block-count matrix, the rest per block by
-  a Fenwick-tree count inside ``applyInPandas``.
+  a vectorised merge count inside ``applyInPandas``.
 """
 
 from __future__ import annotations
@@ -150,68 +150,58 @@ def _block_expr(c: Column, edges: list[float]) -> Column:
     return build(0, len(edges))
 
 
-def _fenwick_s(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Weighted sum over pairs of sign(dx) * sign(dy) * w_i * w_j, O(m log m)."""
+def _pair_sign_sum(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Weighted sum over pairs of sign(dx) * sign(dy) * w_i * w_j.
+
+    Rows sorted by (x, y); bottom-up merge levels, each fully vectorised: for
+    every element of a right half, the left-half weight with smaller and with
+    larger y (two lexsorts + cumulative sums per level, O(m log^2 m) in numpy).
+    Pairs with equal x were counted as ordered and are removed at the end
+    (their share is the within-x-group weight with smaller y)."""
     m = len(x)
     if m < 2:
         return 0.0
     order = np.lexsort((y, x))
     x, y, w = x[order], y[order], w[order]
-    ys, yr = np.unique(y, return_inverse=True)
-    size = len(ys)
-    tree = np.zeros(size + 1)
+    idx = np.arange(m)
     total = 0.0
-    s = 0.0
-    i = 0
-    while i < m:
-        j = i
-        while j < m and x[j] == x[i]:
-            j += 1
-        # query the group against everything with a smaller x
-        for k in range(i, j):
-            r = yr[k]
-            # weight with y < y_k
-            lo = 0.0
-            idx = r
-            while idx > 0:
-                lo += tree[idx]
-                idx -= idx & (-idx)
-            # weight with y <= y_k
-            le = lo
-            idx = r + 1
-            le = 0.0
-            while idx > 0:
-                le += tree[idx]
-                idx -= idx & (-idx)
-            hi = total - le
-            s += w[k] * (lo - hi)
-        for k in range(i, j):
-            idx = yr[k] + 1
-            while idx <= size:
-                tree[idx] += w[k]
-                idx += idx & (-idx)
-            total += w[k]
-        i = j
-    return s
+    s = 1
+    while s < m:
+        block = idx // (2 * s)
+        right = ((idx // s) % 2).astype(np.int8)
+        wl = np.where(right == 0, w, 0.0)
+        wl_block = np.bincount(block, weights=wl)
+        below = np.empty(m)
+        at_or_below = np.empty(m)
+        for out, tie_first in ((below, -right), (at_or_below, right)):
+            o = np.lexsort((tie_first, y, block))
+            c = np.cumsum(wl[o])
+            start = np.searchsorted(block[o], block[o], side="left")
+            out[o] = c - np.concatenate(([0.0], c))[start]
+        r = right == 1
+        total += float((w[r] * (below[r] - (wl_block[block[r]] - at_or_below[r]))).sum())
+        s *= 2
+    g = pd.DataFrame({"x": x, "y": y, "w": w}).groupby(["x", "y"], sort=True)["w"].sum().reset_index()
+    g["before"] = g.groupby("x")["w"].cumsum() - g["w"]
+    return total - float((g["w"] * g["before"]).sum())
 
 
 def _local_s(pdf: pd.DataFrame) -> pd.DataFrame:
-    key = pdf["k"].iloc[0]
-    s = _fenwick_s(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["w"].to_numpy(float))
-    return pd.DataFrame({"k": [key], "s": [s]})
+    s = _pair_sign_sum(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["w"].to_numpy(float))
+    return pd.DataFrame({"kind": [int(pdf["kind"].iloc[0])], "k": [int(pdf["k"].iloc[0])], "s": [s]})
 
 
-def _edges(df: DataFrame, c: str, n: int) -> list[float]:
-    m = max(1, min(KENDALL_MAX_EDGES, n // KENDALL_BLOCK_ROWS))
-    if m <= 1:
-        return []
-    probs = [i / m for i in range(1, m)]
-    got = df.agg(F.percentile_approx(F.col(c), probs, 10000).alias("e")).collect()[0]["e"] or []
+def _edges(row, prefix: str) -> list[float]:
+    got = row[prefix] or []
     return sorted(set(float(v) for v in got))
 
 
 def kendall_pair(df: DataFrame, a: str, b: str) -> float | None:
-    """Kendall tau-b of two columns on their pairwise-complete rows."""
+    """Kendall tau-b of two columns on their pairwise-complete rows.
+
+    Five jobs over the weighted (x, y, count) table: size, block edges (both
+    sides in one sketch pass), tie sums (both sides in one pass), the block
+    matrix, and one grouped pass for every within-block count."""
     xa, xb = as_double(df, a), as_double(df, b)
     w3 = (df.select(xa.alias("x"), xb.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
             .groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
@@ -221,11 +211,21 @@ def kendall_pair(df: DataFrame, a: str, b: str) -> float | None:
         n = stats["n"] or 0.0
         if n < 2:
             return None
-        ex, ey = _edges(w3, "x", stats["d"]), _edges(w3, "y", stats["d"])
+        m = max(1, min(KENDALL_MAX_EDGES, stats["d"] // KENDALL_BLOCK_ROWS))
+        ex = ey = []
+        if m > 1:
+            probs = [i / m for i in range(1, m)]
+            er = w3.agg(F.percentile_approx("x", probs, 10000).alias("ex"),
+                        F.percentile_approx("y", probs, 10000).alias("ey")).collect()[0]
+            ex, ey = _edges(er, "ex"), _edges(er, "ey")
         blk = w3.withColumn("bx", _block_expr(F.col("x"), ex)).withColumn("by", _block_expr(F.col("y"), ey))
-        # ties
-        tx = w3.groupBy("x").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("s")).collect()[0]["s"] or 0.0
-        ty = w3.groupBy("y").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("s")).collect()[0]["s"] or 0.0
+        # ties on each side: sum over values of t(t-1)/2, both sides in one pass
+        sides = w3.select(F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v"), "w"),
+                                           F.struct(F.lit("y").alias("side"), F.col("y").alias("v"), "w"))))
+        ties = {r["side"]: r["s"] or 0.0 for r in
+                sides.groupBy("side", "v").agg(F.sum("w").alias("t"))
+                     .groupBy("side").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("s")).collect()}
+        tx, ty = ties.get("x", 0.0), ties.get("y", 0.0)
         # block-count matrix (at most (2m+1)^2 cells)
         cells = blk.groupBy("bx", "by").agg(F.sum("w").alias("w")).collect()
         bxs = sorted({r["bx"] for r in cells})
@@ -235,7 +235,6 @@ def kendall_pair(df: DataFrame, a: str, b: str) -> float | None:
         M = np.zeros((len(bxs), len(bys)))
         for r in cells:
             M[ix[r["bx"]], iy[r["by"]]] += r["w"]
-        # suffix sums: weight in rows > p, columns > q / columns < q
         s_cross = 0.0
         if len(bxs) > 1 and len(bys) > 1:
             below_rows = np.cumsum(M[::-1], axis=0)[::-1]          # rows >= p
@@ -247,28 +246,20 @@ def kendall_pair(df: DataFrame, a: str, b: str) -> float | None:
             lt_strict = np.zeros_like(M)
             lt_strict[:, 1:] = np.cumsum(after, axis=1)[:, :-1]
             s_cross = float((M * (gt_strict - lt_strict)).sum())
-        schema = "k long, s double"
-
-        def local(key_cols, singleton_x, singleton_y):
-            part = blk
-            cond = F.lit(True)
-            if singleton_x:
-                cond = cond & (F.col("bx") % 2 == 0)
-            if singleton_y:
-                cond = cond & (F.col("by") % 2 == 0)
-            part = part.filter(cond)
-            key = key_cols[0] if len(key_cols) == 1 else key_cols[0] * F.lit(1 << 20) + key_cols[1]
-            got = (part.select(key.cast("long").alias("k"), "x", "y", "w")
-                       .groupBy("k").applyInPandas(_local_s, schema)
-                       .agg(F.sum("s").alias("s")).collect()[0]["s"])
-            return got or 0.0
-
-        # pairs in the same x block (single-value blocks are all x-ties: 0)
-        s_x = local([F.col("bx")], True, False)
-        # pairs in the same y block, minus those also in the same x block
-        s_y = local([F.col("by")], False, True)
-        s_xy = local([F.col("bx"), F.col("by")], True, True)
-        s = s_cross + s_x + s_y - s_xy
+        # within-block pairs, one shuffle: each row goes to its x block (kind 0),
+        # its y block (kind 1) and its cell (kind 2, subtracted); single-value
+        # blocks (odd index) are all ties on that side and are left out.
+        even_x, even_y = F.col("bx") % 2 == 0, F.col("by") % 2 == 0
+        tagged = blk.select("x", "y", "w", F.inline(F.array(
+            F.struct(F.when(even_x, F.lit(0)).alias("kind"), F.col("bx").cast("long").alias("k")),
+            F.struct(F.when(even_y, F.lit(1)).alias("kind"), F.col("by").cast("long").alias("k")),
+            F.struct(F.when(even_x & even_y, F.lit(2)).alias("kind"),
+                     (F.col("bx").cast("long") * F.lit(1 << 21) + F.col("by")).alias("k")))))
+        local = (tagged.filter(F.col("kind").isNotNull())
+                       .groupBy("kind", "k").applyInPandas(_local_s, "kind int, k long, s double")
+                       .groupBy("kind").agg(F.sum("s").alias("s")).collect())
+        parts = {r["kind"]: r["s"] or 0.0 for r in local}
+        s = s_cross + parts.get(0, 0.0) + parts.get(1, 0.0) - parts.get(2, 0.0)
         n0 = n * (n - 1) / 2.0
         den = math.sqrt((n0 - tx) * (n0 - ty)) if (n0 - tx) > 0 and (n0 - ty) > 0 else 0.0
         return s / den if den > 0 else None

@@ -86,3 +86,15 @@ def test_skew_and_modes(spark):
     assert S.modes(df, ["s"]) == {"s": "a"}
     const = spark.createDataFrame([(3.0,), (3.0,), (3.0,)], "v double")
     assert const.agg(S.skew_expr(const["v"]).alias("s")).collect()[0]["s"] == 0.0
+
+
+def test_pair_sign_sum_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        m = int(rng.integers(1, 30))
+        x = rng.integers(0, 5, m).astype(float)
+        y = rng.integers(0, 4, m).astype(float)
+        w = rng.integers(1, 4, m).astype(float)
+        brute = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) * w[i] * w[j]
+                    for i in range(m) for j in range(i + 1, m))
+        assert C._pair_sign_sum(x, y, w) == pytest.approx(brute)
