@@ -35,9 +35,23 @@ def probes():
         "probe_nunique_11": lambda spark, sf: S.nunique(table(spark, sf, "lineitem"), LINE11),
         "probe_duplicate_count": lambda spark, sf: spark.createDataFrame(
             [(S.duplicate_count(table(spark, sf, "lineitem")),)], "d long"),
+        "probe_forest_300_depth10": _forest,
     }
 
 
+def _forest(spark, sf):
+    """300 trees, depth 10, three features (the baseline probe used 200 rows;
+    this fits every customer row)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+    from tablewright.ml.models import TREE_OPTS
+    c = table(spark, sf, "customer")
+    d = VectorAssembler(inputCols=["c_custkey", "c_nationkey", "c_acctbal"], outputCol="features") \
+        .transform(c).withColumn("label", F.col("c_acctbal") * 0.5 + F.col("c_nationkey"))
+    m = RandomForestRegressor(numTrees=300, maxDepth=10, seed=42, **TREE_OPTS).fit(d)
+    return spark.createDataFrame([(m.getNumTrees,)], "trees int")
+
+
 HEADLINE = [
     "audit_missing", "audit_coercion", "audit_outliers", "prep_clip_iqr", "prep_report", "dataset_kpis",
     "quantile", "skew", "corr_pearson", "corr_spearman", "corr_kendall", "eda_quality", "eda_histograms",

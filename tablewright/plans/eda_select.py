@@ -46,7 +46,10 @@ def run_eda(df: DataFrame, target: str | None, modules: list[str] | None = None,
             out[m] = corr_matrix(df, num, str(o["corr_method"]))
         elif m == "Pairwise Relationships" and len(num) >= 2:
             cols = num[:min(int(o["max_numeric"]), 6)]
-            out[m] = E.head_sample(df, cols, int(o["sample_rows"]), order_by)
+            sample = E.head_sample(df, cols, int(o["sample_rows"]), order_by)
+            out[m] = sample
+            # diagonal of the scatter matrix: histograms of the same sample
+            out[m + " (diagonal)"] = E.histograms(sample, cols, 10)
         elif m == "Target Deep Dive" and target in df.columns:
             if detect_task(df, target) == "classification":
                 out[m] = E.value_counts(df, [target])

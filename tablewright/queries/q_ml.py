@@ -23,6 +23,11 @@ _MEMO: dict = {}
 
 
 def _memo(key, fn):
+    """Reuse one comparison across the queries that show parts of it, within
+    one live session only."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    key = (id(spark), spark.sparkContext.applicationId if spark else None) + tuple(key)
     if key not in _MEMO:
         _MEMO[key] = fn()
     return _MEMO[key]
