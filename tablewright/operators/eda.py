@@ -29,7 +29,7 @@ def top_values(df: DataFrame, cols: list[str], k: int) -> DataFrame:
     by value.  ``row_number() <= k`` lets Spark put a per-partition group limit
     before the shuffle, so no column's full value list meets in one task."""
     w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    return (value_counts(df, cols).withColumn("rank", F.row_number().over(w))
+    return (value_counts(df, cols).withColumn("rank", F.row_number().over(w).cast("long"))
             .filter(F.col("rank") <= k).select("column", "rank", "value", "count"))
 
 

@@ -84,7 +84,7 @@ def sorted_labels(df: DataFrame, label: str) -> DataFrame:
     from pyspark.sql import Window
     lab = df.select(F.col(q(label)).cast("string").alias("label")).distinct()
     # one row per class: a global window over the class list
-    return lab.select(F.row_number().over(Window.orderBy("label")).alias("position"), "label")
+    return lab.select(F.row_number().over(Window.orderBy("label")).cast("long").alias("position"), "label")
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:

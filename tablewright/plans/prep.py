@@ -312,4 +312,4 @@ def preparation_notes(audit: dict[str, DataFrame]) -> DataFrame:
     # at most five rows: global windows over this tiny table are fine
     allw = Window.partitionBy()
     kept = notes.withColumn("_n", F.count(F.lit(1)).over(allw)).filter((F.col("position") < 5) | (F.col("_n") == 1))
-    return kept.select(F.row_number().over(Window.orderBy("position")).alias("position"), "note")
+    return kept.select(F.row_number().over(Window.orderBy("position")).cast("long").alias("position"), "note")

@@ -96,7 +96,7 @@ def sort_audit(spark, sf):
     t = A.audit_coercion(dirty_orders(spark, sf))
     # one row per text column: a global window over a k-row table
     w = Window.orderBy(F.desc("numeric_parse_pct"), F.desc("datetime_parse_pct"), F.asc("column"))
-    return t.withColumn("position", F.row_number().over(w))
+    return t.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 _Q_CTE = "q AS (SELECT " + ", ".join(

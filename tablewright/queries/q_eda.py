@@ -44,7 +44,7 @@ def _hist_sql(tbl, cols, bins, alias="column"):
     parts = []
     for c in cols:
         parts.append(
-            f"SELECT '{c}' AS \"{alias}\", b AS bin, lo2 + b * ((hi2 - lo2) / {bins}) AS lo, "
+            f"SELECT '{c}' AS \"{alias}\", CAST(b AS INTEGER) AS bin, lo2 + b * ((hi2 - lo2) / {bins}) AS lo, "
             f"lo2 + (b + 1) * ((hi2 - lo2) / {bins}) AS hi, "
             f"(SELECT count(*) FROM {tbl} WHERE {c} IS NOT NULL AND "
             f"least(greatest(CAST(floor(({c} - lo2) / (hi2 - lo2) * {bins}) AS INTEGER), 0), {bins - 1}) = b) AS count "

@@ -129,7 +129,7 @@ def eval_pred_actual(spark, sf):
 
 
 @register("eval_residual_hist", _REG + (
-    "SELECT b AS bin, lo2 + b * ((hi2 - lo2) / 30) AS lo, lo2 + (b + 1) * ((hi2 - lo2) / 30) AS hi, "
+    "SELECT CAST(b AS INTEGER) AS bin, lo2 + b * ((hi2 - lo2) / 30) AS lo, lo2 + (b + 1) * ((hi2 - lo2) / 30) AS hi, "
     "(SELECT count(*) FROM p WHERE least(greatest(CAST(floor(((actual - predicted) - lo2) / (hi2 - lo2) * 30) AS INTEGER), 0), 29) = b) AS count "
     "FROM (SELECT CASE WHEN min(actual - predicted) = max(actual - predicted) THEN min(actual - predicted) - 0.5 ELSE min(actual - predicted) END AS lo2, "
     "CASE WHEN min(actual - predicted) = max(actual - predicted) THEN max(actual - predicted) + 0.5 ELSE max(actual - predicted) END AS hi2 FROM p), "

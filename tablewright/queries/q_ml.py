@@ -129,9 +129,9 @@ def ml_folds(spark, sf):
     return out.select("c_custkey", F.col("_split").alias("split"), F.coalesce("_fold", F.lit(-1)).alias("fold"))
 
 
-@register("ml_folds_n", "SELECT 'classification' AS task, greatest(2, least(5, min(n - CAST(ceil(0.2 * n) AS BIGINT)))) AS folds "
+@register("ml_folds_n", "SELECT 'classification' AS task, CAST(greatest(2, least(5, min(n - CAST(ceil(0.2 * n) AS BIGINT)))) AS INTEGER) AS folds "
                         "FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment) UNION ALL "
-                        "SELECT 'regression', greatest(2, least(5, (count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT)) // 5)) FROM customer")
+                        "SELECT 'regression', CAST(greatest(2, least(5, (count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT)) // 5)) AS INTEGER) FROM customer")
 def ml_folds_n(spark, sf):
     c = table(spark, sf, "customer")
     _, a = assign_split_folds(c, "c_mktsegment", "classification", order=_ord(), tie_cols=["c_custkey"])

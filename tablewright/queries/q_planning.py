@@ -83,5 +83,5 @@ def q_topk_corr(spark, sf):
     pos = spark.createDataFrame([(c, i) for i, c in enumerate(_LI_NUM)], "column string, pos int")
     # one row per feature column: a global window over this small table
     w = Window.orderBy(F.desc_nulls_last(F.abs("r")), F.asc("pos"))
-    return r.join(pos, "column").withColumn("position", F.row_number().over(w)) \
+    return r.join(pos, "column").withColumn("position", F.row_number().over(w).cast("long")) \
         .filter("position <= 5").select("position", "column")

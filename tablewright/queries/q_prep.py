@@ -141,9 +141,9 @@ _LISTS["outlier_columns_clipped"] = "(SELECT string_agg(c, ', ' ORDER BY pos) FR
     f"(c = '{c}' AND o_{c} > 0)" for c in _CLIP_ORDER) + ")"
 
 _REPORT_SQL = with_dirty(*CHAIN[:9], _RATIO, _NULLS_D3, _OUT) + (
-    "SELECT (SELECT count(*) FROM dirty_orders) AS original_rows, 7 AS original_cols, "
+    "SELECT (SELECT count(*) FROM dirty_orders) AS original_rows, CAST(7 AS BIGINT) AS original_cols, "
     "(SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM d1) AS duplicate_rows_removed, "
-    "(SELECT count(*) FROM d1) AS final_rows, 8 AS final_cols, " +
+    "(SELECT count(*) FROM d1) AS final_rows, CAST(8 AS BIGINT) AS final_cols, " +
     ", ".join(f"COALESCE({v}, '') AS {k}" for k, v in _LISTS.items()))
 
 
