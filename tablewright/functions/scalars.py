@@ -37,8 +37,11 @@ def bin_edges(lo: Column, hi: Column, b: Column, bins: int) -> tuple[Column, Col
     return lo2 + b * width, lo2 + (b + F.lit(1)) * width
 
 
-def to_text(c: Column, missing: str = "nan") -> Column:
-    """Value as text; a missing value becomes the text ``nan``."""
+def to_text(c: Column, missing: str = "nan", boolean: bool = False) -> Column:
+    """Value as text; a missing value becomes the text ``nan``; booleans are
+    written True / False (as pandas prints them)."""
+    if boolean:
+        return F.coalesce(F.when(c, F.lit("True")).when(~c, F.lit("False")), F.lit(missing))
     return F.coalesce(c.cast("string"), F.lit(missing))
 
 

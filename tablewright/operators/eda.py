@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.scalars import bin_edges, hist_bin, to_text
 from tablewright.operators.audit import iqr_bounds, missing_table
@@ -19,7 +20,9 @@ from tablewright.schema import as_double, categorical_cols, dtype_name, numeric_
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value, count): values as text, a missing value counted as 'nan'."""
-    structs = [F.struct(F.lit(c).alias("column"), to_text(F.col(q(c))).alias("value")) for c in cols]
+    structs = [F.struct(F.lit(c).alias("column"),
+                        to_text(F.col(q(c)), boolean=isinstance(df.schema[c].dataType, T.BooleanType)).alias("value"))
+               for c in cols]
     return (df.select(F.inline(F.array(*structs)))
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
 

@@ -142,8 +142,14 @@ def corr_target(spark, sf):
     return _rounded(target_correlations(table(spark, sf, "lineitem"), "l_extendedprice", _CT_FEATS))
 
 
+def _text_sql(c):
+    if c == "flag":
+        return "COALESCE(CASE WHEN flag THEN 'True' WHEN NOT flag THEN 'False' END, 'nan')"
+    return f"COALESCE(CAST({c} AS VARCHAR), 'nan')"
+
+
 @register("value_counts", with_dirty() + union_all([
-    f"SELECT '{c}' AS \"column\", COALESCE(CAST({c} AS VARCHAR), 'nan') AS value, count(*) AS count "
+    f"SELECT '{c}' AS \"column\", {_text_sql(c)} AS value, count(*) AS count "
     f"FROM dirty_orders GROUP BY 2" for c in ["category", "sparse", "flag"]]))
 def value_counts(spark, sf):
     from tablewright.operators.eda import value_counts as vc
