@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,11 @@ from pyspark.sql import functions as F
 from tablewright.operators.ranks import running_weight
 from tablewright.operators.stats import AGG_CHUNK, SMALL_FREQ_ROWS, pearson_exprs
 from tablewright.schema import as_double
+from tablewright.session import ship_by_value
+
+# The grouped pandas function below runs on executors: send this module's code
+# with the task instead of requiring the package to be installed there.
+ship_by_value(sys.modules[__name__])
 
 
 def _pairs(cols):

@@ -71,3 +71,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="tablewright-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def ship_by_value(module) -> None:
+    """Pickle functions of ``module`` by value when they are sent to Python
+    workers (pandas UDFs), so executors need numpy / pandas but not this
+    package."""
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(module)
