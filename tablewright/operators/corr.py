@@ -124,34 +124,74 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     rest = [c for c in cols if c not in complete]
     if rest:
         sd_pos.update(_sd_positive(df, rest))
-    for a, b in _pairs(cols):
-        if a in complete and b in complete:
-            continue
-        sub = df.filter(as_double(df, a).isNotNull() & as_double(df, b).isNotNull())
-        rk = _ranked(sub, [a, b])
-        vals[(a, b)] = pearson_pairs(rk, [("r0", "r1")], {"r0": F.col("r0"), "r1": F.col("r1")})[("r0", "r1")]
+    mixed = [(a, b) for a, b in _pairs(cols) if not (a in complete and b in complete)]
+    if mixed:
+        vals.update(_spearman_pairwise(df, mixed))
     return _matrix(spark, cols, vals, sd_pos)
 
 
+def _spearman_pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
+    """Spearman r for many column pairs, each on its own pairwise-complete
+    rows, in one set of jobs whatever the number of pairs.
+
+    Long table (pair, x, y) of complete rows collapsed to (pair, x, y, count);
+    per (pair, side) frequency tables ranked by the distributed running count;
+    ranks joined back on (pair, value); weighted Pearson of ranks centred on
+    their known mean (n+1)/2, grouped by pair."""
+    structs = [F.struct(F.lit(i).alias("pair"), as_double(df, a).alias("x"), as_double(df, b).alias("y"))
+               for i, (a, b) in enumerate(pairs)]
+    pf = (df.select(F.inline(F.array(*structs))).filter("x IS NOT NULL AND y IS NOT NULL")
+            .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))).persist()
+    try:
+        sides = (pf.groupBy("pair", F.col("x").alias("value")).agg(F.sum("w").alias("count"))
+                   .withColumn("side", F.lit("x"))
+                 .unionByName(pf.groupBy("pair", F.col("y").alias("value")).agg(F.sum("w").alias("count"))
+                   .withColumn("side", F.lit("y"))))
+        n_rows = sides.count()
+        off = running_weight(sides, ["pair", "side"], ["value"], "count", small=n_rows <= SMALL_FREQ_ROWS)
+        rk = off.select("pair", "side", "value",
+                        (F.col("_below") + (F.col("count") + F.lit(1)) / F.lit(2.0)
+                         - (F.col("_total") + F.lit(1)) / F.lit(2.0)).alias("rc"))
+        rx = rk.filter("side = 'x'").select("pair", F.col("value").alias("x"), F.col("rc").alias("rx"))
+        ry = rk.filter("side = 'y'").select("pair", F.col("value").alias("y"), F.col("rc").alias("ry"))
+        if n_rows <= BROADCAST_RANK_ROWS:
+            rx, ry = F.broadcast(rx), F.broadcast(ry)
+        j = pf.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
+        w = F.col("w")
+        got = (j.groupBy("pair")
+                .agg(F.sum(w * F.col("rx") * F.col("ry")).alias("sxy"),
+                     F.sum(w * F.col("rx") * F.col("rx")).alias("sxx"),
+                     F.sum(w * F.col("ry") * F.col("ry")).alias("syy"))
+                .select("pair", F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))).alias("r"))
+                .collect())
+    finally:
+        pf.unpersist()
+    out = {p: None for p in pairs}
+    for r in got:
+        out[pairs[r["pair"]]] = r["r"]
+    return out
+
+
 # ---- Kendall tau-b -----------------------------------------------------------
 
 # Target rows per block for the local counts.
 KENDALL_BLOCK_ROWS = 20_000
 KENDALL_MAX_EDGES = 1024
+# Up to this many block edges over all pairs, blocks come from literal
+# comparison trees; above it from a distributed running count and a join.
+KENDALL_LITERAL_EDGES = 8192
 
 
-def _block_expr(c: Column, edges: list[float]) -> Column:
-    """Block index of a value: values equal to an edge get their own block
-    (2i+1), values strictly between edges e_{i-1} and e_i get 2i.  Built as a
-    balanced CASE tree (O(log m) comparisons per row)."""
+def _block_tree(c: Column, edges: list[float]) -> Column:
+    """2 * (#edges below c) + (1 if c is an edge), as a balanced tree of
+    comparisons against literal edges (O(log m) per row)."""
     def build(lo: int, hi: int) -> Column:
-        # edges[lo:hi] decide; values here are > edges[lo-1] (if any)
         if lo >= hi:
-            return F.lit(2 * lo)
+            return F.lit(2 * lo).cast("long")
         mid = (lo + hi) // 2
         e = F.lit(float(edges[mid]))
         return (F.when(c < e, build(lo, mid))
-                 .when(c == e, F.lit(2 * mid + 1))
+                 .when(c == e, F.lit(2 * mid + 1).cast("long"))
                  .otherwise(build(mid + 1, hi)))
     return build(0, len(edges))
 
@@ -194,87 +234,119 @@ def _pair_sign_sum(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
 
 def _local_s(pdf: pd.DataFrame) -> pd.DataFrame:
     s = _pair_sign_sum(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["w"].to_numpy(float))
-    return pd.DataFrame({"kind": [int(pdf["kind"].iloc[0])], "k": [int(pdf["k"].iloc[0])], "s": [s]})
-
-
-def _edges(row, prefix: str) -> list[float]:
-    got = row[prefix] or []
-    return sorted(set(float(v) for v in got))
-
-
-def kendall_pair(df: DataFrame, a: str, b: str) -> float | None:
-    """Kendall tau-b of two columns on their pairwise-complete rows.
-
-    Five jobs over the weighted (x, y, count) table: size, block edges (both
-    sides in one sketch pass), tie sums (both sides in one pass), the block
-    matrix, and one grouped pass for every within-block count."""
-    xa, xb = as_double(df, a), as_double(df, b)
-    w3 = (df.select(xa.alias("x"), xb.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-            .groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    w3 = w3.persist()
+    return pd.DataFrame({"pair": [int(pdf["pair"].iloc[0])], "kind": [int(pdf["kind"].iloc[0])], "s": [s]})
+
+
+def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
+    """Kendall tau-b for many column pairs, each on its pairwise-complete rows,
+    in a fixed number of jobs whatever the number of pairs.
+
+    1. (pair, x, y, w): complete rows collapsed to weighted distinct points.
+    2. Value-range blocks per (pair, side): edges from an approximate-quantile
+       sketch; a value's block is 2 * (#edges below it) + (1 if it is an
+       edge), computed by the distributed running count -- a heavy value is an
+       edge and so a single-value block.
+    3. One grouped pandas pass computes, per group, the weighted sum of
+       sign(dx) * sign(dy) over its pairs of points (vectorised merge count):
+       kind 0 = points of one x block, 1 = one y block, 2 = one (x, y) cell
+       (subtracted), 3 = the block-count cells of a pair (pairs of points in
+       different x *and* y blocks, counted at block level).
+       Single-value blocks are all ties on their side and are left out.
+    4. Ties per side from one aggregation; tau-b per pair.
+    """
+    if not pairs:
+        return {}
+    structs = [F.struct(F.lit(i).alias("pair"), as_double(df, a).alias("x"), as_double(df, b).alias("y"))
+               for i, (a, b) in enumerate(pairs)]
+    w3 = (df.select(F.inline(F.array(*structs))).filter("x IS NOT NULL AND y IS NOT NULL")
+            .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))).persist()
     try:
-        stats = w3.agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("d")).collect()[0]
-        n = stats["n"] or 0.0
-        if n < 2:
-            return None
-        m = max(1, min(KENDALL_MAX_EDGES, stats["d"] // KENDALL_BLOCK_ROWS))
-        ex = ey = []
-        if m > 1:
+        st = {r["pair"]: (r["n"], r["d"]) for r in
+              w3.groupBy("pair").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
+        if not st:
+            return {p: None for p in pairs}
+        m = max(1, min(KENDALL_MAX_EDGES, max(d for _, d in st.values()) // KENDALL_BLOCK_ROWS))
+        sides = w3.select("pair", F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value"), "w"),
+                                                   F.struct(F.lit("y").alias("side"), F.col("y").alias("value"), "w"))))
+        values = sides.groupBy("pair", "side", "value").agg(F.sum("w").alias("t"))
+        # ties: sum over values of t(t-1)/2 per (pair, side)
+        ties = {(r["pair"], r["side"]): r["s"] or 0.0 for r in
+                values.groupBy("pair", "side").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("s")).collect()}
+        literal = m > 1 and len(pairs) * 2 * (m - 1) <= KENDALL_LITERAL_EDGES
+        if literal:
+            # few edges in total: bring them back and assign blocks with a
+            # balanced comparison tree per pair (no join)
             probs = [i / m for i in range(1, m)]
-            er = w3.agg(F.percentile_approx("x", probs, 10000).alias("ex"),
-                        F.percentile_approx("y", probs, 10000).alias("ey")).collect()[0]
-            ex, ey = _edges(er, "ex"), _edges(er, "ey")
-        blk = w3.withColumn("bx", _block_expr(F.col("x"), ex)).withColumn("by", _block_expr(F.col("y"), ey))
-        # ties on each side: sum over values of t(t-1)/2, both sides in one pass
-        sides = w3.select(F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("v"), "w"),
-                                           F.struct(F.lit("y").alias("side"), F.col("y").alias("v"), "w"))))
-        ties = {r["side"]: r["s"] or 0.0 for r in
-                sides.groupBy("side", "v").agg(F.sum("w").alias("t"))
-                     .groupBy("side").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("s")).collect()}
-        tx, ty = ties.get("x", 0.0), ties.get("y", 0.0)
-        # block-count matrix (at most (2m+1)^2 cells)
-        cells = blk.groupBy("bx", "by").agg(F.sum("w").alias("w")).collect()
-        bxs = sorted({r["bx"] for r in cells})
-        bys = sorted({r["by"] for r in cells})
-        ix = {v: i for i, v in enumerate(bxs)}
-        iy = {v: i for i, v in enumerate(bys)}
-        M = np.zeros((len(bxs), len(bys)))
-        for r in cells:
-            M[ix[r["bx"]], iy[r["by"]]] += r["w"]
-        s_cross = 0.0
-        if len(bxs) > 1 and len(bys) > 1:
-            below_rows = np.cumsum(M[::-1], axis=0)[::-1]          # rows >= p
-            after = np.zeros_like(M)
-            after[:-1] = below_rows[1:]                             # rows > p
-            gt = np.cumsum(after[:, ::-1], axis=1)[:, ::-1]        # cols >= q
-            gt_strict = np.zeros_like(M)
-            gt_strict[:, :-1] = gt[:, 1:]
-            lt_strict = np.zeros_like(M)
-            lt_strict[:, 1:] = np.cumsum(after, axis=1)[:, :-1]
-            s_cross = float((M * (gt_strict - lt_strict)).sum())
-        # within-block pairs, one shuffle: each row goes to its x block (kind 0),
-        # its y block (kind 1) and its cell (kind 2, subtracted); single-value
-        # blocks (odd index) are all ties on that side and are left out.
+            er = (w3.groupBy("pair").agg(F.percentile_approx("x", probs, 10000).alias("ex"),
+                                         F.percentile_approx("y", probs, 10000).alias("ey")).collect())
+            ex = {r["pair"]: sorted(set(float(v) for v in r["ex"] or [])) for r in er}
+            ey = {r["pair"]: sorted(set(float(v) for v in r["ey"] or [])) for r in er}
+
+            def per_pair(col, table):
+                out = F.lit(0).cast("long")
+                for i, e in table.items():
+                    out = F.when(F.col("pair") == i, _block_tree(F.col(col), e)).otherwise(out)
+                return out
+            blk = w3.withColumn("bx", per_pair("x", ex)).withColumn("by", per_pair("y", ey))
+        elif m > 1:
+            probs = [i / m for i in range(1, m)]
+            edges = (w3.groupBy("pair").agg(F.percentile_approx("x", probs, 10000).alias("ex"),
+                                             F.percentile_approx("y", probs, 10000).alias("ey"))
+                       .select("pair", F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("ex").alias("e")),
+                                                        F.struct(F.lit("y").alias("side"), F.col("ey").alias("e")))))
+                       .select("pair", "side", F.explode("e").alias("value"), F.lit(1).alias("is_edge")))
+            tbl = (values.select("pair", "side", "value", F.lit(0).alias("is_edge")).unionByName(edges)
+                         .groupBy("pair", "side", "value").agg(F.max("is_edge").alias("is_edge")))
+            n_tbl = tbl.count()
+            ranked = running_weight(tbl, ["pair", "side"], ["value"], "is_edge", small=n_tbl <= SMALL_FREQ_ROWS)
+            blocks = ranked.select("pair", "side", "value",
+                                   (F.col("_below") * 2 + F.col("is_edge")).cast("long").alias("b"))
+            bx = blocks.filter("side = 'x'").select("pair", F.col("value").alias("x"), F.col("b").alias("bx"))
+            by = blocks.filter("side = 'y'").select("pair", F.col("value").alias("y"), F.col("b").alias("by"))
+            if n_tbl <= BROADCAST_RANK_ROWS:
+                bx, by = F.broadcast(bx), F.broadcast(by)
+            blk = w3.join(bx, ["pair", "x"]).join(by, ["pair", "y"])
+        else:
+            blk = w3.withColumn("bx", F.lit(0).cast("long")).withColumn("by", F.lit(0).cast("long"))
         even_x, even_y = F.col("bx") % 2 == 0, F.col("by") % 2 == 0
-        tagged = blk.select("x", "y", "w", F.inline(F.array(
-            F.struct(F.when(even_x, F.lit(0)).alias("kind"), F.col("bx").cast("long").alias("k")),
-            F.struct(F.when(even_y, F.lit(1)).alias("kind"), F.col("by").cast("long").alias("k")),
+        pts = blk.select("pair", "x", "y", "w", F.inline(F.array(
+            F.struct(F.when(even_x, F.lit(0)).alias("kind"), F.col("bx").alias("k")),
+            F.struct(F.when(even_y, F.lit(1)).alias("kind"), F.col("by").alias("k")),
             F.struct(F.when(even_x & even_y, F.lit(2)).alias("kind"),
-                     (F.col("bx").cast("long") * F.lit(1 << 21) + F.col("by")).alias("k")))))
-        local = (tagged.filter(F.col("kind").isNotNull())
-                       .groupBy("kind", "k").applyInPandas(_local_s, "kind int, k long, s double")
-                       .groupBy("kind").agg(F.sum("s").alias("s")).collect())
-        parts = {r["kind"]: r["s"] or 0.0 for r in local}
-        s = s_cross + parts.get(0, 0.0) + parts.get(1, 0.0) - parts.get(2, 0.0)
-        n0 = n * (n - 1) / 2.0
-        den = math.sqrt((n0 - tx) * (n0 - ty)) if (n0 - tx) > 0 and (n0 - ty) > 0 else 0.0
-        return s / den if den > 0 else None
+                     (F.col("bx") * F.lit(1 << 21) + F.col("by")).alias("k")))))
+        pts = pts.filter(F.col("kind").isNotNull())
+        cells = (blk.groupBy("pair", "bx", "by").agg(F.sum("w").alias("w"))
+                    .select("pair", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"),
+                            "w", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("k")))
+        local = (pts.unionByName(cells)
+                    .groupBy("pair", "kind", "k").applyInPandas(_local_s, "pair int, kind int, s double")
+                    .groupBy("pair", "kind").agg(F.sum("s").alias("s")).collect())
     finally:
         w3.unpersist()
+    parts: dict = {}
+    for r in local:
+        parts[(r["pair"], r["kind"])] = r["s"] or 0.0
+    out = {}
+    for i, p in enumerate(pairs):
+        if i not in st or st[i][0] < 2:
+            out[p] = None
+            continue
+        n = st[i][0]
+        s = (parts.get((i, 0), 0.0) + parts.get((i, 1), 0.0) - parts.get((i, 2), 0.0) + parts.get((i, 3), 0.0))
+        n0 = n * (n - 1) / 2.0
+        tx, ty = ties.get((i, "x"), 0.0), ties.get((i, "y"), 0.0)
+        den = math.sqrt((n0 - tx) * (n0 - ty)) if (n0 - tx) > 0 and (n0 - ty) > 0 else 0.0
+        out[p] = s / den if den > 0 else None
+    return out
+
+
+def kendall_pair(df: DataFrame, a: str, b: str) -> float | None:
+    """Kendall tau-b of two columns on their pairwise-complete rows."""
+    return kendall_pairs(df, [(a, b)])[(a, b)]
 
 
 def kendall_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    vals = {(a, b): kendall_pair(df, a, b) for a, b in _pairs(cols)}
+    vals = kendall_pairs(df, _pairs(cols))
     return _matrix(df.sparkSession, cols, vals, _sd_positive(df, cols))
 
 
