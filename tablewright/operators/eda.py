@@ -37,7 +37,8 @@ def top_values(df: DataFrame, cols: list[str], k: int) -> DataFrame:
 
 
 def group_mean(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(x, mean_y) per key, missing key kept as its own group."""
+    """(x, mean_y) per key, missing key kept as its own group (callers sort
+    with ``asc_nulls_last("x")`` for the reference's key order)."""
     return df.groupBy(F.col(q(x)).alias("x")).agg(F.avg(as_double(df, y)).alias("mean_y"))
 
 

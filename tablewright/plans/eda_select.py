@@ -6,10 +6,12 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablewright.operators import eda as E
 from tablewright.operators.corr import corr_matrix
 from tablewright.operators.planning import detect_task
+from tablewright.operators.profile import dataset_kpis
 from tablewright.schema import categorical_cols, numeric_cols
 
 # Module names, in order; the first seven are the default.
@@ -34,6 +36,7 @@ def run_eda(df: DataFrame, target: str | None, modules: list[str] | None = None,
     for m in mods:
         if m == "Data Quality Summary":
             out[m] = E.quality(df)
+            out[m + " (totals)"] = dataset_kpis(df, target)
         elif m == "Missingness":
             out[m] = E.missingness(df, int(o["top_missing"]))
         elif m == "Numeric Distributions" and num:
@@ -63,7 +66,7 @@ def run_eda(df: DataFrame, target: str | None, modules: list[str] | None = None,
             elif y in df.columns:
                 sample = E.head_sample(df, [x, y], 2000, order_by)
                 if o["viz_plot_type"] == "bar":
-                    out[m] = E.group_mean(sample, x, y).orderBy("x").limit(30)
+                    out[m] = E.group_mean(sample, x, y).orderBy(F.asc_nulls_last("x")).limit(30)
                 else:
                     out[m] = sample.select(x, y)
     return out

@@ -191,7 +191,7 @@ def eda_target_scatter(spark, sf):
 def eda_custom_xy(spark, sf):
     o = table(spark, sf, "orders")
     sample = E.head_sample(o, ["o_orderpriority", "o_totalprice"], 2000, ["o_orderkey"])
-    return (E.group_mean(sample, "o_orderpriority", "o_totalprice").orderBy("x").limit(30)
+    return (E.group_mean(sample, "o_orderpriority", "o_totalprice").orderBy(F.asc_nulls_last("x")).limit(30)
             .withColumn("mean_y", F.round("mean_y", 6)))
 
 
@@ -199,7 +199,8 @@ def eda_custom_xy(spark, sf):
                           "GROUP BY 1 ORDER BY 1 LIMIT 30")
 def limit_groups(spark, sf):
     li = table(spark, sf, "lineitem")
-    return E.group_mean(li, "l_suppkey", "l_quantity").orderBy("x").limit(30).withColumn("mean_y", F.round("mean_y", 6))
+    return (E.group_mean(li, "l_suppkey", "l_quantity").orderBy(F.asc_nulls_last("x")).limit(30)
+            .withColumn("mean_y", F.round("mean_y", 6)))
 
 
 @register("eda_profile")

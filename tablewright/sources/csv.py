@@ -1,5 +1,6 @@
 """CSV ingest: header + inferred types, the wide missing-token set, duplicate
-header names made unique the pandas way (a, a.1, a.2), ragged rows fail."""
+header names made unique the pandas way (a, a.1, a.2); a row with fewer fields
+than the header is padded with missing values, a row with more fails."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ import csv as _csv
 import io
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.schema import normalise_nulls
 
@@ -35,8 +38,14 @@ def read_csv(spark: SparkSession, path: str, infer_schema: bool = True) -> DataF
         raise ValueError(f"empty CSV: {path}")
     header = next(_csv.reader(io.StringIO(first[0][0])))
     names = unique_names(header)
+    # one extra text column catches rows with more fields than the header
+    probe = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)])
+    extra = (spark.read.schema(probe).option("header", True).option("mode", "PERMISSIVE").csv(path)
+                  .filter(F.col(f"_c{len(names)}").isNotNull()).limit(1).count())
+    if extra:
+        raise ValueError(f"{path}: a row has more fields than the header ({len(names)})")
     df = (spark.read.option("header", True).option("inferSchema", infer_schema)
-               .option("mode", "FAILFAST").option("nullValue", "").option("enforceSchema", True)
+               .option("mode", "PERMISSIVE").option("nullValue", "").option("enforceSchema", True)
                .csv(path))
     return normalise_nulls(df.toDF(*names))
 

@@ -56,3 +56,15 @@ def _write(spark, df):
     path = tempfile.mkdtemp(prefix="tw-stream-") + "/in"
     df.write.parquet(path)
     return path
+
+
+def test_csv_short_rows_padded_long_rows_fail(spark, tmp_path):
+    import pytest
+    p = tmp_path / "short.csv"
+    p.write_text("a,b,c\n1,2,3\n4,5\n")
+    rows = read_csv(spark, str(p)).orderBy("a").collect()
+    assert rows[1]["c"] is None
+    q = tmp_path / "long.csv"
+    q.write_text("a,b,c\n1,2,3\n4,5,6,7\n")
+    with pytest.raises(ValueError):
+        read_csv(spark, str(q))
