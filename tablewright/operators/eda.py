@@ -111,6 +111,23 @@ def boxplot(df: DataFrame, cols: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def flier_sample(df: DataFrame, box: DataFrame, k: int = 50) -> DataFrame:
+    """(column, rank, value): up to k fliers per column (values outside the
+    fences of ``box``), most extreme first.  The per-column limit is applied
+    before the shuffle (WindowGroupLimit), so the sample is bounded by k."""
+    fences = {r["column"]: (r["q1"] - 1.5 * (r["q3"] - r["q1"]), r["q3"] + 1.5 * (r["q3"] - r["q1"]))
+              for r in box.collect()}
+    if not fences:
+        return df.sparkSession.createDataFrame([], "column string, rank long, value double")
+    structs = [F.struct(F.lit(c).alias("column"), as_double(df, c).alias("value"),
+                        F.greatest(F.lit(lo) - as_double(df, c), as_double(df, c) - F.lit(hi)).alias("dist"))
+               for c, (lo, hi) in fences.items()]
+    out = df.select(F.inline(F.array(*structs))).filter(F.col("dist") > 0)
+    w = Window.partitionBy("column").orderBy(F.desc("dist"), F.asc("value"))
+    return (out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+               .select("column", "rank", "value"))
+
+
 def categories(df: DataFrame, max_cols: int = 3, max_levels: int = 15) -> DataFrame:
     """Top levels of the first ``max_cols`` categorical columns."""
     cols = categorical_cols(df)[:max_cols]

@@ -43,6 +43,7 @@ def run_eda(df: DataFrame, target: str | None, modules: list[str] | None = None,
             out[m] = E.histograms(df, num[:int(o["max_numeric"])], int(o["bins"]))
         elif m == "Outlier Boxplots" and num:
             out[m] = E.boxplot(df, num[:int(o["max_numeric"])])
+            out[m + " (fliers)"] = E.flier_sample(df, out[m], int(o.get("max_fliers", 50)))
         elif m == "Categorical Distributions" and cat:
             out[m] = E.categories(df, max(2, int(o["max_numeric"]) // 2), int(o["max_categories"]))
         elif m == "Correlation Heatmap" and len(num) >= 2:

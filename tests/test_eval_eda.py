@@ -51,3 +51,16 @@ def test_qcut_bands_drop_repeated_edges(spark):
     banded, edges = V.qcut_bands(df, "v", 4)
     assert edges == sorted(set(edges))
     assert banded.filter("band IS NULL").count() == 0
+
+
+def test_flier_sample_bounded_and_outside(spark):
+    li = table(spark, SF001, "lineitem")
+    box = E.boxplot(li, ["l_quantity", "l_extendedprice"])
+    fl = E.flier_sample(li, box, 5).collect()
+    b = {r["column"]: r for r in box.collect()}
+    for r in fl:
+        bb = b[r["column"]]
+        lo, hi = bb["q1"] - 1.5 * (bb["q3"] - bb["q1"]), bb["q3"] + 1.5 * (bb["q3"] - bb["q1"])
+        assert r["value"] < lo or r["value"] > hi
+    for c in b:
+        assert len([r for r in fl if r["column"] == c]) == min(5, b[c]["fliers_lo"] + b[c]["fliers_hi"])
