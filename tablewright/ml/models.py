@@ -54,7 +54,7 @@ def classifier(name: str, st: FoldStats, label="_label", features="features"):
         gbt = GBTClassifier(maxIter=BOOST_STAGES, maxDepth=BOOST_DEPTH, stepSize=BOOST_RATE, seed=SEED,
                             **BOOST_OPTS, **common)
         if st.n_classes > 2:
-            return OneVsRest(classifier=gbt, **common)
+            return OneVsRest(classifier=gbt, parallelism=min(st.n_classes, 4), **common)
         return gbt
     raise ValueError(name)
 
