@@ -204,8 +204,69 @@ def pearson_exprs(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(aa, bb), F.stddev_pop(aa) * F.stddev_pop(bb))
 
 
+# Repeated row hashes up to this many are broadcast to the row side.
+BROADCAST_HASHES = 5_000_000
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a whole row, with floats normalised the way grouping
+    compares them (-0.0 = 0.0, every NaN equal)."""
+    from pyspark.sql import types as T
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(q(f.name))
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = (F.when(F.isnan(c), F.lit(float("nan")).cast(f.dataType))
+                  .when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c))
+        parts.append(c)
+    return F.xxhash64(*parts)
+
+
+def _repeated_hashes(df: DataFrame):
+    """(persisted table of hashes seen more than once, its size, row count)."""
+    hc = df.groupBy(row_hash(df).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+    hc = hc.persist(StorageLevel.MEMORY_AND_DISK)
+    tot = hc.agg(F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("rep")).collect()[0]
+    return hc, int(tot["rep"] or 0), int(tot["rows"] or 0)
+
+
 def duplicate_count(df: DataFrame) -> int:
-    """Rows minus distinct rows (nulls compare equal)."""
-    row = (df.groupBy(*[F.col(q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
-             .agg(F.sum(F.col("n") - F.lit(1)).alias("d")).collect()[0])
-    return int(row["d"] or 0)
+    """Rows minus distinct rows (nulls compare equal), exact.
+
+    Pass 1 shuffles only a 64-bit hash per row (map-side combined); rows
+    whose hash is unique cannot have a copy.  Pass 2 groups, by all columns,
+    only the rows whose hash repeats -- copies plus the rare collision -- so
+    wide rows are shuffled only when they may be duplicates."""
+    hc, n_rep, _ = _repeated_hashes(df)
+    try:
+        if n_rep == 0:
+            return 0
+        rep = hc.filter("_n > 1").select("_h")
+        side = F.broadcast(rep) if n_rep <= BROADCAST_HASHES else rep
+        cand = df.withColumn("_h", row_hash(df)).join(side, "_h", "left_semi").drop("_h")
+        row = (cand.groupBy(*[F.col(q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+                   .agg(F.sum(F.col("n") - F.lit(1)).alias("d")).collect()[0])
+        return int(row["d"] or 0)
+    finally:
+        hc.unpersist()
+
+
+def distinct_rows(df: DataFrame) -> tuple[DataFrame, int]:
+    """(distinct rows, original row count).
+
+    When the repeated-hash set is small enough to broadcast (counted), rows with
+    a unique hash pass through without any shuffle and only the candidates are
+    de-duplicated; otherwise a plain ``dropDuplicates``.  The caller should
+    materialise the result once (it is used by several jobs)."""
+    hc, n_rep, rows = _repeated_hashes(df)
+    if n_rep == 0:
+        hc.unpersist()
+        return df, rows
+    if n_rep > BROADCAST_HASHES:
+        hc.unpersist()
+        return df.dropDuplicates(), rows
+    rep = F.broadcast(hc.filter("_n > 1").select("_h"))
+    tagged = df.withColumn("_h", row_hash(df))
+    uniq = tagged.join(rep, "_h", "left_anti").drop("_h")
+    cand = tagged.join(rep, "_h", "left_semi").drop("_h").dropDuplicates()
+    return uniq.unionByName(cand), rows

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.parse import parse_num, parse_ts
 from tablewright.functions.scalars import clip as clip_expr
-from tablewright.operators.stats import SMALL_FREQ_ROWS, add_weight, fence_stats, freq_quantiles, freq_table, modes
+from tablewright.operators.stats import SMALL_FREQ_ROWS, add_weight, distinct_rows, fence_stats, freq_quantiles, freq_table, modes
 from tablewright.schema import as_double, is_numeric_type, q, text_cols
 from tablewright.session import checkpoint_dir
 
@@ -164,15 +164,12 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
 
     cur = df
     if o.drop_duplicates:
-        # one shuffle: distinct rows with their multiplicity (map-side combined,
-        # so a row copied a billion times costs one row per map task), written
-        # once; both row counts come from the written copy.
-        grouped = _materialize(df.groupBy(*[F.col(q(c)) for c in df.columns])
-                               .agg(F.count(F.lit(1)).alias("__copies")))
-        tot = grouped.agg(F.sum("__copies").alias("rows"), F.count(F.lit(1)).alias("distinct")).collect()[0]
-        report["original_rows"] = int(tot["rows"] or 0)
-        report["duplicate_rows_removed"] = report["original_rows"] - int(tot["distinct"])
-        cur = grouped.drop("__copies")
+        # hash pass first: only rows whose hash repeats are shuffled whole;
+        # the distinct rows are written once and reused by every later job.
+        distinct, rows = distinct_rows(df)
+        cur = _materialize(distinct)
+        report["original_rows"] = rows
+        report["duplicate_rows_removed"] = rows - cur.count()
         plan.deduped = cur
     else:
         report["original_rows"] = df.count()

@@ -118,3 +118,19 @@ def test_kendall_join_path(spark, monkeypatch):
     monkeypatch.setattr(C, "KENDALL_LITERAL_EDGES", 0)
     sub = pdf[["x", "y"]].dropna()
     assert C.kendall_pair(df, "x", "y") == pytest.approx(_brute_tau(sub["x"].to_numpy(), sub["y"].to_numpy()), abs=1e-12)
+
+
+def test_duplicate_count_exact_with_nulls(spark):
+    rows = [(1, "a", None), (1, "a", None), (2, None, 1.0), (2, None, 1.0), (2, None, 1.0), (3, "b", 0.0)]
+    df = spark.createDataFrame(rows, "k int, s string, v double")
+    assert S.duplicate_count(df) == 3
+    assert S.duplicate_count(df.dropDuplicates()) == 0
+
+
+def test_distinct_rows_matches_drop_duplicates(spark):
+    rows = [(1, "a", 0.0), (1, "a", -0.0), (2, None, float("nan")), (2, None, float("nan")), (3, "b", 1.0)]
+    df = spark.createDataFrame(rows, "k int, s string, v double")
+    out, n = S.distinct_rows(df)
+    assert n == 5
+    assert out.count() == df.dropDuplicates().count() == 3
+    assert S.duplicate_count(df) == 2
