@@ -249,24 +249,3 @@ def duplicate_count(df: DataFrame) -> int:
         return int(row["d"] or 0)
     finally:
         hc.unpersist()
-
-
-def distinct_rows(df: DataFrame) -> tuple[DataFrame, int]:
-    """(distinct rows, original row count).
-
-    When the repeated-hash set is small enough to broadcast (counted), rows with
-    a unique hash pass through without any shuffle and only the candidates are
-    de-duplicated; otherwise a plain ``dropDuplicates``.  The caller should
-    materialise the result once (it is used by several jobs)."""
-    hc, n_rep, rows = _repeated_hashes(df)
-    if n_rep == 0:
-        hc.unpersist()
-        return df, rows
-    if n_rep > BROADCAST_HASHES:
-        hc.unpersist()
-        return df.dropDuplicates(), rows
-    rep = F.broadcast(hc.filter("_n > 1").select("_h"))
-    tagged = df.withColumn("_h", row_hash(df))
-    uniq = tagged.join(rep, "_h", "left_anti").drop("_h")
-    cand = tagged.join(rep, "_h", "left_semi").drop("_h").dropDuplicates()
-    return uniq.unionByName(cand), rows
