@@ -185,6 +185,24 @@ def nunique(df: DataFrame, cols: list[str]) -> DataFrame:
         "column", F.coalesce("unique", F.lit(0)).cast("long").alias("unique"))
 
 
+def approx_nunique(df: DataFrame, cols: list[str], rsd: float = 0.01) -> DataFrame:
+    """(column, unique_approx): HyperLogLog++ estimates in one aggregate pass
+    (no shuffle of values).  Opt-in; labelled approximate."""
+    one = df.agg(*[F.approx_count_distinct(F.col(q(c)), rsd).alias(f"u{i}") for i, c in enumerate(cols)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"u{i}").alias("unique_approx"))
+                                          for i, c in enumerate(cols)])))
+
+
+def approx_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy: int = 10000) -> DataFrame:
+    """(column, p, value_approx): ``percentile_approx`` (rank error about
+    n / accuracy) in one pass.  Opt-in; labelled approximate."""
+    one = df.agg(*[F.percentile_approx(as_double(df, c), [float(p) for p in probs], accuracy).alias(f"q{i}")
+                   for i, c in enumerate(cols)])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("p"), F.col(f"q{i}")[j].alias("value_approx"))
+        for i, c in enumerate(cols) for j, p in enumerate(probs)])))
+
+
 def skew_expr(c: Column) -> Column:
     """Bias-adjusted sample skewness (pandas ``skew``): null below 3 values,
     0 for a constant column."""

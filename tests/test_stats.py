@@ -131,3 +131,11 @@ def test_duplicate_count_float_normalisation(spark):
     rows = [(1, "a", 0.0), (1, "a", -0.0), (2, None, float("nan")), (2, None, float("nan")), (3, "b", 1.0)]
     df = spark.createDataFrame(rows, "k int, s string, v double")
     assert S.duplicate_count(df) == 2 == df.count() - df.dropDuplicates().count()
+
+
+def test_approx_variants_close(spark):
+    df, pdf = _frame(spark, seed=8, n=2000)
+    u = {r["column"]: r["unique_approx"] for r in S.approx_nunique(df, ["x", "z"]).collect()}
+    assert u == {"x": pdf["x"].nunique(), "z": pdf["z"].nunique()}
+    q = {r["p"]: r["value_approx"] for r in S.approx_quantiles(df, ["y"], [0.5]).collect()}
+    assert abs(q[0.5] - pdf["y"].median()) < 0.2
