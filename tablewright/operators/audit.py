@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.parse import parse_num, parse_ts
 from tablewright.operators.stats import fence_stats, freq_quantiles, freq_table, quantiles
-from tablewright.schema import as_double, numeric_cols, q, text_cols
+from tablewright.schema import numeric_cols, q, text_cols
 
 
 def _unpivot_row(one_row: DataFrame, fields: list[tuple[str, list[tuple[str, str]]]]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.scalars import bin_edges, hist_bin, to_text
-from tablewright.operators.audit import iqr_bounds, missing_table
+from tablewright.operators.audit import missing_table
 from tablewright.operators.stats import fence_stats, freq_quantiles, freq_table, nunique
 from tablewright.schema import as_double, categorical_cols, dtype_name, numeric_cols, q
 
@@ -163,4 +163,4 @@ def numeric_for_eda(df: DataFrame, max_numeric: int) -> list[str]:
 
 
 __all__ = ["value_counts", "top_values", "group_mean", "quality", "missingness", "histograms",
-           "boxplot", "categories", "head_sample", "target_scatter_bins", "iqr_bounds"]
+           "boxplot", "flier_sample", "categories", "head_sample", "target_scatter_bins"]

@@ -3,8 +3,6 @@ one step; the oracle is a CTE chain with one CTE per step."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tablewright.operators.audit import audit_dataset
 from tablewright.plans.prep import PrepOptions, apply_preparation, fit_preparation, preparation_notes
 from tablewright.queries import register

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import clip, date_parts, parse_num, parse_ts, residual, to_text
 from tablewright.functions.parse import coerce_datetime_candidates
-from tablewright.operators.stats import quantiles
 from tablewright.queries import register
 from tablewright.queries.sqlhelp import parse_date_sql, parse_num_sql, with_dirty
 from tablewright.sources.tables import dirty_orders, table
@@ -98,8 +97,6 @@ def q_qcut4(spark, sf):
     return banded.filter("band IS NOT NULL").groupBy("band").agg(F.count(F.lit(1)).alias("rows"))
 
 
-__all__ = ["quantiles"]
-
 
 @register("abs", "SELECT c_custkey, abs(c_acctbal) AS abs_acctbal FROM customer")
 def q_abs(spark, sf):

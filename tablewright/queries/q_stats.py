@@ -9,7 +9,6 @@ from tablewright.operators import stats as S
 from tablewright.operators.profile import dataset_kpis, missing_cells
 from tablewright.queries import register
 from tablewright.queries.sqlhelp import DIRTY_COLS, DIRTY_TEXT, union_all, with_dirty
-from tablewright.schema import q
 from tablewright.sources.tables import dirty_orders, table
 
 LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
