@@ -68,3 +68,13 @@ def test_csv_short_rows_padded_long_rows_fail(spark, tmp_path):
     q.write_text("a,b,c\n1,2,3\n4,5,6,7\n")
     with pytest.raises(ValueError):
         read_csv(spark, str(q))
+
+
+def test_save_uploaded_csv(spark, tmp_path):
+    p = tmp_path / "My Upload.csv"
+    p.write_text("a,b\n1,x\n2,NA\n")
+    cat = Catalog(spark, tempfile.mkdtemp(prefix="tw-cat-"))
+    ds = cat.save_uploaded_csv(str(p))
+    assert ds.startswith("my-upload-") and len(ds) == len("my-upload-") + 8
+    r = cat.get_dataset(ds).collect()[0]
+    assert (r["name"], r["rows"], r["cols"]) == ("My Upload", 2, 2)
