@@ -203,6 +203,54 @@ def limit_groups(spark, sf):
             .withColumn("mean_y", F.round("mean_y", 6)))
 
 
-@register("eda_profile")
+_ORDERS_PROFILE = [("o_orderkey", "bigint", True), ("o_custkey", "bigint", True), ("o_orderstatus", "string", False),
+                   ("o_totalprice", "double", True), ("o_orderdate", "timestamp_ntz", False),
+                   ("o_orderpriority", "string", False)]
+
+
+def _profile_sql():
+    from tablewright.operators.profile import (ALERT_HIGH_CARD_PCT, ALERT_MISSING_PCT, ALERT_SKEW_ABS,
+                                               ALERT_ZEROS_PCT)
+    parts = []
+    for c, t, num in _ORDERS_PROFILE:
+        txt = t == "string"
+        tops = (f"(SELECT string_agg(v || ' (' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY n DESC, v) FROM "
+                f"(SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1 "
+                f"ORDER BY n DESC, v LIMIT 5))")
+        sk = (f"CASE WHEN count({c}) < 3 THEN NULL WHEN var_pop({c}) = 0 THEN 0.0 ELSE skewness({c}) END"
+              if num else "NULL")
+        alerts = [f"CASE WHEN count(*) > 0 AND (count(*) - count({c})) * 100.0 / count(*) > {ALERT_MISSING_PCT} THEN 'missing' END",
+                  f"CASE WHEN count(DISTINCT {c}) = 1 THEN 'constant' END"]
+        if num:
+            alerts += [f"CASE WHEN count({c}) > 0 AND count(*) FILTER (WHERE {c} = 0) * 100.0 / count({c}) > {ALERT_ZEROS_PCT} THEN 'zeros' END",
+                       f"CASE WHEN abs({sk}) >= {ALERT_SKEW_ABS} THEN 'skewed' END"]
+        else:
+            alerts += [f"CASE WHEN count({c}) > 0 AND count(DISTINCT {c}) * 100.0 / count({c}) > {ALERT_HIGH_CARD_PCT} "
+                       f"AND count(DISTINCT {c}) > 1 THEN 'high_cardinality' END"]
+        parts.append(
+            f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS count, count(*) - count({c}) AS nulls, "
+            f"count(DISTINCT CAST({c} AS VARCHAR)) AS \"distinct\", "
+            + (f"CAST(count(*) FILTER (WHERE {c} = 0) AS DOUBLE) AS zeros, "
+               f"CAST(count(*) FILTER (WHERE {c} < 0) AS DOUBLE) AS negatives, "
+               f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, CAST(min({c}) AS DOUBLE) AS min, "
+               f"quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3, "
+               f"CAST(max({c}) AS DOUBLE) AS max, round({sk}, 6) AS skew, round(kurtosis_pop({c}), 6) AS kurtosis, "
+               if num else
+               "CAST(NULL AS DOUBLE) AS zeros, CAST(NULL AS DOUBLE) AS negatives, CAST(NULL AS DOUBLE) AS mean, "
+               "CAST(NULL AS DOUBLE) AS sd, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS q1, "
+               "CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS q3, CAST(NULL AS DOUBLE) AS max, "
+               "CAST(NULL AS DOUBLE) AS skew, CAST(NULL AS DOUBLE) AS kurtosis, ")
+            + (f"CAST(min(length({c})) AS DOUBLE) AS len_min, CAST(max(length({c})) AS DOUBLE) AS len_max, "
+               f"round(avg(length({c})), 6) AS len_mean, " if txt else
+               "CAST(NULL AS DOUBLE) AS len_min, CAST(NULL AS DOUBLE) AS len_max, CAST(NULL AS DOUBLE) AS len_mean, ")
+            + f"{tops} AS top_values, COALESCE(concat_ws(', ', {', '.join(alerts)}), '') AS alerts FROM orders")
+    return union_all(parts)
+
+
+@register("eda_profile", _profile_sql())
 def eda_profile(spark, sf):
-    return column_profile(table(spark, sf, "orders"))
+    p = column_profile(table(spark, sf, "orders"))
+    # compared across engines: floats rounded; counts that may be missing as double
+    return p.select(*[F.round(c, 6).alias(c) if c in ("mean", "sd", "skew", "kurtosis", "len_mean")
+                      else F.col(c).cast("double").alias(c) if c in ("zeros", "negatives", "len_min", "len_max")
+                      else F.col(c) for c in p.columns])
