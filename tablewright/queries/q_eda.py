@@ -185,14 +185,14 @@ def eda_target_scatter(spark, sf):
     return E.target_scatter_bins(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"], 50)
 
 
-@register("eda_custom_xy", "SELECT o_orderpriority AS x, round(avg(o_totalprice), 6) AS mean_y FROM "
+@register("eda_custom_xy", "SELECT o_orderpriority AS x, round(avg(o_totalprice), 3) AS mean_y FROM "
                            "(SELECT o_orderpriority, o_totalprice FROM orders WHERE o_orderpriority IS NOT NULL "
                            "AND o_totalprice IS NOT NULL ORDER BY o_orderkey LIMIT 2000) GROUP BY 1 ORDER BY 1 LIMIT 30")
 def eda_custom_xy(spark, sf):
     o = table(spark, sf, "orders")
     sample = E.head_sample(o, ["o_orderpriority", "o_totalprice"], 2000, ["o_orderkey"])
     return (E.group_mean(sample, "o_orderpriority", "o_totalprice").orderBy(F.asc_nulls_last("x")).limit(30)
-            .withColumn("mean_y", F.round("mean_y", 6)))
+            .withColumn("mean_y", F.round("mean_y", 3)))
 
 
 @register("limit_groups", "SELECT l_suppkey AS x, round(avg(l_quantity), 6) AS mean_y FROM lineitem "
@@ -232,7 +232,7 @@ def _profile_sql():
             f"count(DISTINCT CAST({c} AS VARCHAR)) AS \"distinct\", "
             + (f"CAST(count(*) FILTER (WHERE {c} = 0) AS DOUBLE) AS zeros, "
                f"CAST(count(*) FILTER (WHERE {c} < 0) AS DOUBLE) AS negatives, "
-               f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS sd, CAST(min({c}) AS DOUBLE) AS min, "
+               f"round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS sd, CAST(min({c}) AS DOUBLE) AS min, "
                f"quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3, "
                f"CAST(max({c}) AS DOUBLE) AS max, round({sk}, 6) AS skew, round(kurtosis_pop({c}), 6) AS kurtosis, "
                if num else
@@ -251,6 +251,7 @@ def _profile_sql():
 def eda_profile(spark, sf):
     p = column_profile(table(spark, sf, "orders"))
     # compared across engines: floats rounded; counts that may be missing as double
-    return p.select(*[F.round(c, 6).alias(c) if c in ("mean", "sd", "skew", "kurtosis", "len_mean")
+    return p.select(*[F.round(c, 3).alias(c) if c in ("mean", "sd")
+                      else F.round(c, 6).alias(c) if c in ("skew", "kurtosis", "len_mean")
                       else F.col(c).cast("double").alias(c) if c in ("zeros", "negatives", "len_min", "len_max")
                       else F.col(c) for c in p.columns])

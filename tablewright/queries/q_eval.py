@@ -98,23 +98,27 @@ _RMSE = "sqrt(sum((actual - predicted) ^ 2) / count(actual))"
 _MAE = "avg(abs(actual - predicted))"
 
 
+# decimals kept: r2 is about 1, errors are price-sized (about 1e4)
+_DEC = {"r2": 9, "rmse": 3, "mae": 3}
+
+
 def _reg_metric(spark, sf, name):
     m = V.regression_metrics(reg_frame(spark, sf), "actual", "predicted")
-    return m.select(F.round(name, 6).alias(name))
+    return m.select(F.round(name, _DEC[name]).alias(name))
 
 
 for _key, _name, _sql in [("eval_r2", "r2", _R2), ("eval_rmse", "rmse", _RMSE), ("eval_mae", "mae", _MAE)]:
-    register(_key, _REG + f"SELECT round({_sql}, 6) AS {_name} FROM p")(
+    register(_key, _REG + f"SELECT round({_sql}, {_DEC[_name]}) AS {_name} FROM p")(
         lambda spark, sf, _n=_name: _reg_metric(spark, sf, _n))
 
 
-@register("cv_mean", _REG + f"SELECT 'rule' AS model, 5 AS folds, round(avg(r2), 6) AS r2, round(avg(rmse), 6) AS rmse, "
-                            f"round(avg(mae), 6) AS mae FROM (SELECT fold, {_R2} AS r2, {_RMSE} AS rmse, {_MAE} AS mae "
+@register("cv_mean", _REG + f"SELECT 'rule' AS model, 5 AS folds, round(avg(r2), 9) AS r2, round(avg(rmse), 3) AS rmse, "
+                            f"round(avg(mae), 3) AS mae FROM (SELECT fold, {_R2} AS r2, {_RMSE} AS rmse, {_MAE} AS mae "
                             "FROM p GROUP BY fold)")
 def cv_mean(spark, sf):
     per_fold = V.regression_metrics(reg_frame(spark, sf), "actual", "predicted", by=["fold"])
     return per_fold.agg(F.lit("rule").alias("model"), F.count(F.lit(1)).cast("int").alias("folds"),
-                        *[F.round(F.avg(c), 6).alias(c) for c in ["r2", "rmse", "mae"]])
+                        *[F.round(F.avg(c), _DEC[c]).alias(c) for c in ["r2", "rmse", "mae"]])
 
 
 @register("min_max", _REG + "SELECT least(min(actual), min(predicted)) AS min_val, "
@@ -145,14 +149,14 @@ _BANDS = _REG + (
     "e0, e1, e2, e3, e4 FROM p, e) "
     "SELECT band, CASE band WHEN 0 THEN any_value(e0) WHEN 1 THEN any_value(e1) WHEN 2 THEN any_value(e2) ELSE any_value(e3) END AS band_lo, "
     "CASE band WHEN 0 THEN any_value(e1) WHEN 1 THEN any_value(e2) WHEN 2 THEN any_value(e3) ELSE any_value(e4) END AS band_hi, "
-    "count(*) AS rows, round(avg(actual), 6) AS mean_actual, round(avg(predicted), 6) AS mean_predicted, "
-    "round(avg(abs(actual - predicted)), 6) AS mean_abs_error FROM b GROUP BY band")
+    "count(*) AS rows, round(avg(actual), 3) AS mean_actual, round(avg(predicted), 3) AS mean_predicted, "
+    "round(avg(abs(actual - predicted)), 3) AS mean_abs_error FROM b GROUP BY band")
 
 
 def _bands(spark, sf):
     t = V.error_bands(reg_frame(spark, sf), "actual", "predicted")
     return t.select("band", "band_lo", "band_hi", "rows",
-                    *[F.round(c, 6).alias(c) for c in ["mean_actual", "mean_predicted", "mean_abs_error"]])
+                    *[F.round(c, 3).alias(c) for c in ["mean_actual", "mean_predicted", "mean_abs_error"]])
 
 
 register("eval_bands", _BANDS)(_bands)

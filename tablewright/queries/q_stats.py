@@ -155,10 +155,10 @@ def value_counts(spark, sf):
     return vc(dirty_orders(spark, sf), ["category", "sparse", "flag"])
 
 
-@register("group_mean", "SELECT o_orderpriority AS x, round(avg(o_totalprice), 6) AS mean_y FROM orders GROUP BY 1")
+@register("group_mean", "SELECT o_orderpriority AS x, round(avg(o_totalprice), 3) AS mean_y FROM orders GROUP BY 1")
 def group_mean(spark, sf):
     from tablewright.operators.eda import group_mean as gm
-    return gm(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice").withColumn("mean_y", F.round("mean_y", 6))
+    return gm(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice").withColumn("mean_y", F.round("mean_y", 3))
 
 
 @register("min_class_count", "SELECT min(n) AS min_class_count FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)")
