@@ -59,6 +59,10 @@ def run_eda(df: DataFrame, target: str | None, modules: list[str] | None = None,
                 out[m] = E.value_counts(df, [target])
             else:
                 out[m] = E.histograms(df, [target], 25)
+            feats = [c for c in num if c != target][:max(2, int(o["max_numeric"]) // 2)]
+            if feats and target in num:
+                # every row, as 2-D binned counts per (feature, target)
+                out[m + " (scatter)"] = E.target_scatter_bins(df, target, feats, 50)
         elif m == "Custom Feature Plot" and df.columns:
             x = o["viz_x"] if o["viz_x"] in df.columns else df.columns[0]
             y = o["viz_y"]

@@ -64,3 +64,15 @@ def test_flier_sample_bounded_and_outside(spark):
         assert r["value"] < lo or r["value"] > hi
     for c in b:
         assert len([r for r in fl if r["column"] == c]) == min(5, b[c]["fliers_lo"] + b[c]["fliers_hi"])
+
+
+def test_run_eda_all_modules(spark):
+    from tablewright.plans.eda_select import MODULES, run_eda
+    o = table(spark, SF001, "orders")
+    out = run_eda(o, "o_totalprice", MODULES, {"order_by": ["o_orderkey"], "viz_x": "o_orderpriority",
+                                              "viz_y": "o_totalprice", "viz_plot_type": "bar"})
+    for m in MODULES:
+        assert m in out, m
+    assert out["Target Deep Dive (scatter)"].agg(F.sum("count")).collect()[0][0] == 2 * o.count()
+    assert out["Pairwise Relationships"].count() == 1000
+    assert out["Custom Feature Plot"].count() == 5
