@@ -67,7 +67,7 @@ def assign_split_folds(df: DataFrame, target: str, task: str, order: Column | No
     n = sum(counts.values())
     if small is None:
         small = n <= 200_000
-    ranked = running_weight(base, ["_cls"], order_cols, None, small=small)
+    ranked = running_weight(base, ["_cls"], order_cols, None, small=small, rows=n)
     test_n = {c: int(math.ceil(test_size * v)) for c, v in counts.items()}
     train_n = {c: counts[c] - test_n[c] for c in counts}
     k = folds or folds_count(task, train_n, sum(train_n.values()))

@@ -89,7 +89,7 @@ def avg_rank_table(vals: DataFrame, value_col: str = "value") -> tuple[DataFrame
     """((value, rank), distinct count): average 1-based rank of each value."""
     freq = vals.groupBy(value_col).agg(F.count(F.lit(1)).alias("count")).withColumn("_g", F.lit(0))
     n_distinct = freq.count()
-    off = running_weight(freq, ["_g"], [value_col], "count", small=n_distinct <= SMALL_FREQ_ROWS)
+    off = running_weight(freq, ["_g"], [value_col], "count", small=n_distinct <= SMALL_FREQ_ROWS, rows=n_distinct)
     ranks = off.select(value_col, (F.col("_below") + (F.col("count") + F.lit(1)) / F.lit(2.0)).alias("rank"))
     return ranks, n_distinct
 
@@ -148,7 +148,8 @@ def _spearman_pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
                  .unionByName(pf.groupBy("pair", F.col("y").alias("value")).agg(F.sum("w").alias("count"))
                    .withColumn("side", F.lit("y"))))
         n_rows = sides.count()
-        off = running_weight(sides, ["pair", "side"], ["value"], "count", small=n_rows <= SMALL_FREQ_ROWS)
+        off = running_weight(sides, ["pair", "side"], ["value"], "count", small=n_rows <= SMALL_FREQ_ROWS,
+                             rows=n_rows)
         rk = off.select("pair", "side", "value",
                         (F.col("_below") + (F.col("count") + F.lit(1)) / F.lit(2.0)
                          - (F.col("_total") + F.lit(1)) / F.lit(2.0)).alias("rc"))
@@ -298,7 +299,8 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
             tbl = (values.select("pair", "side", "value", F.lit(0).alias("is_edge")).unionByName(edges)
                          .groupBy("pair", "side", "value").agg(F.max("is_edge").alias("is_edge")))
             n_tbl = tbl.count()
-            ranked = running_weight(tbl, ["pair", "side"], ["value"], "is_edge", small=n_tbl <= SMALL_FREQ_ROWS)
+            ranked = running_weight(tbl, ["pair", "side"], ["value"], "is_edge", small=n_tbl <= SMALL_FREQ_ROWS,
+                                    rows=n_tbl)
             blocks = ranked.select("pair", "side", "value",
                                    (F.col("_below") * 2 + F.col("is_edge")).cast("long").alias("b"))
             bx = blocks.filter("side = 'x'").select("pair", F.col("value").alias("x"), F.col("b").alias("bx"))

@@ -25,6 +25,19 @@ from pyspark.sql import functions as F
 from tablewright.session import checkpoint_dir
 
 
+# Target rows per range slice when the caller knows the input size.
+SLICE_ROWS = 2_000_000
+
+
+def slices_for(spark, rows: int | None) -> int:
+    """Number of range slices: the shuffle setting, more when the input is
+    large, so one slice's window stays around ``SLICE_ROWS`` rows."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not rows:
+        return base
+    return max(base, -(-int(rows) // SLICE_ROWS))
+
+
 def _range_slices(df: DataFrame, keys: list[str], n_slices: int | None) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -36,7 +49,7 @@ def _range_slices(df: DataFrame, keys: list[str], n_slices: int | None) -> DataF
 
 def running_weight(df: DataFrame, group_cols: list[str], order_cols: list[str],
                    weight_col: str | None = None, small: bool = False,
-                   n_slices: int | None = None) -> DataFrame:
+                   n_slices: int | None = None, rows: int | None = None) -> DataFrame:
     """Add ``_below`` (weight of earlier rows in the group) and ``_total``.
 
     Order is ``order_cols`` ascending; rows with equal order keys are kept in a
@@ -54,7 +67,7 @@ def running_weight(df: DataFrame, group_cols: list[str], order_cols: list[str],
                     .withColumn("_total", F.sum("_w").over(tot))
                     .drop("_w"))
 
-    sliced = _range_slices(data, group_cols + order_cols, n_slices)
+    sliced = _range_slices(data, group_cols + order_cols, n_slices or slices_for(df.sparkSession, rows))
     per_slice = sliced.groupBy("_slice", *group_cols).agg(F.sum("_w").alias("_sw"))
     gw = Window.partitionBy(*group_cols).orderBy("_slice")
     offsets = (per_slice

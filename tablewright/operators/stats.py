@@ -56,9 +56,11 @@ def freq_quantiles(freq: DataFrame, probs: list[float], small: bool | None = Non
     """Exact quantiles from a (column, value, count) table: rows of
     (column, p, n, value).  ``small`` (checked size) picks the per-column
     window; otherwise the range-sliced running counts are used."""
+    rows = None
     if small is None:
-        small = freq.count() <= SMALL_FREQ_ROWS
-    off = running_weight(freq, ["column"], ["value"], "count", small=small)
+        rows = freq.count()
+        small = rows <= SMALL_FREQ_ROWS
+    off = running_weight(freq, ["column"], ["value"], "count", small=small, rows=rows)
     n1 = F.col("_total") - F.lit(1)
     hit = F.lit(False)
     for p in probs:
