@@ -52,11 +52,11 @@ def freq_table(df: DataFrame, cols: list[str], numeric: bool = True,
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
 
 
-def freq_quantiles(freq: DataFrame, probs: list[float], small: bool | None = None) -> list:
+def freq_quantiles(freq: DataFrame, probs: list[float], small: bool | None = None,
+                   rows: int | None = None) -> list:
     """Exact quantiles from a (column, value, count) table: rows of
     (column, p, n, value).  ``small`` (checked size) picks the per-column
     window; otherwise the range-sliced running counts are used."""
-    rows = None
     if small is None:
         rows = freq.count()
         small = rows <= SMALL_FREQ_ROWS

@@ -224,14 +224,15 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
     other = [c for c in cur.columns if c not in numeric]
     need_num = [c for c in numeric if nulls[c] > 0] if o.impute_numeric else []
     freq = None
-    small = True
+    small, n_freq = True, 0
     if numeric and (need_num or o.clip_outliers):
         freq = freq_table(cur, numeric, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
         # the adjusted table below has at most len(numeric) more rows
-        small = freq.count() + len(numeric) <= SMALL_FREQ_ROWS
+        n_freq = freq.count() + len(numeric)
+        small = n_freq <= SMALL_FREQ_ROWS
     try:
         if o.impute_numeric:
-            med = {r["column"]: r["value"] for r in freq_quantiles(freq, [0.5], small)
+            med = {r["column"]: r["value"] for r in freq_quantiles(freq, [0.5], small, n_freq)
                    if r["column"] in need_num} if need_num else {}
             for c in need_num:
                 plan.fill_numeric[c] = med.get(c)
@@ -247,7 +248,7 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
             filled = {c: (plan.fill_numeric[c], nulls[c]) for c in need_num if plan.fill_numeric.get(c) is not None}
             adj = add_weight(freq, filled)
             qs: dict = {}
-            for r in freq_quantiles(adj, [0.25, 0.75], small):
+            for r in freq_quantiles(adj, [0.25, 0.75], small, n_freq):
                 qs.setdefault(r["column"], {})[r["p"]] = r["value"]
             bounds = {}
             for c in numeric:
