@@ -139,3 +139,15 @@ def test_approx_variants_close(spark):
     assert u == {"x": pdf["x"].nunique(), "z": pdf["z"].nunique()}
     q = {r["p"]: r["value_approx"] for r in S.approx_quantiles(df, ["y"], [0.5]).collect()}
     assert abs(q[0.5] - pdf["y"].median()) < 0.2
+
+
+def test_quantiles_many_slices(spark, monkeypatch):
+    import tablewright.operators.ranks as RK
+    df, pdf = _frame(spark, seed=6, n=3000)
+    monkeypatch.setattr(S, "SMALL_FREQ_ROWS", 10)
+    monkeypatch.setattr(RK, "SLICE_ROWS", 50)
+    got = S.quantiles(df, ["x", "y"], [0.1, 0.5, 0.9])
+    for c in ["x", "y"]:
+        v = pdf[c].dropna().to_numpy()
+        for p in [0.1, 0.5, 0.9]:
+            assert got[c][p] == pytest.approx(np.quantile(v, p))
