@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.parse import parse_num, parse_ts
-from tablewright.operators.stats import fence_stats, freq_quantiles, freq_table, quantiles
+from tablewright.operators.stats import AGG_CHUNK, fence_stats, freq_quantiles, freq_table, quantiles
 from tablewright.schema import numeric_cols, q, text_cols
 
 
@@ -23,14 +23,26 @@ def _unpivot_row(one_row: DataFrame, fields: list[tuple[str, list[tuple[str, str
     return one_row.select(F.inline(F.array(*structs)))
 
 
+def _chunks(cols: list[str], per: int):
+    for i in range(0, len(cols), per):
+        yield cols[i:i + per]
+
+
 def missing_table(df: DataFrame) -> DataFrame:
-    """(column, missing_count, missing_pct) for every column (unfiltered)."""
-    cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.count_if(F.col(q(c)).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)]
-    one = df.agg(*aggs)
-    long = _unpivot_row(one.withColumn("__nn", F.col("__n")),
-                        [(c, [("missing_count", f"__m{i}"), ("rows", "__nn")]) for i, c in enumerate(cols)])
+    """(column, missing_count, missing_pct) for every column (unfiltered).
+
+    Wide tables are aggregated in column chunks (each chunk scans only its own
+    columns) and the per-chunk rows unioned."""
+    parts = []
+    for cols in _chunks(df.columns, AGG_CHUNK):
+        aggs = [F.count(F.lit(1)).alias("__n")]
+        aggs += [F.count_if(F.col(q(c)).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)]
+        one = df.agg(*aggs)
+        parts.append(_unpivot_row(one, [(c, [("missing_count", f"__m{i}"), ("rows", "__n")])
+                                        for i, c in enumerate(cols)]))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
     pct = F.round(F.try_divide(F.col("missing_count").cast("double"), F.col("rows")) * 100.0, 2)
     return long.select("column", F.col("missing_count").cast("long").alias("missing_count"),
                        pct.alias("missing_pct"))
@@ -57,12 +69,17 @@ def audit_coercion(df: DataFrame) -> DataFrame:
     if not cols:
         return spark.createDataFrame([], "column string, numeric_parse_pct double, "
                                          "datetime_parse_pct double, sample_dtype string")
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += parse_ratio_exprs(c, i)
-    one = df.agg(*aggs)
-    long = _unpivot_row(one, [(c, [("nn", f"__nn{i}"), ("pn", f"__pn{i}"), ("pt", f"__pt{i}")])
-                              for i, c in enumerate(cols)])
+    parts = []
+    for chunk in _chunks(cols, AGG_CHUNK // 3):
+        aggs = []
+        for i, c in enumerate(chunk):
+            aggs += parse_ratio_exprs(c, i)
+        one = df.agg(*aggs)
+        parts.append(_unpivot_row(one, [(c, [("nn", f"__nn{i}"), ("pn", f"__pn{i}"), ("pt", f"__pt{i}")])
+                                        for i, c in enumerate(chunk)]))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
 
     def pct(x):
         return F.round(F.coalesce(F.try_divide(F.col(x).cast("double"), F.col("nn")), F.lit(0.0)) * 100.0, 2)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.stats import duplicate_count, freq_table, skew_expr
+from tablewright.operators.stats import agg_chunks, duplicate_count, freq_table, skew_expr
 from tablewright.schema import as_double, dtype_name, is_numeric_type, numeric_cols, q
 
 
@@ -70,7 +70,7 @@ def column_profile(df: DataFrame, top_k: int = 5) -> DataFrame:
         elif isinstance(df.schema[c].dataType, T.StringType):
             ln = F.length(col)
             aggs += [F.min(ln).alias(f"ln{i}"), F.max(ln).alias(f"lx{i}"), F.avg(ln).alias(f"la{i}")]
-    row = df.agg(*aggs).collect()[0]
+    row = agg_chunks(df, aggs)
     n = row["__n"]
     qs = quantiles(df, num, [0.25, 0.5, 0.75]) if num else {}
     freq = freq_table(df, cols, numeric=False)

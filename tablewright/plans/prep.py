@@ -26,7 +26,9 @@ from pyspark.sql import types as T
 
 from tablewright.functions.parse import parse_num, parse_ts
 from tablewright.functions.scalars import clip as clip_expr
-from tablewright.operators.stats import SMALL_FREQ_ROWS, add_weight, fence_stats, freq_quantiles, freq_table, modes
+from tablewright.operators.stats import (
+    SMALL_FREQ_ROWS, add_weight, agg_chunks, fence_stats, freq_quantiles, freq_table, modes,
+)
 from tablewright.schema import as_double, is_numeric_type, q, text_cols
 from tablewright.session import checkpoint_dir
 
@@ -188,7 +190,7 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
         col = F.col(q(c))
         aggs += [F.count(col).alias(f"n{i}"), F.count(parse_num(col)).alias(f"p{i}"),
                  F.count(parse_ts(col)).alias(f"t{i}")]
-    row = cur.agg(*aggs).collect()[0]
+    row = agg_chunks(cur, aggs)  # wide tables: chunks of aggregates, each scanning its columns
     n = row["__n"]
     nulls = {c: row[f"z{i}"] for i, c in enumerate(cur.columns)}
     parsed_num, parsed_ts = {}, {}

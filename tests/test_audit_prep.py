@@ -64,3 +64,15 @@ def test_notes_fallback(spark):
     clean = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, "c")], "x double, s string")
     notes = [r["note"] for r in preparation_notes(audit_dataset(clean)).collect()]
     assert len(notes) == 1 and notes[0].startswith("No obvious preparation issues")
+
+
+def test_wide_table_chunks(spark, monkeypatch):
+    import tablewright.operators.audit as A
+    monkeypatch.setattr(A, "AGG_CHUNK", 6)
+    cols = {f"c{i}": (None if i % 3 == 0 else str(i)) for i in range(20)}
+    df = spark.createDataFrame([tuple(cols.values()), tuple(f"{i}" for i in range(20))],
+                               ", ".join(f"{c} string" for c in cols))
+    m = {r["column"]: r["missing_count"] for r in A.missing_table(df).collect()}
+    assert len(m) == 20 and m["c0"] == 1 and m["c1"] == 0
+    co = {r["column"]: r["numeric_parse_pct"] for r in A.audit_coercion(df).collect()}
+    assert len(co) == 20 and co["c1"] == 100.0
