@@ -111,3 +111,11 @@ def test_driver_side_helpers(spark, reg_df):
     with pytest.raises(ValueError):
         check_custom_preset(reg_df, "target", [])
     assert target_lost(reg_df.drop("target"), "target")
+
+
+def test_split_paths_agree(spark, cls_df):
+    a, ia = assign_split_folds(cls_df, "segment", "classification", tie_cols=["id"], small=True)
+    b, ib = assign_split_folds(cls_df, "segment", "classification", tie_cols=["id"], small=False)
+    ra = {r["id"]: (r["_split"], r["_fold"]) for r in a.collect()}
+    rb = {r["id"]: (r["_split"], r["_fold"]) for r in b.collect()}
+    assert ra == rb and ia == ib
