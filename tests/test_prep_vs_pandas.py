@@ -78,3 +78,29 @@ def test_preparation_equals_pandas_rules(spark, seed):
             assert list(g[c]) == list(r[c]), c
         else:
             assert np.allclose(g[c].to_numpy(float), r[c].to_numpy(float), rtol=1e-12, atol=1e-12), c
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_audit_equals_pandas_rules(spark, seed):
+    from tablewright.operators.audit import audit_dataset
+    rows = _table(seed)
+    cols = ["num_text", "date_text", "cat", "amount", "k", "sparse"]
+    pdf = pd.DataFrame(rows, columns=cols)
+    df = spark.createDataFrame(rows, "num_text string, date_text string, cat string, amount double, k long, sparse string")
+    a = audit_dataset(df)
+    miss = {r["column"]: (r["missing_count"], r["missing_pct"]) for r in a["missing"].collect()}
+    ref_miss = {c: (int(pdf[c].isna().sum()), round(float(pdf[c].isna().mean()) * 100, 2)) for c in cols
+                if pdf[c].isna().sum() > 0}
+    assert miss == ref_miss
+    co = {r["column"]: (r["numeric_parse_pct"], r["datetime_parse_pct"]) for r in a["coercion_candidates"].collect()}
+    for c in ["num_text", "date_text", "cat", "sparse"]:
+        s = pdf[c].dropna()
+        num = round(float(pd.to_numeric(s, errors="coerce").notna().mean()) * 100, 2)
+        dat = round(float(pd.to_datetime(s, errors="coerce", format="%Y-%m-%d").notna().mean()) * 100, 2)
+        assert co[c] == (num, dat), c
+    out = {r["column"]: (r["outliers"], r["outlier_pct"]) for r in a["outliers"].collect()}
+    for c in ["amount", "k"]:
+        s = pdf[c].dropna().astype(float)
+        q1, q3 = s.quantile(0.25), s.quantile(0.75)
+        n_out = 0 if q3 == q1 else int(((s < q1 - 1.5 * (q3 - q1)) | (s > q3 + 1.5 * (q3 - q1))).sum())
+        assert out[c] == (n_out, round(n_out / len(s) * 100, 2)), c
