@@ -76,3 +76,21 @@ def test_wide_table_chunks(spark, monkeypatch):
     assert len(m) == 20 and m["c0"] == 1 and m["c1"] == 0
     co = {r["column"]: r["numeric_parse_pct"] for r in A.audit_coercion(df).collect()}
     assert len(co) == 20 and co["c1"] == 100.0
+
+
+def test_empty_and_all_null_columns(spark):
+    empty = spark.createDataFrame([], "a string, b double")
+    out, rep = apply_preparation(empty, drop_duplicates=True, coerce_numeric=True, numeric_threshold=0.9,
+                                 expand_dates=True, datetime_threshold=0.9, max_missing_pct=10.0,
+                                 impute_numeric=True, impute_categorical=True, clip_outliers=True)
+    assert out.count() == 0 and rep["final_rows"] == 0
+    a = audit_dataset(empty)
+    assert a["missing"].count() == 0 and a["outliers"].count() == 0
+    df = spark.createDataFrame([(None, 1.0, "x"), (None, 2.0, None), (None, 50.0, "y")], "z double, v double, s string")
+    out, rep = apply_preparation(df, drop_duplicates=True, coerce_numeric=True, numeric_threshold=0.9,
+                                 expand_dates=True, datetime_threshold=0.9, max_missing_pct=0.0,
+                                 impute_numeric=True, impute_categorical=True, clip_outliers=False)
+    # an all-null numeric column is reported as imputed but stays null
+    assert "z" in rep["numeric_columns_imputed"]
+    assert out.filter("z IS NOT NULL").count() == 0
+    assert out.filter("s IS NULL").count() == 0
