@@ -17,10 +17,10 @@ DEFAULT_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.ui.enabled": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    "spark.ui.showConsoleProgress": "false",
 }
+# Local runs (tests, bench) only: no web UI, no progress bars.
+LOCAL_CONF = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -35,6 +35,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
         builder = builder.config("spark.driver.memory", driver_memory)
+        if master.startswith("local"):
+            for k, v in LOCAL_CONF.items():
+                builder = builder.config(k, v)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:

@@ -15,10 +15,10 @@ SF001 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    from tablewright.session import DEFAULT_CONF
+    from tablewright.session import DEFAULT_CONF, LOCAL_CONF
     b = (SparkSession.builder.master("local[*]").appName("tablewright-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g"))
-    for k, v in DEFAULT_CONF.items():
+    for k, v in {**DEFAULT_CONF, **LOCAL_CONF}.items():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
