@@ -27,7 +27,11 @@ def _memo(key, fn):
     one live session only."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    key = (id(spark), spark.sparkContext.applicationId if spark else None) + tuple(key)
+    try:
+        app = spark.sparkContext.applicationId if spark else None
+    except Exception:  # Spark Connect: no context object
+        app = None
+    key = (id(spark), app) + tuple(key)
     if key not in _MEMO:
         _MEMO[key] = fn()
     return _MEMO[key]
