@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.plans.prep import PrepPlan
 
@@ -18,7 +20,14 @@ def prepare_stream(plan: PrepPlan, stream: DataFrame, event_time: str | None = N
                    delay: str = "10 minutes") -> DataFrame:
     out = stream
     if plan.options.drop_duplicates and event_time:
-        out = out.withWatermark(event_time, delay).dropDuplicatesWithinWatermark()
+        wm = event_time
+        if isinstance(stream.schema[event_time].dataType, T.TimestampNTZType):
+            # watermarks need TIMESTAMP; a derived copy is equal for equal rows
+            wm = "_event_time"
+            out = out.withColumn(wm, F.col(event_time).cast("timestamp"))
+        out = out.withWatermark(wm, delay).dropDuplicatesWithinWatermark()
+        if wm != event_time:
+            out = out.drop(wm)
     return plan.transform(out, dedupe=False)
 
 

@@ -78,3 +78,16 @@ def test_save_uploaded_csv(spark, tmp_path):
     assert ds.startswith("my-upload-") and len(ds) == len("my-upload-") + 8
     r = cat.get_dataset(ds).collect()[0]
     assert (r["name"], r["rows"], r["cols"]) == ("My Upload", 2, 2)
+
+
+def test_prepare_stream_with_event_time_dedupe(spark):
+    from tablewright.sources.tables import table
+    ev = table(spark, SF0001, "events")
+    plan = fit_preparation(ev, PrepOptions())
+    path = _write(spark, ev.unionByName(ev.limit(20)))  # 20 exact copies in the stream
+    stream = spark.readStream.schema(ev.schema).parquet(path)
+    q = (prepare_stream(plan, stream, event_time="ts", delay="3650 days")
+         .writeStream.format("memory").queryName("prep_events").outputMode("append").start())
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("SELECT * FROM prep_events").count() == ev.count()
