@@ -109,21 +109,18 @@ def _ranked(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     spark = df.sparkSession
-    nulls = df.agg(*[F.count_if(as_double(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).collect()[0]
-    complete = [c for i, c in enumerate(cols) if nulls[f"n{i}"] == 0]
+    # one pass: null counts (which pairs share ranks) and whether a column is
+    # constant (its ranks are then constant too: null on the diagonal)
+    row = df.agg(*[F.count_if(as_double(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(as_double(df, c)).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
+    complete = [c for i, c in enumerate(cols) if row[f"n{i}"] == 0]
+    sd_pos = {c: (row[f"s{i}"] or 0) > 0 for i, c in enumerate(cols)}
     vals: dict = {}
-    sd_pos: dict = {}
-    if len(complete) >= 1:
+    pairs = _pairs(complete)
+    if pairs:
         rk = _ranked(df, complete)
-        pairs = _pairs(complete)
         xs = {c: F.col(f"r{i}") for i, c in enumerate(complete)}
-        if pairs:
-            vals.update(pearson_pairs(rk, pairs, xs))
-        row = rk.agg(*[F.stddev_pop(F.col(f"r{i}")).alias(f"s{i}") for i in range(len(complete))]).collect()[0]
-        sd_pos.update({c: (row[f"s{i}"] or 0) > 0 for i, c in enumerate(complete)})
-    rest = [c for c in cols if c not in complete]
-    if rest:
-        sd_pos.update(_sd_positive(df, rest))
+        vals.update(pearson_pairs(rk, pairs, xs))
     mixed = [(a, b) for a, b in _pairs(cols) if not (a in complete and b in complete)]
     if mixed:
         vals.update(_spearman_pairwise(df, mixed))
