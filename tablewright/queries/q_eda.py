@@ -208,6 +208,11 @@ _ORDERS_PROFILE = [("o_orderkey", "bigint", True), ("o_custkey", "bigint", True)
                    ("o_orderpriority", "string", False)]
 
 
+def _z0(e):
+    """-0.0 shown as 0.0 (a near-zero moment may round to either sign)."""
+    return f"(CASE WHEN {e} = 0 THEN 0.0 ELSE {e} END)"
+
+
 def _profile_sql():
     from tablewright.operators.profile import (ALERT_HIGH_CARD_PCT, ALERT_MISSING_PCT, ALERT_SKEW_ABS,
                                                ALERT_ZEROS_PCT)
@@ -234,7 +239,8 @@ def _profile_sql():
                f"CAST(count(*) FILTER (WHERE {c} < 0) AS DOUBLE) AS negatives, "
                f"round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS sd, CAST(min({c}) AS DOUBLE) AS min, "
                f"quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3, "
-               f"CAST(max({c}) AS DOUBLE) AS max, round({sk}, 6) AS skew, round(kurtosis_pop({c}), 6) AS kurtosis, "
+               f"CAST(max({c}) AS DOUBLE) AS max, {_z0(f'round({sk}, 6)')} AS skew, "
+               f"{_z0(f'round(kurtosis_pop({c}), 6)')} AS kurtosis, "
                if num else
                "CAST(NULL AS DOUBLE) AS zeros, CAST(NULL AS DOUBLE) AS negatives, CAST(NULL AS DOUBLE) AS mean, "
                "CAST(NULL AS DOUBLE) AS sd, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS q1, "
@@ -251,7 +257,9 @@ def _profile_sql():
 def eda_profile(spark, sf):
     p = column_profile(table(spark, sf, "orders"))
     # compared across engines: floats rounded; counts that may be missing as double
+    def z0(e):
+        return F.when(e == 0, F.lit(0.0)).otherwise(e)
     return p.select(*[F.round(c, 3).alias(c) if c in ("mean", "sd")
-                      else F.round(c, 6).alias(c) if c in ("skew", "kurtosis", "len_mean")
+                      else z0(F.round(c, 6)).alias(c) if c in ("skew", "kurtosis", "len_mean")
                       else F.col(c).cast("double").alias(c) if c in ("zeros", "negatives", "len_min", "len_max")
                       else F.col(c) for c in p.columns])

@@ -54,13 +54,24 @@ def ml_impute_cat(spark, sf):
     return m.transform(d).select("o_orderkey", "category_imp")
 
 
-@register("ml_scale", with_dirty() + f"SELECT o_orderkey, round((amount - (SELECT avg(amount) FROM dirty_orders)) / "
-                                     f"(SELECT CASE WHEN stddev_pop(amount) > 0 THEN stddev_pop(amount) ELSE 1 END FROM dirty_orders), {R}) AS amount_sc "
-                                     "FROM dirty_orders")
+def _z0_sql(e):
+    return f"(CASE WHEN {e} = 0 THEN 0.0 ELSE {e} END)"
+
+
+def _z0(c):
+    """-0.0 shown as 0.0: a value next to the mean may round to either sign."""
+    return F.when(c == 0, F.lit(0.0)).otherwise(c)
+
+
+_SC = ("round((amount - (SELECT avg(amount) FROM dirty_orders)) / (SELECT CASE WHEN stddev_pop(amount) > 0 "
+       f"THEN stddev_pop(amount) ELSE 1 END FROM dirty_orders), {R})")
+
+
+@register("ml_scale", with_dirty() + f"SELECT o_orderkey, {_z0_sql(_SC)} AS amount_sc FROM dirty_orders")
 def ml_scale(spark, sf):
     d = dirty_orders(spark, sf)
     m = PopulationScaler(inputCols=["amount"], outputCols=["amount_sc"]).fit(d)
-    return m.transform(d).select("o_orderkey", F.round("amount_sc", R).alias("amount_sc"))
+    return m.transform(d).select("o_orderkey", _z0(F.round("amount_sc", R)).alias("amount_sc"))
 
 
 _LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -85,7 +96,7 @@ def ml_onehot(spark, sf):
 
 
 @register("ml_preprocess", with_dirty() + (
-    "SELECT o_orderkey, round((COALESCE(amount, m) - mu) / sd, 6) AS f0, " +
+    "SELECT o_orderkey, " + _z0_sql("round((COALESCE(amount, m) - mu) / sd, 6)") + " AS f0, " +
     ", ".join(f"CASE WHEN COALESCE(category, {_MODE_CAT}) = '{lv}' THEN 1.0 ELSE 0.0 END AS f{i + 1}" for i, lv in enumerate(_LEVELS)) +
     " FROM dirty_orders, (SELECT median(amount) AS m FROM dirty_orders), "
     "(SELECT avg(a) AS mu, CASE WHEN stddev_pop(a) > 0 THEN stddev_pop(a) ELSE 1 END AS sd FROM "
@@ -95,7 +106,7 @@ def ml_preprocess(spark, sf):
     pm = preprocessor(d, ["amount", "category"]).fit(d)
     out = pm.transform(d)
     cols = _unpack(out, "features", 1 + len(_LEVELS), "f")
-    return out.select("o_orderkey", F.round(cols[0], 6).alias("f0"), *cols[1:])
+    return out.select("o_orderkey", _z0(F.round(cols[0], 6)).alias("f0"), *cols[1:])
 
 
 # split / folds on customer with an order both engines can compute

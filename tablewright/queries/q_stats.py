@@ -65,12 +65,14 @@ _SKEW_COLS = [("events", "value"), ("lineitem", "l_quantity"), ("lineitem", "l_e
 
 @register("skew", union_all([
     f"SELECT '{t}.{c}' AS \"column\", round(CASE WHEN count({c}) < 3 THEN NULL WHEN var_pop({c}) = 0 THEN 0.0 "
-    f"ELSE skewness({c}) END, {R}) AS skew FROM {t}" for t, c in _SKEW_COLS]))
+    f"ELSE skewness({c}) END, {R}) AS skew FROM {t}" for t, c in _SKEW_COLS]).replace(
+    "AS skew FROM", "AS skew0 FROM").join(["SELECT \"column\", CASE WHEN skew0 = 0 THEN 0.0 ELSE skew0 END AS skew FROM (", ")"]))
 def skew(spark, sf):
     parts = []
     for t, c in _SKEW_COLS:
         df = table(spark, sf, t)
-        parts.append(df.agg(F.lit(f"{t}.{c}").alias("column"), F.round(S.skew_expr(F.col(c)), R).alias("skew")))
+        sk = F.round(S.skew_expr(F.col(c)), R)
+        parts.append(df.agg(F.lit(f"{t}.{c}").alias("column"), F.when(sk == 0, F.lit(0.0)).otherwise(sk).alias("skew")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
