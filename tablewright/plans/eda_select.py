@@ -22,7 +22,10 @@ MODULES = [
 ]
 DEFAULT_OPTIONS: dict[str, Any] = {"top_missing": 12, "max_numeric": 6, "bins": 30, "max_categories": 15,
                                    "corr_method": "pearson", "sample_rows": 1000, "viz_x": None,
-                                   "viz_y": None, "viz_plot_type": "scatter", "order_by": None}
+                                   "viz_y": None, "viz_plot_type": "scatter", "order_by": None,
+                                   "report": False}
+# Fixed value: a written report shows at most this many categorical columns.
+REPORT_MAX_CATEGORICAL = 4
 
 
 def run_eda(df: DataFrame, target: str | None, modules: list[str] | None = None,
@@ -45,7 +48,10 @@ def run_eda(df: DataFrame, target: str | None, modules: list[str] | None = None,
             out[m] = E.boxplot(df, num[:int(o["max_numeric"])])
             out[m + " (fliers)"] = E.flier_sample(df, out[m], int(o.get("max_fliers", 50)))
         elif m == "Categorical Distributions" and cat:
-            out[m] = E.categories(df, max(2, int(o["max_numeric"]) // 2), int(o["max_categories"]))
+            k = max(2, int(o["max_numeric"]) // 2)
+            if o["report"]:
+                k = min(k, REPORT_MAX_CATEGORICAL)
+            out[m] = E.categories(df, k, int(o["max_categories"]))
         elif m == "Correlation Heatmap" and len(num) >= 2:
             out[m] = corr_matrix(df, num, str(o["corr_method"]))
         elif m == "Pairwise Relationships" and len(num) >= 2:

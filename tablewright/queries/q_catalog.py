@@ -86,7 +86,7 @@ def sink_eda(spark, sf):
     cat = Catalog(spark, _scratch(spark, "reports"))
     o = table(spark, sf, "orders")
     tables = run_eda(o, "o_totalprice", ["Data Quality Summary", "Missingness", "Numeric Distributions"],
-                     {"order_by": ["o_orderkey"]})
+                     {"order_by": ["o_orderkey"], "report": True})
     paths = cat.persist_eda(tables, "orders-00000001")
     return spark.read.parquet(paths["Data Quality Summary"])
 
