@@ -23,6 +23,13 @@ def _unpivot_row(one_row: DataFrame, fields: list[tuple[str, list[tuple[str, str
     return one_row.select(F.inline(F.array(*structs)))
 
 
+def column_position(cols: list[str]) -> Column:
+    """Schema position of the row's ``column`` -- the tie-break of the audit
+    sorts (a stable two-key sort keeps the original column order)."""
+    return F.element_at(F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))]),
+                        F.col("column"))
+
+
 def _chunks(cols: list[str], per: int):
     for i in range(0, len(cols), per):
         yield cols[i:i + per]
@@ -51,7 +58,7 @@ def missing_table(df: DataFrame) -> DataFrame:
 def audit_missing(df: DataFrame) -> DataFrame:
     """Columns with a missing value, most missing first."""
     return (missing_table(df).filter(F.col("missing_count") > 0)
-            .orderBy(F.desc("missing_pct"), F.desc("missing_count"), F.asc("column")))
+            .orderBy(F.desc("missing_pct"), F.desc("missing_count"), column_position(df.columns)))
 
 
 def parse_ratio_exprs(c: str, i: int) -> list[Column]:
@@ -87,7 +94,7 @@ def audit_coercion(df: DataFrame) -> DataFrame:
     return (long.select("column", pct("pn").alias("numeric_parse_pct"),
                         pct("pt").alias("datetime_parse_pct"),
                         F.lit("string").alias("sample_dtype"))
-            .orderBy(F.desc("numeric_parse_pct"), F.desc("datetime_parse_pct"), F.asc("column")))
+            .orderBy(F.desc("numeric_parse_pct"), F.desc("datetime_parse_pct"), column_position(cols)))
 
 
 def iqr_bounds(df: DataFrame, cols: list[str]) -> dict:
@@ -132,7 +139,7 @@ def audit_outliers(df: DataFrame) -> DataFrame:
         out = 0 if iqr == 0 else int(fs[c]["below"] + fs[c]["above"])
         rows.append((c, out, round(out / fs[c]["n"] * 100.0, 2)))
     t = spark.createDataFrame(rows, schema)
-    return t.orderBy(F.desc("outlier_pct"), F.desc("outliers"), F.asc("column"))
+    return t.orderBy(F.desc("outlier_pct"), F.desc("outliers"), column_position(cols))
 
 
 def audit_dataset(df: DataFrame) -> dict[str, DataFrame]:

@@ -302,7 +302,8 @@ def preparation_notes(audit: dict[str, DataFrame]) -> DataFrame:
     coercion = audit["coercion_candidates"]
     outliers = audit["outliers"]
     spark = missing.sparkSession
-    worst = (missing.orderBy(F.desc("missing_pct"), F.desc("missing_count"), F.asc("column")).limit(1)
+    # the audit's missing table is already sorted (ties in schema order): its first row
+    worst = (missing.limit(1)
              .select(F.lit(1).alias("position"),
                      F.format_string(NOTE_MISSING.replace("%", "%%").replace("{column}", "%s")
                                      .replace("{pct}", "%s"),

@@ -39,8 +39,12 @@ def filter_positive(spark, sf):
     return A.missing_table(dirty_orders(spark, sf)).filter("missing_count > 0").select("column", "missing_count")
 
 
-@register("worst_column", f"SELECT * FROM ({_MISSING_SQL}) WHERE missing_count > 0 "
-                          "ORDER BY missing_pct DESC, missing_count DESC, \"column\" LIMIT 1")
+_POS_ALL = "(VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(DIRTY_COLS)) + ") pos(c, i)"
+_POS_TEXT = "(VALUES " + ", ".join(f"('{c}', {i})" for i, c in enumerate(DIRTY_TEXT)) + ") pos(c, i)"
+
+
+@register("worst_column", f"SELECT m.* FROM ({_MISSING_SQL}) m JOIN {_POS_ALL} ON m.\"column\" = pos.c "
+                          "WHERE missing_count > 0 ORDER BY missing_pct DESC, missing_count DESC, pos.i LIMIT 1")
 def worst_column(spark, sf):
     return A.audit_missing(dirty_orders(spark, sf)).limit(1)
 
@@ -90,12 +94,13 @@ def audit_coercion(spark, sf):
     return A.audit_coercion(dirty_orders(spark, sf))
 
 
-@register("sort_audit", "SELECT *, row_number() OVER (ORDER BY numeric_parse_pct DESC, "
-                        f"datetime_parse_pct DESC, \"column\") AS position FROM ({_COERCE_SQL})")
+@register("sort_audit", "SELECT t.*, row_number() OVER (ORDER BY numeric_parse_pct DESC, "
+                        f"datetime_parse_pct DESC, pos.i) AS position FROM ({_COERCE_SQL}) t "
+                        f"JOIN {_POS_TEXT} ON t.\"column\" = pos.c")
 def sort_audit(spark, sf):
     t = A.audit_coercion(dirty_orders(spark, sf))
     # one row per text column: a global window over a k-row table
-    w = Window.orderBy(F.desc("numeric_parse_pct"), F.desc("datetime_parse_pct"), F.asc("column"))
+    w = Window.orderBy(F.desc("numeric_parse_pct"), F.desc("datetime_parse_pct"), A.column_position(DIRTY_TEXT))
     return t.withColumn("position", F.row_number().over(w).cast("long"))
 
 

@@ -184,8 +184,11 @@ _OUTLIER_SQL = with_dirty(_Q_CTE) + union_all([_outlier_branch(c) for c in DIRTY
 _NOTES_SQL = (
     f"WITH m AS ({_MISSING_SQL}), c AS ({_COERCE_SQL}), o AS ({_OUTLIER_SQL}), notes AS ("
     "SELECT 1 AS k, 'Missing data exists. Highest missing column: ' || \"column\" || ' (' || "
-    "CAST(missing_pct AS VARCHAR) || '%).' AS note FROM (SELECT * FROM m WHERE missing_count > 0 "
-    "ORDER BY missing_pct DESC, missing_count DESC, \"column\" LIMIT 1) "
+    "CAST(missing_pct AS VARCHAR) || '%).' AS note FROM (SELECT m.* FROM m JOIN (VALUES " +
+    ", ".join(f"('{c}', {i})" for i, c in enumerate(["o_orderkey", "num_text", "date_text", "category", "amount",
+                                                      "sparse", "flag"])) +
+    ") pos(c, i) ON m.\"column\" = pos.c WHERE missing_count > 0 "
+    "ORDER BY missing_pct DESC, missing_count DESC, pos.i LIMIT 1) "
     f"UNION ALL SELECT 2, '{NOTE_NUMERIC}' WHERE EXISTS (SELECT 1 FROM c WHERE numeric_parse_pct >= 80) "
     f"UNION ALL SELECT 3, '{NOTE_DATES}' WHERE EXISTS (SELECT 1 FROM c WHERE datetime_parse_pct >= 80) "
     f"UNION ALL SELECT 4, '{NOTE_OUTLIERS}' WHERE EXISTS (SELECT 1 FROM o WHERE outlier_pct >= 5)) "

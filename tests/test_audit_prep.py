@@ -94,3 +94,11 @@ def test_empty_and_all_null_columns(spark):
     assert "z" in rep["numeric_columns_imputed"]
     assert out.filter("z IS NOT NULL").count() == 0
     assert out.filter("s IS NULL").count() == 0
+
+
+def test_audit_ties_keep_schema_order(spark):
+    df = spark.createDataFrame([(None, None, 1.0), ("x", "y", 2.0)], "zeta string, alpha string, v double")
+    a = audit_dataset(df)
+    assert [r["column"] for r in a["missing"].collect()] == ["zeta", "alpha"]
+    note = preparation_notes(a).collect()[0]["note"]
+    assert "zeta (50.0%)" in note
