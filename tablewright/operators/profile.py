@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.stats import agg_chunks, duplicate_count, freq_table, skew_expr
+from tablewright.operators.stats import agg_chunks, freq_table, kpi_counts, skew_expr
 from tablewright.schema import as_double, dtype_name, is_numeric_type, numeric_cols, q
 
 
@@ -23,15 +23,7 @@ def dataset_kpis(df: DataFrame, target: str | None = None) -> DataFrame:
     """rows, cols, missing cells and share (2 dp, over max(1, rows*cols)),
     duplicate rows, target type -- as numbers and as display text."""
     cols = len(df.columns)
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    miss = None
-    for c in df.columns:
-        e = F.count_if(F.col(q(c)).isNull())
-        miss = e if miss is None else miss + e
-    aggs.append(miss.alias("missing"))
-    row = df.agg(*aggs).collect()[0]
-    rows, missing = int(row["rows"]), int(row["missing"] or 0)
-    dups = duplicate_count(df)
+    rows, missing, dups = kpi_counts(df)
     pct = missing * 100.0 / max(1, rows * cols)
     ttype = dtype_name(df.schema[target].dataType) if target and target in df.columns else "-"
     data = [(rows, cols, missing, round(pct, 2), dups, ttype, f"{rows:,}", f"{cols:,}", f"{pct:.2f}%", f"{dups:,}")]

@@ -242,12 +242,43 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*parts)
 
 
-def _repeated_hashes(df: DataFrame):
-    """(persisted table of hashes seen more than once, its size, row count)."""
-    hc = df.groupBy(row_hash(df).alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+def _repeated_hashes(df: DataFrame, with_nulls: bool = False):
+    """(persisted table of hash counts, #hashes seen more than once, row count,
+    null cells).  With ``with_nulls`` each row's null count rides along, so a
+    caller also gets the missing-cell total from the same pass."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if with_nulls:
+        per_row = None
+        for c in df.columns:
+            e = F.col(q(c)).isNull().cast("long")
+            per_row = e if per_row is None else per_row + e
+        aggs.append(F.sum(per_row).alias("_z"))
+    hc = df.groupBy(row_hash(df).alias("_h")).agg(*aggs)
     hc = hc.persist(StorageLevel.MEMORY_AND_DISK)
-    tot = hc.agg(F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("rep")).collect()[0]
-    return hc, int(tot["rep"] or 0), int(tot["rows"] or 0)
+    tot = hc.agg(F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("rep"),
+                 (F.sum("_z") if with_nulls else F.lit(0)).alias("z")).collect()[0]
+    return hc, int(tot["rep"] or 0), int(tot["rows"] or 0), int(tot["z"] or 0)
+
+
+def kpi_counts(df: DataFrame) -> tuple[int, int, int]:
+    """(rows, missing cells, duplicate rows) in two scans: the hash pass also
+    sums null cells; the second pass groups only rows whose hash repeats."""
+    hc, n_rep, rows, missing = _repeated_hashes(df, with_nulls=True)
+    try:
+        return rows, missing, _duplicates_among(df, hc, n_rep)
+    finally:
+        hc.unpersist()
+
+
+def _duplicates_among(df: DataFrame, hc: DataFrame, n_rep: int) -> int:
+    if n_rep == 0:
+        return 0
+    rep = hc.filter("_n > 1").select("_h")
+    side = F.broadcast(rep) if n_rep <= BROADCAST_HASHES else rep
+    cand = df.withColumn("_h", row_hash(df)).join(side, "_h", "left_semi").drop("_h")
+    row = (cand.groupBy(*[F.col(q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+               .agg(F.sum(F.col("n") - F.lit(1)).alias("d")).collect()[0])
+    return int(row["d"] or 0)
 
 
 def duplicate_count(df: DataFrame) -> int:
@@ -257,15 +288,8 @@ def duplicate_count(df: DataFrame) -> int:
     whose hash is unique cannot have a copy.  Pass 2 groups, by all columns,
     only the rows whose hash repeats -- copies plus the rare collision -- so
     wide rows are shuffled only when they may be duplicates."""
-    hc, n_rep, _ = _repeated_hashes(df)
+    hc, n_rep, _, _ = _repeated_hashes(df)
     try:
-        if n_rep == 0:
-            return 0
-        rep = hc.filter("_n > 1").select("_h")
-        side = F.broadcast(rep) if n_rep <= BROADCAST_HASHES else rep
-        cand = df.withColumn("_h", row_hash(df)).join(side, "_h", "left_semi").drop("_h")
-        row = (cand.groupBy(*[F.col(q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
-                   .agg(F.sum(F.col("n") - F.lit(1)).alias("d")).collect()[0])
-        return int(row["d"] or 0)
+        return _duplicates_among(df, hc, n_rep)
     finally:
         hc.unpersist()
