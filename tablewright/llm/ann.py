@@ -4,15 +4,19 @@ A vector x of list c is coded by the signs of P(x - c)/|x - c|, P a random
 rotation: packed bits, the residual's length, and the code's own inner product
 with the residual direction.  A query's inner product with x is estimated from
 those alone; the estimate's error is at most ``EPS`` standard deviations of the
-random rotation with high probability.  Rows whose upper bound reaches the
-k-th best lower bound of a block are reranked on their original vectors, in
-double precision; nothing else is computed exactly.
+random rotation with high probability.  Only rows whose upper bound reaches
+what the query needs are reranked on their original vectors, in double
+precision.
 
-Rows are split into lists around centroids (k-means on a bounded sample); a
-query visits the lists with the best bound on the inner product.  Lists and the
-queries that visit them are cut into blocks, so a task holds one block of each
-however large a list is.  Equal vectors are one code with its smallest ids:
-k + 1 of them are enough for any answer, an exact reduction.
+Lists surround centroids (k-means on a bounded sample).  A query first searches
+the one list with the best bound; its k-th best score there is what a row must
+reach to matter.  Then it goes to every other list that can hold such a row:
+the inner product with the centroid plus the query's length times the list's
+radius bounds what a list can give, so lists are left out by proof, at any
+number of rows.  Lists are bundled, large bundles and the queries that visit
+them are cut into blocks, so a task holds one block of each however large a
+list is.  Equal vectors are one code with its smallest ids: k + 1 of them are
+enough for any answer, an exact reduction.
 
 Vectors that are null, zero, or hold null or non-finite components, or whose
 length is not the commonest, take no part; nor do rows without an id.  Rows
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import empty, stage, with_id
 
 #: Vectors for the k-means fit (and at most 64 MB of them), list size aimed at,
-#: most lists, lists a query visits, rows and queries in a block.
-SAMPLE, LIST_ROWS, MOST_LISTS, PROBES, BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2048, 4096, 24, 16384, 2048
+#: most lists, rows and queries in a block.
+SAMPLE, LIST_ROWS, MOST_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2048, 4096, 16384, 2048
 EPS = 2.5
 
 
@@ -66,14 +70,13 @@ def encode(x: np.ndarray, centroid: np.ndarray, p: np.ndarray):
     return np.packbits(bits, axis=1), length, own
 
 
-def bounds(queries: np.ndarray, rotated: np.ndarray, centroid: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray, dim: int, eps: float):
-    """Estimated inner products and their error bounds, queries x rows."""
-    signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
+def upper_factors(codes: np.ndarray, length: np.ndarray, own: np.ndarray, dim: int, eps: float) -> np.ndarray:
+    """Rows x (dim + 1): the product with (rotated query, its length) is the
+    estimated inner product with the residual plus its error bound."""
     safe = np.maximum(own, 1e-12)
-    est = (queries @ centroid)[:, None] + (rotated.astype(np.float32) @ signs.T) * (length / safe)[None, :]
-    spread = length * np.sqrt(np.maximum(1 - own * own, 0)) / safe / math.sqrt(max(dim - 1, 1))
-    err = eps * np.sqrt((rotated * rotated).sum(1))[:, None] * spread[None, :]
-    return est, err + 1e-5 * np.abs(est)
+    signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) * (length / safe / math.sqrt(dim)).astype(np.float32)[:, None]
+    spread = eps * length * np.sqrt(np.maximum(1 - own * own, 0)) / safe / math.sqrt(max(dim - 1, 1))
+    return np.column_stack([signs, spread.astype(np.float32)])
 
 
 def _coder(model):
@@ -96,55 +99,86 @@ def _coder(model):
     return run
 
 
-def _router(model, probes: int):
+def _vectors(batch, dim: int) -> np.ndarray:
+    return np.asarray(batch.column(batch.schema.get_field_index("embedding")).flatten(), np.float64).reshape(-1, dim)
+
+
+def _router(model, bundle_of: np.ndarray):
+    """The bundles a query visits.  A query without ``home`` (-1) goes to the list
+    with the best bound, any other to the bundles where some other list's bound
+    reaches ``need``."""
     def run(batches):
         m = model.value
         c, radius = m["centroids"], m["radius"]
+        bundles = int(bundle_of.max()) + 1
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                b = batch.slice(lo, 4096)
-                v = b.column(b.schema.get_field_index("embedding"))
-                x = np.asarray(v.flatten(), np.float64).reshape(-1, c.shape[1])
-                best = x @ c.T + np.sqrt((x * x).sum(1))[:, None] * radius[None, :]
-                n = min(probes, c.shape[0])
-                go = np.argsort(-best, axis=1, kind="stable")[:, :n]
-                at = np.repeat(np.arange(len(x)), n)
+            for lo in range(0, batch.num_rows, 1024):
+                b = batch.slice(lo, 1024)
+                x = _vectors(b, c.shape[1])
+                bound = x @ c.T + np.sqrt((x * x).sum(1))[:, None] * radius[None, :]
+                home, need = np.array(b.column(b.schema.get_field_index("home"))), np.array(b.column(b.schema.get_field_index("need")))
+                if (home < 0).all():
+                    home = bound.argmax(1)
+                    at, go = np.arange(len(x)), bundle_of[home]
+                else:
+                    visits = bound >= (need - 1e-9 * np.abs(need))[:, None]
+                    visits[np.arange(len(x)), home] = False
+                    at, ls = np.nonzero(visits)
+                    both = np.unique(at * bundles + bundle_of[ls])
+                    at, go = both // bundles, both % bundles
                 keys = [b.column(b.schema.get_field_index(k)).take(pa.array(at)) for k in ("k1", "k2")]
                 raw = pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(go.ravel(), pa.int32()), *keys, raw], ["list", "k1", "k2", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(go, pa.int32()), *keys, raw, pa.array(home[at], pa.int32()), pa.array(need[at])],
+                                                 ["bundle", "k1", "k2", "vector", "home", "need"])
     return run
 
 
-def _searcher(model, k: int, eps: float):
+def _searcher(model, k: int, eps: float, first: bool):
+    """One block of rows against one block of queries: the best ``k`` rows of
+    each query that reach what it needs."""
     def run(key, rows, queries):
         import pandas as pd
         m = model.value
-        p, dim = m["rotation"], m["rotation"].shape[0]
-        cols = ["k1", "k2", "score", "ids"]
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"k1": pd.Series(dtype="int64"), "k2": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "ids": pd.Series(dtype="object")})
-        centroid = m["centroids"][int(key[0])]
-        x = np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(-1, dim)
-        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        length, own, ids = rows["length"].to_numpy(), rows["own"].to_numpy(), rows["ids"].tolist()
-        first = np.array([i[0] for i in ids])
-        out = []
-        n = min(k, len(rows))
-        for lo in range(0, len(queries), 128):
-            part = queries.iloc[lo: lo + 128]
-            q = np.frombuffer(b"".join(part["vector"]), np.float64).reshape(-1, dim)
-            est, err = bounds(q, q @ p.T, centroid, codes, length, own, dim, eps)
-            low = est - err
-            cut = np.partition(low, len(rows) - n, axis=1)[:, len(rows) - n]
-            qi, xi = np.nonzero(est + err >= cut[:, None])
-            score = np.einsum("ij,ij->i", q[qi], x[xi])
-            order = np.lexsort((first[xi], -score, qi))
-            qi, xi, score = qi[order], xi[order], score[order]
-            begin = np.searchsorted(qi, np.arange(len(part)))
-            rank = np.arange(len(qi)) - begin[qi]
-            keep = rank < k
-            out.append(pd.DataFrame({"k1": part["k1"].to_numpy()[qi[keep]], "k2": part["k2"].to_numpy()[qi[keep]], "score": score[keep], "ids": [ids[i] for i in xi[keep]]}, columns=cols))
-        return pd.concat(out, ignore_index=True)
+        p, centroids, radius = m["rotation"], m["centroids"], m["radius"]
+        dim = p.shape[0]
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(rows) and len(queries):
+            x = np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(-1, dim)
+            q = np.frombuffer(b"".join(queries["vector"]), np.float64).reshape(-1, dim)
+            codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+            of, length, own = rows["list"].to_numpy(), rows["length"].to_numpy(), rows["own"].to_numpy()
+            home, need = queries["home"].to_numpy(), queries["need"].to_numpy()
+            qlen = np.sqrt((q * q).sum(1))
+            rotated = np.column_stack([q @ p.T, qlen]).astype(np.float32)
+            for c in np.unique(of):
+                xs = np.flatnonzero(of == c)
+                middle = q @ centroids[c]
+                qs = np.flatnonzero((home == c) if first else (home != c) & (middle + qlen * radius[c] >= need - 1e-9 * np.abs(need)))
+                factors = upper_factors(codes[xs], length[xs], own[xs], dim, eps)
+                for lo in range(0, len(qs), 512):
+                    some = qs[lo: lo + 512]
+                    upper = rotated[some] @ factors.T
+                    if first:
+                        # what k rows reach at least, by their lower bounds
+                        low = upper - 2 * qlen[some, None].astype(np.float32) * factors[:, -1]
+                        n = min(k, len(xs))
+                        cut = np.partition(low, len(xs) - n, axis=1)[:, len(xs) - n]
+                    else:
+                        cut = (need - middle)[some]
+                    slack = 1e-4 * (np.abs(cut) + qlen[some])
+                    qi, xi = np.nonzero(upper >= (cut - slack).astype(np.float32)[:, None])
+                    qi, xi = some[qi], xs[xi]
+                    score = np.einsum("ij,ij->i", q[qi], x[xi])
+                    keep = score >= need[qi]
+                    parts.append((qi[keep], xi[keep], score[keep]))
+        qi, xi, score = (np.concatenate(v) for v in zip(*parts))
+        ids = rows["ids"].tolist()
+        smallest = np.array([i[0] for i in ids], np.int64)
+        order = np.lexsort((smallest[xi], -score, qi))
+        qi, xi, score = qi[order], xi[order], score[order]
+        keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        qi, xi, score = qi[keep], xi[keep], score[keep]
+        return pd.DataFrame({"k1": queries["k1"].to_numpy()[qi], "k2": queries["k2"].to_numpy()[qi], "score": score, "ids": [ids[i] for i in xi]})
     return run
 
 
@@ -160,16 +194,43 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         {"k1": F.xxhash64(F.lit(1), "embedding"), "k2": F.xxhash64(F.lit(2), "embedding")})
 
 
-def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES,
+def _bundles(sizes: np.ndarray) -> np.ndarray:
+    """The bundle of each list: runs of lists of about BLOCK_ROWS rows."""
+    return ((np.cumsum(sizes) - sizes) // BLOCK_ROWS).astype(np.int64)
+
+
+def _search(coded: DataFrame, asked: DataFrame, sizes: dict[int, int], model, k: int, eps: float, first: bool) -> DataFrame:
+    """Rows and the queries routed to their bundles, block against block."""
+    spark = coded.sparkSession
+    # a bundle each: as many numbers as there are bundles of lists
+    visits = {r["bundle"]: r["count"] for r in asked.groupBy("bundle").count().collect()}
+    shape = [(b, math.ceil(n / BLOCK_ROWS), math.ceil(visits[b] / BLOCK_QUERIES)) for b, n in sizes.items() if visits.get(b)]
+    shape = F.broadcast(spark.createDataFrame(shape or [(-1, 1, 1)], "bundle int, rb int, qb int"))
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rows = coded.join(shape, "bundle").withColumn("r", F.pmod("k1", F.col("rb")).cast("int")).withColumn("q", span("qb")).select(
+        "bundle", "r", "q", "list", "ids", "vector", "code", "length", "own")
+    ask = asked.join(shape, "bundle").withColumn("q", F.pmod("k2", F.col("qb")).cast("int")).withColumn("r", span("rb")).select(
+        "bundle", "r", "q", "k1", "k2", "vector", "home", "need")
+    return rows.groupBy("bundle", "r", "q").cogroup(ask.groupBy("bundle", "r", "q")).applyInPandas(
+        _searcher(model, k, eps, first), "k1 long, k2 long, score double, ids array<long>")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), F.col("vec_id"))
+    return (found.select("k1", "k2", "score", F.explode("ids").alias("vec_id"))
+            .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn"))
+
+
+def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
             list_rows: int = LIST_ROWS, eps: float = EPS, seed: int = 5) -> DataFrame:
     """For each row with ``is_query`` (a condition on ``id``) its ``k`` nearest
     others by inner product: query_id, rank, vec_id, score."""
     spark = df.sparkSession
     v = valid_vectors(df, id_col, vector_col)
-    sizes = v.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
-    if not sizes:
+    common = v.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    if not common:
         return empty(spark, "query_id long, rank int, vec_id long, score double")
-    dim = sizes[0]["dim"]
+    dim = common[0]["dim"]
     v = v.where(F.size("embedding") == dim)
 
     # one row per distinct vector, with its k + 1 smallest ids
@@ -179,39 +240,36 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     distinct = stage(distinct.select("k1", "k2", "ids", "embedding"), "ann-distinct")
     asked = stage(v.where(is_query).select("id", "k1", "k2"), "ann-asked")
 
-    n = distinct.count()
     take = max(1, min(SAMPLE, (64 << 20) // (8 * dim)))
     sample = np.array([r[0] for r in distinct.orderBy("k1", "k2").limit(take).select("embedding").collect()])
-    lists = max(1, min(MOST_LISTS, math.ceil(n / list_rows)))
-    centroids = fit_lists(sample, lists, seed)
-    p = rotation(dim, seed + 1)
-    model = {"centroids": centroids, "rotation": p, "radius": np.zeros(len(centroids))}
+    lists = max(1, min(MOST_LISTS, math.ceil(distinct.count() / list_rows)))
+    model = {"centroids": fit_lists(sample, lists, seed), "rotation": rotation(dim, seed + 1)}
     fitted = spark.sparkContext.broadcast(model)
     coded = stage(distinct.mapInArrow(_coder(fitted), "list int, k1 long, k2 long, ids array<long>, vector binary, code binary, length double, own double"), "ann-codes")
 
-    # at most MOST_LISTS rows come to the driver here and below
-    stats = {r["list"]: (r["n"], r["far"]) for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.expr("sqrt(avg(length * length))").alias("far")).collect()}
-    radius = np.full(len(centroids), -np.inf)
-    for i, (_, far) in stats.items():
-        radius[i] = far
-    routed_model = spark.sparkContext.broadcast(model | {"radius": np.where(np.isfinite(radius), radius / math.sqrt(dim) * 2.5, -np.inf)})
-    qv = distinct.join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "embedding")
-    routed = stage(qv.mapInArrow(_router(routed_model, probes), "list int, k1 long, k2 long, vector binary"), "ann-routed")
-    visits = {r["list"]: r["count"] for r in routed.groupBy("list").count().collect()}
-    shape = [(i, math.ceil(nr / BLOCK_ROWS), math.ceil(visits.get(i, 0) / BLOCK_QUERIES)) for i, (nr, _) in stats.items() if visits.get(i)]
-    shape = F.broadcast(spark.createDataFrame(shape or [(-1, 1, 1)], "list int, rb int, qb int"))
-    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    rows = coded.join(shape, "list").withColumn("r", F.pmod("k1", F.col("rb")).cast("int")).withColumn("q", span("qb")).select(
-        "list", "r", "q", "ids", "vector", "code", "length", "own")
-    ask = routed.join(shape, "list").withColumn("q", F.pmod("k2", F.col("qb")).cast("int")).withColumn("r", span("rb")).select(
-        "list", "r", "q", "k1", "k2", "vector")
-    found = rows.groupBy("list", "r", "q").cogroup(ask.groupBy("list", "r", "q")).applyInPandas(
-        _searcher(routed_model, k + 1, eps), "k1 long, k2 long, score double, ids array<long>")
+    # one row per list, MOST_LISTS at most
+    sizes, radius = np.zeros(len(model["centroids"]), np.int64), np.full(len(model["centroids"]), -np.inf)
+    for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("far")).collect():
+        sizes[r["list"]], radius[r["list"]] = r["n"], r["far"]
+    bundle_of = _bundles(sizes)
+    bundle_rows = {int(b): int(sizes[bundle_of == b].sum()) for b in np.unique(bundle_of)}
+    coded = coded.withColumn("bundle", F.element_at(F.lit([int(b) for b in bundle_of]), F.col("list") + 1).cast("int"))
+    shared = spark.sparkContext.broadcast(model | {"radius": radius})
+    routes = "bundle int, k1 long, k2 long, vector binary, home int, need double"
+
+    vectors = distinct.join(asked.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", "embedding")
+    start = vectors.withColumns({"home": F.lit(-1), "need": F.lit(float("-inf"))})
+    routed = stage(start.mapInArrow(_router(shared, bundle_of), routes), "ann-home")
+    near = stage(_top(_search(coded, routed, bundle_rows, shared, k + 1, eps, True), k + 1), "ann-near")
+    need = near.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select(
+        "k1", "k2", F.when(F.col("n") > k, F.col("least")).otherwise(float("-inf")).alias("need"))
+    again = vectors.join(routed.select("k1", "k2", "home"), ["k1", "k2"]).join(need, ["k1", "k2"], "left").withColumn("need", F.coalesce("need", F.lit(float("-inf"))))
+    others = stage(again.select("k1", "k2", "embedding", "home", "need").mapInArrow(_router(shared, bundle_of), routes), "ann-others")
+    far = _search(coded, others, bundle_rows, shared, k + 1, eps, False)
 
     # k + 1 for each distinct query vector, as it may be among its own results
-    order = [F.desc("score"), F.col("vec_id")]
-    best = (found.select("k1", "k2", "score", F.explode("ids").alias("vec_id"))
-            .withColumn("rn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(*order))).where(F.col("rn") <= k + 1).drop("rn"))
-    best = stage(best, "ann-best")
-    out = asked.join(best, ["k1", "k2"]).where("id <> vec_id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    both = near.select("k1", "k2", "score", F.array("vec_id").alias("ids")).unionByName(far)
+    best = stage(_top(both, k + 1), "ann-best")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), F.col("vec_id")))
+    out = asked.join(best, ["k1", "k2"]).where("id <> vec_id").withColumn("rank", rank)
     return out.where(F.col("rank") <= k).select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
