@@ -34,6 +34,8 @@ without words, have no shingles, link with nothing and are their own component.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,7 +51,7 @@ SAMPLE_TEXTS, COMMON_IN, COMMON_MOST = 3000, 4, 1 << 17
 #: Members of one signature group that are compared in one task.
 BLOCK = 256
 
-_FEATURES = "doc_id long, n_shingles long, f1 long, f2 long"
+_FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
 
 
 def _fingerprint(h: np.ndarray) -> tuple[int, int]:
@@ -59,13 +61,30 @@ def _fingerprint(h: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A parity bit for each of 2 to 4 buckets a shingle, at least 64: every
+    shingle flips the bit of its top hash bits.  Two sets' sketches differ in at
+    most |A xor B| bits, so too many differing bits rule a link out."""
+    bits = max(6, (2 * max(len(h), 1) - 1).bit_length())
+    return np.packbits((np.bincount((h >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(bool), bitorder="little").view("<u8")
+
+
+def folded(s: np.ndarray, words: int) -> np.ndarray:
+    """A sketch (or rows of them) at a lower resolution: neighbouring buckets in
+    one."""
+    while s.shape[-1] > words:
+        bits = np.unpackbits(np.ascontiguousarray(s).view(np.uint8), axis=-1, bitorder="little")
+        s = np.packbits(bits[..., ::2] ^ bits[..., 1::2], axis=-1, bitorder="little").view("<u8")
+    return s
+
+
 def _features(batches):
     hasher = WordHasher()
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = [(len(h), *_fingerprint(h)) for h in hasher.sets(part.column(1))]
-            n, a, b = (pa.array(x, pa.int64()) for x in zip(*rows))
-            yield pa.RecordBatch.from_arrays([part.column(0), n, a, b], ["doc_id", "n_shingles", "f1", "f2"])
+            rows = [(len(h), *_fingerprint(h), sketch(h).tobytes()) for h in hasher.sets(part.column(1))]
+            n, a, b = (pa.array([r[i] for r in rows], pa.int64()) for i in range(3))
+            yield pa.RecordBatch.from_arrays([part.column(0), n, a, b, pa.array([r[3] for r in rows], pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sketch"])
 
 
 def partitions(band: int) -> int | None:
@@ -183,6 +202,72 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
 
+def can_link(n: int, m: int, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether sizes and sketches leave a link possible."""
+    if 4 * min(n, m) < 3 * max(n, m):
+        return False
+    w = min(len(a), len(b))
+    return 7 * int(np.bitwise_count(folded(a, w) ^ folded(b, w)).sum()) <= n + m
+
+
+def _sift(batches):
+    """Pairs whose sizes and sketches leave a link possible."""
+    for batch in batches:
+        c = [batch.column(batch.schema.get_field_index(k)) for k in ("u", "v", "nu", "nv", "su", "sv")]
+        keep = [can_link(n, m, np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) for n, m, a, b in zip(*(x.to_pylist() for x in c[2:]))]
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([c[0].filter(mask), c[1].filter(mask)], ["u", "v"])
+
+
+def _close_pairs(n, comp, side, sketches) -> np.ndarray:
+    """Which members of one block may link with a member of another component,
+    by sizes and sketches."""
+    words = np.array([len(x) for x in sketches]) // 8
+    table = {w: np.frombuffer(b"".join(sketches[i] for i in np.flatnonzero(words == w)), "<u8").reshape(-1, w) for w in np.unique(words).tolist()}
+    wanted = np.zeros(len(n), bool)
+    for w, left in table.items():
+        i = np.flatnonzero(words == w)
+        # linked sets differ in size by a third at most, so in resolution by one step
+        for other in (w, 2 * w):
+            if other not in table:
+                continue
+            j, right = np.flatnonzero(words == other), folded(table[other], w)
+            step = max(1, (1 << 20) // (len(j) * w))
+            for lo in range(0, len(i), step):
+                k = i[lo: lo + step]
+                total = n[k][:, None] + n[j]
+                ok = (comp[k][:, None] != comp[j]) & ((side[k][:, None] != side[j]) | (side[k][:, None] == 2))
+                ok &= 7 * np.minimum(n[k][:, None], n[j]) >= 3 * total
+                if ok.any():
+                    ok &= 7 * np.bitwise_count(left[lo: lo + step, None] ^ right[None]).sum(2, dtype=np.int64) <= total
+                    wanted[k[ok.any(1)]] = True
+                    wanted[j[ok.any(0)]] = True
+    return wanted
+
+
+def _possible(batches):
+    """Rows sorted by (sig, bi, bj), a block each: those that may link with a
+    member of another component.  Holds one block besides the batch."""
+    names, rest = ["sig", "bi", "bj", "rep", "comp", "side"], None
+    for batch in itertools.chain(batches, (None,)):
+        part = batch if rest is None else rest if batch is None else pa.concat_batches([rest, batch])
+        if part is None or not part.num_rows:
+            continue
+        col = {k: part.column(part.schema.get_field_index(k)) for k in [*names, "n", "sketch"]}
+        v = {k: np.asarray(col[k]) for k in [*names, "n"]}
+        new = (v["sig"][1:] != v["sig"][:-1]) | (v["bi"][1:] != v["bi"][:-1]) | (v["bj"][1:] != v["bj"][:-1])
+        at = np.concatenate(([0], np.flatnonzero(new) + 1, [part.num_rows]))
+        done = len(at) - 1 if batch is None else len(at) - 2
+        rest = part.slice(int(at[done]))
+        wanted, sketches = np.zeros(part.num_rows, bool), col["sketch"].to_pylist()
+        for lo, hi in zip(at[:done].tolist(), at[1: done + 1].tolist()):
+            if hi - lo > 1:
+                wanted[lo:hi] = _close_pairs(v["n"][lo:hi], v["comp"][lo:hi], v["side"][lo:hi], sketches[lo:hi])
+        if wanted.any():
+            mask = pa.array(wanted)
+            yield pa.RecordBatch.from_arrays([col[k].filter(mask) for k in names], names)
+
+
 def _compare_block(pdf):
     """Links between members of different components; once two components are
     linked here, their other pairs are left out."""
@@ -257,6 +342,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                  .where("h.rep < last").select("sig", F.col("h.rep").alias("head"), F.col("h.n").alias("hn")), "jaccard-heads")
     star = stage(groups.join(head, "sig").where("rep > head AND 4 * n >= 3 * hn AND 4 * hn >= 3 * n")
                  .select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct(), "jaccard-star")
+    # of rows that share an id any sketch may be the one that links
+    sketches = sets.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch")
+    star = (star.join(sketches.toDF("v", "nv", "sv"), "v").join(sketches.toDF("u", "nu", "su"), "u")
+            .mapInArrow(_sift, "u long, v long"))
+    star = stage(star.distinct(), "jaccard-sifted")
     blobs = _candidate_sets(named, star.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     pairs = (star.join(blobs.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
              .join(blobs.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u"))
@@ -278,8 +368,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
                 .select("sig", "rep", "comp", F.least("blk", "o").alias("bi"), F.greatest("blk", "o").alias("bj"),
                         F.when(F.col("nb") == 1, 2).when(F.col("blk") < F.col("o"), 0).when(F.col("blk") > F.col("o"), 1).otherwise(2).alias("side")))
-        sets2 = _candidate_sets(named, tagged.join(open_groups, "sig", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-        more = (rest.join(sets2.withColumnRenamed("doc_id", "rep"), "rep")
+        rows = (rest.join(sketches, "rep").repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj")
+                .mapInArrow(_possible, "sig long, bi int, bj int, rep long, comp long, side int"))
+        close = stage(rows.distinct(), "jaccard-close")
+        # blocks that came down to the same members are one
+        once = (close.groupBy("sig", "bi", "bj").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep", "side").cast("decimal(38,0)")).alias("who"))
+                .groupBy("m", "who").agg(F.min(F.struct("sig", "bi", "bj")).alias("k")).select("k.*"))
+        close = stage(close.join(once, ["sig", "bi", "bj"]), "jaccard-close-once")
+        sets2 = _candidate_sets(named, close.select(F.col("rep").alias("doc_id")).distinct())
+        more = (close.join(sets2.withColumnRenamed("doc_id", "rep"), "rep")
                 .groupBy("sig", "bi", "bj").applyInPandas(_compare_block, "u long, v long"))
         links2 = stage(more, "jaccard-links2")
         old = label.select(F.col("comp").alias("u"), "v")
