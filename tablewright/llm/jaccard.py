@@ -49,7 +49,7 @@ from tablewright.llm.textvec import U, WordHasher, mix
 #: them a shingle counts as common.  Both steer cost only.
 SAMPLE_TEXTS, COMMON_IN, COMMON_MOST = 3000, 4, 1 << 17
 #: Members of one signature group that are compared in one task.
-BLOCK = 256
+BLOCK = 1024
 
 _FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"
 
