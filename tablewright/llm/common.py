@@ -26,6 +26,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Make the session send Python no more than BATCH_BYTES at once (a longer
+    single row still goes whole), so a worker's memory doesn't follow the
+    number of rows in a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != str(BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def with_id(df: DataFrame, id_col: str) -> DataFrame:
     """The id as long; a missing id column is an error worth a clear message."""
     if id_col not in df.columns:
@@ -37,7 +50,8 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Only the id and the text (null: empty), under fixed names, so that extra
     columns, whatever their names, can't clash."""
     with_id(with_id(df, id_col), text_col)
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    small_batches(df.sparkSession)
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
 def flat(arr) -> tuple[np.ndarray, np.ndarray]:
@@ -68,5 +82,20 @@ def slices(batch, column: str, limit: int = 1 << 21):
         lo = hi
 
 
+def text_udf(make, kind: str):
+    """A column function of a text column, whole Arrow arrays at a time.
+    ``make()`` runs once per task and returns array -> array of results."""
+    from collections.abc import Iterator
+
+    def run(arrays):
+        one = make()
+        for arr in arrays:
+            batch = pa.record_batch([arr], names=["text"])
+            yield pa.concat_arrays([one(part.column(0)) for part in slices(batch, "text")]) if len(arr) else one(arr)
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import empty, id_text, slices, with_id
+from tablewright.llm.common import empty, id_text, slices, small_batches, text_udf, with_id
 
 #: Edits allowed a character, least length for edits, characters of items in a block.
 ERROR, SHORT, BLOCK_CHARS = 0.1, 24, 4 << 20
@@ -187,41 +187,46 @@ def _finder(items, error: float):
     return run
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, t) of the items with a text, and into how many blocks they go."""
+    with_id(with_id(benchmark, item_col), text_col)
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t IS NOT NULL")
+    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    return items, -(-chars // BLOCK_CHARS)
+
+
+def _block(items: DataFrame, block: int, blocks: int):
+    """About BLOCK_CHARS characters of items, broadcast."""
+    rows = items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == block).collect()
+    return items.sparkSession.sparkContext.broadcast([(r["id"], r["t"]) for r in rows])
+
+
 def find_items(df: DataFrame, benchmark: DataFrame, error: float = ERROR, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, start, end
     (code points of the text, end exclusive), distance, item_chars."""
     spark = df.sparkSession
-    with_id(with_id(benchmark, item_col), item_text_col)
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("t IS NOT NULL")
-    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-size // BLOCK_CHARS)
+    items, blocks = _items(benchmark, item_col, item_text_col)
     docs, out = id_text(df, id_col, text_col), None
     for b in range(blocks):
-        part = [(r["id"], r["t"]) for r in items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()]
-        found = docs.mapInArrow(_finder(spark.sparkContext.broadcast(part), error), HIT)
+        found = docs.mapInArrow(_finder(_block(items, b, blocks), error), HIT)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else empty(spark, HIT)
 
 
-def _dropper(items, error: float, names: list[str]):
-    def run(batches):
-        matcher = Matcher(items.value, error)
-        for batch in batches:
-            for part in slices(batch, names[-1]):
-                keep = pa.array([not matcher.hits(t) for t in part.column(len(names) - 1).to_pylist()], pa.bool_())
-                yield part.filter(keep)
-    return run
-
-
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, error: float = ERROR, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that hold an item; columns as they were."""
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").cast("string").alias("t")).where("t IS NOT NULL")
-    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-size // BLOCK_CHARS)
-    names = [f"c{i}" for i in range(len(df.columns))]
-    rows = df.toDF(*names).withColumn("t", F.coalesce(F.col(names[df.columns.index(text_col)]).cast("string"), F.lit("")))
+    """``df`` without the rows that hold an item; columns as they were.  Only the
+    texts go to Python, only flags come back."""
+    small_batches(df.sparkSession)
+    items, blocks = _items(benchmark, item_col, item_text_col)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     for b in range(blocks):
-        part = [(r["id"], r["t"]) for r in items.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()]
-        rows = rows.mapInArrow(_dropper(df.sparkSession.sparkContext.broadcast(part), error, rows.columns), rows.schema)
-    return rows.drop("t").toDF(*df.columns)
+        df = df.where(~_holds(_block(items, b, blocks), error)(text))
+    return df
+
+
+def _holds(items, error: float):
+    def make():
+        matcher = Matcher(items.value, error)
+        return lambda arr: pa.array([bool(matcher.hits(t)) for t in arr.to_pylist()], pa.bool_())
+    return text_udf(make, "boolean")

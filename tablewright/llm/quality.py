@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import flat, id_text, slices, stage
+from tablewright.llm.common import flat, id_text, slices, small_batches, stage, text_udf
 from tablewright.llm.textvec import U, WordHasher, mix
 
 #: Most labelled rows that the fit reads (ids in hash order).
@@ -181,16 +181,6 @@ def _scorer(model):
     return run
 
 
-def _row_scorer(model, schema_names, text_at: int):
-    def run(batches):
-        m, hasher = model.value, WordHasher()
-        for batch in batches:
-            for part in slices(batch, schema_names[text_at], 1 << 20):
-                s = predict(m, statistics(part.column(text_at), hasher))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*schema_names, "_score"])
-    return run
-
-
 def held_out(doc_id):
     """Whether a row is kept from learning."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -217,10 +207,14 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_good(df: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that the classifier accepts, all columns as they were."""
-    from pyspark.sql import types as T
-    names = [f"c{i}" for i in range(len(df.columns))]
-    rows = df.toDF(*names).withColumn("t", F.coalesce(F.col(names[df.columns.index(text_col)]).cast("string"), F.lit("")))
-    schema = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())])
+    """The rows of ``df`` that the classifier accepts, all columns as they were.
+    Only the texts go to Python, only scores come back."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_row_scorer(shared, [*names, "t"], len(names)), schema).where(F.col("_score") >= THRESHOLD).select(*names).toDF(*df.columns)
+
+    def make():
+        m, hasher = shared.value, WordHasher()
+        return lambda arr: pa.array(predict(m, statistics(arr, hasher)))
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return df.where(text_udf(make, "double")(text) >= THRESHOLD)
