@@ -4,12 +4,11 @@ a counting pass) over the whole input."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.parse import parse_num, parse_ts
-from tablewright.operators.stats import AGG_CHUNK, fence_stats, freq_quantiles, freq_table, quantiles
+from tablewright.operators.stats import AGG_CHUNK, fence_stats, iqr_fences, quantiles
 from tablewright.schema import numeric_cols, q, text_cols
 
 
@@ -114,23 +113,14 @@ def audit_outliers(df: DataFrame) -> DataFrame:
     """(column, outliers, outlier_pct): values outside Q1-1.5 IQR .. Q3+1.5 IQR
     (strict on both sides), share of non-null values; IQR 0 -> 0 outliers.
 
-    One pass over the rows (the frequency table); quartiles and the counts
-    outside the fences are then small jobs over that table."""
+    Exact quartiles, then one aggregate for the counts outside the fences."""
     cols = numeric_cols(df)
     spark = df.sparkSession
     schema = "column string, outliers long, outlier_pct double"
     if not cols:
         return spark.createDataFrame([], schema)
-    freq = freq_table(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        qs: dict = {}
-        for r in freq_quantiles(freq, [0.25, 0.75]):
-            qs.setdefault(r["column"], {})[r["p"]] = r["value"]
-        bounds = {c: (v[0.25] - 1.5 * (v[0.75] - v[0.25]), v[0.75] + 1.5 * (v[0.75] - v[0.25]))
-                  for c, v in qs.items()}
-        fs = fence_stats(freq, bounds)
-    finally:
-        freq.unpersist()
+    qs = quantiles(df, cols, [0.25, 0.75])
+    fs = fence_stats(df, iqr_fences(qs))
     rows = []
     for c in cols:
         if c not in fs:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.ranks import running_weight
-from tablewright.operators.stats import AGG_CHUNK, SMALL_FREQ_ROWS, pearson_exprs
+from tablewright.operators.stats import AGG_CHUNK, pearson_exprs
 from tablewright.schema import as_double
 from tablewright.session import ship_by_value
 
@@ -80,18 +80,12 @@ def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # ---- ranks -----------------------------------------------------------------
 
-# Rank tables up to this many distinct values are broadcast to the row side
-# (the count is known before the join, so the size bound is proven).
-BROADCAST_RANK_ROWS = 2_000_000
-
-
-def avg_rank_table(vals: DataFrame, value_col: str = "value") -> tuple[DataFrame, int]:
-    """((value, rank), distinct count): average 1-based rank of each value."""
+def avg_rank_table(vals: DataFrame, value_col: str = "value") -> DataFrame:
+    """(value, rank): average 1-based rank of each value."""
     freq = vals.groupBy(value_col).agg(F.count(F.lit(1)).alias("count")).withColumn("_g", F.lit(0))
-    n_distinct = freq.count()
-    off = running_weight(freq, ["_g"], [value_col], "count", small=n_distinct <= SMALL_FREQ_ROWS, rows=n_distinct)
+    off = running_weight(freq, ["_g"], [value_col], "count")
     ranks = off.select(value_col, (F.col("_below") + (F.col("count") + F.lit(1)) / F.lit(2.0)).alias("rank"))
-    return ranks, n_distinct
+    return ranks
 
 
 def _ranked(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -99,11 +93,10 @@ def _ranked(df: DataFrame, cols: list[str]) -> DataFrame:
     base = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     out = base
     for i, _ in enumerate(cols):
-        rt, nd = avg_rank_table(base.select(F.col(f"v{i}").alias("value")).filter("value IS NOT NULL"))
+        rt = avg_rank_table(base.select(F.col(f"v{i}").alias("value")).filter("value IS NOT NULL"))
         rt = rt.withColumnRenamed("value", f"v{i}").withColumnRenamed("rank", f"r{i}")
-        # small rank table: broadcast (no shuffle of the rows, hot values harmless);
-        # otherwise a shuffle join that AQE splits when one value is hot
-        out = out.join(F.broadcast(rt) if nd <= BROADCAST_RANK_ROWS else rt, on=f"v{i}", how="left")
+        # adaptive execution picks the join from run-time sizes and splits a hot value
+        out = out.join(rt, on=f"v{i}", how="left")
     return out
 
 
@@ -144,16 +137,12 @@ def _spearman_pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
                    .withColumn("side", F.lit("x"))
                  .unionByName(pf.groupBy("pair", F.col("y").alias("value")).agg(F.sum("w").alias("count"))
                    .withColumn("side", F.lit("y"))))
-        n_rows = sides.count()
-        off = running_weight(sides, ["pair", "side"], ["value"], "count", small=n_rows <= SMALL_FREQ_ROWS,
-                             rows=n_rows)
+        off = running_weight(sides, ["pair", "side"], ["value"], "count")
         rk = off.select("pair", "side", "value",
                         (F.col("_below") + (F.col("count") + F.lit(1)) / F.lit(2.0)
                          - (F.col("_total") + F.lit(1)) / F.lit(2.0)).alias("rc"))
         rx = rk.filter("side = 'x'").select("pair", F.col("value").alias("x"), F.col("rc").alias("rx"))
         ry = rk.filter("side = 'y'").select("pair", F.col("value").alias("y"), F.col("rc").alias("ry"))
-        if n_rows <= BROADCAST_RANK_ROWS:
-            rx, ry = F.broadcast(rx), F.broadcast(ry)
         j = pf.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
         w = F.col("w")
         got = (j.groupBy("pair")
@@ -295,15 +284,11 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
                        .select("pair", "side", F.explode("e").alias("value"), F.lit(1).alias("is_edge")))
             tbl = (values.select("pair", "side", "value", F.lit(0).alias("is_edge")).unionByName(edges)
                          .groupBy("pair", "side", "value").agg(F.max("is_edge").alias("is_edge")))
-            n_tbl = tbl.count()
-            ranked = running_weight(tbl, ["pair", "side"], ["value"], "is_edge", small=n_tbl <= SMALL_FREQ_ROWS,
-                                    rows=n_tbl)
+            ranked = running_weight(tbl, ["pair", "side"], ["value"], "is_edge")
             blocks = ranked.select("pair", "side", "value",
                                    (F.col("_below") * 2 + F.col("is_edge")).cast("long").alias("b"))
             bx = blocks.filter("side = 'x'").select("pair", F.col("value").alias("x"), F.col("b").alias("bx"))
             by = blocks.filter("side = 'y'").select("pair", F.col("value").alias("y"), F.col("b").alias("by"))
-            if n_tbl <= BROADCAST_RANK_ROWS:
-                bx, by = F.broadcast(bx), F.broadcast(by)
             blk = w3.join(bx, ["pair", "x"]).join(by, ["pair", "y"])
         else:
             blk = w3.withColumn("bx", F.lit(0).cast("long")).withColumn("by", F.lit(0).cast("long"))

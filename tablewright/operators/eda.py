@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.scalars import bin_edges, hist_bin, to_text
 from tablewright.operators.audit import missing_table
-from tablewright.operators.stats import fence_stats, freq_quantiles, freq_table, nunique
+from tablewright.operators.stats import fence_stats, freq_table, iqr_fences, nunique, quantiles
 from tablewright.schema import as_double, categorical_cols, dtype_name, numeric_cols, q
 
 
@@ -90,22 +90,14 @@ def histograms(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
 def boxplot(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, n, q1, median, q3, whisker_lo, whisker_hi, fliers_lo, fliers_hi):
     whiskers are the most extreme values inside Q1-1.5 IQR .. Q3+1.5 IQR,
-    fliers the counts outside.  One pass over the rows (frequency table)."""
+    fliers the counts outside.  Exact quartiles, then one aggregate."""
     spark = df.sparkSession
     schema = ("column string, n long, q1 double, median double, q3 double, "
               "whisker_lo double, whisker_hi double, fliers_lo long, fliers_hi long")
     if not cols:
         return spark.createDataFrame([], schema)
-    freq = freq_table(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        qs: dict = {}
-        for r in freq_quantiles(freq, [0.25, 0.5, 0.75]):
-            qs.setdefault(r["column"], {})[r["p"]] = r["value"]
-        bounds = {c: (v[0.25] - 1.5 * (v[0.75] - v[0.25]), v[0.75] + 1.5 * (v[0.75] - v[0.25]))
-                  for c, v in qs.items()}
-        fs = fence_stats(freq, bounds)
-    finally:
-        freq.unpersist()
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75])
+    fs = fence_stats(df, iqr_fences(qs))
     rows = [(c, int(fs[c]["n"]), qs[c][0.25], qs[c][0.5], qs[c][0.75], fs[c]["whisker_lo"], fs[c]["whisker_hi"],
              int(fs[c]["below"]), int(fs[c]["above"])) for c in cols if c in fs]
     return spark.createDataFrame(rows, schema)

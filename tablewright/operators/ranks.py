@@ -1,20 +1,18 @@
 """Ordered positions without a single-task window.
 
 ``Window.orderBy`` without a partition key (or partitioned by a column name
-in a long table) sends a whole column to one task.  The helpers here give the
-same answer -- for every row, the total weight of the rows before it in its
-group -- with work split by value range:
+in a long table) sends a whole column to one task.  ``running_weight`` gives
+the same answer -- for every row, the total weight of the rows before it in its
+group -- with work split by value range, at every size:
 
-1. the input is range-partitioned on (group, order...) and tagged with its
-   partition id, then checkpointed into the shared checkpoint folder so the
-   tags cannot change if an executor is lost and the stage is recomputed;
+1. the input is range-partitioned on (group, order...), tagged with its
+   partition id and written to the shared folder, so the tags cannot change if
+   an executor is lost and the stage is recomputed;
 2. per (partition, group) totals -- at most partitions + groups rows, a proven
    bound -- give each slice's offset by a window over that small table;
 3. a window partitioned by (partition, group) gives local running sums; the
-   slices are balanced because the range partitioner sampled the keys.
-
-When the caller has checked that the whole input is small
-(``small=True``) a plain window partitioned by the group is used instead.
+   slices are balanced because the range partitioner sampled the keys, and a
+   slice larger than memory spills.
 """
 
 from __future__ import annotations
@@ -22,52 +20,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.session import checkpoint_dir
-
-
-# Target rows per range slice when the caller knows the input size.
-SLICE_ROWS = 2_000_000
-
-
-def slices_for(spark, rows: int | None) -> int:
-    """Number of range slices: the shuffle setting, more when the input is
-    large, so one slice's window stays around ``SLICE_ROWS`` rows."""
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if not rows:
-        return base
-    return max(base, -(-int(rows) // SLICE_ROWS))
+from tablewright.staging import staged
 
 
 def _range_slices(df: DataFrame, keys: list[str], n_slices: int | None) -> DataFrame:
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = n_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(max(1, n), *[F.col(k) for k in keys])
-                .withColumn("_slice", F.spark_partition_id()))
-    return tagged.checkpoint(eager=True)
+    n = n_slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(max(1, n), *[F.col(k) for k in keys])
+                    .withColumn("_slice", F.spark_partition_id()), "range-slices")
 
 
 def running_weight(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                   weight_col: str | None = None, small: bool = False,
-                   n_slices: int | None = None, rows: int | None = None) -> DataFrame:
+                   weight_col: str | None = None, n_slices: int | None = None) -> DataFrame:
     """Add ``_below`` (weight of earlier rows in the group) and ``_total``.
 
-    Order is ``order_cols`` ascending; rows with equal order keys are kept in a
-    deterministic order given by the same keys, so ``order_cols`` should make
-    rows unique (a frequency table or a key column).
+    Order is ``order_cols`` ascending; they should make rows unique (a frequency
+    table or a key column).  ``n_slices``: by default the session's number of
+    shuffle partitions.
     """
     w = F.col(weight_col) if weight_col else F.lit(1)
-    data = df.withColumn("_w", w.cast("long"))
     order = [F.col(c) for c in order_cols]
-    if small:
-        win = Window.partitionBy(*group_cols).orderBy(*order)
-        tot = Window.partitionBy(*group_cols)
-        return (data.withColumn("_below", F.coalesce(
-                    F.sum("_w").over(win.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                    .withColumn("_total", F.sum("_w").over(tot))
-                    .drop("_w"))
-
-    sliced = _range_slices(data, group_cols + order_cols, n_slices or slices_for(df.sparkSession, rows))
+    sliced = _range_slices(df.withColumn("_w", w.cast("long")), group_cols + order_cols, n_slices)
     per_slice = sliced.groupBy("_slice", *group_cols).agg(F.sum("_w").alias("_sw"))
     gw = Window.partitionBy(*group_cols).orderBy("_slice")
     offsets = (per_slice
@@ -78,7 +50,6 @@ def running_weight(df: DataFrame, group_cols: list[str], order_cols: list[str],
     local = Window.partitionBy("_slice", *group_cols).orderBy(*order)
     with_local = sliced.withColumn("_lb", F.coalesce(
         F.sum("_w").over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # offsets has at most (#slices + #groups) rows: broadcast is size-bounded.
-    out = with_local.join(F.broadcast(offsets), on=["_slice", *group_cols], how="inner")
+    out = with_local.join(offsets, on=["_slice", *group_cols], how="inner")
     return (out.withColumn("_below", F.col("_off") + F.col("_lb"))
                .drop("_off", "_lb", "_w", "_slice"))

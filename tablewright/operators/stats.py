@@ -7,16 +7,15 @@ order or by frequency.  Only per-column results (k rows) leave Spark.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.operators.ranks import running_weight
 from tablewright.schema import as_double, q
+from tablewright.staging import staged
 
-# Distinct (column, value) pairs up to which a frequency table is treated as
-# small enough for a per-column window; above it the range-sliced path runs.
-SMALL_FREQ_ROWS = 1_000_000
 # Aggregate expressions per generated ``agg`` (keeps codegen methods small).
 AGG_CHUNK = 120
 
@@ -52,84 +51,137 @@ def freq_table(df: DataFrame, cols: list[str], numeric: bool = True,
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
 
 
-def freq_quantiles(freq: DataFrame, probs: list[float], small: bool | None = None,
-                   rows: int | None = None) -> list:
-    """Exact quantiles from a (column, value, count) table: rows of
-    (column, p, n, value).  ``small`` (checked size) picks the per-column
-    window; otherwise the range-sliced running counts are used."""
-    if small is None:
-        rows = freq.count()
-        small = rows <= SMALL_FREQ_ROWS
-    off = running_weight(freq, ["column"], ["value"], "count", small=small, rows=rows)
-    n1 = F.col("_total") - F.lit(1)
-    hit = F.lit(False)
-    for p in probs:
-        k = F.floor(n1 * F.lit(float(p)))
-        for kk in (k, k + F.lit(1)):
-            hit = hit | ((F.col("_below") <= kk) & (kk < F.col("_below") + F.col("count")))
-    cand = off.filter(hit)
-    ex = cand.select("column", "value", "count", "_below", "_total",
-                     F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    pos = (F.col("_total") - F.lit(1)) * F.col("p")
-    ex = ex.withColumn("_pos", pos).withColumn("_k", F.floor(F.col("_pos")))
-    inside = lambda kk: (F.col("_below") <= kk) & (kk < F.col("_below") + F.col("count"))
-    res = (ex.groupBy("column", "p")
-             .agg(F.max(F.when(inside(F.col("_k")), F.col("value"))).alias("lo"),
-                  F.max(F.when(inside(F.col("_k") + F.lit(1)), F.col("value"))).alias("hi"),
-                  F.max("_total").alias("n"),
-                  F.max("_pos").alias("_pos"), F.max("_k").alias("_k")))
-    frac = F.col("_pos") - F.col("_k")
-    value = F.when((frac == 0) | F.col("hi").isNull(), F.col("lo")) \
-             .otherwise(F.col("lo") + frac * (F.col("hi") - F.col("lo")))
-    return res.select("column", "p", F.col("n").cast("long").alias("n"), value.alias("value")).collect()
-
-
-def fence_stats(freq: DataFrame, bounds: dict) -> dict:
-    """From a (column, value, count) table and per-column (lo, hi): values
-    below lo / above hi, the most extreme values inside, and n -- one small
-    aggregate over the frequency table, no pass over the rows."""
-    if not bounds:
-        return {}
-    lo_map = F.create_map(*[x for c, (lo, _) in bounds.items() for x in (F.lit(c), F.lit(float(lo)))])
-    hi_map = F.create_map(*[x for c, (_, hi) in bounds.items() for x in (F.lit(c), F.lit(float(hi)))])
-    lo, hi = F.element_at(lo_map, F.col("column")), F.element_at(hi_map, F.col("column"))
-    v, w = F.col("value"), F.col("count")
-    rows = (freq.filter(F.col("column").isin(list(bounds)))
-                .groupBy("column")
-                .agg(F.sum(F.when(v < lo, w).otherwise(0)).alias("below"),
-                     F.sum(F.when(v > hi, w).otherwise(0)).alias("above"),
-                     F.min(F.when(v >= lo, v)).alias("whisker_lo"),
-                     F.max(F.when(v <= hi, v)).alias("whisker_hi"),
-                     F.sum(w).alias("n")).collect())
-    return {r["column"]: r.asDict() for r in rows}
-
-
-def add_weight(freq: DataFrame, extra: dict) -> DataFrame:
-    """Frequency table with ``extra[column] = (value, count)`` added -- e.g.
-    the rows a median imputation fills in."""
-    if not extra:
-        return freq
-    spark = freq.sparkSession
-    add = spark.createDataFrame([(c, float(v), int(n)) for c, (v, n) in extra.items()],
-                                "column string, value double, count long")
-    return (freq.unionByName(add).groupBy("column", "value").agg(F.sum("count").alias("count")))
+# Sketch accuracy of the first bracket around a rank, and the distinct values
+# up to which a bracket is put in order; wider brackets are narrowed first.
+SKETCH_ACCURACY = 10_000
+BRACKET_VALUES = 100_000
 
 
-def quantile_table(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Exact quantiles, linear interpolation at position (n-1)p of the sorted
-    non-null values (pandas ``quantile`` / SQL ``quantile_cont``).
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> list[dict]:
+    """Exact quantiles with linear interpolation at position (n-1)p of the sorted
+    non-null values, as dicts (column, p, n, value); all-null columns give none.
 
-    Returns (column, p, n, value).  Work is distributed over the frequency table;
-    see ``ranks.running_weight``.
+    A rank sketch brackets each wanted position between two values of the
+    column; one aggregate counts the values below and inside every bracket, so
+    a bracket that misses its position is seen and widened.  Only values inside
+    a bracket are then grouped (about n / 1,000 of them, a repeated value once)
+    and narrowed by counting until few are left to order.  No shuffle carries
+    the columns themselves.
     """
-    freq = freq_table(df, cols, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = freq_quantiles(freq, probs)
-    finally:
-        freq.unpersist()
+    if not cols:
+        return []
+    values = {c: as_double(df, c) for c in cols}
+    probs = [float(p) for p in probs]
+    wanted = {}  # (column index, prob index) -> bracket
+    width = 4.0 / SKETCH_ACCURACY
+    row = agg_chunks(df, [e for i, c in enumerate(cols) for e in (
+        F.count(values[c]).alias(f"n{i}"),
+        F.percentile_approx(values[c], [x for p in probs for x in (max(0.0, p - width), min(1.0, p + width))], SKETCH_ACCURACY).alias(f"b{i}"))])
+    n = {i: row[f"n{i}"] for i in range(len(cols))}
+    for i in range(len(cols)):
+        for j, p in enumerate(probs):
+            if n[i]:
+                lo, hi = row[f"b{i}"][2 * j], row[f"b{i}"][2 * j + 1]
+                wanted[i, j] = (lo if p > width else float("-inf"), hi if p < 1 - width else float("inf"))
+    if not wanted:
+        return []
+    position = {k: (n[k[0]] - 1) * probs[k[1]] for k in wanted}
+    below = {}
+    while True:
+        counts = agg_chunks(df, [e for k, (lo, hi) in wanted.items() for e in (
+            F.count_if(values[cols[k[0]]] < F.lit(lo)).alias(f"lo_{k[0]}_{k[1]}"),
+            F.count_if(values[cols[k[0]]] <= F.lit(hi)).alias(f"hi_{k[0]}_{k[1]}"))])
+        missed = []
+        for k in wanted:
+            below[k] = counts[f"lo_{k[0]}_{k[1]}"]
+            first = math.floor(position[k])
+            if below[k] > first or counts[f"hi_{k[0]}_{k[1]}"] < min(first + 2, n[k[0]]):
+                missed.append(k)
+        if not missed:
+            break
+        for k in missed:
+            wanted[k] = (float("-inf"), float("inf"))
+    ids = {k: t for t, k in enumerate(sorted(wanted))}
+    inside = [F.when(values[cols[k[0]]].between(F.lit(lo), F.lit(hi)), F.struct(F.lit(ids[k]).alias("id"), values[cols[k[0]]].alias("value")))
+              for k, (lo, hi) in wanted.items()]
+    table = (df.select(F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("s")).select("s.*")
+             .groupBy("id", "value").agg(F.count(F.lit(1)).alias("count")))
     spark = df.sparkSession
-    return spark.createDataFrame(
-        [(r["column"], float(r["p"]), int(r["n"]), r["value"]) for r in rows],
+    rank = {ids[k]: (math.floor(position[k]) - below[k], n[k[0]] - 1 - below[k]) for k in wanted}
+    table = staged(table, "quantile-brackets")
+    table, rank = _narrowed(table, rank)
+    targets = spark.createDataFrame([(t, int(r), int(min(r + 1, last))) for t, (r, last) in rank.items()], "id int, k0 long, k1 long")
+    w = Window.partitionBy("id").orderBy("value")
+    run = table.withColumn("upto", F.sum("count").over(w)).withColumn("before", F.col("upto") - F.col("count")).join(F.broadcast(targets), "id")
+    at = lambda k: F.max(F.when((F.col("before") <= F.col(k)) & (F.col(k) < F.col("upto")), F.col("value")))
+    got = {r["id"]: r for r in run.groupBy("id").agg(at("k0").alias("lo"), at("k1").alias("hi")).collect()}
+    out = []
+    for k in sorted(wanted):
+        r, frac = got[ids[k]], position[k] - math.floor(position[k])
+        value = r["lo"] if frac == 0 else r["lo"] + frac * (r["hi"] - r["lo"])
+        out.append({"column": cols[k[0]], "p": probs[k[1]], "n": n[k[0]], "value": value})
+    return out
+
+
+def _narrowed(table: DataFrame, rank: dict) -> tuple[DataFrame, dict]:
+    """(id, value, count) and each id's wanted rank (and last rank) in it, cut
+    down by counting between approximate cuts until no id has more than
+    BRACKET_VALUES values."""
+    while True:
+        big = [r["id"] for r in table.groupBy("id").count().where(F.col("count") > BRACKET_VALUES).collect()]
+        if not big:
+            return table, rank
+        probs = [i / 64 for i in range(65)]
+        cuts = {r["id"]: sorted(set(r["c"])) for r in table.where(F.col("id").isin(big)).groupBy("id").agg(F.percentile_approx("value", probs, SKETCH_ACCURACY).alias("c")).collect()}
+        edges = table.sparkSession.createDataFrame([(t, c) for t, c in cuts.items()], "id int, cuts array<double>")
+        bins = table.join(F.broadcast(edges), "id", "left").withColumn(
+            "bin", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("value"))), F.lit(0)))
+        held: dict = {}
+        for r in bins.groupBy("id", "bin").agg(F.sum("count").alias("n")).orderBy("id", "bin").collect():
+            held.setdefault(r["id"], []).append((r["bin"], r["n"]))
+        keep, new = [], {}
+        for t, (k, last) in rank.items():
+            start, chosen, first = 0, [], 0
+            for b, m in held[t]:
+                if start + m > k and start <= min(k + 1, last):
+                    first = first if chosen else start
+                    chosen.append(b)
+                start += m
+            new[t] = (k - first, last - first)
+            keep.append((t, min(chosen), max(chosen)))
+        span = table.sparkSession.createDataFrame(keep, "id int, b0 int, b1 int")
+        before = table
+        table = staged(bins.join(F.broadcast(span), "id").where("bin BETWEEN b0 AND b1").select("id", "value", "count"), "quantile-brackets")
+        rank = new
+        if table.count() == before.count():
+            return table, rank
+
+
+def fence_stats(df: DataFrame, bounds: dict) -> dict:
+    """Per column of ``bounds`` (lo, hi): values below lo / above hi, the most
+    extreme values inside, and n, in one aggregate."""
+    if not bounds:
+        return {}
+    exprs = []
+    for i, (c, (lo, hi)) in enumerate(bounds.items()):
+        v = as_double(df, c)
+        exprs += [F.count_if(v < F.lit(float(lo))).alias(f"below{i}"), F.count_if(v > F.lit(float(hi))).alias(f"above{i}"),
+                  F.min(F.when(v >= F.lit(float(lo)), v)).alias(f"whisker_lo{i}"), F.max(F.when(v <= F.lit(float(hi)), v)).alias(f"whisker_hi{i}"),
+                  F.count(v).alias(f"n{i}")]
+    row = agg_chunks(df, exprs)
+    return {c: {k: row[f"{k}{i}"] for k in ("below", "above", "whisker_lo", "whisker_hi", "n")} for i, c in enumerate(bounds)}
+
+
+def iqr_fences(qs: dict) -> dict:
+    """{column: (Q1 - 1.5 IQR, Q3 + 1.5 IQR)} from {column: {p: value}}."""
+    return {c: (v[0.25] - 1.5 * (v[0.75] - v[0.25]), v[0.75] + 1.5 * (v[0.75] - v[0.25])) for c, v in qs.items()}
+
+
+def quantile_table(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """(column, p, n, value) of ``exact_quantiles`` (pandas ``quantile`` / SQL
+    ``quantile_cont``)."""
+    return df.sparkSession.createDataFrame(
+        [(r["column"], float(r["p"]), int(r["n"]), float(r["value"])) for r in exact_quantiles(df, cols, probs)],
         "column string, p double, n long, value double")
 
 
@@ -139,7 +191,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
     if not cols:
         return {}
     out: dict = {}
-    for r in quantile_table(df, cols, probs).collect():
+    for r in exact_quantiles(df, cols, probs):
         out.setdefault(r["column"], {})[r["p"]] = r["value"]
     return out
 
@@ -163,28 +215,22 @@ def modes(df: DataFrame, cols: list[str]) -> dict:
     return {c: got.get(c) for c in cols}
 
 
-def null_count_exprs(df: DataFrame, cols: list[str], prefix: str = "nulls__") -> list[Column]:
-    return [F.count_if(F.col(q(c)).isNull()).alias(prefix + c) for c in cols]
-
-
 def nunique(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, unique): distinct non-null values per column."""
-    from tablewright.schema import numeric_cols
-    num = [c for c in cols if c in set(numeric_cols(df))]
-    oth = [c for c in cols if c not in set(num)]
-    parts = []
-    if num:
-        parts.append(freq_table(df, num, numeric=True))
-    if oth:
-        parts.append(freq_table(df, oth, numeric=False)
-                     .withColumn("value", F.lit(None).cast("double")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    got = long.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    """(column, unique): distinct non-null values per column, compared in the
+    column's own type (NaN is missing, -0.0 is 0.0), counted from a (column,
+    value) table that is combined map-side, one branch per type."""
+    by_type: dict = {}
+    for c in cols:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    counts = None
+    for kind, same in by_type.items():
+        plain = kind not in ("float", "double")
+        val = lambda c: F.col(q(c)) if plain else as_double(df, c) + F.lit(0.0)  # noqa: B023, E731
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), val(c).alias("value")) for c in same]))).where("value IS NOT NULL")
+        part = long.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+        counts = part if counts is None else counts.unionByName(part)
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return names.join(got, "column", "left").select(
-        "column", F.coalesce("unique", F.lit(0)).cast("long").alias("unique"))
+    return names.join(counts, "column", "left").select("column", F.coalesce("unique", F.lit(0)).cast("long").alias("unique"))
 
 
 def approx_nunique(df: DataFrame, cols: list[str], rsd: float = 0.01) -> DataFrame:
@@ -224,10 +270,6 @@ def pearson_exprs(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(aa, bb), F.stddev_pop(aa) * F.stddev_pop(bb))
 
 
-# Repeated row hashes up to this many are broadcast to the row side.
-BROADCAST_HASHES = 5_000_000
-
-
 def row_hash(df: DataFrame) -> Column:
     """64-bit hash of a whole row, with floats normalised the way grouping
     compares them (-0.0 = 0.0, every NaN equal)."""
@@ -274,8 +316,7 @@ def _duplicates_among(df: DataFrame, hc: DataFrame, n_rep: int) -> int:
     if n_rep == 0:
         return 0
     rep = hc.filter("_n > 1").select("_h")
-    side = F.broadcast(rep) if n_rep <= BROADCAST_HASHES else rep
-    cand = df.withColumn("_h", row_hash(df)).join(side, "_h", "left_semi").drop("_h")
+    cand = df.withColumn("_h", row_hash(df)).join(rep, "_h", "left_semi").drop("_h")
     row = (cand.groupBy(*[F.col(q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
                .agg(F.sum(F.col("n") - F.lit(1)).alias("d")).collect()[0])
     return int(row["d"] or 0)

@@ -20,17 +20,16 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.parse import parse_num, parse_ts
 from tablewright.functions.scalars import clip as clip_expr
 from tablewright.operators.stats import (
-    SMALL_FREQ_ROWS, add_weight, agg_chunks, fence_stats, freq_quantiles, freq_table, modes,
+    agg_chunks, exact_quantiles, fence_stats, iqr_fences, modes, quantiles,
 )
 from tablewright.schema import as_double, is_numeric_type, q, text_cols
-from tablewright.session import checkpoint_dir
+from tablewright.staging import staged
 
 # The report keys, and the change labels of the summary table.
 REPORT_LISTS = [
@@ -152,9 +151,8 @@ class PrepPlan:
 
 def _materialize(df: DataFrame) -> DataFrame:
     """Cut lineage after the distinct: later statistics jobs read the written
-    copy instead of re-running the shuffle.  Uses the shared checkpoint dir."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    copy (columns pruned) instead of re-running the shuffle."""
+    return staged(df, "prepared-rows")
 
 
 def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) -> PrepPlan:
@@ -218,56 +216,33 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
         report["columns_dropped_for_missing"] = list(plan.drop)
         cur = cur.drop(*plan.drop)
 
-    # 5 + 7 share one frequency table of the numeric columns: medians from it,
-    # then the clip quartiles from it with each median added at its fill count,
-    # and the "would change" counts from the same table.
+    # 5 to 7: medians and modes of what is missing, then the quartiles and the
+    # "would change" counts of the filled rows.
     kinds = {f.name: f.dataType for f in cur.schema.fields}
     numeric = [c for c in cur.columns if is_numeric_type(kinds[c]) and not isinstance(kinds[c], T.BooleanType)]
     other = [c for c in cur.columns if c not in numeric]
     need_num = [c for c in numeric if nulls[c] > 0] if o.impute_numeric else []
-    freq = None
-    small, n_freq = True, 0
-    if numeric and (need_num or o.clip_outliers):
-        freq = freq_table(cur, numeric, numeric=True).persist(StorageLevel.MEMORY_AND_DISK)
-        # the adjusted table below has at most len(numeric) more rows
-        n_freq = freq.count() + len(numeric)
-        small = n_freq <= SMALL_FREQ_ROWS
-    try:
-        if o.impute_numeric:
-            med = {r["column"]: r["value"] for r in freq_quantiles(freq, [0.5], small, n_freq)
-                   if r["column"] in need_num} if need_num else {}
-            for c in need_num:
-                plan.fill_numeric[c] = med.get(c)
-            report["numeric_columns_imputed"] = list(need_num)
-        if o.impute_categorical:
-            need = [c for c in other if nulls[c] > 0]
-            md = modes(cur, need) if need else {}
-            for c in need:
-                v = md.get(c)
-                plan.fill_categorical[c] = "missing" if v is None else v
-            report["categorical_columns_imputed"] = list(need)
-        if o.clip_outliers and numeric:
-            filled = {c: (plan.fill_numeric[c], nulls[c]) for c in need_num if plan.fill_numeric.get(c) is not None}
-            adj = add_weight(freq, filled)
-            qs: dict = {}
-            for r in freq_quantiles(adj, [0.25, 0.75], small, n_freq):
-                qs.setdefault(r["column"], {})[r["p"]] = r["value"]
-            bounds = {}
-            for c in numeric:
-                if c not in qs:
-                    continue
-                q1, q3 = qs[c][0.25], qs[c][0.75]
-                if q3 - q1 == 0:
-                    continue
-                bounds[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-            fs = fence_stats(adj, bounds)
-            for c in numeric:
-                if c in bounds and (fs[c]["below"] + fs[c]["above"]) > 0:
-                    plan.clip[c] = bounds[c]
-            report["outlier_columns_clipped"] = list(plan.clip)
-    finally:
-        if freq is not None:
-            freq.unpersist()
+    if o.impute_numeric:
+        med = {r["column"]: r["value"] for r in exact_quantiles(cur, need_num, [0.5])}
+        for c in need_num:
+            plan.fill_numeric[c] = med.get(c)
+        report["numeric_columns_imputed"] = list(need_num)
+    if o.impute_categorical:
+        need = [c for c in other if nulls[c] > 0]
+        md = modes(cur, need) if need else {}
+        for c in need:
+            v = md.get(c)
+            plan.fill_categorical[c] = "missing" if v is None else v
+        report["categorical_columns_imputed"] = list(need)
+    if o.clip_outliers and numeric:
+        filled = plan._filled(cur)
+        qs = quantiles(filled, numeric, [0.25, 0.75])
+        bounds = {c: f for c, f in iqr_fences(qs).items() if qs[c][0.75] - qs[c][0.25] != 0}
+        fs = fence_stats(filled, bounds)
+        for c in numeric:
+            if c in bounds and fs[c]["below"] + fs[c]["above"] > 0:
+                plan.clip[c] = bounds[c]
+        report["outlier_columns_clipped"] = list(plan.clip)
     cur = plan._clipped(plan._filled(cur))
 
     report["final_rows"] = report["original_rows"] - report["duplicate_rows_removed"]

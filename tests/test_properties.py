@@ -33,9 +33,9 @@ def test_quantile_equals_numpy(spark, vals, p):
 def test_running_counts_both_paths(spark, vals, slices):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     freq = S.freq_table(df, ["v"])
-    a = {r["value"]: (r["_below"], r["_total"]) for r in running_weight(freq, ["column"], ["value"], "count", small=True).collect()}
+    a = {r["value"]: (r["_below"], r["_total"]) for r in running_weight(freq, ["column"], ["value"], "count", n_slices=1).collect()}
     b = {r["value"]: (r["_below"], r["_total"]) for r in
-         running_weight(freq, ["column"], ["value"], "count", small=False, n_slices=slices).collect()}
+         running_weight(freq, ["column"], ["value"], "count", n_slices=slices).collect()}
     assert a == b
     for v, (below, total) in a.items():
         assert below == sum(1 for x in vals if x < v) and total == len(vals)

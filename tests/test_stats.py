@@ -32,16 +32,16 @@ def test_quantiles_match_numpy_linear(spark):
 def test_running_weight_paths_agree(spark):
     df, _ = _frame(spark, seed=3, n=2000)
     freq = S.freq_table(df, ["x", "y", "z"])
-    small = {(r["column"], r["value"]): r["_below"] for r in
-             running_weight(freq, ["column"], ["value"], "count", small=True).collect()}
-    big = {(r["column"], r["value"]): r["_below"] for r in
-           running_weight(freq, ["column"], ["value"], "count", small=False, n_slices=5).collect()}
-    assert small == big
+    one = {(r["column"], r["value"]): r["_below"] for r in
+           running_weight(freq, ["column"], ["value"], "count", n_slices=1).collect()}
+    many = {(r["column"], r["value"]): r["_below"] for r in
+            running_weight(freq, ["column"], ["value"], "count", n_slices=5).collect()}
+    assert one == many
 
 
-def test_quantile_large_path(spark, monkeypatch):
+def test_quantile_narrow_brackets(spark, monkeypatch):
     df, pdf = _frame(spark, seed=5, n=3000)
-    monkeypatch.setattr(S, "SMALL_FREQ_ROWS", 10)
+    monkeypatch.setattr(S, "BRACKET_VALUES", 10)
     got = S.quantiles(df, ["y"], [0.25, 0.5, 0.75])
     v = pdf["y"].dropna().to_numpy()
     for p in [0.25, 0.5, 0.75]:
@@ -141,13 +141,17 @@ def test_approx_variants_close(spark):
     assert abs(q[0.5] - pdf["y"].median()) < 0.2
 
 
-def test_quantiles_many_slices(spark, monkeypatch):
-    import tablewright.operators.ranks as RK
+def test_quantiles_coarse_sketch(spark, monkeypatch):
     df, pdf = _frame(spark, seed=6, n=3000)
-    monkeypatch.setattr(S, "SMALL_FREQ_ROWS", 10)
-    monkeypatch.setattr(RK, "SLICE_ROWS", 50)
+    monkeypatch.setattr(S, "BRACKET_VALUES", 10)
+    monkeypatch.setattr(S, "SKETCH_ACCURACY", 20)
     got = S.quantiles(df, ["x", "y"], [0.1, 0.5, 0.9])
     for c in ["x", "y"]:
         v = pdf[c].dropna().to_numpy()
         for p in [0.1, 0.5, 0.9]:
             assert got[c][p] == pytest.approx(np.quantile(v, p))
+
+
+def test_nunique_in_the_own_type(spark):
+    df = spark.createDataFrame([(2 ** 53 + i, float("nan") if i % 2 else -0.0, None, "a") for i in range(10)] + [(None, 0.0, None, None)], "k long, x double, z string, s string")
+    assert {r["column"]: r["unique"] for r in S.nunique(df, ["k", "x", "z", "s"]).collect()} == {"k": 10, "x": 1, "z": 0, "s": 1}
