@@ -18,7 +18,7 @@ def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     """Rows with a target; error when none is left (checked with limit(1))."""
     out = df.dropna(subset=[target])
     if not out.limit(1).count():
-        raise ValueError("Target column contains only missing values.")
+        raise ValueError(f"no row has a value in {target}")
     return out
 
 

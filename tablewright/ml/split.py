@@ -4,10 +4,12 @@ Rows are ordered by a seeded hash of a key (or by a caller-given expression),
 numbered inside their class with ``ranks.running_weight`` -- range slices, no
 single-task window even for a class holding most rows -- then:
 
-* test = the first ceil(0.2 * n_class) rows of each class (stratified), or of
-  the whole table for regression;
+* test = ceil(0.2 * n) rows, dealt to the classes by their shares with largest
+  remainders (ties by class), the first rows of each class; for regression the
+  first rows of the table;
 * fold = contiguous blocks of the remaining rows in the same order, per class
-  for classification (stratified, unshuffled), over all rows for regression.
+  for classification (stratified, unshuffled), over all rows for regression;
+  the first blocks have one row more where the rows don't divide evenly.
 
 This is the same construction as an unshuffled stratified k-fold over a
 shuffled split; it does not reproduce another library's random draws.
@@ -40,14 +42,28 @@ def folds_count(task: str, class_train_counts: dict | None = None, n_train: int
     return max(2, min(5, n_train // 5))
 
 
+# Classes of a stratified target; more is not a classification target.
+MAX_SPLIT_CLASSES = 10_000
+
+
+def holdout_counts(counts: dict, test_size: float = TEST_SIZE) -> dict:
+    """Test rows of each class: ceil(test_size * n) in all, largest remainders."""
+    n = sum(counts.values())
+    total = math.ceil(test_size * n)
+    exact = {c: (total * v // n, total * v % n) for c, v in counts.items()}
+    spare = total - sum(f for f, _ in exact.values())
+    up = sorted(counts, key=lambda c: (-exact[c][1], str(c)))[:spare]
+    return {c: f + (c in up) for c, (f, _) in exact.items()}
+
+
 def assign_split_folds(df: DataFrame, target: str, task: str, order: Column | None = None,
                        tie_cols: list[str] | None = None, test_size: float = TEST_SIZE,
-                       folds: int | None = None, small: bool | None = None) -> tuple[DataFrame, dict]:
+                       folds: int | None = None) -> tuple[DataFrame, dict]:
     """Add ``_split`` ('train'/'test') and ``_fold`` (0..k-1, null on test).
 
     Returns (tagged DataFrame, info) with info = {folds, train_rows, test_rows,
-    class_counts}.  The tagged frame is checkpointed by the ranking step, so
-    later fits read it without recomputing the numbering.
+    class_counts}.  The ranking step writes its slices to the shared folder, so
+    later fits read them without recomputing the numbering.
     """
     order = order if order is not None else hash_order(df, tie_cols)
     ties = [F.col(q(c)) for c in (tie_cols or [])]
@@ -56,19 +72,18 @@ def assign_split_folds(df: DataFrame, target: str, task: str, order: Column | No
              .withColumn("_ord", order)
     for i, t in enumerate(ties):
         base = base.withColumn(f"_tie{i}", t)
-    # Exact copies share every order key; a per-row id spreads them over range
-    # slices (which copy lands where cannot change any result, and the ranking
-    # step checkpoints the assignment, so a recomputation cannot move it).
-    base = base.withColumn("_tieid", F.monotonically_increasing_id())
-    order_cols = ["_ord"] + [f"_tie{i}" for i in range(len(ties))] + ["_tieid"]
-    counts = {r["_cls"]: r["n"] for r in base.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Rows that differ anywhere are ordered by what they hold, the same on every
+    # run; a row number only spreads exact copies over the range slices.
+    base = base.withColumn("_row", F.xxhash64(*[F.col(q(c)) for c in df.columns])).withColumn("_tieid", F.monotonically_increasing_id())
+    order_cols = ["_ord"] + [f"_tie{i}" for i in range(len(ties))] + ["_row", "_tieid"]
+    per_class = base.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SPLIT_CLASSES + 1).collect()
+    if len(per_class) > MAX_SPLIT_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_SPLIT_CLASSES} classes")
+    counts = {r["_cls"]: r["n"] for r in per_class}
     if strat and any(v < 2 for v in counts.values()):
-        raise ValueError("The least populated class has only 1 member; stratified split needs at least 2.")
-    n = sum(counts.values())
-    if small is None:
-        small = n <= 200_000
-    ranked = running_weight(base, ["_cls"], order_cols, None, small=small, rows=n)
-    test_n = {c: int(math.ceil(test_size * v)) for c, v in counts.items()}
+        raise ValueError("a stratified split needs two rows or more of every class")
+    ranked = running_weight(base, ["_cls"], order_cols)
+    test_n = holdout_counts(counts, test_size)
     train_n = {c: counts[c] - test_n[c] for c in counts}
     k = folds or folds_count(task, train_n, sum(train_n.values()))
     # per-class sizes are a literal map: one entry per class
@@ -77,10 +92,14 @@ def assign_split_folds(df: DataFrame, target: str, task: str, order: Column | No
     t = F.element_at(tmap, F.col("_cls"))
     m = F.element_at(nmap, F.col("_cls"))
     is_test = F.col("_below") < t
-    fold = F.when(~is_test, F.floor((F.col("_below") - t) * F.lit(k) / m).cast("int"))
+    at, longer = F.col("_below") - t, m % F.lit(k)
+    small_block = F.floor(m / F.lit(k))
+    in_longer = longer * (small_block + 1)
+    fold = F.when(~is_test, F.when(at < in_longer, F.floor(at / (small_block + 1)))
+                  .otherwise(longer + F.floor((at - in_longer) / F.greatest(small_block, F.lit(1)))).cast("int"))
     out = (ranked.withColumn("_split", F.when(is_test, "test").otherwise("train"))
                  .withColumn("_fold", fold)
-                 .drop("_below", "_total", "_cls", "_ord", "_tieid", *[f"_tie{i}" for i in range(len(ties))]))
+                 .drop("_below", "_total", "_cls", "_ord", "_row", "_tieid", *[f"_tie{i}" for i in range(len(ties))]))
     info = {"folds": k, "train_rows": sum(train_n.values()), "test_rows": sum(test_n.values()),
             "class_counts": counts}
     return out, info

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.ml import models as M
-from tablewright.ml.compare import build_pipeline, predict, train_and_compare
+from tablewright.ml.compare import build_pipeline, has_two_classes, predict, scoring_model, train_and_compare
 from tablewright.ml.features import ExactMedianImputer, ModeImputer, PopulationScaler, preprocessor
 from tablewright.ml.split import assign_split_folds
 from tablewright.queries import register
@@ -118,14 +118,22 @@ def _ord():
 
 
 def _split_sql(strat: bool):
-    part = "PARTITION BY c_mktsegment" if strat else ""
+    cls = "c_mktsegment" if strat else "'all'"
     return (
-        f"WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER ({part} ORDER BY {_ORD_SQL}, c_custkey) - 1 AS rk, "
-        f"count(*) OVER ({part}) AS n FROM customer), "
-        "t AS (SELECT *, CAST(ceil(0.2 * n) AS BIGINT) AS tn FROM r), "
-        "k AS (SELECT greatest(2, least(5, " + ("min(n - tn)" if strat else "(max(n - tn)) // 5") + ")) AS k FROM t) "
-        "SELECT c_custkey, CASE WHEN rk < tn THEN 'test' ELSE 'train' END AS split, "
-        "CASE WHEN rk >= tn THEN CAST(floor((rk - tn) * k / (n - tn)) AS INTEGER) ELSE -1 END AS fold FROM t, k")
+        f"WITH r AS (SELECT c_custkey, {cls} AS cls, row_number() OVER (PARTITION BY {cls} ORDER BY {_ORD_SQL}, c_custkey) - 1 AS rk FROM customer), "
+        f"{_SIZES_SQL}, "
+        "k AS (SELECT greatest(2, least(5, " + ("min(m)" if strat else "max(m) // 5") + ")) AS k FROM s) "
+        "SELECT c_custkey, CASE WHEN rk < tn THEN 'test' ELSE 'train' END AS split, CAST(CASE WHEN rk < tn THEN -1 "
+        "WHEN rk - tn < (m % k) * (m // k + 1) THEN (rk - tn) // (m // k + 1) "
+        "ELSE m % k + (rk - tn - (m % k) * (m // k + 1)) // (m // k) END AS INTEGER) AS fold FROM r JOIN s USING (cls), k")
+
+
+# class sizes: n rows, tn test rows (largest remainders), m training rows
+_SIZES_SQL = (
+    "c AS (SELECT cls, count(*) AS n, CAST(ceil(0.2 * sum(count(*)) OVER ()) AS BIGINT) AS total, CAST(sum(count(*)) OVER () AS BIGINT) AS every FROM r GROUP BY cls), "
+    "f AS (SELECT *, total * n // every AS base, total - CAST(sum(total * n // every) OVER () AS BIGINT) AS spare, "
+    "row_number() OVER (ORDER BY total * n % every DESC, cls) AS place FROM c), "
+    "s AS (SELECT cls, n, base + CASE WHEN place <= spare THEN 1 ELSE 0 END AS tn, n - base - CASE WHEN place <= spare THEN 1 ELSE 0 END AS m FROM f)")
 
 
 @register("ml_split", _split_sql(True))
@@ -144,9 +152,8 @@ def ml_folds(spark, sf):
     return out.select("c_custkey", F.col("_split").alias("split"), F.coalesce("_fold", F.lit(-1)).alias("fold"))
 
 
-@register("ml_folds_n", "SELECT 'classification' AS task, CAST(greatest(2, least(5, min(n - CAST(ceil(0.2 * n) AS BIGINT)))) AS INTEGER) AS folds "
-                        "FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment) UNION ALL "
-                        "SELECT 'regression', CAST(greatest(2, least(5, (count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT)) // 5)) AS INTEGER) FROM customer")
+@register("ml_folds_n", f"SELECT 'classification' AS task, CAST(greatest(2, least(5, min(m))) AS INTEGER) AS folds FROM (WITH r AS (SELECT c_mktsegment AS cls FROM customer), {_SIZES_SQL} SELECT m FROM s) UNION ALL "
+                        f"SELECT 'regression', CAST(greatest(2, least(5, max(m) // 5)) AS INTEGER) FROM (WITH r AS (SELECT 'all' AS cls FROM customer), {_SIZES_SQL} SELECT m FROM s)")
 def ml_folds_n(spark, sf):
     c = table(spark, sf, "customer")
     _, a = assign_split_folds(c, "c_mktsegment", "classification", order=_ord(), tie_cols=["c_custkey"])
@@ -207,7 +214,7 @@ def _single_model(spark, sf, task, name):
         tagged, _ = assign_split_folds(data, target, task, tie_cols=keys)
         train = tagged.filter("_split = 'train'")
         test = tagged.filter("_split = 'test'")
-        model = build_pipeline(train, target, feats, task, name).fit(train)
+        model = scoring_model(build_pipeline(train, target, feats, task, name).fit(train))
         return model.transform(test).select(*keys, F.col(target).cast("string").alias("actual"),
                                             F.col("predicted").cast("string").alias("predicted"))
     return _memo(("single", sf, task, name), run)
@@ -284,13 +291,12 @@ def ml_log_target(spark, sf):
 
 @register("ml_predict")
 def ml_predict(spark, sf):
+    """Every document, labelled or not."""
     a = comparison(spark, sf, "classification")
-    d = docs_labelled(spark, sf)
-    return predict(a.best_model, d).select("doc_id", F.col("predicted").alias("predicted"))
+    return predict(a.best_model, table(spark, sf, "documents").select("doc_id", *_DOC_FEATS)).select("doc_id", F.col("predicted").alias("predicted"))
 
 
 @register("ml_check_classes", "SELECT 'c_mktsegment' AS target, count(DISTINCT c_mktsegment) >= 2 AS ok FROM customer")
 def ml_check_classes(spark, sf):
     c = table(spark, sf, "customer")
-    ok = c.select("c_mktsegment").filter("c_mktsegment IS NOT NULL").distinct().limit(2).count() >= 2
-    return spark.createDataFrame([("c_mktsegment", ok)], "target string, ok boolean")
+    return spark.createDataFrame([("c_mktsegment", has_two_classes(c, "c_mktsegment"))], "target string, ok boolean")
