@@ -44,6 +44,26 @@ TS_FORMATS = [
 # Bare years accepted, pandas' nanosecond timestamp range.
 YEAR_MIN, YEAR_MAX = 1678, 2261
 
+# Layouts by the shape of the text.  A shape has one parse, two
+# where day and month can change places; an empty list is the built-in cast,
+# which reads ISO times with fractions and zones.  Shapes with month names are
+# compared with the first letter in upper case.
+_TIME = r"[ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+_CLOCK = r"( \d{1,2}:\d{2}(:\d{2})?)?"
+TS_SHAPES = [
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}" + _TIME + r" ?(Z|UTC|[+-]\d{2}:\d{2})?$", []),
+    (r"^\d{4}/\d{1,2}/\d{1,2}" + _CLOCK + "$", ["yyyy/M/d[ H:mm[:ss]]"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}" + _CLOCK + "$", ["M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}" + _CLOCK + "$", ["M-d-yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]"]),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}" + _CLOCK + "$", ["M.d.yyyy[ H:mm[:ss]]", "d.M.yyyy[ H:mm[:ss]]"]),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ["MMM d[,] yyyy"]),
+    (r"^[A-Za-z]{4,9} \d{1,2},? \d{4}$", ["MMMM d[,] yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ["d MMMM yyyy"]),
+    (r"^\d{4}-\d{2}$", ["yyyy-MM"]),
+]
+
 # A value is considered only if it holds a 4-digit year and nothing but
 # date-ish characters; this rejects clock-only values (10:30), words (now,
 # today) and short numbers (12).
@@ -68,17 +88,18 @@ def _ts_with(s: Column, fmt: str) -> Column:
 
 
 def parse_ts(c: Column, formats: list[str] | None = None) -> Column:
-    """Text -> timestamp, layout chosen per value (first layout that parses)."""
+    """Text -> timestamp, layout chosen per value by the shape of the text (or, with
+    ``formats``, the first of those that parses)."""
     s = F.trim(c.cast("string"))
-    fmts = TS_FORMATS if formats is None else formats
     year = F.when(s.rlike(_BARE_YEAR), s.try_cast("int"))
-    bare_year = F.when(year.between(YEAR_MIN, YEAR_MAX), _ts_with(s, "yyyy"))
-    dated = F.coalesce(*[_ts_with(s, f) for f in fmts if f != "yyyyMMdd"])
-    eight = F.when(s.rlike(_EIGHT_DIGITS), _ts_with(s, "yyyyMMdd"))
-    return (F.when(s.rlike(_BARE_YEAR), bare_year)
-             .when(s.rlike(_EIGHT_DIGITS), eight)
-             .when(s.rlike(_BARE_DIGITS), F.lit(None).cast("timestamp"))
-             .when(s.rlike(_TS_GATE), dated))
+    out = F.when(s.rlike(_BARE_YEAR), F.when(year.between(YEAR_MIN, YEAR_MAX), _ts_with(s, "yyyy"))) \
+           .when(s.rlike(_EIGHT_DIGITS), _ts_with(s, "yyyyMMdd")).when(s.rlike(_BARE_DIGITS), F.lit(None).cast("timestamp"))
+    if formats is not None:
+        return out.when(s.rlike(_TS_GATE), F.coalesce(*[_ts_with(s, f) for f in formats if f != "yyyyMMdd"]))
+    for shape, layouts in TS_SHAPES:
+        text = F.initcap(s) if "A-Z" in shape and "UTC" not in shape else s
+        out = out.when(s.rlike(shape), F.coalesce(*[_ts_with(text, f) for f in layouts]) if layouts else s.try_cast("timestamp"))
+    return out
 
 
 def pick_ts_format(sample: str | None) -> str | None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.parse import parse_num, parse_ts
 from tablewright.operators.stats import AGG_CHUNK, fence_stats, iqr_fences, quantiles
-from tablewright.schema import numeric_cols, q, text_cols
+from tablewright.schema import is_missing, numeric_cols, q, text_cols
 
 
 def _unpivot_row(one_row: DataFrame, fields: list[tuple[str, list[tuple[str, str]]]]) -> DataFrame:
@@ -42,7 +42,7 @@ def missing_table(df: DataFrame) -> DataFrame:
     parts = []
     for cols in _chunks(df.columns, AGG_CHUNK):
         aggs = [F.count(F.lit(1)).alias("__n")]
-        aggs += [F.count_if(F.col(q(c)).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)]
+        aggs += [F.count_if(is_missing(df, c)).alias(f"__m{i}") for i, c in enumerate(cols)]
         one = df.agg(*aggs)
         parts.append(_unpivot_row(one, [(c, [("missing_count", f"__m{i}"), ("rows", "__n")])
                                         for i, c in enumerate(cols)]))

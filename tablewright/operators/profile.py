@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.operators.stats import agg_chunks, freq_table, kpi_counts, skew_expr
-from tablewright.schema import as_double, dtype_name, is_numeric_type, numeric_cols, q
+from tablewright.schema import as_double, dtype_name, is_missing, is_numeric_type, numeric_cols, q
 
 
 def missing_cells(df: DataFrame) -> DataFrame:
     """One row: total null cells over all columns."""
     total = None
     for c in df.columns:
-        e = F.count_if(F.col(q(c)).isNull())
+        e = F.count_if(is_missing(df, c))
         total = e if total is None else total + e
     return df.agg(total.cast("long").alias("missing_cells"))
 

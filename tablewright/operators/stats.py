@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.schema import as_double, q
+from tablewright.schema import as_double, is_missing, q
 from tablewright.staging import staged
 
 # Aggregate expressions per generated ``agg`` (keeps codegen methods small).
@@ -292,7 +292,7 @@ def _repeated_hashes(df: DataFrame, with_nulls: bool = False):
     if with_nulls:
         per_row = None
         for c in df.columns:
-            e = F.col(q(c)).isNull().cast("long")
+            e = is_missing(df, c).cast("long")
             per_row = e if per_row is None else per_row + e
         aggs.append(F.sum(per_row).alias("_z"))
     hc = df.groupBy(row_hash(df).alias("_h")).agg(*aggs)

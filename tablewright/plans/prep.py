@@ -28,7 +28,7 @@ from tablewright.functions.scalars import clip as clip_expr
 from tablewright.operators.stats import (
     agg_chunks, exact_quantiles, fence_stats, iqr_fences, modes, quantiles,
 )
-from tablewright.schema import as_double, is_numeric_type, q, text_cols
+from tablewright.schema import as_double, is_numeric_type, nan_to_null, q, text_cols
 from tablewright.staging import staged
 
 # The report keys, and the change labels of the summary table.
@@ -126,7 +126,8 @@ class PrepPlan:
 
     def transform(self, df: DataFrame, dedupe: bool = True) -> DataFrame:
         """Apply the fitted plan; ``dedupe=False`` skips the distinct (streams)."""
-        out = df.dropDuplicates() if (dedupe and self.options.drop_duplicates) else df
+        out = nan_to_null(df)
+        out = out.dropDuplicates() if (dedupe and self.options.drop_duplicates) else out
         out = self._expanded(self._coerced(out))
         if self.drop:
             out = out.drop(*self.drop)
@@ -158,6 +159,7 @@ def _materialize(df: DataFrame) -> DataFrame:
 def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) -> PrepPlan:
     o = options or PrepOptions(**kw)
     plan = PrepPlan(options=o)
+    df = nan_to_null(df)
     report: dict[str, Any] = {k: [] for k in REPORT_LISTS}
     report["original_cols"] = len(df.columns)
     report["duplicate_rows_removed"] = 0

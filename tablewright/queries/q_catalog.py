@@ -29,6 +29,20 @@ def src_csv(spark, sf):
     return read_csv(spark, path)
 
 
+@register("src_csv_messy", "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_totalprice END AS price, "
+                           "CASE WHEN o_orderkey % 3 = 0 THEN 'say \"' || o_orderpriority || '\", twice' WHEN o_orderkey % 3 = 1 THEN 'two' || chr(10) || 'lines' END AS note FROM orders")
+def src_csv_messy(spark, sf):
+    """Nulls as NA, doubled quotes, commas and line breaks in text; types are
+    inferred all the same."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey") % 3
+    note = F.when(k == 0, F.concat(F.lit('say "'), "o_orderpriority", F.lit('", twice'))).when(k == 1, F.lit("two\nlines"))
+    path = _scratch(spark, "csv")
+    write_csv(o.select("o_orderkey", F.when(F.col("o_orderkey") % 20 == 0, "NA").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+                       F.coalesce(note, F.lit("NULL")).alias("note")), path)
+    return read_csv(spark, path)
+
+
 def _catalog_with_orders(spark, sf):
     cat = Catalog(spark, _scratch(spark, "catalog"))
     o = table(spark, sf, "orders")

@@ -59,6 +59,19 @@ def as_double(df: DataFrame, c: str) -> Column:
     return col
 
 
+def is_missing(df: DataFrame, c: str) -> Column:
+    """Whether a cell is missing: null, or NaN in a float column."""
+    col = F.col(q(c))
+    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+        return col.isNull() | F.isnan(col)
+    return col.isNull()
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN cells of float columns as null; other columns as they are."""
+    return normalise_nulls(df, tokens=[])
+
+
 def q(name: str) -> str:
     """Back-quote a column name for use in ``F.col`` / SQL text."""
     return "`" + name.replace("`", "``") + "`"
@@ -73,7 +86,7 @@ def normalise_nulls(df: DataFrame, tokens: list[str] | None = None) -> DataFrame
         c = F.col(q(f.name))
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             c = F.nanvl(c, F.lit(None).cast(f.dataType))
-        elif isinstance(f.dataType, T.StringType):
+        elif toks and isinstance(f.dataType, T.StringType):
             c = F.when(c.isin(toks), F.lit(None).cast("string")).otherwise(c)
         out.append(c.alias(f.name))
     return df.select(*out)

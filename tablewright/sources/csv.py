@@ -7,10 +7,12 @@ from __future__ import annotations
 import csv as _csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.parse import parse_num
+from tablewright.operators.stats import agg_chunks
 from tablewright.schema import normalise_nulls
 
 
@@ -32,23 +34,62 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, infer_schema: bool = True) -> DataFrame:
+# Shapes that decide a column's type.
+_INT, _DATE = r"^\s*[+-]?[0-9]{1,18}\s*$", r"^\d{4}-\d{2}-\d{2}$"
+_STAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?$"
+
+
+def _inferred(texts: DataFrame, names: list[str], path: str) -> dict[str, Column]:
+    """One aggregate over all columns as text: the type that every value of a
+    column has, as a typed expression.  Columns without a value are double."""
+    cols = {i: F.col(f"_c{i}") for i in range(len(names))}
+    aggs = [F.count_if(F.col(f"_c{len(names)}").isNotNull()).alias("extra")]
+    for i, c in cols.items():
+        whole = F.when(c.rlike(_INT), F.trim(c).try_cast("long"))
+        aggs += [F.count(c).alias(f"n{i}"), F.count(whole).alias(f"int{i}"), F.max(F.abs(whole)).alias(f"big{i}"), F.count(parse_num(c)).alias(f"num{i}"),
+                 F.count_if(F.lower(c).isin("true", "false")).alias(f"bool{i}"), F.count(F.when(c.rlike(_DATE), c.try_cast("date"))).alias(f"date{i}"),
+                 F.count(F.when(c.rlike(_STAMP), c.try_cast("timestamp"))).alias(f"ts{i}")]
+    row = agg_chunks(texts, aggs)
+    if row["extra"]:
+        raise ValueError(f"{path}: {row['extra']} rows have more fields than the header ({len(names)})")
+    out = {}
+    for i, c in cols.items():
+        every = lambda kind: row[f"{kind}{i}"] == row[f"n{i}"]  # noqa: B023, E731
+        if not row[f"n{i}"]:
+            out[names[i]] = c.cast("double")
+        elif every("int"):
+            out[names[i]] = F.trim(c).cast("int" if row[f"big{i}"] < 2 ** 31 else "long")
+        elif every("num"):
+            out[names[i]] = parse_num(c)
+        elif every("bool"):
+            out[names[i]] = c.cast("boolean")
+        elif every("date"):
+            out[names[i]] = c.cast("date")
+        elif every("ts"):
+            out[names[i]] = c.cast("timestamp")
+        else:
+            out[names[i]] = c
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, infer_schema: bool = True, multi_line: bool = True) -> DataFrame:
+    """Fields as text with the missing tokens as null, then typed from one
+    aggregate over all rows.  Quotes inside quoted fields are doubled; a quoted
+    field may hold line breaks (``multi_line``; without it large files are
+    split between tasks)."""
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError(f"empty CSV: {path}")
-    header = next(_csv.reader(io.StringIO(first[0][0])))
-    names = unique_names(header)
+    names = unique_names(next(_csv.reader(io.StringIO(first[0][0]))))
     # one extra text column catches rows with more fields than the header
-    probe = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)])
-    extra = (spark.read.schema(probe).option("header", True).option("mode", "PERMISSIVE").csv(path)
-                  .filter(F.col(f"_c{len(names)}").isNotNull()).limit(1).count())
-    if extra:
-        raise ValueError(f"{path}: a row has more fields than the header ({len(names)})")
-    df = (spark.read.option("header", True).option("inferSchema", infer_schema)
-               .option("mode", "PERMISSIVE").option("nullValue", "").option("enforceSchema", True)
-               .csv(path))
-    return normalise_nulls(df.toDF(*names))
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names) + 1)])
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+           .option("multiLine", multi_line).option("nullValue", "").option("enforceSchema", True).csv(path))
+    texts = normalise_nulls(raw)
+    if not infer_schema:
+        return texts.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)])
+    return texts.select(*[e.alias(n) for n, e in _inferred(texts, names, path).items()])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

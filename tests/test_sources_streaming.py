@@ -91,3 +91,36 @@ def test_prepare_stream_with_event_time_dedupe(spark):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT * FROM prep_events").count() == ev.count()
+
+
+def test_csv_types_quotes_and_line_breaks(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text('id,x,flag,note,when,none,x\n1,1.5,True,"say ""hi"" now",2024-01-01 10:00:00,NA,a\n2,NA,false,"two\nlines",NA,,b\n3000000000,2.5,NA,"a, b",2024-02-01 00:00:00,,NA\n')
+    df = read_csv(spark, str(p))
+    assert dict(df.dtypes) == {"id": "bigint", "x": "double", "flag": "boolean", "note": "string", "when": "timestamp", "none": "double", "x.1": "string"}
+    rows = df.orderBy("id").collect()
+    assert [r["note"] for r in rows] == ['say "hi" now', "two\nlines", "a, b"]
+    assert [r["x"] for r in rows] == [1.5, None, 2.5] and [r["flag"] for r in rows] == [True, False, None]
+
+
+def test_nan_is_missing(spark):
+    from tablewright.operators.audit import audit_missing
+    from tablewright.operators.profile import dataset_kpis
+    from tablewright.plans.prep import PrepOptions, fit_preparation
+    df = spark.createDataFrame([(1.0, 1), (float("nan"), 2), (None, 3), (5.0, 4)], "v double, k int")
+    assert [tuple(r)[:2] for r in audit_missing(df).collect()] == [("v", 2)]
+    assert dataset_kpis(df).first()["missing"] == 2
+    plan = fit_preparation(df, PrepOptions())
+    assert sorted(r["v"] for r in plan.transform(df).collect()) == [1.0, 3.0, 3.0, 5.0]
+
+
+def test_timestamp_layouts(spark):
+    from pyspark.sql import functions as F
+    from tablewright.functions.parse import parse_ts
+    want = {"2024-01-01T10:00:00Z": "2024-01-01 10:00:00", "2024-01-01T10:00:00+02:00": "2024-01-01 08:00:00", "2024-01-01T10:00:00.123": "2024-01-01 10:00:00.123",
+            "1/2/2024 10:30": "2024-01-02 10:30:00", "2024-1-5": "2024-01-05 00:00:00", "13/2/2024": "2024-02-13 00:00:00", "Jan 5, 2024": "2024-01-05 00:00:00",
+            "5 march 2024": "2024-03-05 00:00:00", "20240105": "2024-01-05 00:00:00", "2024": "2024-01-01 00:00:00", "2024-03": "2024-03-01 00:00:00",
+            "10:30": None, "now": None, "12": None, "2024-13-45": None, "Foo 5 2024": None}
+    df = spark.createDataFrame([(k,) for k in want], "s string")
+    got = {r["s"]: r["t"] for r in df.select("s", F.date_format(parse_ts(F.col("s")), "yyyy-MM-dd HH:mm:ss.SSS").alias("t")).collect()}
+    assert {k: v and v.removesuffix(".000") for k, v in got.items()} == want

@@ -2,7 +2,7 @@
 folder: register -> audit -> notes -> prepare -> EDA -> plan -> compare models
 -> evaluation tables -> artifacts.
 
-Usage: python tools/workbench_demo.py [sf_dir] [catalog_root]
+Usage: python tools/workflow_demo.py [sf_dir] [catalog_root]
 """
 
 from __future__ import annotations
