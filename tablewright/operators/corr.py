@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.ranks import running_weight
-from tablewright.operators.stats import AGG_CHUNK, pearson_exprs
 from tablewright.schema import as_double
 from tablewright.session import ship_by_value
 
@@ -47,35 +46,67 @@ def _matrix(spark, cols, vals: dict, sd_pos: dict) -> DataFrame:
     return spark.createDataFrame(rows, "a string, b string, r double")
 
 
-def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], xs: dict[str, Column] | None = None) -> dict:
-    xs = xs or {c: as_double(df, c) for p in pairs for c in p}
-    exprs = [pearson_exprs(xs[a], xs[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+def _gram(batches, k: int):
+    """Per task the k x k sums of pairwise-complete rows, over Arrow batches of
+    centred values: counts, sums, squares and products."""
+    import numpy as np
+    import pyarrow as pa
+    n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
+    for batch in batches:
+        x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)]).astype(float)
+        there = np.isfinite(x).astype(float)
+        x = np.where(there > 0, x, 0.0)
+        n += there.T @ there
+        sx += x.T @ there
+        sxx += (x * x).T @ there
+        sxy += x.T @ x
+    i, j = np.divmod(np.arange(k * k), k)
+    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i, j, n.ravel(), sx.ravel(), sxx.ravel(), sxy.ravel())], ["i", "j", "n", "sx", "sxx", "sxy"])
+
+
+def _pearson_grid(df: DataFrame, xs: list[Column], means: list[float] | None = None) -> dict:
+    """{(i, j): r} for all pairs of the expressions, null where a side is
+    constant: one scan for the means, unless they are known, and one for the
+    sums, however many pairs."""
+    k = len(xs)
+    named = df.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)])
+    if means is None:
+        means = list(named.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(k)]).collect()[0])
+    centred = named.select(*[(F.col(f"x{i}") - F.lit(float(means[i] or 0.0))).alias(f"x{i}") for i in range(k)])
+    parts = centred.mapInArrow(lambda batches: _gram(batches, k), "i long, j long, n double, sx double, sxx double, sxy double")
+    rows = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")]).collect()
+    got = {(r["i"], r["j"]): r for r in rows}
     out = {}
-    for s in range(0, len(exprs), AGG_CHUNK):
-        row = df.agg(*exprs[s:s + AGG_CHUNK]).collect()[0]
-        for i in range(s, min(s + AGG_CHUNK, len(exprs))):
-            out[pairs[i]] = row[f"p{i}"]
+    for (i, j), r in got.items():
+        t = got[j, i]
+        if r["n"]:
+            vx, vy = r["sxx"] - r["sx"] ** 2 / r["n"], t["sxx"] - t["sx"] ** 2 / r["n"]
+            # sums of a constant leave only what rounding leaves
+            if vx > 1e-13 * r["sxx"] and vy > 1e-13 * t["sxx"]:
+                out[i, j] = (r["sxy"] - r["sx"] * t["sx"] / r["n"]) / math.sqrt(vx) / math.sqrt(vy)
     return out
 
 
+def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], xs: dict[str, Column] | None = None, mean: float | None = None) -> dict:
+    """{pair: r}; ``mean``: the mean of every column, if it is known."""
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    if not names:
+        return {}
+    grid = _pearson_grid(df, [xs[c] if xs else as_double(df, c) for c in names], None if mean is None else [mean] * len(names))
+    at = {c: i for i, c in enumerate(names)}
+    return {p: grid.get((at[p[0]], at[p[1]])) for p in pairs}
+
+
 def _sd_positive(df: DataFrame, cols: list[str]) -> dict:
     row = df.agg(*[F.stddev_pop(as_double(df, c)).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
     return {c: (row[f"s{i}"] or 0) > 0 for i, c in enumerate(cols)}
 
 
 def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All pairs and the per-column deviations (for the diagonal) in one pass
-    (chunked for very wide tables)."""
-    pairs = _pairs(cols)
-    xs = {c: as_double(df, c) for c in cols}
-    exprs = [pearson_exprs(xs[a], xs[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    exprs += [F.stddev_pop(xs[c]).alias(f"s{i}") for i, c in enumerate(cols)]
-    row: dict = {}
-    for s in range(0, len(exprs), AGG_CHUNK):
-        row.update(df.agg(*exprs[s:s + AGG_CHUNK]).collect()[0].asDict())
-    vals = {p: row[f"p{i}"] for i, p in enumerate(pairs)}
-    sd_pos = {c: (row[f"s{i}"] or 0) > 0 for i, c in enumerate(cols)}
-    return _matrix(df.sparkSession, cols, vals, sd_pos)
+    """All pairs, and whether a column varies (for the diagonal), in two scans."""
+    grid = _pearson_grid(df, [as_double(df, c) for c in cols])
+    vals = {(cols[i], cols[j]): r for (i, j), r in grid.items() if i < j}
+    return _matrix(df.sparkSession, cols, vals, {c: (i, i) in grid for i, c in enumerate(cols)})
 
 
 # ---- ranks -----------------------------------------------------------------
@@ -104,7 +135,7 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     spark = df.sparkSession
     # one pass: null counts (which pairs share ranks) and whether a column is
     # constant (its ranks are then constant too: null on the diagonal)
-    row = df.agg(*[F.count_if(as_double(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(as_double(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
                  *[F.stddev_pop(as_double(df, c)).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0]
     complete = [c for i, c in enumerate(cols) if row[f"n{i}"] == 0]
     sd_pos = {c: (row[f"s{i}"] or 0) > 0 for i, c in enumerate(cols)}
@@ -113,7 +144,8 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     if pairs:
         rk = _ranked(df, complete)
         xs = {c: F.col(f"r{i}") for i, c in enumerate(complete)}
-        vals.update(pearson_pairs(rk, pairs, xs))
+        # the ranks of n values have the mean (n + 1) / 2
+        vals.update(pearson_pairs(rk, pairs, xs, (row["n"] + 1) / 2))
     mixed = [(a, b) for a, b in _pairs(cols) if not (a in complete and b in complete)]
     if mixed:
         vals.update(_spearman_pairwise(df, mixed))

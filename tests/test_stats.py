@@ -155,3 +155,27 @@ def test_quantiles_coarse_sketch(spark, monkeypatch):
 def test_nunique_in_the_own_type(spark):
     df = spark.createDataFrame([(2 ** 53 + i, float("nan") if i % 2 else -0.0, None, "a") for i in range(10)] + [(None, 0.0, None, None)], "k long, x double, z string, s string")
     assert {r["column"]: r["unique"] for r in S.nunique(df, ["k", "x", "z", "s"]).collect()} == {"k": 10, "x": 1, "z": 0, "s": 1}
+
+
+def test_pearson_of_many_columns_is_two_scans(spark):
+    """However many pairs: jobs don't grow with the columns; constants, nulls and
+    large offsets as numpy has them."""
+    from tablewright.operators.corr import pearson_matrix
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 100)) + 1e6
+    x[:, 7] = 3.7
+    x[rng.random((400, 100)) < 0.1] = np.nan
+    cols = [f"c{i}" for i in range(100)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in cols)).repartition(3).cache()
+    df.count()
+    spark.sparkContext.setJobGroup("pearson", "pearson")
+    got = {(r["a"], r["b"]): r["r"] for r in pearson_matrix(df, cols).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("pearson"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 8
+    for i, j in [(0, 1), (2, 50), (98, 99), (3, 7)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        want = None if 7 in (i, j) else np.corrcoef(x[both, i], x[both, j])[0, 1]
+        assert got[cols[i], cols[j]] == (pytest.approx(want, abs=1e-9) if want is not None else None)
+    assert got["c0", "c0"] == 1.0 and got["c7", "c7"] is None
+    df.unpersist()
