@@ -66,14 +66,17 @@ class Codec:
         return self.encoding.decode_bytes(ids)
 
 
-def _encoder(ranks, pattern: str):
+def _encoder(ranks, pattern: str, decoded: bool):
     def run(batches):
         codec = Codec(ranks.value, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [codec.encode(t) for t in part.column(1).to_pylist()]
-                raw = pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), raw], ["doc_id", "n_tokens", "ids"])
+                raw = [np.array(x, "<u4").tobytes() for x in ids]
+                out = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())]
+                if decoded:
+                    out.append(pa.array([codec.decode(np.frombuffer(x, "<u4").tolist()) for x in raw], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids", "decoded"][: len(out)])
     return run
 
 
@@ -95,11 +98,13 @@ def _ranks(spark, path: str):
     return spark.sparkContext.broadcast(ranks)
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
-    return id_text(df, id_col, text_col).mapInArrow(_encoder(_ranks(df.sparkSession, rank_path), pattern), "doc_id long, n_tokens long, ids binary")
+def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers); with
+    ``decoded`` also the bytes that the ids decode to, in the same task."""
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return id_text(df, id_col, text_col).mapInArrow(_encoder(_ranks(df.sparkSession, rank_path), pattern, decoded), schema)
 
 
 def decode(tokens: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) with ``decoded``, the raw bytes."""
+    """(doc_id, n_tokens, ids) with ``decoded``, the raw bytes: for stored ids."""
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(_ranks(tokens.sparkSession, rank_path), pattern), "doc_id long, n_tokens long, ids binary, decoded binary")

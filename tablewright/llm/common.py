@@ -68,7 +68,7 @@ def flat(arr) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batch, column: str, limit: int = 1 << 21):
+def slices(batch, column: str, limit: int = 1 << 20):
     """Parts of a batch whose ``column`` holds about ``limit`` bytes each, so
     that working memory follows the limit and the longest single text."""
     if not batch.num_rows:

@@ -46,8 +46,8 @@ def rank_file() -> tuple[str, str]:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = bpe.encode(table(spark, sf_dir, "documents"), *rank_file())
-    return bpe.decode(tokens, *rank_file()).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), *rank_file(), decoded=True)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Words are runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z.  A
 word's hash is a polynomial over per-byte random values modulo 2**64 (prefix
 sums make every word of a block one subtraction), then mixed.  Texts are
-handled in blocks of about a megabyte, so memory follows the block and the
+handled in blocks of a quarter of a megabyte, so memory follows the block and the
 number of words, not eight-fold the text.
 """
 
@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHasher:
     """Tables for one task; build it inside the task."""
 
-    BLOCK = 1 << 20
+    BLOCK = 1 << 18
     WIDTH = 5
 
     def __init__(self):

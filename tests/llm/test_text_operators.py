@@ -258,6 +258,8 @@ def test_bpe_round_trip(frame, corpus):
             (903, " ".join(words(9000, 4)) + " it's " * 3000, "en", "s", 0), (904, "\x00\u2028漢字😀", "zh", "s", 0)]
     rows = corpus + hard
     got = bpe.decode(bpe.encode(frame(rows, DOCS), path, pattern), path, pattern).collect()
+    once = bpe.encode(frame(rows, DOCS), path, pattern, decoded=True).collect()
+    assert Counter(map(str, once)) == Counter(map(str, got))
     text = Counter((r[0], r[1] or "") for r in rows)
     assert Counter((r["doc_id"], bytes(r["decoded"]).decode()) for r in got) == text
     for r in got:
