@@ -42,7 +42,7 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tokens = bpe.decode(bpe.encode(docs, *rank_file()), *rank_file())
+    tokens = bpe.encode(docs, *rank_file(), decoded=True)
     return tokens.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
