@@ -58,6 +58,7 @@ HEADLINE = [
     "eda_boxplot", "eda_categories", "eda_corr", "eda_target_scatter", "eda_profile", "value_counts",
     "eval_report", "eval_bands", "eval_confusion", "cv_mean", "ml_preprocess", "ml_split", "ml_linreg",
     "ml_ridge", "ml_lasso", "src_csv", "ml_leaderboard",
+    "ml_compare_classifiers",
 ]
 
 

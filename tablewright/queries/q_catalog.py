@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewright.plans.eda_select import run_eda
 from tablewright.queries import register
+from tablewright.queries.q_ml import _PREDICT_ALL, R, _cmp_sql, _documents, comparison
 from tablewright.session import checkpoint_dir
 from tablewright.sources.catalog import Catalog
 from tablewright.sources.csv import read_csv, write_csv
@@ -105,15 +106,15 @@ def sink_eda(spark, sf):
     return spark.read.parquet(paths["Data Quality Summary"])
 
 
-@register("sink_artifacts")
+@register("sink_artifacts", _cmp_sql() + _PREDICT_ALL)
 def sink_artifacts(spark, sf):
+    """The written winner, loaded again, predicts every document."""
     from pyspark.ml import PipelineModel
-    from tablewright.queries.q_ml import comparison, docs_labelled
-    a = comparison(spark, sf, "classification")
+    a = comparison(spark, sf)
     cat = Catalog(spark, _scratch(spark, "artifacts"))
     paths = cat.persist_training_artifacts(a, "docs-00000001")
     missing = cat.missing_artifacts("docs-00000001")
     if missing:
         raise RuntimeError(f"artifacts missing: {missing}")
     reloaded = PipelineModel.load(paths["model"])
-    return reloaded.transform(docs_labelled(spark, sf)).select("doc_id", F.col("predicted"))
+    return reloaded.transform(_documents(spark, sf).drop("n_chars")).select("doc_id", F.round("predicted", R).alias("predicted"))

@@ -2,10 +2,12 @@
 
 Closed-form oracles where SQL can state the answer (imputers, scaler, one-hot,
 split and folds with an arithmetic order key, one-feature OLS / ridge /
-lasso); the tree and boosting models and the leaderboard are rows-only."""
+lasso, and a whole comparison of the closed-form models); for the tree,
+boosting and logistic models, facts that any right fit satisfies."""
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -19,23 +21,6 @@ from tablewright.queries.sqlhelp import with_dirty
 from tablewright.sources.tables import dirty_orders, table
 
 R = 6
-_MEMO: dict = {}
-
-
-def _memo(key, fn):
-    """Reuse one comparison across the queries that show parts of it, within
-    one live session only."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    try:
-        app = spark.sparkContext.applicationId if spark else None
-    except Exception:  # Spark Connect: no context object
-        app = None
-    key = (id(spark), app) + tuple(key)
-    if key not in _MEMO:
-        _MEMO[key] = fn()
-    return _MEMO[key]
-
 
 @register("ml_impute_num", with_dirty() + "SELECT o_orderkey, COALESCE(amount, (SELECT median(amount) FROM dirty_orders)) AS amount_imp FROM dirty_orders")
 def ml_impute_num(spark, sf):
@@ -203,97 +188,202 @@ _DOC_FEATS = ["lang", "source", "n_chars"]
 _EV_FEATS = ["user_id", "event_type"]
 
 
-def _single_model(spark, sf, task, name):
-    """Fit one candidate on the training part and predict the test part."""
-    def run():
-        if task == "classification":
-            df, target, feats, keys = docs_labelled(spark, sf), "quality", _DOC_FEATS, ["doc_id"]
-        else:
-            df, target, feats, keys = table(spark, sf, "events"), "value", _EV_FEATS, ["event_id"]
-        data = df.select(*keys, *feats, target)
-        tagged, _ = assign_split_folds(data, target, task, tie_cols=keys)
-        train = tagged.filter("_split = 'train'")
-        test = tagged.filter("_split = 'test'")
-        model = scoring_model(build_pipeline(train, target, feats, task, name).fit(train))
-        return model.transform(test).select(*keys, F.col(target).cast("string").alias("actual"),
-                                            F.col("predicted").cast("string").alias("predicted"))
-    return _memo(("single", sf, task, name), run)
-
-
-@register("ml_logreg")
-def ml_logreg(spark, sf):
-    return _single_model(spark, sf, "classification", "Logistic Regression")
+# ---- single models: facts that hold for any right fit -----------------------
+# The split is a hash order and the trees are random, so SQL states what every
+# fit must satisfy on every row: how many rows were trained on and scored, that
+# predictions stay among the labels (forests: inside the training range), and
+# that the training part is fitted no worse than by its majority or mean.
+
+def _facts_sql(source: str, target: str, extra: str = "") -> str:
+    return (f"SELECT n - t AS train_rows, t AS test_rows, n AS scored_rows, n AS in_range_rows, true AS fits_training{extra} "
+            f"FROM (SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS t FROM {source} WHERE {target} IS NOT NULL)")
+
+
+_CLS_SRC, _REG_SRC = "documents JOIN labels USING (doc_id)", "events"
+
 
+def _fitted(spark, sf, task, name):
+    """(scored rows: _split, actual, predicted; the fitted pipeline; training part)."""
+    if task == "classification":
+        df, target, feats, keys = docs_labelled(spark, sf), "quality", _DOC_FEATS, ["doc_id"]
+    else:
+        df, target, feats, keys = table(spark, sf, "events"), "value", _EV_FEATS, ["event_id"]
+    data = df.select(*keys, *feats, target).where(F.col(target).isNotNull())
+    tagged, _ = assign_split_folds(data, target, task, tie_cols=keys)
+    train = tagged.filter("_split = 'train'")
+    model = build_pipeline(train, target, feats, task, name).fit(train)
+    scored = scoring_model(model).transform(tagged).select("_split", F.col(target).cast("double").alias("actual"), F.col("predicted").cast("double").alias("predicted"))
+    return scored, model, train
 
-@register("ml_rf_cls")
+
+def _facts(scored, in_range, fits):
+    train = F.col("_split") == "train"
+    return scored.agg(
+        F.count_if(train).alias("train_rows"), F.count_if(~train).alias("test_rows"), F.count("predicted").alias("scored_rows"),
+        F.count_if(in_range).alias("in_range_rows"), fits.alias("fits_training"))
+
+
+def _classifier_facts(spark, sf, name):
+    scored, model, train = _fitted(spark, sf, "classification", name)
+    train_row = F.col("_split") == "train"
+    ones, n = F.count_if(train_row & (F.col("actual") == 1)), F.count_if(train_row)
+    fits = F.count_if(train_row & (F.col("actual") == F.col("predicted"))) >= F.greatest(ones, n - ones)
+    return _facts(scored, F.col("predicted").isin(0.0, 1.0), fits), model, train
+
+
+def _regressor_facts(spark, sf, name, bounded):
+    scored, _, _ = _fitted(spark, sf, "regression", name)
+    train_row = F.col("_split") == "train"
+    y = F.when(train_row, F.col("actual"))
+    e = F.when(train_row, F.col("actual") - F.col("predicted"))
+    if bounded:  # an average of training values lies between them
+        ends = scored.agg(F.min(y).alias("lo"), F.max(y).alias("hi")).first()
+        in_range = F.col("predicted").between(ends["lo"] - 1e-9, ends["hi"] + 1e-9)
+    else:
+        in_range = F.col("predicted").isNotNull() & ~F.isnan("predicted")
+    return _facts(scored, in_range, F.sum(e * e) <= F.var_pop(y) * F.count(y))
+
+
+@register("ml_logreg", _facts_sql(_CLS_SRC, "quality", ", true AS gradient_is_zero"))
+def ml_logreg(spark, sf):
+    """With the objective's gradient on the training part: zero at the optimum."""
+    facts, model, train = _classifier_facts(spark, sf, "Logistic Regression")
+    lr = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
+    reg = lr.getOrDefault("regParam")
+    p = vector_to_array(F.col("probability"))[1]
+    rows = model.transform(train).select((p - F.col("_label")).alias("e"), F.posexplode(F.concat(vector_to_array(F.col("features")), F.array(F.lit(1.0)))).alias("slot", "x"))
+    weights = [*(float(w) * reg for w in lr.coefficients), 0.0]
+    gradient = rows.groupBy("slot").agg((F.avg(F.col("e") * F.col("x")) + F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("slot") + 1)).alias("g"))
+    return facts.withColumn("gradient_is_zero", F.lit(gradient.agg(F.max(F.abs("g")) < 1e-4).first()[0]))
+
+
+@register("ml_rf_cls", _facts_sql(_CLS_SRC, "quality"))
 def ml_rf_cls(spark, sf):
-    return _single_model(spark, sf, "classification", "Random Forest")
+    return _classifier_facts(spark, sf, "Random Forest")[0]
 
 
-@register("ml_gbt_cls")
+@register("ml_gbt_cls", _facts_sql(_CLS_SRC, "quality"))
 def ml_gbt_cls(spark, sf):
-    return _single_model(spark, sf, "classification", "Gradient Boosting")
+    return _classifier_facts(spark, sf, "Gradient Boosting")[0]
 
 
-@register("ml_rf_reg")
+@register("ml_rf_reg", _facts_sql(_REG_SRC, "value"))
 def ml_rf_reg(spark, sf):
-    return _single_model(spark, sf, "regression", "Random Forest")
+    return _regressor_facts(spark, sf, "Random Forest", True)
 
 
-@register("ml_gbt_reg")
+@register("ml_gbt_reg", _facts_sql(_REG_SRC, "value"))
 def ml_gbt_reg(spark, sf):
-    return _single_model(spark, sf, "regression", "Gradient Boosting")
+    return _regressor_facts(spark, sf, "Gradient Boosting", False)
 
 
-def comparison(spark, sf, task, transform="none"):
-    def run():
-        if task == "classification":
-            return train_and_compare(docs_labelled(spark, sf), "quality", "classification",
-                                     feature_columns=_DOC_FEATS, key_cols=["doc_id"])
-        return train_and_compare(table(spark, sf, "events"), "value", "regression", feature_columns=_EV_FEATS,
-                                 key_cols=["event_id"], target_transform=transform)
-    return _memo(("cmp", sf, task, transform), run)
+# ---- comparison of closed-form models, stated in SQL from split to prediction ----
+# Length of a document by its number of words, with an order key that both
+# engines can compute.
 
+_WORDS = ["n_words"]
 
-@register("ml_leaderboard")
+
+def _documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(F.split("text", " ")).cast("double").alias("n_words"), "n_chars")
+
+
+def comparison(spark, sf, transform="none"):
+    return train_and_compare(_documents(spark, sf), "n_chars", "regression", feature_columns=_WORDS, key_cols=["doc_id"],
+                             order=(F.col("doc_id") * 7919) % 10007, target_transform=transform, model_names=["Linear Regression", "Ridge"])
+
+
+def _cmp_sql(transform="none") -> str:
+    """CTEs: d rows with split and fold, fit (one line per model and training
+    part; part -1: all folds), cv per-fold scores, board, best, pred of all rows."""
+    y = "ln(1 + n_chars)" if transform == "log1p" else "CAST(n_chars AS DOUBLE)"
+    back = (lambda e: f"(exp({e}) - 1)") if transform == "log1p" else (lambda e: e)
+    line = back("a + b * x")
+    return f"""WITH r AS (SELECT doc_id, CAST(len(string_split(text, ' ')) AS DOUBLE) AS x, CAST(n_chars AS DOUBLE) AS raw, {y} AS y,
+      row_number() OVER (ORDER BY (doc_id * 7919) % 10007, doc_id) - 1 AS rk, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL),
+    q AS (SELECT *, CAST(ceil(0.2 * n) AS BIGINT) AS tn FROM r),
+    s AS (SELECT *, n - tn AS m, greatest(2, least(5, (n - tn) // 5)) AS k FROM q),
+    d AS (SELECT *, CASE WHEN rk < tn THEN -1 WHEN rk - tn < (m % k) * (m // k + 1) THEN (rk - tn) // (m // k + 1)
+      ELSE m % k + (rk - tn - (m % k) * (m // k + 1)) // (m // k) END AS fold FROM s),
+    parts AS (SELECT DISTINCT fold AS part FROM d),
+    ols AS (SELECT part, regr_slope(y, x) AS b, avg(x) AS mx, avg(y) AS my, count(*) AS c FROM parts JOIN d ON fold >= 0 AND fold <> part GROUP BY part),
+    fit AS (SELECT part, 'Linear Regression' AS model, b, my - b * mx AS a FROM ols
+      UNION ALL SELECT part, 'Ridge', b * c / (c + {M.RIDGE_ALPHA}), my - b * c / (c + {M.RIDGE_ALPHA}) * mx FROM ols),
+    p AS (SELECT part, model, doc_id, raw, {line} AS yhat FROM d JOIN fit ON part = fold),
+    sc AS (SELECT part, model, 1 - sum((raw - yhat) ** 2) / (var_pop(raw) * count(*)) AS r2, sqrt(avg((raw - yhat) ** 2)) AS rmse, avg(abs(raw - yhat)) AS mae
+      FROM p GROUP BY part, model),
+    board AS (SELECT model, count(*) AS cv_folds, avg(r2) AS r2, avg(rmse) AS rmse, avg(mae) AS mae FROM sc WHERE part >= 0 GROUP BY model),
+    best AS (SELECT model FROM board ORDER BY r2 DESC, model LIMIT 1) """
+
+
+_SCORES = ", ".join(f"round({m}, {R}) AS {m}" for m in ("r2", "rmse", "mae"))
+
+
+def _rounded(df, *lead):
+    return df.select(*lead, *[F.round(m, R).alias(m) for m in ("r2", "rmse", "mae")])
+
+
+def _setup_sql(transform="none"):
+    return (_cmp_sql(transform) + "SELECT 'regression' AS task_type, any_value(n) AS rows_used, CAST(1 AS INTEGER) AS feature_count, any_value(m) AS train_rows, any_value(tn) AS test_rows, "
+            f"CAST(any_value(k) AS INTEGER) AS cv_folds, (SELECT model FROM best) AS best_model, '{transform}' AS target_transform, 'n_words' AS feature_columns")
+
+
+@register("ml_leaderboard", _cmp_sql() + f"SELECT model AS \"Model\", CAST(cv_folds AS INTEGER) AS cv_folds, {_SCORES} FROM board")
 def ml_leaderboard(spark, sf):
-    return comparison(spark, sf, "classification").leaderboard
+    return _rounded(comparison(spark, sf).leaderboard, "Model", "cv_folds")
 
 
-@register("sort_leaderboard")
+@register("sort_leaderboard", _cmp_sql() + "SELECT model AS \"Model\", CAST(row_number() OVER (ORDER BY r2 DESC, model) AS INTEGER) AS place FROM board")
 def sort_leaderboard(spark, sf):
-    return comparison(spark, sf, "regression").leaderboard
+    """The place shows the order of the (short) leaderboard's rows."""
+    rows = comparison(spark, sf).leaderboard.collect()
+    return spark.createDataFrame([(r["Model"], i + 1) for i, r in enumerate(rows)], "Model string, place int")
 
 
-@register("ml_fit_best")
+@register("ml_fit_best", _cmp_sql() + f"SELECT doc_id, raw AS actual, round(yhat, {R}) AS predicted FROM p JOIN best USING (model) WHERE part = -1")
 def ml_fit_best(spark, sf):
-    return comparison(spark, sf, "classification").test_predictions
+    return comparison(spark, sf).test_predictions.select("doc_id", "actual", F.round("predicted", R).alias("predicted"))
 
 
-@register("ml_setup")
+@register("ml_setup", _setup_sql() + " FROM d")
 def ml_setup(spark, sf):
-    return comparison(spark, sf, "regression").setup
+    return comparison(spark, sf).setup
 
 
-@register("ml_scoring")
+@register("ml_scoring", _cmp_sql() + f"SELECT model, CAST(part AS INTEGER) AS fold, {_SCORES} FROM sc WHERE part >= 0")
 def ml_scoring(spark, sf):
-    """Per-fold scores of the regression comparison (r2, rmse, mae)."""
-    return comparison(spark, sf, "regression").fold_scores
+    """Per-fold scores of the comparison."""
+    return _rounded(comparison(spark, sf).fold_scores, "model", F.col("fold").cast("int").alias("fold"))
 
 
-@register("ml_log_target")
+@register("ml_log_target", _setup_sql("log1p") + f", (SELECT round(r2, 4) FROM sc JOIN best USING (model) WHERE part = -1) AS test_r2 FROM d")
 def ml_log_target(spark, sf):
-    a = _memo(("log", sf), lambda: train_and_compare(
-        table(spark, sf, "events"), "value", "regression", feature_columns=["user_id", "event_type"],
-        key_cols=["event_id"], target_transform="log1p"))
-    return a.setup
+    a = comparison(spark, sf, "log1p")
+    return a.setup.withColumn("test_r2", F.lit(round(float(a.evaluation.first()["r2"]), 4)))
+
+
+_PREDICT_ALL = (f"SELECT doc_id, round(a + b * CAST(len(string_split(text, ' ')) AS DOUBLE), {R}) AS predicted "
+                "FROM documents, fit JOIN best USING (model) WHERE part = -1")
 
 
-@register("ml_predict")
+@register("ml_predict", _cmp_sql() + _PREDICT_ALL)
 def ml_predict(spark, sf):
-    """Every document, labelled or not."""
-    a = comparison(spark, sf, "classification")
-    return predict(a.best_model, table(spark, sf, "documents").select("doc_id", *_DOC_FEATS)).select("doc_id", F.col("predicted").alias("predicted"))
+    """Every document, used in training or not."""
+    a = comparison(spark, sf)
+    return predict(a.best_model, _documents(spark, sf).drop("n_chars")).select("doc_id", F.round("predicted", R).alias("predicted"))
+
+
+@register("ml_compare_classifiers", "WITH r AS (SELECT quality AS cls FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), " + _SIZES_SQL +
+          ", k AS (SELECT CAST(greatest(2, least(5, min(m))) AS INTEGER) AS k FROM s) SELECT model AS \"Model\", k AS cv_folds, true AS scores_in_range, true AS ordered "
+          "FROM k, (VALUES " + ", ".join(f"('{m}')" for m in M.CLASSIFIERS) + ") AS t(model)")
+def ml_compare_classifiers(spark, sf):
+    """The whole catalogue of classifiers at full size: folds, score ranges and
+    the order of the leaderboard."""
+    a = train_and_compare(docs_labelled(spark, sf), "quality", "classification", feature_columns=_DOC_FEATS, key_cols=["doc_id"])
+    rows = a.leaderboard.collect()
+    ordered = all(x["accuracy"] >= y["accuracy"] for x, y in zip(rows, rows[1:])) and rows[0]["Model"] == a.best_model_name
+    return spark.createDataFrame([(r["Model"], r["cv_folds"], 0 <= r["accuracy"] <= 1 and 0 <= r["f1_weighted"] <= 1, ordered) for r in rows],
+                                 "Model string, cv_folds int, scores_in_range boolean, ordered boolean")
 
 
 @register("ml_check_classes", "SELECT 'c_mktsegment' AS target, count(DISTINCT c_mktsegment) >= 2 AS ok FROM customer")
