@@ -49,6 +49,37 @@ ADDED = [
 RUNS = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
 
 
+#: Entries that one step of ``before`` handles.
+RUN = 128
+
+
+def _running(values: Column, op) -> Column:
+    """0, then ``op`` over the first, the first two, ... entries."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+
+def before(values: Column, op) -> Column:
+    """For each entry of an array of non-negative integers: ``op`` (sum or
+    maximum) over all entries before it, 0 for the first.  Runs of RUN entries
+    are taken on their own, then shifted by what came before the run, so the
+    cost is RUN steps an entry, not the array's length."""
+    def in_runs(v: Column) -> Column:
+        count = F.floor(F.size(v) / RUN).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda i: _running(F.slice(v, i * RUN + 1, F.lit(RUN)), op))
+
+    def shifted(sums: Column) -> Column:
+        total = _running(F.transform(sums, lambda r: F.element_at(r, -1)), op)
+        both = F.arrays_zip(sums.alias("own"), F.slice(total, 1, F.size(sums)).alias("base"))
+        return F.flatten(F.transform(both, lambda z: F.transform(F.slice(z["own"], 1, F.size(z["own"]) - 1), lambda v: op(z["base"], v))))
+
+    return _once(_once(values, in_runs), shifted)
+
+
+def _once(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def matches(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """array<struct<start, end, ord, kind, from, value>> of one kind: leftmost
     non-overlapping matches whose group is long enough.  ``from``: where the
@@ -57,19 +88,17 @@ def matches(text: Column, kind: str, order: int, pattern: str, group: int, least
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     between = F.split(text, pattern, -1)
-    pieces = F.transform(F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("hit"), value.alias("value")),
-                         lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), x["value"].alias("value")))
-    kind_of = "struct<at:int,out:array<struct<start:int,end:int,ord:int,kind:string,from:int,value:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind_of)
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["hit"]
-        one = F.struct(begin.alias("start"), end.alias("end"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"),
-                       (end - F.length(x["value"])).alias("from"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out")).cast(kind_of)
-
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    pieces = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("hit"), value.alias("value"))
+    sizes = F.transform(pieces, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), x["value"].alias("value")))
+    placed = _once(sizes, lambda v: F.arrays_zip(v.alias("x"), before(F.transform(v, lambda x: x["gap"] + x["hit"]), lambda a, b: a + b).alias("at")))
+
+    def one(p: Column) -> Column:
+        begin = p["at"] + p["x"]["gap"]
+        end = begin + p["x"]["hit"]
+        return F.struct(begin.alias("start"), end.alias("end"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"),
+                        (end - F.length(p["x"]["value"])).alias("from"), p["x"]["value"].alias("value"))
+
+    found = F.transform(F.filter(placed, lambda p: F.length(p["x"]["value"]) >= least), one)
     none = F.array().cast("array<struct<start:int,end:int,ord:int,kind:string,from:int,value:string>>")
     return F.when(text.rlike(pattern), found).otherwise(none)
 
@@ -147,16 +176,22 @@ def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     known = F.coalesce(F.col("examples"), F.array().cast("array<string>"))
     live = F.filter("found", lambda x: ~F.array_contains(known, x["hash"]))
     text = F.col("r")[text_col].cast("string")
-    shape = "struct<at:int,out:array<string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        added = F.when(x["from"] >= acc["at"], F.concat(acc["out"], F.array(
-            text.substr(acc["at"] + 1, x["from"] - acc["at"]), F.concat(F.lit("[secret:"), x["kind"], F.lit("]"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), added.alias("out")).cast(shape)
-
     by_value = F.array_sort(live, lambda a, b: F.when(a["from"] != b["from"], a["from"] - b["from"]).otherwise(b["end"] - a["end"]))
-    new = F.aggregate(by_value, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(shape), step,
-                      lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
+    # how far the values before each one reach; a value that begins inside another goes with it
+    hit = hit.withColumn("ordered", by_value)
+    hit = hit.withColumn("reach", before(F.col("ordered.end"), lambda a, b: F.greatest(a, b)))
+    kept = F.filter(F.arrays_zip("ordered", "reach"), lambda z: z["ordered"]["from"] >= z["reach"])
+
+    def rewritten(run: Column) -> Column:
+        # positions count from the run's own stretch of text, so a long text isn't walked once a value
+        first = run[0]["reach"]
+        stretch = text.substr(first + 1, F.element_at(run, -1)["ordered"]["from"] - first)
+        return _once(stretch, lambda t: F.array_join(F.transform(run, lambda z: F.concat(
+            t.substr(z["reach"] - first + 1, z["ordered"]["from"] - z["reach"]), F.lit("[secret:"), z["ordered"]["kind"], F.lit("]"))), ""))
+
+    cut = _once(kept, lambda v: F.transform(F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / RUN).cast("int")),
+                                                                 lambda i: F.slice(v, i * RUN + 1, F.lit(RUN))), lambda run: F.size(run) > 0), rewritten))
+    new = F.concat(F.array_join(cut, ""), text.substr(F.coalesce(F.array_max("ordered.end"), F.lit(0)) + 1, F.length(text)))
     changed = hit.withColumn("n", F.size(live)).withColumn("t", F.when(F.col("n") > 0, new).otherwise(text))
 
     def column(c: str) -> Column:

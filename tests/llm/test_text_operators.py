@@ -241,6 +241,29 @@ def test_secret_redaction(frame):
     assert secret_scan.redact(frame([], DOCS)).collect() == [] and secret_scan.scan(frame([], DOCS)).collect() == []
 
 
+def test_secret_dense_texts(frame):
+    """Numbers of matches around the length of a run of prefix sums."""
+    rng = random.Random(3)
+    run = secret_scan.RUN
+    rows = []
+    for i, n in enumerate((run - 1, run, run + 1, 3 * run, 3 * run + 5)):
+        keys = [rng.choice(["token=", "é password: ", "ü "]) + "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([4, 30]))) for _ in range(n)]
+        rows.append((i, " ".join(keys), "s", "en", 0))
+    df = frame(rows, "doc_id long, text string, source string, lang string, n_chars int")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.report(secret_scan.scan(df)).collect()}
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    for i, text, *_ in rows:
+        spans = brute_spans(text)
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, k, b, _ in spans)
+        # values in order; one that begins inside another goes with it
+        want, at = "", 0
+        for a, b, kind in sorted(((b - len(v), b, k) for _, _, k, b, v in spans), key=lambda v: (v[0], -v[1])):
+            if a >= at:
+                want += text[at:a] + f"[secret:{kind}]"
+            at = max(at, b)
+        assert out[i] == want + text[at:]
+
+
 def test_secret_main_path_has_no_python(frame):
     plan = secret_scan.report(secret_scan.scan(frame(secret_rows(), DOCS)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
