@@ -52,7 +52,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), words_only=False)
 
 
 def op8_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

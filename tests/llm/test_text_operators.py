@@ -338,6 +338,24 @@ def test_token_counts(frame, corpus):
     assert token_counts.token_counts(frame([], DOCS), path).collect() == []
 
 
+def test_token_counts_keep_white_space(frame, corpus):
+    """The whole raw text, white space included, against one table over all of it."""
+    import public_tokenizers
+    path = public_tokenizers.path(PIECE_MODEL)
+    scores, byte = token_counts.vocabulary(open(path, "rb").read())
+    texts = ["a\n\nb  c", "def f():\n\tif x:\n        return  1 \n\n\n", " ", "\n", "  lead", "tail ", "a\r\nb\r\r\n", "a \t b", "x" + " " * 37 + "y", "a\u00a0b \u2028 c", "a\u2581b", "\x0b\x0c z\x00", "", None,
+             *[t[:400] for _, t, *_ in corpus[:4]]]
+    got = {r["doc_id"]: r for r in token_counts.token_counts(frame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS), path, words_only=False).collect()}
+    for i, t in enumerate(texts):
+        n, score = brute_tokens(t.replace(" ", token_counts.MARK), scores, byte) if t else (0, 0.0)
+        assert (got[i]["n_pretokens"], got[i]["n_tokens"], round(got[i]["score"], 4)) == (len((t or "").split()), n, round(score, 4)), t
+    assert got[0]["n_tokens"] == 6 and got[2]["n_tokens"] == 1 and got[3]["n_tokens"] == 2
+    assert token_counts.pretoken_pattern({"a": 0.0}).findall("▁a\n\n▁▁b\tc") == ["▁a", "\n\n", "▁▁b", "\t", "c"]
+    for other in ({"▁a▁b": 0.0}, {"▁a▁b": 0.0, "\t\n\v\f\r": 0.0}):  # pieces that cross words or hold every break
+        cuts = token_counts.pretoken_pattern(other).findall("▁a▁b\nc")
+        assert "".join(cuts) == "▁a▁b\nc" and cuts[0].startswith("▁a▁b")
+
+
 # ---- quality ----------------------------------------------------------------
 
 def test_quality(spark, frame):
