@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.operators.stats import agg_chunks, freq_table, kpi_counts, skew_expr
+from tablewright.functions.parse import coerce_datetime_candidates
+from tablewright.operators.corr import pearson_matrix
+from tablewright.operators.stats import agg_chunks, duplicate_count, freq_table, kpi_counts, skew_expr
 from tablewright.schema import as_double, dtype_name, is_missing, is_numeric_type, numeric_cols, q
 
 
@@ -108,5 +110,16 @@ def column_profile(df: DataFrame, top_k: int = 5) -> DataFrame:
         "kurtosis double, len_min int, len_max int, len_mean double, top_values string, alerts string"))
 
 
+def full_profile(df: DataFrame, order_by: list[str], top_k: int = 5) -> dict[str, DataFrame]:
+    """The profile of a table whose text columns of dates became timestamps (one
+    layout per column, from its first value by ``order_by``): ``columns``
+    (``column_profile``), ``duplicates`` (one row: rows that repeat another) and
+    ``correlations`` (Pearson, all pairs of numeric columns)."""
+    df = coerce_datetime_candidates(df, order_by)
+    return {"columns": column_profile(df, top_k),
+            "duplicates": df.sparkSession.createDataFrame([(duplicate_count(df),)], "duplicates long"),
+            "correlations": pearson_matrix(df, numeric_cols(df))}
+
+
 def is_numeric(df: DataFrame, c: str) -> bool:
     return is_numeric_type(df.schema[c].dataType)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.functions.parse import coerce_datetime_candidates
 from tablewright.operators import eda as E
 from tablewright.operators.corr import corr_matrix
 from tablewright.operators.planning import detect_task
-from tablewright.operators.profile import column_profile
+from tablewright.operators.profile import column_profile, full_profile
 from tablewright.queries import register
-from tablewright.queries.sqlhelp import DIRTY_COLS, union_all, with_dirty
+from tablewright.queries.sqlhelp import DIRTY_COLS, DIRTY_NUMERIC, union_all, with_dirty
 from tablewright.sources.tables import dirty_orders, table
 
 R = 9
@@ -255,7 +256,7 @@ def _profile_sql():
 
 @register("eda_profile", _profile_sql())
 def eda_profile(spark, sf):
-    p = column_profile(table(spark, sf, "orders"))
+    p = column_profile(coerce_datetime_candidates(table(spark, sf, "orders"), ["o_orderkey"]))
     # compared across engines: floats rounded; counts that may be missing as double
     def z0(e):
         return F.when(e == 0, F.lit(0.0)).otherwise(e)
@@ -263,3 +264,26 @@ def eda_profile(spark, sf):
                       else z0(F.round(c, 6)).alias(c) if c in ("skew", "kurtosis", "len_mean")
                       else F.col(c).cast("double").alias(c) if c in ("zeros", "negatives", "len_min", "len_max")
                       else F.col(c) for c in p.columns])
+
+
+def _profile_parts_sql():
+    """Dates of ``dirty_orders`` as timestamps, duplicates and correlations of the same profile."""
+    dated = "dated AS (SELECT * REPLACE (try_strptime(trim(date_text), '%Y-%m-%d') AS date_text) FROM dirty_orders)"
+    x = {c: f"CAST({c} AS DOUBLE)" if c != "flag" else "CAST(CAST(flag AS INTEGER) AS DOUBLE)" for c in DIRTY_NUMERIC}
+    parts = ["SELECT 'duplicates' AS part, '' AS a, '' AS b, CAST((SELECT count(*) FROM dated) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dated)) AS DOUBLE) AS value",
+             "SELECT 'timestamp', 'date_text', '', CAST(count(date_text) AS DOUBLE) FROM dated"]
+    for a in DIRTY_NUMERIC:
+        for b in DIRTY_NUMERIC:
+            r = (f"CASE WHEN stddev_pop({x[a]}) > 0 THEN 1.0 END" if a == b else
+                 f"round(covar_pop({x[a]}, {x[b]}) / NULLIF(stddev_pop({x[a]}) * stddev_pop({x[b]}), 0), {R})")
+            parts.append(f"SELECT 'correlation', '{a}', '{b}', {_z0(r)} FROM dated WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+    return with_dirty(dated) + union_all(parts)
+
+
+@register("eda_profile_parts", _profile_parts_sql())
+def eda_profile_parts(spark, sf):
+    p = full_profile(dirty_orders(spark, sf), ["o_orderkey"])
+    r = F.round("r", R)
+    return (p["duplicates"].select(F.lit("duplicates").alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.col("duplicates").cast("double").alias("value"))
+            .unionByName(p["columns"].where("dtype = 'timestamp'").select(F.lit("timestamp").alias("part"), F.col("column").alias("a"), F.lit("").alias("b"), F.col("count").cast("double").alias("value")))
+            .unionByName(p["correlations"].select(F.lit("correlation").alias("part"), "a", "b", F.when(r == 0, F.lit(0.0)).otherwise(r).alias("value"))))

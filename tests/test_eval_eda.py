@@ -76,3 +76,16 @@ def test_run_eda_all_modules(spark):
     assert out["Target Deep Dive (scatter)"].agg(F.sum("count")).collect()[0][0] == 2 * o.count()
     assert out["Pairwise Relationships"].count() == 1000
     assert out["Custom Feature Plot"].count() == 5
+
+
+def test_full_profile(spark):
+    """Text dates are profiled as timestamps; duplicates and correlations belong to it."""
+    from tablewright.operators.profile import full_profile
+    rows = [(1, "2020-01-02", "x", 2.0), (2, "2020-01-03", "y", 4.0), (3, None, "z", 6.0), (3, None, "z", 6.0), (4, "bad", "w", None), (5, "2021-05-06", "x", 10.0),
+            (6, "2021-05-07", "v", 12.0), (7, "2021-05-08", "v", 14.0)]
+    p = full_profile(spark.createDataFrame(rows, "k long, d string, s string, v double"), ["k"])
+    cols = {r["column"]: r for r in p["columns"].collect()}
+    assert (cols["d"]["dtype"], cols["d"]["count"], cols["d"]["nulls"]) == ("timestamp", 5, 3) and cols["s"]["dtype"] == "string"
+    assert p["duplicates"].collect()[0]["duplicates"] == 1
+    r = {(x["a"], x["b"]): x["r"] for x in p["correlations"].collect()}
+    assert set(r) == {(a, b) for a in "kv" for b in "kv"} and r["k", "v"] == pytest.approx(1.0) and r["k", "k"] == 1.0
