@@ -15,14 +15,15 @@ from tablewright.session import checkpoint_dir
 from tablewright.sources.tables import table  # noqa: F401  (used by the queries)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the session's shared checkpoint folder and
     read it back.  Later jobs start from these files, so a lost executor costs
     its running tasks only, and values drawn once (row numbers, partition ids)
-    stay as they were written."""
+    stay as they were written.  ``codec``: Parquet compression other than the
+    session's."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,12 +47,12 @@ def with_id(df: DataFrame, id_col: str) -> DataFrame:
     return df
 
 
-def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text (null: empty), under fixed names, so that extra
+def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Only the id, the text (null: empty) and ``keep``, under fixed names, so that extra
     columns, whatever their names, can't clash."""
     with_id(with_id(df, id_col), text_col)
     small_batches(df.sparkSession)
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *keep)
 
 
 def flat(arr) -> tuple[np.ndarray, np.ndarray]:

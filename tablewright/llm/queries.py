@@ -15,7 +15,7 @@ RANK_FILE, PIECE_MODEL = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op1_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shuffle_into_shards(sharding.digest(table(spark, sf_dir, "documents")), 8)
+    out = sharding.digest(sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), 8), "shard", "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -185,6 +185,17 @@ def test_digest(frame):
     assert [tuple(r) for r in got] == [(1, 4, zlib.crc32("aé".encode())), (2, 1, 0)]
 
 
+def test_shards_exchange_texts(spark, monkeypatch):
+    """The query shuffles documents with their texts; its digests come from the shuffled rows."""
+    from tablewright.llm import queries
+    seen, real = [], sharding.shuffle_into_shards
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda df, *a: seen.append(df.columns) or real(df, *a))
+    out = queries.op1_hypergeometric_shards(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert seen == [docs.columns]
+    assert sorted(map(tuple, out.select("doc_id", "size", "text_crc32").collect())) == sorted(map(tuple, sharding.digest(docs).collect()))
+
+
 # ---- secrets ----------------------------------------------------------------
 
 KEY = "AKIA" + "QWERTY1234567890"
