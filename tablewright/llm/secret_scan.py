@@ -116,11 +116,13 @@ def _text(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
 
-def _examples(found: DataFrame, min_owners: int, min_repositories: int) -> DataFrame:
+def _examples(found: DataFrame, min_owners: int, min_repositories: int, by_text: bool = False) -> DataFrame:
     """(rid, examples): for each scanned row the hashes among its candidates
-    that are widely copied."""
-    own = found.where("size(found) > 0").select("rid", "owner", "repo", F.explode(F.array_distinct(F.col("found.hash"))).alias("hash"))
-    wide = (own.select("hash", "owner", "repo").distinct().groupBy("hash")
+    that are widely copied.  ``by_text``: rows of one text (column ``body``)
+    are one document, owned by the smallest of their owners."""
+    own = found.where("size(found) > 0").select("rid", "owner", "repo", *["body"] * by_text, F.explode(F.array_distinct(F.col("found.hash"))).alias("hash"))
+    owned = own.groupBy("hash", "body").agg(F.min(F.struct("owner", "repo")).alias("o")).select("hash", "o.*") if by_text else own
+    wide = (owned.select("hash", "owner", "repo").distinct().groupBy("hash")
             .agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
             .where((F.col("owners") >= min_owners) & (F.col("repos") >= min_repositories)).select("hash"))
     wide = stage(wide, "secret-examples")
@@ -164,14 +166,16 @@ def report(spans: DataFrame) -> DataFrame:
 
 
 def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"),
-           min_owners: int = MIN_OWNERS, min_repositories: int = MIN_REPOSITORIES) -> DataFrame:
+           min_owners: int = MIN_OWNERS, min_repositories: int = MIN_REPOSITORIES, by_text: bool = False) -> DataFrame:
     """``df`` with the values of live spans replaced by ``[secret:KIND]``; a
-    column ``n_chars`` follows the text.  Widely copied examples stay.  Only
-    rows with candidates are shuffled."""
+    column ``n_chars`` follows the text.  Widely copied examples stay; with
+    ``by_text`` copies of one text count as one document, so what is only in
+    them goes.  Only rows with candidates are shuffled."""
+    body = [F.sha2(_text(df, text_col), 256).alias("body")] if by_text else []
     full = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), F.monotonically_increasing_id().alias("rid"),
-                     *_owners(df, owner_col, list(repo_cols)), candidates(_text(df, text_col)).alias("found"))
+                     *_owners(df, owner_col, list(repo_cols)), *body, candidates(_text(df, text_col)).alias("found"))
     full = stage(full, "secret-rows")
-    wide = stage(_examples(full.select("rid", "owner", "repo", "found"), min_owners, min_repositories), "secret-wide")
+    wide = stage(_examples(full.select("rid", "owner", "repo", *["body"] * by_text, "found"), min_owners, min_repositories, by_text), "secret-wide")
     hit = full.where("size(found) > 0").join(wide, "rid", "left")
     known = F.coalesce(F.col("examples"), F.array().cast("array<string>"))
     live = F.filter("found", lambda x: ~F.array_contains(known, x["hash"]))

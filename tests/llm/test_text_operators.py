@@ -252,6 +252,16 @@ def test_secret_redaction(frame):
     assert secret_scan.redact(frame([], DOCS)).collect() == [] and secret_scan.scan(frame([], DOCS)).collect() == []
 
 
+def test_secret_in_copies_of_one_text(spark, frame):
+    """A credential known from one text only is live however many sources copied it."""
+    import corpus_pipeline
+    key, other = "ghp_" + "a1B2" * 10, "ghp_" + "c3D4" * 10
+    rows = [(i, f"my key {key}", "en", f"s{i}", 0) for i in range(40)] + [(100 + i, f"sample {i} {other}", "en", f"s{i}", 0) for i in range(3)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_secrets(spark, frame(rows, DOCS), "").collect()}
+    assert len(out) == len(rows) and all(out[i] == "my key [secret:forge]" for i in range(40))
+    assert all(other in out[100 + i] for i in range(3))
+
+
 def test_secret_dense_texts(frame):
     """Numbers of matches around the length of a run of prefix sums."""
     rng = random.Random(3)
