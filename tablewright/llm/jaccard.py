@@ -335,12 +335,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                    .where("lo < hi").select("sig", "ref"), "jaccard-shared")
     del rows
     groups = stage(shared.join(member.select(F.col("doc_id").alias("ref"), "rep", "n_shingles"), "ref")
-                   .groupBy("sig", "rep").agg(F.min("n_shingles").alias("n")), "jaccard-groups")
+                   .groupBy("sig", "rep").agg(F.min("n_shingles").alias("n"), F.max("n_shingles").alias("nx")), "jaccard-groups")
 
-    # star: every member against the smallest one
-    head = stage(groups.groupBy("sig").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last"))
-                 .where("h.rep < last").select("sig", F.col("h.rep").alias("head"), F.col("h.n").alias("hn")), "jaccard-heads")
-    star = stage(groups.join(head, "sig").where("rep > head AND 4 * n >= 3 * hn AND 4 * hn >= 3 * n")
+    # star: every member against the smallest one; an id with several texts has sizes n to nx
+    head = stage(groups.groupBy("sig").agg(F.min(F.struct("rep", "n", "nx")).alias("h"), F.max("rep").alias("last"))
+                 .where("h.rep < last").select("sig", F.col("h.rep").alias("head"), F.col("h.n").alias("hn"), F.col("h.nx").alias("hx")), "jaccard-heads")
+    star = stage(groups.join(head, "sig").where("rep > head AND 4 * nx >= 3 * hn AND 4 * hx >= 3 * n")
                  .select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct(), "jaccard-star")
     # of rows that share an id any sketch may be the one that links
     sketches = sets.where("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch")

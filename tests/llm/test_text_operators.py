@@ -97,6 +97,14 @@ def test_jaccard_empty(frame):
     assert jaccard.jaccard_components(frame([], DOCS)).collect() == []
 
 
+def test_jaccard_repeated_id(frame):
+    """An id with a long and a short text links by either."""
+    long = words(200, 1)
+    rows = [(5, " ".join(long), "en", "s", 0), (5, " ".join(words(12, 2)), "en", "s", 0), (7, " ".join(near(long, 2, 3)), "en", "s", 0)]
+    got = jaccard.jaccard_components(frame(rows, DOCS)).collect()
+    assert len(got) == 3 and {r["component_id"] for r in got} == {5}
+
+
 def test_signatures_meet():
     """Any two linked sets share a signature, whatever the common shingles."""
     rng = np.random.default_rng(3)
