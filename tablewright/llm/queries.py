@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import ann, bpe, chat_format, decontam, jaccard, quality, secret_scan, sharding, token_counts, url_filter
+from tablewright.llm import ann, bpe, chat_format, decontam, exact_dedup, jaccard, quality, ranked_search, runs, secret_scan, sharding, token_counts, url_filter
 from tablewright.llm.common import table
 
 #: Vocabulary files: parameters of the two tokenizer queries.
@@ -69,9 +69,22 @@ def op10_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
+def op12_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hypergeometric_shards, op2_secret_ownership, op3_one_bit_neighbours, op4_relational_chat, op5_partenum_jaccard,
-    op6_byte_bpe, op7_unigram_counts, op8_bloom_urls, op9_boosted_quality, op10_pigeonhole_decontamination)}
+    op6_byte_bpe, op7_unigram_counts, op8_bloom_urls, op9_boosted_quality, op10_pigeonhole_decontamination,
+    op11_grammar_runs, op12_chunk_recipes, op13_reversed_search)}
 
 
 # ---- DuckDB texts ----------------------------------------------------------
@@ -144,4 +157,59 @@ r AS (SELECT page_id, host, path, listed IS NOT NULL AS listed, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
 FROM r"""
 
-SQL = {"op2_secret_ownership": _secret_sql(), "op4_relational_chat": CHAT_SQL, "op5_partenum_jaccard": JACCARD_SQL, "op8_bloom_urls": URL_SQL}
+
+
+def _runs_sql() -> str:
+    """Runs by naming: every stretch of G = 1, 2, 4, ... words gets a number
+    (dense_rank of its halves).  A run with a period in (G/2, G] has 2 G equal
+    words or more, and inside it a stretch of G words recurs first one period
+    later, so islands of starts with one such distance are the runs."""
+    names, islands = [], []
+    for j in range(18):
+        g = 1 << j
+        if j:
+            names.append(f"""n{j} AS MATERIALIZED (SELECT doc_id, i, dense_rank() OVER (ORDER BY id, nx) AS id FROM
+                (SELECT doc_id, i, id, lead(id, {g // 2}) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM n{j - 1}) WHERE nx IS NOT NULL)""")
+        islands.append(f"""SELECT doc_id, min(i) AS s, max(i) - min(i) + {g} + q AS length, q FROM (
+                SELECT doc_id, i, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM (
+                    SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id, id ORDER BY i) - i AS q FROM n{j}) WHERE q > {g // 2} AND q <= {g})
+            GROUP BY doc_id, q, island""")
+    return rf"""
+    WITH ids AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                        xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                            lambda crc, c: list_reduce(range(8), lambda y, k: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, c)), 4294967295), 4294967295) AS h
+                 FROM documents),
+    cut AS (SELECT *, len(ws) AS n, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a, h // 10 AS g FROM ids),
+    per AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM cut),
+    w AS MATERIALIZED (SELECT doc_id, i, CASE WHEN h % 10 = 0 AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS word
+          FROM (SELECT *, unnest(range(n)) AS i FROM per)),
+    n0 AS MATERIALIZED (SELECT doc_id, i, dense_rank() OVER (ORDER BY word) AS id FROM w),
+    {", ".join(names)},
+    run AS MATERIALIZED (SELECT doc_id, s, length, q FROM ({" UNION ALL ".join(islands)}) WHERE length >= greatest(24, 3 * q)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM run),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS txt FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+    best AS (SELECT *, (1000 * length) // q AS milli, row_number() OVER (PARTITION BY doc_id ORDER BY length / q DESC, s, q) AS k FROM run),
+    every AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS txt FROM run GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(e.n_runs, 0) AS n_runs, b.s AS start, b.length, b.q AS period, b.milli AS exponent_milli,
+           sha256(coalesce(e.txt, '')) AS runs_sha256, sha256(coalesce(k.txt, '')) AS collapsed_sha256
+    FROM documents d LEFT JOIN every e USING (doc_id) LEFT JOIN best b ON b.doc_id = d.doc_id AND b.k = 1 LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+
+
+RECIPES_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+SEARCH_SQL = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM cut) GROUP BY doc_id, term),
+tot AS (SELECT count(*) FILTER (len(ts) > 0) AS N, CAST(sum(len(ts)) AS BIGINT) AS L FROM cut),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * N + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, tot GROUP BY term, N),
+dm AS (SELECT doc_id, 10 + (90 * len(ts) * N) // L AS m FROM cut, tot WHERE len(ts) > 0),
+sc AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+       FROM items JOIN tf USING (term) JOIN wt USING (term) JOIN dm USING (doc_id) GROUP BY item_id, doc_id),
+rk AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM rk WHERE rank <= 10"""
+
+SQL = {"op2_secret_ownership": _secret_sql(), "op4_relational_chat": CHAT_SQL, "op5_partenum_jaccard": JACCARD_SQL, "op8_bloom_urls": URL_SQL,
+       "op11_grammar_runs": _runs_sql(), "op12_chunk_recipes": RECIPES_SQL, "op13_reversed_search": SEARCH_SQL}

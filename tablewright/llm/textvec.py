@@ -10,6 +10,7 @@ number of words, not eight-fold the text.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from tablewright.llm.common import flat
 
@@ -125,3 +126,24 @@ class WordHasher:
                 yield self._sequence(words[lo:hi])
             else:
                 yield np.zeros(0, U)
+
+
+def word_array(arr, space: np.ndarray, letters: np.ndarray | None = None):
+    """The words of an Arrow text column (runs of bytes that ``space`` doesn't
+    mark) back to back as an Arrow array, and where each row's words begin.
+    ``letters``: what each byte is read as."""
+    data, off = flat(arr)
+    blank = space[data]
+    opens, closes = ~blank, ~blank
+    opens[1:] &= blank[:-1]
+    closes[:-1] &= blank[1:]
+    # a word ends with its row
+    full = off[:-1] < off[1:]
+    rows, lasts = off[:-1][full], off[1:][full] - 1
+    opens[rows], closes[lasts] = ~blank[rows], ~blank[lasts]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    body = data[~blank]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(body if letters is None else letters[body])])
+    return words, np.searchsorted(starts, off)
