@@ -5,10 +5,7 @@
 * Spearman: Pearson of average ranks.  Ranks come from per-column frequency
   tables and distributed running counts (``ranks.running_weight``), joined back
   on the value -- AQE splits a hot value's partition on the row side.
-* Kendall tau-b: block decomposition.  Values are cut into value-range blocks
-  (heavy values become single-value blocks); pairs in different x *and* y
-  blocks are counted from the small block-count matrix, the rest per block by
-  a vectorised merge count inside ``applyInPandas``.
+* Kendall tau-b: ``kendall``, a recursive decomposition into bounded blocks.
 """
 
 from __future__ import annotations
@@ -17,15 +14,15 @@ import math
 import sys
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.operators.kendall import kendall_pairs
 from tablewright.operators.ranks import running_weight
 from tablewright.schema import as_double
 from tablewright.session import ship_by_value
 
-# The grouped pandas function below runs on executors: send this module's code
+# The Arrow function below runs on executors: send this module's code
 # with the task instead of requiring the package to be installed there.
 ship_by_value(sys.modules[__name__])
 
@@ -193,169 +190,6 @@ def _spearman_pairwise(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
 
 # ---- Kendall tau-b -----------------------------------------------------------
 
-# Target rows per block for the local counts.
-KENDALL_BLOCK_ROWS = 20_000
-KENDALL_MAX_EDGES = 1024
-# Up to this many block edges over all pairs, blocks come from literal
-# comparison trees; above it from a distributed running count and a join.
-KENDALL_LITERAL_EDGES = 8192
-
-
-def _block_tree(c: Column, edges: list[float]) -> Column:
-    """2 * (#edges below c) + (1 if c is an edge), as a balanced tree of
-    comparisons against literal edges (O(log m) per row)."""
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(2 * lo).cast("long")
-        mid = (lo + hi) // 2
-        e = F.lit(float(edges[mid]))
-        return (F.when(c < e, build(lo, mid))
-                 .when(c == e, F.lit(2 * mid + 1).cast("long"))
-                 .otherwise(build(mid + 1, hi)))
-    return build(0, len(edges))
-
-
-def _pair_sign_sum(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Weighted sum over pairs of sign(dx) * sign(dy) * w_i * w_j.
-
-    Rows sorted by (x, y); bottom-up merge levels, each fully vectorised: for
-    every element of a right half, the left-half weight with smaller and with
-    larger y (two lexsorts + cumulative sums per level, O(m log^2 m) in numpy).
-    Pairs with equal x were counted as ordered and are removed at the end
-    (their share is the within-x-group weight with smaller y)."""
-    m = len(x)
-    if m < 2:
-        return 0.0
-    order = np.lexsort((y, x))
-    x, y, w = x[order], y[order], w[order]
-    idx = np.arange(m)
-    total = 0.0
-    s = 1
-    while s < m:
-        block = idx // (2 * s)
-        right = ((idx // s) % 2).astype(np.int8)
-        wl = np.where(right == 0, w, 0.0)
-        wl_block = np.bincount(block, weights=wl)
-        below = np.empty(m)
-        at_or_below = np.empty(m)
-        for out, tie_first in ((below, -right), (at_or_below, right)):
-            o = np.lexsort((tie_first, y, block))
-            c = np.cumsum(wl[o])
-            start = np.searchsorted(block[o], block[o], side="left")
-            out[o] = c - np.concatenate(([0.0], c))[start]
-        r = right == 1
-        total += float((w[r] * (below[r] - (wl_block[block[r]] - at_or_below[r]))).sum())
-        s *= 2
-    g = pd.DataFrame({"x": x, "y": y, "w": w}).groupby(["x", "y"], sort=True)["w"].sum().reset_index()
-    g["before"] = g.groupby("x")["w"].cumsum() - g["w"]
-    return total - float((g["w"] * g["before"]).sum())
-
-
-def _local_s(pdf: pd.DataFrame) -> pd.DataFrame:
-    s = _pair_sign_sum(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["w"].to_numpy(float))
-    return pd.DataFrame({"pair": [int(pdf["pair"].iloc[0])], "kind": [int(pdf["kind"].iloc[0])], "s": [s]})
-
-
-def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> dict:
-    """Kendall tau-b for many column pairs, each on its pairwise-complete rows,
-    in a fixed number of jobs whatever the number of pairs.
-
-    1. (pair, x, y, w): complete rows collapsed to weighted distinct points.
-    2. Value-range blocks per (pair, side): edges from an approximate-quantile
-       sketch; a value's block is 2 * (#edges below it) + (1 if it is an
-       edge), computed by the distributed running count -- a heavy value is an
-       edge and so a single-value block.
-    3. One grouped pandas pass computes, per group, the weighted sum of
-       sign(dx) * sign(dy) over its pairs of points (vectorised merge count):
-       kind 0 = points of one x block, 1 = one y block, 2 = one (x, y) cell
-       (subtracted), 3 = the block-count cells of a pair (pairs of points in
-       different x *and* y blocks, counted at block level).
-       Single-value blocks are all ties on their side and are left out.
-    4. Ties per side from one aggregation; tau-b per pair.
-    """
-    if not pairs:
-        return {}
-    structs = [F.struct(F.lit(i).alias("pair"), as_double(df, a).alias("x"), as_double(df, b).alias("y"))
-               for i, (a, b) in enumerate(pairs)]
-    w3 = (df.select(F.inline(F.array(*structs))).filter("x IS NOT NULL AND y IS NOT NULL")
-            .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))).persist()
-    try:
-        st = {r["pair"]: (r["n"], r["d"]) for r in
-              w3.groupBy("pair").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
-        if not st:
-            return {p: None for p in pairs}
-        m = max(1, min(KENDALL_MAX_EDGES, max(d for _, d in st.values()) // KENDALL_BLOCK_ROWS))
-        sides = w3.select("pair", F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("x").alias("value"), "w"),
-                                                   F.struct(F.lit("y").alias("side"), F.col("y").alias("value"), "w"))))
-        values = sides.groupBy("pair", "side", "value").agg(F.sum("w").alias("t"))
-        # ties: sum over values of t(t-1)/2 per (pair, side)
-        ties = {(r["pair"], r["side"]): r["s"] or 0.0 for r in
-                values.groupBy("pair", "side").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("s")).collect()}
-        literal = m > 1 and len(pairs) * 2 * (m - 1) <= KENDALL_LITERAL_EDGES
-        if literal:
-            # few edges in total: bring them back and assign blocks with a
-            # balanced comparison tree per pair (no join)
-            probs = [i / m for i in range(1, m)]
-            er = (w3.groupBy("pair").agg(F.percentile_approx("x", probs, 10000).alias("ex"),
-                                         F.percentile_approx("y", probs, 10000).alias("ey")).collect())
-            ex = {r["pair"]: sorted(set(float(v) for v in r["ex"] or [])) for r in er}
-            ey = {r["pair"]: sorted(set(float(v) for v in r["ey"] or [])) for r in er}
-
-            def per_pair(col, table):
-                out = F.lit(0).cast("long")
-                for i, e in table.items():
-                    out = F.when(F.col("pair") == i, _block_tree(F.col(col), e)).otherwise(out)
-                return out
-            blk = w3.withColumn("bx", per_pair("x", ex)).withColumn("by", per_pair("y", ey))
-        elif m > 1:
-            probs = [i / m for i in range(1, m)]
-            edges = (w3.groupBy("pair").agg(F.percentile_approx("x", probs, 10000).alias("ex"),
-                                             F.percentile_approx("y", probs, 10000).alias("ey"))
-                       .select("pair", F.inline(F.array(F.struct(F.lit("x").alias("side"), F.col("ex").alias("e")),
-                                                        F.struct(F.lit("y").alias("side"), F.col("ey").alias("e")))))
-                       .select("pair", "side", F.explode("e").alias("value"), F.lit(1).alias("is_edge")))
-            tbl = (values.select("pair", "side", "value", F.lit(0).alias("is_edge")).unionByName(edges)
-                         .groupBy("pair", "side", "value").agg(F.max("is_edge").alias("is_edge")))
-            ranked = running_weight(tbl, ["pair", "side"], ["value"], "is_edge")
-            blocks = ranked.select("pair", "side", "value",
-                                   (F.col("_below") * 2 + F.col("is_edge")).cast("long").alias("b"))
-            bx = blocks.filter("side = 'x'").select("pair", F.col("value").alias("x"), F.col("b").alias("bx"))
-            by = blocks.filter("side = 'y'").select("pair", F.col("value").alias("y"), F.col("b").alias("by"))
-            blk = w3.join(bx, ["pair", "x"]).join(by, ["pair", "y"])
-        else:
-            blk = w3.withColumn("bx", F.lit(0).cast("long")).withColumn("by", F.lit(0).cast("long"))
-        even_x, even_y = F.col("bx") % 2 == 0, F.col("by") % 2 == 0
-        pts = blk.select("pair", "x", "y", "w", F.inline(F.array(
-            F.struct(F.when(even_x, F.lit(0)).alias("kind"), F.col("bx").alias("k")),
-            F.struct(F.when(even_y, F.lit(1)).alias("kind"), F.col("by").alias("k")),
-            F.struct(F.when(even_x & even_y, F.lit(2)).alias("kind"),
-                     (F.col("bx") * F.lit(1 << 21) + F.col("by")).alias("k")))))
-        pts = pts.filter(F.col("kind").isNotNull())
-        cells = (blk.groupBy("pair", "bx", "by").agg(F.sum("w").alias("w"))
-                    .select("pair", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"),
-                            "w", F.lit(3).alias("kind"), F.lit(0).cast("long").alias("k")))
-        local = (pts.unionByName(cells)
-                    .groupBy("pair", "kind", "k").applyInPandas(_local_s, "pair int, kind int, s double")
-                    .groupBy("pair", "kind").agg(F.sum("s").alias("s")).collect())
-    finally:
-        w3.unpersist()
-    parts: dict = {}
-    for r in local:
-        parts[(r["pair"], r["kind"])] = r["s"] or 0.0
-    out = {}
-    for i, p in enumerate(pairs):
-        if i not in st or st[i][0] < 2:
-            out[p] = None
-            continue
-        n = st[i][0]
-        s = (parts.get((i, 0), 0.0) + parts.get((i, 1), 0.0) - parts.get((i, 2), 0.0) + parts.get((i, 3), 0.0))
-        n0 = n * (n - 1) / 2.0
-        tx, ty = ties.get((i, "x"), 0.0), ties.get((i, "y"), 0.0)
-        den = math.sqrt((n0 - tx) * (n0 - ty)) if (n0 - tx) > 0 and (n0 - ty) > 0 else 0.0
-        out[p] = s / den if den > 0 else None
-    return out
-
-
 def kendall_pair(df: DataFrame, a: str, b: str) -> float | None:
     """Kendall tau-b of two columns on their pairwise-complete rows."""
     return kendall_pairs(df, [(a, b)])[(a, b)]

@@ -5,8 +5,10 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablewright.operators import corr as C
+from tablewright.operators import kendall as K
 from tablewright.operators import stats as S
 from tablewright.operators.ranks import running_weight
 
@@ -59,10 +61,10 @@ def _brute_tau(x, y):
     return s / np.sqrt((n0 - tx) * (n0 - ty))
 
 
-@pytest.mark.parametrize("block_rows", [5, 50, 100000])
+@pytest.mark.parametrize("block_rows", [16, 50, 100000])
 def test_kendall_blocks_equal_brute_force(spark, monkeypatch, block_rows):
     df, pdf = _frame(spark, seed=11, n=300)
-    monkeypatch.setattr(C, "KENDALL_BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(K, "BLOCK_ROWS", block_rows)
     sub = pdf[["x", "z"]].dropna()
     assert C.kendall_pair(df, "x", "z") == pytest.approx(_brute_tau(sub["x"].to_numpy(), sub["z"].to_numpy()), abs=1e-12)
     sub = pdf[["x", "y"]].dropna()
@@ -88,22 +90,26 @@ def test_skew_and_modes(spark):
     assert const.agg(S.skew_expr(const["v"]).alias("s")).collect()[0]["s"] == 0.0
 
 
-def test_pair_sign_sum_brute_force():
+def test_sign_sums_brute_force():
+    """Many sets of weighted distinct points in one call."""
     rng = np.random.default_rng(4)
-    for _ in range(100):
-        m = int(rng.integers(1, 30))
-        x = rng.integers(0, 5, m).astype(float)
-        y = rng.integers(0, 4, m).astype(float)
-        w = rng.integers(1, 4, m).astype(float)
-        brute = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) * w[i] * w[j]
-                    for i in range(m) for j in range(i + 1, m))
-        assert C._pair_sign_sum(x, y, w) == pytest.approx(brute)
-
-
-@pytest.mark.parametrize("block_rows", [7, 100000])
+    for _ in range(40):
+        sets = []
+        for g in range(int(rng.integers(1, 6))):
+            m = int(rng.integers(1, 30))
+            pts = np.unique(np.stack([rng.integers(0, 5, m), rng.integers(0, 9, m)], 1), axis=0)
+            sets.append((pts[:, 0].astype(float), pts[:, 1].astype(float), rng.integers(1, 4, len(pts)).astype(float)))
+        brute = [sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) * w[i] * w[j] for i in range(len(x)) for j in range(i)) for x, y, w in sets]
+        order = rng.permutation(sum(len(x) for x, _, _ in sets))
+        g = np.repeat(np.arange(len(sets)), [len(x) for x, _, _ in sets])[order]
+        got = K.sign_sums(g, *[np.concatenate([v[c] for v in sets])[order] for c in range(3)])
+        assert got == pytest.approx(brute)
+
+
+@pytest.mark.parametrize("block_rows", [16, 100000])
 def test_kendall_matrix_batched_pairs_with_nulls(spark, monkeypatch, block_rows):
     df, pdf = _frame(spark, seed=21, n=250)
-    monkeypatch.setattr(C, "KENDALL_BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(K, "BLOCK_ROWS", block_rows)
     got = {(r["a"], r["b"]): r["r"] for r in C.kendall_matrix(df, ["x", "y", "z"]).collect()}
     for a, b in [("x", "y"), ("x", "z"), ("y", "z")]:
         sub = pdf[[a, b]].dropna()
@@ -112,12 +118,33 @@ def test_kendall_matrix_batched_pairs_with_nulls(spark, monkeypatch, block_rows)
         assert got[(b, a)] == pytest.approx(ref, abs=1e-12)
 
 
-def test_kendall_join_path(spark, monkeypatch):
-    df, pdf = _frame(spark, seed=22, n=200)
-    monkeypatch.setattr(C, "KENDALL_BLOCK_ROWS", 9)
-    monkeypatch.setattr(C, "KENDALL_LITERAL_EDGES", 0)
-    sub = pdf[["x", "y"]].dropna()
-    assert C.kendall_pair(df, "x", "y") == pytest.approx(_brute_tau(sub["x"].to_numpy(), sub["y"].to_numpy()), abs=1e-12)
+def test_kendall_of_a_million_points(spark):
+    """Nearly a million distinct points, half of them with one x, in
+    blocks of production size, against a merge count on one array."""
+    n = 1_000_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, F.lit(500.0)).otherwise((F.xxhash64("id") % 1000000).cast("double")).alias("x"),
+        ((F.xxhash64("id", F.lit(7)) % 1000000) + (F.xxhash64("id") % 1000000) / 4).cast("double").alias("y"))
+    pdf = df.toPandas().groupby(["x", "y"]).size().reset_index(name="w")
+    x, y, w = (pdf[c].to_numpy(float) for c in ("x", "y", "w"))
+    s = K.sign_sums(np.zeros(len(x), int), x, y, w)[0]
+    pairs = lambda t: float((t * (t - 1) / 2).sum())
+    free = [pairs(np.array([w.sum()])) - pairs(pdf.groupby(c)["w"].sum().to_numpy(float)) for c in "xy"]
+    assert len(x) > 980_000 and s > 0
+    assert K.kendall_pairs(df, [("x", "y")])["x", "y"] == pytest.approx(s / np.sqrt(free[0] * free[1]), rel=1e-9)
+
+
+def test_kendall_parts_are_bounded(spark):
+    """No set is counted above the block size, and twenty thousand points make
+    many sets; without rows or on a constant side there is no value."""
+    df = spark.range(20000).select((F.xxhash64("id") % 50).cast("double").alias("x"), F.xxhash64("id", F.lit(1)).cast("double").alias("y"))
+    points = df.select(F.lit(0).alias("pair"), F.lit("").alias("prob"), F.lit(True).alias("full"), "x", "y", F.lit(1.0).alias("w"))
+    parts = K._parts(points, K._sizes(points, K.BLOCK_ROWS).drop("n"))
+    sizes = [r["n"] for r in parts.groupBy("prob").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 8 and max(sizes) < K.BLOCK_ROWS
+    none = spark.createDataFrame([(1.0, 2.0, None), (1.0, 3.0, None)], "a double, b double, c double")
+    assert set(K.kendall_pairs(none, [("a", "b"), ("a", "c")]).values()) == {None}
+    assert K.kendall_pairs(none.limit(0), [("a", "b")]) == {("a", "b"): None}
 
 
 def test_duplicate_count_exact_with_nulls(spark):
