@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tablewright.plans.eda_select import run_eda
+from tablewright.plans.prep import apply_preparation
 from tablewright.queries import register
 from tablewright.queries.q_ml import _PREDICT_ALL, R, _cmp_sql, _documents, comparison
 from tablewright.session import checkpoint_dir
@@ -23,7 +24,7 @@ def _scratch(spark, what):
 
 
 @register("src_csv", "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, "
-                     "o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+                     "o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS o_orderdate, o_orderpriority FROM orders")
 def src_csv(spark, sf):
     path = _scratch(spark, "csv")
     write_csv(table(spark, sf, "orders"), path)
@@ -44,6 +45,25 @@ def src_csv_messy(spark, sf):
     return read_csv(spark, path)
 
 
+@register("src_csv_prepared", """
+WITH b AS (SELECT 1234567890123000000 + o_orderkey AS id, CASE WHEN o_orderkey % 20 <> 0 THEN o_totalprice END AS price,
+                  CASE WHEN o_orderkey % 3 = 1 THEN 'two' || chr(10) || '"lines"' ELSE o_orderpriority END AS note,
+                  CASE WHEN o_orderkey % 25 <> 0 THEN o_orderdate END AS d FROM orders),
+m AS (SELECT median(price) AS p, median(year(d)) AS y, median(month(d)) AS mo, median(day(d)) AS dd FROM b)
+SELECT id, coalesce(price, p) AS price, note, CAST(coalesce(year(d), y) AS DOUBLE) AS day_year, CAST(coalesce(month(d), mo) AS DOUBLE) AS day_month,
+       CAST(coalesce(day(d), dd) AS DOUBLE) AS day_day FROM b, m""")
+def src_csv_prepared(spark, sf):
+    """A CSV with ids of 19 digits, missing values, ISO dates and quoted line
+    breaks, read and prepared with the default options."""
+    o = table(spark, sf, "orders")
+    path = _scratch(spark, "csv")
+    write_csv(o.select((F.lit(1234567890123000000) + F.col("o_orderkey")).alias("id"),
+                       F.when(F.col("o_orderkey") % 20 == 0, "NA").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+                       F.when(F.col("o_orderkey") % 3 == 1, F.lit('two\n"lines"')).otherwise(F.col("o_orderpriority")).alias("note"),
+                       F.when(F.col("o_orderkey") % 25 == 0, "NULL").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day")), path)
+    return apply_preparation(read_csv(spark, path))[0]
+
+
 def _catalog_with_orders(spark, sf):
     cat = Catalog(spark, _scratch(spark, "catalog"))
     o = table(spark, sf, "orders")

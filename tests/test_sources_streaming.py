@@ -96,8 +96,9 @@ def test_prepare_stream_with_event_time_dedupe(spark):
 def test_csv_types_quotes_and_line_breaks(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text('id,x,flag,note,when,none,x\n1,1.5,True,"say ""hi"" now",2024-01-01 10:00:00,NA,a\n2,NA,false,"two\nlines",NA,,b\n3000000000,2.5,NA,"a, b",2024-02-01 00:00:00,,NA\n')
-    df = read_csv(spark, str(p))
+    df = read_csv(spark, str(p), typed_dates=True)
     assert dict(df.dtypes) == {"id": "bigint", "x": "double", "flag": "boolean", "note": "string", "when": "timestamp", "none": "double", "x.1": "string"}
+    assert dict(read_csv(spark, str(p)).dtypes)["when"] == "string"
     rows = df.orderBy("id").collect()
     assert [r["note"] for r in rows] == ['say "hi" now', "two\nlines", "a, b"]
     assert [r["x"] for r in rows] == [1.5, None, 2.5] and [r["flag"] for r in rows] == [True, False, None]
@@ -124,3 +125,57 @@ def test_timestamp_layouts(spark):
     df = spark.createDataFrame([(k,) for k in want], "s string")
     got = {r["s"]: r["t"] for r in df.select("s", F.date_format(parse_ts(F.col("s")), "yyyy-MM-dd HH:mm:ss.SSS").alias("t")).collect()}
     assert {k: v and v.removesuffix(".000") for k, v in got.items()} == want
+
+
+def test_csv_long_integers(spark, tmp_path):
+    """Ids of 19 digits stay apart; longer ones are decimals, not doubles."""
+    p = tmp_path / "ids.csv"
+    ids = [1234567890123456789 - i for i in range(3)]
+    p.write_text("id,wide,least,mixed\n" + "".join(f"{i},{i}00000,{-2**63 + k},{i if k else 0.5}\n" for k, i in enumerate(ids)))
+    df = read_csv(spark, str(p))
+    assert dict(df.dtypes) == {"id": "bigint", "wide": "decimal(38,0)", "least": "bigint", "mixed": "double"}
+    assert sorted(r["id"] for r in df.collect()) == sorted(ids) and sorted(int(r["wide"]) for r in df.collect()) == sorted(i * 100000 for i in ids)
+
+
+def test_csv_dates_are_prepared(spark, tmp_path):
+    """ISO dates of a CSV are seen by the audit and expanded by the preparation."""
+    from tablewright.operators.audit import audit_dataset
+    p = tmp_path / "dates.csv"
+    p.write_text("day,v\n" + "".join(f"2024-0{1 + i % 9}-1{i % 10},{i}\n" for i in range(30)))
+    df = read_csv(spark, str(p))
+    assert [r["column"] for r in audit_dataset(df)["coercion_candidates"].collect()] == ["day"]
+    plan = fit_preparation(df, PrepOptions())
+    assert plan.report["date_columns_expanded"] == ["day"] and plan.transform(df).columns == ["v", "day_year", "day_month", "day_day"]
+
+
+def test_csv_quoted_line_breaks_over_splits(spark, tmp_path):
+    """Many splits, records across their ends (one longer than several splits),
+    stray quotes, CRLF, blank lines and a header with a line break: the rows of
+    Spark's reader that takes a file as one task."""
+    import random
+    rng = random.Random(7)
+    quote = lambda t: '"' + t.replace('"', '""') + '"'
+    for k, end in enumerate(("\n", "\r\n")):
+        folder = tmp_path / f"f{k}"
+        folder.mkdir()
+        for part in range(3):
+            rows = [f'id,"first{end}note",plain']
+            for i in range(1500):
+                words = " ".join(rng.choice(["x", "it's", 'a "b" c', ",", "\n", "\n\n", '"', "é"]) for _ in range(rng.randrange(12)))
+                note = "long\n" * 30000 if (part, i) == (1, 700) else words.strip()
+                plain = rng.choice(["5 inch", 'six" pipe', "", "NA", "tail"])
+                rows.append(f"{part * 10000 + i},{quote(note) if note else ''},{plain}")
+                if i % 97 == 0:
+                    rows.append("")
+            (folder / f"p{part}.csv").write_text(end.join(rows) + (end if part else ""), newline="")
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        try:
+            df = read_csv(spark, str(folder))
+            got = sorted(map(tuple, df.collect()))
+            assert df.columns == ["id", f"first{end}note", "plain"]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        one = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("lineSep", "\n" if k == 0 else "\r\n").csv(str(folder))
+        want = sorted((int(r[0]), r[1], None if r[2] in (None, "NA") else r[2]) for r in one.collect())
+        assert len(got) == 4500 and [(a, b, c) for a, b, c in got] == [(a, b, c) for a, b, c in want]
