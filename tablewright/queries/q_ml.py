@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tablewright.ml import models as M
 from tablewright.ml.compare import build_pipeline, has_two_classes, predict, scoring_model, train_and_compare
 from tablewright.ml.features import ExactMedianImputer, ModeImputer, PopulationScaler, preprocessor
-from tablewright.ml.split import assign_split_folds
+from tablewright.ml.split import assign_split_folds, split_sizes
 from tablewright.queries import register
 from tablewright.queries.sqlhelp import with_dirty
 from tablewright.sources.tables import dirty_orders, table
@@ -141,8 +141,7 @@ def ml_folds(spark, sf):
                         f"SELECT 'regression', CAST(greatest(2, least(5, max(m) // 5)) AS INTEGER) FROM (WITH r AS (SELECT 'all' AS cls FROM customer), {_SIZES_SQL} SELECT m FROM s)")
 def ml_folds_n(spark, sf):
     c = table(spark, sf, "customer")
-    _, a = assign_split_folds(c, "c_mktsegment", "classification", order=_ord(), tie_cols=["c_custkey"])
-    _, b = assign_split_folds(c, "c_acctbal", "regression", order=_ord(), tie_cols=["c_custkey"])
+    a, b = split_sizes(c, "c_mktsegment", "classification"), split_sizes(c, "c_acctbal", "regression")
     return spark.createDataFrame([("classification", a["folds"]), ("regression", b["folds"])], "task string, folds int")
 
 

@@ -163,3 +163,35 @@ def test_wide_one_hot_uses_the_iterative_solver(spark):
         model = build_pipeline(df, "y", ["c", "x"], "regression", name).fit(df)
         assert model.transform(df.limit(5)).select("predicted").count() == 5
 
+
+
+def test_split_boundaries_among_copies(spark):
+    """Exact copies across boundaries, a class that is one row repeated, missed
+    brackets, null order values and an order that is text: the sizes are exact."""
+    from pyspark.sql import functions as F
+    rows = [("a", 1, 0)] * 300 + [("b", i % 3, i) for i in range(101)] + [("c", None, i % 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "cls string, k int, v int")
+    for order in (None, F.col("k"), F.col("k").cast("string"), F.lit(5)):
+        out, info = assign_split_folds(df, "cls", "classification", order=order, tie_cols=["k"])
+        got = {(r["cls"], r["_split"], r["_fold"]): r["count"] for r in out.groupBy("cls", "_split", "_fold").count().collect()}
+        assert out.count() == 451 and info["folds"] == 5 and info["test_rows"] == 91
+        assert got["a", "test", None] == 61 and [got["a", "train", f] for f in range(5)] == [48, 48, 48, 48, 47]
+        sizes = [got["b", "train", f] for f in range(5)]
+        assert sum(sizes) + got["b", "test", None] == 101 and max(sizes) - min(sizes) <= 1 and sizes == sorted(sizes, reverse=True)
+        assert sorted(map(str, out.drop("_split", "_fold").collect())) == sorted(map(str, df.collect()))
+
+
+def test_split_moves_keys_only(spark, monkeypatch):
+    """No exchange of the split carries a feature column."""
+    import re
+    from tablewright.ml import split as S
+    plans = []
+    monkeypatch.setattr(S, "running_weight", lambda df, *a, f=S.running_weight: (plans.append(df), f(df, *a))[1])
+    df = spark.range(5000).selectExpr("id", "id % 3 AS y", "id * 2 AS feature_one", "cast(id AS string) AS feature_two")
+    out, info = S.assign_split_folds(df, "y", "classification", tie_cols=["id"])
+    assert out.where("_split = 'test'").count() == 1000
+    for plan in (p._jdf.queryExecution().executedPlan().toString() for p in [*plans, out]):
+        for line in re.findall(r"Exchange (?!SinglePartition)(?:hash|range)partitioning.*", plan):
+            assert "feature" not in line
+    assert "feature" in out._jdf.queryExecution().executedPlan().toString() and not re.search(r"Exchange (hash|range)", out._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0])
+    assert plans and all("feature" not in str(p.columns) for p in plans)
