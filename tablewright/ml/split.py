@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from tablewright.operators.ranks import running_weight
 from tablewright.schema import q
+from tablewright.staging import scoped
 
 TEST_SIZE = 0.2
 SEED = 42
@@ -108,6 +109,7 @@ def _brackets(grid: list | None, n: int, begins: list[int]) -> list[tuple]:
     return [tuple(b) for b in out]
 
 
+@scoped
 def _boundaries(keyed: DataFrame, order_type: T.DataType, brackets: dict, begins: dict) -> list:
     """(cls, part, key, below, begin): the key of the row at which each part of a
     class begins and the rows before that key; ``key`` is null where a bracket

@@ -21,6 +21,7 @@ from tablewright.operators.kendall import kendall_pairs
 from tablewright.operators.ranks import running_weight
 from tablewright.schema import as_double
 from tablewright.session import ship_by_value
+from tablewright.staging import scoped
 
 # The Arrow function below runs on executors: send this module's code
 # with the task instead of requiring the package to be installed there.
@@ -128,6 +129,7 @@ def _ranked(df: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
+@scoped
 def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     spark = df.sparkSession
     # one pass: null counts (which pairs share ranks) and whether a column is

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.eda import histograms
+from tablewright.operators.ranks import running_weight
 from tablewright.operators.stats import quantiles
 from tablewright.schema import as_double, q
 
@@ -80,19 +81,27 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
 
 
 def sorted_labels(df: DataFrame, label: str) -> DataFrame:
-    """(position, label): distinct true labels as text, sorted."""
-    from pyspark.sql import Window
-    lab = df.select(F.col(q(label)).cast("string").alias("label")).distinct()
-    # one row per class: a global window over the class list
-    return lab.select(F.row_number().over(Window.orderBy("label")).cast("long").alias("position"), "label")
+    """(position, label): distinct true labels as text, sorted; numbered in
+    range slices, however many there are."""
+    lab = df.select(F.col(q(label)).cast("string").alias("label")).distinct().withColumn("_g", F.lit(0))
+    return running_weight(lab, ["_g"], ["label"]).select((F.col("_below") + 1).cast("long").alias("position"), "label")
+
+
+#: Classes of a confusion matrix: its grid has as many squared.
+MAX_CONFUSION_CLASSES = 1000
 
 
 def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """(actual, predicted, count) over sorted true labels x true labels, zeros
-    included; predictions outside the true labels are not counted."""
+    included; predictions outside the true labels are not counted.  More than
+    MAX_CONFUSION_CLASSES labels are an error: ``pair_counts`` has their counts
+    without the grid."""
     counts = pair_counts(df, label, prediction)
-    labels = df.select(F.col(q(label)).cast("string").alias("l")).distinct() \
-        .agg(F.sort_array(F.collect_list("l")).alias("ls"))
+    distinct = df.select(F.col(q(label)).cast("string").alias("l")).distinct()
+    known = [r["l"] for r in distinct.limit(MAX_CONFUSION_CLASSES + 1).collect()]
+    if len(known) > MAX_CONFUSION_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CONFUSION_CLASSES} classes; a confusion matrix is a grid of all pairs")
+    labels = df.sparkSession.createDataFrame([(sorted(x for x in known if x is not None),)], "ls array<string>")
     grid = (labels.select(F.explode("ls").alias("actual"), "ls")
                   .select("actual", F.explode("ls").alias("predicted")))
     return (grid.join(counts, (grid.actual == counts.label) & (grid.predicted == counts.prediction), "left")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tablewright.schema import as_double
 from tablewright.session import ship_by_value
-from tablewright.staging import staged
+from tablewright.staging import scoped, staged
 
 ship_by_value(sys.modules[__name__])
 
@@ -176,6 +176,7 @@ def _sum_signs(points: DataFrame, block_rows: int) -> dict[int, float]:
         points = staged(_parts(points, edges), "kendall-parts")
 
 
+@scoped
 def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], block_rows: int | None = None) -> dict:
     """{pair: tau-b or None} on each pair's complete rows, all pairs in one set of
     jobs.  None: fewer than two complete rows, or a constant side."""

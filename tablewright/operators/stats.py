@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.schema import as_double, is_missing, q
-from tablewright.staging import staged
+from tablewright.staging import scoped, staged
 
 # Aggregate expressions per generated ``agg`` (keeps codegen methods small).
 AGG_CHUNK = 120
@@ -57,6 +57,7 @@ SKETCH_ACCURACY = 10_000
 BRACKET_VALUES = 100_000
 
 
+@scoped
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> list[dict]:
     """Exact quantiles with linear interpolation at position (n-1)p of the sorted
     non-null values, as dicts (column, p, n, value); all-null columns give none.

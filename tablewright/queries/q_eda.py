@@ -287,3 +287,22 @@ def eda_profile_parts(spark, sf):
     return (p["duplicates"].select(F.lit("duplicates").alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.col("duplicates").cast("double").alias("value"))
             .unionByName(p["columns"].where("dtype = 'timestamp'").select(F.lit("timestamp").alias("part"), F.col("column").alias("a"), F.lit("").alias("b"), F.col("count").cast("double").alias("value")))
             .unionByName(p["correlations"].select(F.lit("correlation").alias("part"), "a", "b", F.when(r == 0, F.lit(0.0)).otherwise(r).alias("value"))))
+
+
+_NAN_PRICE = "CASE WHEN o_orderkey % 20 <> 0 AND o_orderkey % 33 <> 0 THEN o_totalprice END"
+
+
+@register("eda_profile_nan", f"""
+WITH p AS (SELECT {_NAN_PRICE} AS price, o_orderstatus AS status, CASE WHEN o_orderkey % 33 <> 0 THEN o_orderpriority END AS priority FROM orders)
+SELECT 'price' AS "column", count(price) AS count, count(*) - count(price) AS nulls, count(DISTINCT price) AS "distinct", round(avg(price), 3) AS mean, median(price) AS median, max(price) AS max, '' AS top FROM p
+UNION ALL SELECT 'status', count(status), count(*) - count(status), count(DISTINCT status), NULL, NULL, NULL,
+  (SELECT string_agg(status || ' (' || n || ')', ', ' ORDER BY n DESC, status) FROM (SELECT status, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, 1 LIMIT 2)) FROM p
+UNION ALL SELECT 'priority', count(priority), count(*) - count(priority), count(DISTINCT priority), NULL, NULL, NULL,
+  (SELECT string_agg(priority || ' (' || n || ')', ', ' ORDER BY n DESC, priority) FROM (SELECT priority, count(*) AS n FROM p WHERE priority IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 2)) FROM p""")
+def eda_profile_nan(spark, sf):
+    """NaN and null are both missing; frequent values come from the summary."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(F.when(k % 20 == 0, float("nan")).when(k % 33 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("price"),
+                                          F.col("o_orderstatus").alias("status"), F.when(k % 33 != 0, F.col("o_orderpriority")).alias("priority"))
+    p = column_profile(o, top_k=2)
+    return p.select("column", "count", "nulls", "distinct", F.round("mean", 3).alias("mean"), "median", "max", F.when(F.col("column") == "price", "").otherwise(F.col("top_values")).alias("top"))

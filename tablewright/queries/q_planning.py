@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
-from tablewright.operators.planning import detect_task, presets_table, recommend_transform, target_correlations
+from tablewright.operators.planning import detect_task, presets_table, recommend_transform, strongest
 from tablewright.queries import register
 from tablewright.sources.tables import table
 
@@ -78,10 +75,5 @@ def q_feature_presets(spark, sf):
 
 @register("topk_corr", f"WITH {_corr_rank_sql()} SELECT position, c AS \"column\" FROM rk WHERE position <= 5")
 def q_topk_corr(spark, sf):
-    li = table(spark, sf, "lineitem")
-    r = target_correlations(li, "l_extendedprice", _LI_NUM)
-    pos = spark.createDataFrame([(c, i) for i, c in enumerate(_LI_NUM)], "column string, pos int")
-    # one row per feature column: a global window over this small table
-    w = Window.orderBy(F.desc_nulls_last(F.abs("r")), F.asc("pos"))
-    return r.join(pos, "column").withColumn("position", F.row_number().over(w).cast("long")) \
-        .filter("position <= 5").select("position", "column")
+    best = strongest(table(spark, sf, "lineitem"), "l_extendedprice", _LI_NUM)[:5]
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(best)], "position long, column string")

@@ -37,10 +37,5 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def dirty_orders_sql_text(orders: str = "orders") -> str:
-    """The fixture SQL over a named ``orders`` relation (for SQL engines)."""
-    return DIRTY_ORDERS_SQL.replace("{orders}", orders)
-
-
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(DIRTY_ORDERS_SQL, orders=table(spark, sf_dir, "orders"))

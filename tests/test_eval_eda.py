@@ -89,3 +89,65 @@ def test_full_profile(spark):
     assert p["duplicates"].collect()[0]["duplicates"] == 1
     r = {(x["a"], x["b"]): x["r"] for x in p["correlations"].collect()}
     assert set(r) == {(a, b) for a in "kv" for b in "kv"} and r["k", "v"] == pytest.approx(1.0) and r["k", "k"] == 1.0
+
+
+def test_run_eda_says_why_a_module_is_empty(spark):
+    from tablewright.plans.eda_select import MODULES, run_eda
+    text = spark.createDataFrame([("a",), ("b",)], "s string")
+    out = run_eda(text, "missing", MODULES, {"viz_y": "nowhere"})
+    assert set(MODULES) <= set(out)
+    noted = {m for m, d in out.items() if d.columns == ["note"]}
+    assert noted == {"Numeric Distributions", "Outlier Boxplots", "Correlation Heatmap", "Pairwise Relationships", "Target Deep Dive", "Custom Feature Plot"}
+    assert "nowhere" in out["Custom Feature Plot"].first()["note"] and "missing" in out["Target Deep Dive"].first()["note"]
+    assert run_eda(spark.createDataFrame([(1,)], "n int"), None, ["Categorical Distributions"])["Categorical Distributions"].columns == ["note"]
+
+
+def test_profile_nan_and_top_values(spark, monkeypatch):
+    """NaN is missing; the summary's candidates, settled by the recount, and the
+    frequency table give the same rows, also where the summary is too small."""
+    from pyspark.sql import functions as F
+    from tablewright.operators import profile as P
+    small = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (5.0,), (-0.0,), (0.0,)], "v double")
+    r = P.column_profile(small).first()
+    assert (r["count"], r["nulls"], r["distinct"], r["top_values"]) == (4, 2, 3, "0.0 (2), 1.0 (1), 5.0 (1)")
+    df = spark.range(30000).select((F.sqrt("id") / 20).cast("int").alias("heavy"), (F.col("id") % 5000).alias("flat"), F.col("id").cast("string").alias("key"),
+                                   F.when(F.col("id") % 3 == 0, F.repeat(F.lit("long "), 300)).otherwise(F.col("id").cast("string")).alias("mixed"), F.lit(None).cast("int").alias("none"))
+    got = {r["column"]: (r["distinct"], r["top_values"]) for r in P.column_profile(df, 3).collect()}
+    pdf = df.toPandas()
+    for c in ("heavy", "flat", "key", "mixed"):
+        counts = sorted(pdf[c].astype(str).value_counts().items(), key=lambda x: (-x[1], x[0]))
+        assert got[c] == (len(counts), ", ".join(f"{v} ({n})" for v, n in counts[:3]))
+    assert got["none"] == (0, "")
+    monkeypatch.setattr(P, "TRACKED", 64)
+    assert {r["column"]: (r["distinct"], r["top_values"]) for r in P.column_profile(df, 3).collect()} == got
+
+
+def test_confusion_is_bounded(spark, monkeypatch):
+    import pytest
+    from tablewright.operators import evaluation as V
+    df = spark.createDataFrame([(f"c{i}", f"c{i % 3}") for i in range(12)], "y string, p string")
+    assert V.confusion(df, "y", "p").count() == 144
+    assert [r["label"] for r in V.sorted_labels(df, "y").orderBy("position").collect()] == sorted(f"c{i}" for i in range(12))
+    monkeypatch.setattr(V, "MAX_CONFUSION_CLASSES", 5)
+    with pytest.raises(ValueError):
+        V.confusion(df, "y", "p")
+
+
+def test_staged_tables_go(spark):
+    """Operators that return figures leave nothing in the shared folder."""
+    import os
+    from tablewright import staging
+    from tablewright.operators import corr, profile, stats
+    df = spark.range(3000).selectExpr("cast(id % 50 AS double) AS a", "cast(id * 7 % 400 AS double) AS b", "cast(id AS string) AS c")
+    folder = staging._folder(spark).removeprefix("file:")
+    staging.staged(df, "kept")
+    before = set(os.listdir(folder))
+    stats.quantiles(df, ["a", "b"], [0.1, 0.5])
+    corr.kendall_matrix(df, ["a", "b"]).collect()
+    corr.spearman_matrix(df, ["a", "b"]).collect()
+    profile.column_profile(df).collect()
+    assert set(os.listdir(folder)) == before
+    with staging.scope(spark):
+        inner = staging.staged(df, "inner")
+        assert inner.count() == 3000
+    assert set(os.listdir(folder)) == before
