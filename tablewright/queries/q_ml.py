@@ -7,6 +7,8 @@ boosting and logistic models, facts that any right fit satisfies."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -385,6 +387,67 @@ def ml_compare_classifiers(spark, sf):
                                  "Model string, cv_folds int, scores_in_range boolean, ordered boolean")
 
 
+# ---- all regressors on mixed features ----------------------------------------
+# Values by user and type of event, some of both missing.  OLS on a number and
+# the levels of a category is one slope within the levels and a mean for each,
+# so SQL states its scores from the split through imputing to the folds; for
+# the other models it states folds, ranges and order.
+
+_EV_SQL = "CASE WHEN event_id % 50 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 40 <> 0 THEN event_type END AS event_type"
+_EV_ORDER = 10007
+
+
+def _events(spark, sf):
+    e = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", F.when(e % 50 != 0, F.col("user_id")).alias("user_id"), F.when(e % 40 != 0, F.col("event_type")).alias("event_type"), "value")
+
+
+def _regressors_sql(transform: str) -> str:
+    y = "ln(1 + value)" if transform == "log1p" else "value"
+    back = "exp(my + b * (x - mx)) - 1" if transform == "log1p" else "my + b * (x - mx)"
+    return f"""SELECT * FROM (WITH r AS (SELECT event_id, {_EV_SQL}, value AS raw, {y} AS y, row_number() OVER (ORDER BY (event_id * 7919) % {_EV_ORDER}, event_id) - 1 AS rk,
+        count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
+      q AS (SELECT *, CAST(ceil(0.2 * n) AS BIGINT) AS tn FROM r),
+      s AS (SELECT *, n - tn AS m, greatest(2, least(5, (n - tn) // 5)) AS k FROM q),
+      d AS (SELECT *, CASE WHEN rk < tn THEN -1 WHEN rk - tn < (m % k) * (m // k + 1) THEN (rk - tn) // (m // k + 1)
+        ELSE m % k + (rk - tn - (m % k) * (m // k + 1)) // (m // k) END AS fold FROM s),
+      parts AS (SELECT DISTINCT fold AS part FROM d WHERE fold >= 0),
+      med AS (SELECT part, median(user_id) AS u FROM parts JOIN d ON fold >= 0 AND fold <> part GROUP BY part),
+      cnt AS (SELECT part, event_type AS t, count(*) AS c FROM parts JOIN d ON fold >= 0 AND fold <> part AND event_type IS NOT NULL GROUP BY part, event_type),
+      md AS (SELECT part, t FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY c DESC, t) AS i FROM cnt) WHERE i = 1),
+      z AS (SELECT part, fold, raw, y, coalesce(user_id, u) AS x, coalesce(event_type, t) AS t FROM d CROSS JOIN parts JOIN med USING (part) JOIN md USING (part) WHERE fold >= 0),
+      g AS (SELECT part, t, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM z WHERE fold <> part GROUP BY part, t),
+      b AS (SELECT part, sum(sxy) / sum(sxx) AS b FROM g GROUP BY part),
+      p AS (SELECT part, raw, {back} AS yhat FROM z JOIN g USING (part, t) JOIN b USING (part) WHERE fold = part),
+      sc AS (SELECT part, 1 - sum((raw - yhat) ** 2) / (var_pop(raw) * count(*)) AS r2, sqrt(avg((raw - yhat) ** 2)) AS rmse, avg(abs(raw - yhat)) AS mae FROM p GROUP BY part),
+      o AS (SELECT round(avg(r2), 4) AS r2, round(avg(rmse), 3) AS rmse, round(avg(mae), 3) AS mae FROM sc),
+      i AS (SELECT any_value(n) AS rows_used, any_value(m) AS train_rows, any_value(tn) AS test_rows, CAST(any_value(k) AS INTEGER) AS cv_folds FROM d)
+    SELECT '{transform}' AS transform, model AS "Model", i.*, true AS scores_in_range, true AS ordered,
+      CASE WHEN model = 'Linear Regression' THEN r2 END AS r2, CASE WHEN model = 'Linear Regression' THEN rmse END AS rmse, CASE WHEN model = 'Linear Regression' THEN mae END AS mae
+    FROM i, o, (VALUES {", ".join(f"('{m}')" for m in M.REGRESSORS)}) AS t(model))"""
+
+
+@register("ml_compare_regressors", _regressors_sql("none") + " UNION ALL " + _regressors_sql("log1p"))
+def ml_compare_regressors(spark, sf):
+    """The whole catalogue of regressors, plain and on log1p of the target."""
+    def compare(transform):
+        return train_and_compare(_events(spark, sf), "value", "regression", feature_columns=["user_id", "event_type"], key_cols=["event_id"],
+                                 order=(F.col("event_id") * 7919) % _EV_ORDER, target_transform=transform)
+
+    rows, transforms = [], ("none", "log1p")
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        both = list(pool.map(compare, transforms))
+    for transform, a in zip(transforms, both):
+        board, s = a.leaderboard.collect(), a.setup.first()
+        ordered = all(x["r2"] >= y["r2"] for x, y in zip(board, board[1:])) and board[0]["Model"] == a.best_model_name
+        for r in board:
+            ols = r["Model"] == "Linear Regression"
+            rows.append((transform, r["Model"], s["rows_used"], s["train_rows"], s["test_rows"], r["cv_folds"], r["r2"] <= 1 and 0 <= r["mae"] <= r["rmse"], ordered,
+                         *(round(r[m], d) if ols else None for m, d in (("r2", 4), ("rmse", 3), ("mae", 3)))))
+    return spark.createDataFrame(rows, "transform string, Model string, rows_used long, train_rows long, test_rows long, cv_folds int, scores_in_range boolean, ordered boolean, "
+                                       "r2 double, rmse double, mae double")
+
+
 @register("ml_check_classes", "SELECT 'c_mktsegment' AS target, count(DISTINCT c_mktsegment) >= 2 AS ok FROM customer")
 def ml_check_classes(spark, sf):
     c = table(spark, sf, "customer")

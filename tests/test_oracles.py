@@ -40,7 +40,11 @@ def _rows(pdf):
     return cols, sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+# Two comparisons of five models with six fits each: minutes even on these tables.
+SLOW = {"ml_compare_regressors"}
+
+
+@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
 def test_query_matches_oracle(spark, con, name):
     s = E.queries()[name](spark, SF0001).toPandas()
     o = con.execute(SQL[name]).fetchdf()
