@@ -8,13 +8,18 @@ order or by frequency.  Only per-column results (k rows) leave Spark.
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.schema import as_double, is_missing, q
-from tablewright.staging import scoped, staged
+from tablewright.session import ship_by_value
+
+# The counting function of the quantiles runs on executors.
+ship_by_value(sys.modules[__name__])
 
 # Aggregate expressions per generated ``agg`` (keeps codegen methods small).
 AGG_CHUNK = 120
@@ -51,111 +56,148 @@ def freq_table(df: DataFrame, cols: list[str], numeric: bool = True,
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")))
 
 
-# Sketch accuracy of the first bracket around a rank, and the distinct values
-# up to which a bracket is put in order; wider brackets are narrowed first.
-SKETCH_ACCURACY = 10_000
-BRACKET_VALUES = 100_000
+# Bits that one counting pass settles, the columns it takes at once, and the
+# rows up to which a bucket's values are put in order instead.
+DIGIT_BITS = 16
+DIGIT_COLUMNS = 64
+BUCKET_ROWS = 100_000
+_SIGN = 1 << 63
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as 64-bit integers in the same order (-0.0 as 0.0)."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(_SIGN))
+
+
+def _double(key: int) -> float:
+    """The double of an ordered integer, no further out than infinity."""
+    ends = _ordered(np.array([-np.inf, np.inf]))
+    key = min(max(key, int(ends[0])), int(ends[1]))
+    bits = key ^ _SIGN if key & _SIGN else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(float)[0])
+
+
+def _digit_counts(df: DataFrame, columns: list[Column], known: dict[int, list[int]], bits: int) -> dict:
+    """{(column, prefix): {digit: rows}} of the next DIGIT_BITS bits of the values
+    whose first ``bits`` bits are one of the column's prefixes: one scan, counted
+    inside the tasks."""
+    asked = {i: np.array(sorted(p), np.uint64) for i, p in known.items()}
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        size = 1 << DIGIT_BITS
+        sums = {i: np.zeros(len(p) * size, np.int64) for i, p in asked.items()}
+
+        def add(held):
+            for i, prefixes in asked.items():
+                key = _ordered(np.concatenate([b.column(i).drop_null().to_numpy(zero_copy_only=False) for b in held]))
+                if bits:
+                    head = key >> np.uint64(64 - bits)
+                    at = np.minimum(np.searchsorted(prefixes, head), len(prefixes) - 1)
+                    inside = prefixes[at] == head
+                    key, at = key[inside], at[inside]
+                digit = ((key >> np.uint64(64 - bits - DIGIT_BITS)) & np.uint64(size - 1)).astype(np.int64)
+                sums[i] += np.bincount(at * size + digit if bits else digit, minlength=len(sums[i]))
+
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 1 << 18:
+                add(held)
+                held, rows = [], 0
+        if held:
+            add(held)
+        for i, s in sums.items():
+            hit = np.flatnonzero(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), i)), pa.array(hit >> DIGIT_BITS), pa.array(hit & (size - 1)), pa.array(s[hit])], ["c", "p", "d", "n"])
+
+    parts = df.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)]).mapInArrow(count, "c long, p long, d long, n long")
+    out: dict = {(i, int(p)): {} for i, ps in asked.items() for p in ps}
+    for r in parts.groupBy("c", "p", "d").agg(F.sum("n").alias("n")).collect():
+        out[r["c"], int(asked[r["c"]][r["p"]])][r["d"]] = r["n"]
+    return out
+
+
+def _buckets(df: DataFrame, columns: list[Column], probs: list[float]) -> tuple[dict, dict]:
+    """({column: n}, {(column, position): (prefix, its bits, rank inside, rows inside)})
+    for the one or two positions that each quantile lies between."""
+    found = _digit_counts(df, columns, {i: [0] for i in range(len(columns))}, 0)
+    n = {i: sum(found[i, 0].values()) for i in range(len(columns))}
+    places = {(i, k): (0, 0, k, n[i]) for i in n if n[i] for p in probs for k in {math.floor((n[i] - 1) * p), math.ceil((n[i] - 1) * p)}}
+    bits, open_ = 0, list(places)
+    while open_:
+        for i, k in open_:
+            prefix, _, rank, _ = places[i, k]
+            for digit, rows in sorted(found[i, prefix].items()):
+                if rank < rows:
+                    places[i, k] = ((prefix << DIGIT_BITS) | digit, bits + DIGIT_BITS, rank, rows)
+                    break
+                rank -= rows
+        bits += DIGIT_BITS
+        open_ = [key for key in open_ if places[key][3] > BUCKET_ROWS and bits < 64]
+        if open_:
+            known: dict = {}
+            for i, k in open_:
+                known.setdefault(i, set()).add(places[i, k][0])
+            found = _digit_counts(df, columns, {i: sorted(p) for i, p in known.items()}, bits)
+    return n, places
 
 
-@scoped
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> list[dict]:
     """Exact quantiles with linear interpolation at position (n-1)p of the sorted
     non-null values, as dicts (column, p, n, value); all-null columns give none.
 
-    A rank sketch brackets each wanted position between two values of the
-    column; one aggregate counts the values below and inside every bracket, so
-    a bracket that misses its position is seen and widened.  Only values inside
-    a bracket are then grouped (about n / 1,000 of them, a repeated value once)
-    and narrowed by counting until few are left to order.  No shuffle carries
-    the columns themselves.
+    Radix selection: values are read as integers of the same order, and a pass
+    counts the next 16 bits of all columns inside the tasks, so a position is
+    followed into one bucket of 65,536 each time.  Buckets of BUCKET_ROWS rows
+    at most are put in order (a repeated value once); a bucket of all 64 bits is
+    one value.  No shuffle carries the columns themselves, and the number of
+    passes, four at most, doesn't depend on the columns.
     """
-    if not cols:
-        return []
-    values = {c: as_double(df, c) for c in cols}
-    probs = [float(p) for p in probs]
-    wanted = {}  # (column index, prob index) -> bracket
-    width = 4.0 / SKETCH_ACCURACY
-    row = agg_chunks(df, [e for i, c in enumerate(cols) for e in (
-        F.count(values[c]).alias(f"n{i}"),
-        F.percentile_approx(values[c], [x for p in probs for x in (max(0.0, p - width), min(1.0, p + width))], SKETCH_ACCURACY).alias(f"b{i}"))])
-    n = {i: row[f"n{i}"] for i in range(len(cols))}
-    for i in range(len(cols)):
-        for j, p in enumerate(probs):
-            if n[i]:
-                lo, hi = row[f"b{i}"][2 * j], row[f"b{i}"][2 * j + 1]
-                wanted[i, j] = (lo if p > width else float("-inf"), hi if p < 1 - width else float("inf"))
-    if not wanted:
-        return []
-    position = {k: (n[k[0]] - 1) * probs[k[1]] for k in wanted}
-    below = {}
-    while True:
-        counts = agg_chunks(df, [e for k, (lo, hi) in wanted.items() for e in (
-            F.count_if(values[cols[k[0]]] < F.lit(lo)).alias(f"lo_{k[0]}_{k[1]}"),
-            F.count_if(values[cols[k[0]]] <= F.lit(hi)).alias(f"hi_{k[0]}_{k[1]}"))])
-        missed = []
-        for k in wanted:
-            below[k] = counts[f"lo_{k[0]}_{k[1]}"]
-            first = math.floor(position[k])
-            if below[k] > first or counts[f"hi_{k[0]}_{k[1]}"] < min(first + 2, n[k[0]]):
-                missed.append(k)
-        if not missed:
-            break
-        for k in missed:
-            wanted[k] = (float("-inf"), float("inf"))
-    ids = {k: t for t, k in enumerate(sorted(wanted))}
-    inside = [F.when(values[cols[k[0]]].between(F.lit(lo), F.lit(hi)), F.struct(F.lit(ids[k]).alias("id"), values[cols[k[0]]].alias("value")))
-              for k, (lo, hi) in wanted.items()]
-    table = (df.select(F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("s")).select("s.*")
-             .groupBy("id", "value").agg(F.count(F.lit(1)).alias("count")))
-    spark = df.sparkSession
-    rank = {ids[k]: (math.floor(position[k]) - below[k], n[k[0]] - 1 - below[k]) for k in wanted}
-    table = staged(table, "quantile-brackets")
-    table, rank = _narrowed(table, rank)
-    targets = spark.createDataFrame([(t, int(r), int(min(r + 1, last))) for t, (r, last) in rank.items()], "id int, k0 long, k1 long")
-    w = Window.partitionBy("id").orderBy("value")
-    run = table.withColumn("upto", F.sum("count").over(w)).withColumn("before", F.col("upto") - F.col("count")).join(F.broadcast(targets), "id")
-    at = lambda k: F.max(F.when((F.col("before") <= F.col(k)) & (F.col(k) < F.col("upto")), F.col("value")))
-    got = {r["id"]: r for r in run.groupBy("id").agg(at("k0").alias("lo"), at("k1").alias("hi")).collect()}
     out = []
-    for k in sorted(wanted):
-        r, frac = got[ids[k]], position[k] - math.floor(position[k])
-        value = r["lo"] if frac == 0 else r["lo"] + frac * (r["hi"] - r["lo"])
-        out.append({"column": cols[k[0]], "p": probs[k[1]], "n": n[k[0]], "value": value})
+    probs = [float(p) for p in probs]
+    for lo in range(0, len(cols), DIGIT_COLUMNS):
+        some = cols[lo: lo + DIGIT_COLUMNS]
+        columns = [as_double(df, c) for c in some]
+        n, places = _buckets(df, columns, probs)
+        at = _values_at(df, columns, places)
+        for i, c in enumerate(some):
+            for p in probs if n[i] else []:
+                k = (n[i] - 1) * p
+                a, b, frac = at[i, math.floor(k)], at[i, math.ceil(k)], k - math.floor(k)
+                out.append({"column": c, "p": p, "n": n[i], "value": a if frac == 0 else a + frac * (b - a)})
     return out
 
 
-def _narrowed(table: DataFrame, rank: dict) -> tuple[DataFrame, dict]:
-    """(id, value, count) and each id's wanted rank (and last rank) in it, cut
-    down by counting between approximate cuts until no id has more than
-    BRACKET_VALUES values."""
-    while True:
-        big = [r["id"] for r in table.groupBy("id").count().where(F.col("count") > BRACKET_VALUES).collect()]
-        if not big:
-            return table, rank
-        probs = [i / 64 for i in range(65)]
-        cuts = {r["id"]: sorted(set(r["c"])) for r in table.where(F.col("id").isin(big)).groupBy("id").agg(F.percentile_approx("value", probs, SKETCH_ACCURACY).alias("c")).collect()}
-        edges = table.sparkSession.createDataFrame([(t, c) for t, c in cuts.items()], "id int, cuts array<double>")
-        bins = table.join(F.broadcast(edges), "id", "left").withColumn(
-            "bin", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("value"))), F.lit(0)))
-        held: dict = {}
-        for r in bins.groupBy("id", "bin").agg(F.sum("count").alias("n")).orderBy("id", "bin").collect():
-            held.setdefault(r["id"], []).append((r["bin"], r["n"]))
-        keep, new = [], {}
-        for t, (k, last) in rank.items():
-            start, chosen, first = 0, [], 0
-            for b, m in held[t]:
-                if start + m > k and start <= min(k + 1, last):
-                    first = first if chosen else start
-                    chosen.append(b)
-                start += m
-            new[t] = (k - first, last - first)
-            keep.append((t, min(chosen), max(chosen)))
-        span = table.sparkSession.createDataFrame(keep, "id int, b0 int, b1 int")
-        before = table
-        table = staged(bins.join(F.broadcast(span), "id").where("bin BETWEEN b0 AND b1").select("id", "value", "count"), "quantile-brackets")
-        rank = new
-        if table.count() == before.count():
-            return table, rank
+def _values_at(df: DataFrame, columns: list[Column], places: dict) -> dict:
+    """{(column, position): value}, from the values inside the open buckets."""
+    out, buckets = {}, {}
+    for (i, k), (prefix, bits, rank, _) in places.items():
+        if bits == 64:
+            out[i, k] = _double(prefix)
+        else:
+            buckets.setdefault((i, prefix, bits), {})[k] = rank
+    if not buckets:
+        return out
+    ids = {b: t for t, b in enumerate(buckets)}
+    inside = []
+    for (i, prefix, bits), t in ids.items():
+        lo, hi = _double(prefix << (64 - bits)), _double(((prefix + 1) << (64 - bits)) - 1)
+        inside.append(F.when(columns[i].between(F.lit(lo), F.lit(hi)), F.struct(F.lit(t).alias("id"), columns[i].alias("value"))))
+    table = (df.select(F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("s")).select("s.*")
+             .groupBy("id", "value").agg(F.count(F.lit(1)).alias("count")))
+    targets = df.sparkSession.createDataFrame([(ids[b], sorted(set(ks.values()))) for b, ks in buckets.items()], "id int, ranks array<long>")
+    upto = F.sum("count").over(Window.partitionBy("id").orderBy("value"))  # a bucket is bounded
+    hits = (table.withColumn("upto", upto).join(F.broadcast(targets), "id")
+            .select("id", "value", F.explode(F.filter("ranks", lambda r: (F.col("upto") - F.col("count") <= r) & (r < F.col("upto")))).alias("rank")))
+    value = {(r["id"], r["rank"]): r["value"] for r in hits.collect()}
+    for b, ks in buckets.items():
+        for k, rank in ks.items():
+            out[b[0], k] = value[ids[b], rank]
+    return out
 
 
 def fence_stats(df: DataFrame, bounds: dict) -> dict:

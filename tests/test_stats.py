@@ -41,13 +41,25 @@ def test_running_weight_paths_agree(spark):
     assert one == many
 
 
-def test_quantile_narrow_brackets(spark, monkeypatch):
-    df, pdf = _frame(spark, seed=5, n=3000)
-    monkeypatch.setattr(S, "BRACKET_VALUES", 10)
-    got = S.quantiles(df, ["y"], [0.25, 0.5, 0.75])
-    v = pdf["y"].dropna().to_numpy()
-    for p in [0.25, 0.5, 0.75]:
-        assert got["y"][p] == pytest.approx(np.quantile(v, p))
+@pytest.mark.parametrize("rows", [1, 10, 100_000])
+def test_quantiles_by_digits(spark, monkeypatch, rows):
+    """Buckets settled by bits alone, by ordering, and both: signs, zeros of both
+    signs, infinities, tiny and huge values, heavy repeats, nulls and NaN."""
+    rng = np.random.default_rng(5)
+    wild = np.concatenate([rng.normal(size=900) * 10.0 ** rng.integers(-300, 300, 900), np.zeros(300), -np.zeros(50), np.full(400, 7.25),
+                           [np.inf, -np.inf, 5e-324, -5e-324, 1.7e308, -1.7e308]])
+    pdf = pd.DataFrame({"wild": rng.permutation(wild), "near": 1e9 + rng.integers(0, 5, len(wild)) * 2.0**-20, "one": 3.0, "none": np.nan})
+    pdf.loc[rng.choice(len(wild), 77, replace=False), "near"] = np.nan
+    monkeypatch.setattr(S, "BUCKET_ROWS", rows)
+    probs = [0.0, 0.013, 0.25, 0.5, 0.77, 1.0]
+    got = S.quantiles(spark.createDataFrame(pdf), list(pdf.columns), probs)
+    assert "none" not in got
+    for c in ("wild", "near", "one"):
+        v = np.sort(pdf[c].dropna().to_numpy())
+        for p in probs:
+            k = (len(v) - 1) * p
+            a, b = v[int(np.floor(k))], v[int(np.ceil(k))]
+            assert got[c][p] == (a if k == np.floor(k) else a + (k - np.floor(k)) * (b - a))
 
 
 def _brute_tau(x, y):
@@ -168,10 +180,9 @@ def test_approx_variants_close(spark):
     assert abs(q[0.5] - pdf["y"].median()) < 0.2
 
 
-def test_quantiles_coarse_sketch(spark, monkeypatch):
+def test_quantiles_small_buckets(spark, monkeypatch):
     df, pdf = _frame(spark, seed=6, n=3000)
-    monkeypatch.setattr(S, "BRACKET_VALUES", 10)
-    monkeypatch.setattr(S, "SKETCH_ACCURACY", 20)
+    monkeypatch.setattr(S, "BUCKET_ROWS", 10)
     got = S.quantiles(df, ["x", "y"], [0.1, 0.5, 0.9])
     for c in ["x", "y"]:
         v = pdf[c].dropna().to_numpy()
