@@ -93,7 +93,7 @@ def _secret_sql() -> str:
     kinds = secret_scan.BASE + secret_scan.ADDED
     q = lambda s: "'" + s.replace("'", "''") + "'"
     each = " UNION ALL ".join(f"""
-      SELECT doc_id, {i} AS ord, '{kind}' AS kind, start, start + length(hit) AS stop, value FROM (
+      SELECT doc_id, {i} AS ord, '{kind}' AS kind, start{" + length(hit) - length(value)" if kind == "jwt" else ""} AS start, start + length(hit) AS stop, value FROM (
         SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY idx) - length(hit) AS BIGINT) AS start FROM (
           SELECT doc_id, unnest(hits) AS hit, unnest(vals) AS value, unnest(gaps[1:len(hits)]) AS gap, unnest(range(len(hits))) AS idx FROM (
             SELECT doc_id, regexp_extract_all(text, {q(p)}, 0) AS hits, regexp_extract_all(text, {q(p)}, {g}) AS vals,
@@ -102,7 +102,8 @@ def _secret_sql() -> str:
     return f"""
     WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
     found AS ({each}),
-    wide AS (SELECT value FROM found JOIN docs USING (doc_id) GROUP BY value
+    once AS (SELECT value, min({{'owner': owner, 'repo': repo}}) AS o FROM found JOIN docs USING (doc_id) GROUP BY value, text),
+    wide AS (SELECT value FROM (SELECT value, o.owner AS owner, o.repo AS repo FROM once) GROUP BY value
              HAVING count(DISTINCT owner) >= {secret_scan.MIN_OWNERS} AND count(DISTINCT repo) >= {secret_scan.MIN_REPOSITORIES}),
     judged AS (SELECT f.*, w.value IS NULL AS live FROM found f LEFT JOIN wide w ON f.value = w.value),
     kept AS (SELECT *, kind || ':' || start || ':' || stop AS txt FROM judged WHERE ord < {len(secret_scan.BASE)} OR live),

@@ -42,11 +42,13 @@ BASE = [
 ADDED = [
     ("forge", "gh[opsur]_[A-Za-z0-9]+", 0, 40),
     ("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
+    ("jwt", r"(?:^|[^A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 30),
     ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
 ]
-#: Where every match is a run of one class, the least length can go into the pattern: the same matches, fewer of them.
-RUNS = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
+#: Patterns that Spark runs instead, with the same values as whole matches.  Where every match is a run of one class, the
+#: least length is part of the pattern; a token is tried once, where its run of characters begins, and never backed out of.
+RUNS = {"access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}",
+        "jwt": r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"}
 
 
 #: Entries that one step of ``before`` handles.
@@ -84,7 +86,7 @@ def matches(text: Column, kind: str, order: int, pattern: str, group: int, least
     """array<struct<start, end, ord, kind, from, value>> of one kind: leftmost
     non-overlapping matches whose group is long enough.  ``from``: where the
     value begins."""
-    pattern = RUNS.get(kind, pattern)
+    pattern, group = (RUNS[kind], 0) if kind in RUNS else (pattern, group)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     between = F.split(text, pattern, -1)
@@ -139,13 +141,17 @@ def spans_text(spans: Column) -> Column:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-         repo_cols: tuple[str, ...] = ("source", "lang"), min_owners: int = MIN_OWNERS, min_repositories: int = MIN_REPOSITORIES) -> DataFrame:
+         repo_cols: tuple[str, ...] = ("source", "lang"), min_owners: int = MIN_OWNERS, min_repositories: int = MIN_REPOSITORIES,
+         by_text: bool = True) -> DataFrame:
     """One row per input row: doc_id, spans (array of start, end, kind, whether
-    the value is live; code points, end exclusive)."""
+    the value is live; code points, end exclusive).  Copies of one text count as
+    one document, unless ``by_text`` is off; time follows a text's length,
+    whatever is in it."""
+    body = [F.sha2(_text(df, text_col), 256).alias("body")] if by_text else []
     found = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"),
-                      *_owners(df, owner_col, list(repo_cols)), candidates(_text(df, text_col)).alias("found"))
+                      *_owners(df, owner_col, list(repo_cols)), *body, candidates(_text(df, text_col)).alias("found"))
     found = stage(found, "secret-found")
-    wide = _examples(found, min_owners, min_repositories)
+    wide = _examples(found, min_owners, min_repositories, by_text)
     known = F.coalesce(F.col("examples"), F.array().cast("array<string>"))
     with_live = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["ord"].alias("ord"), x["kind"].alias("kind"),
                                                         x["from"].alias("from"), (~F.array_contains(known, x["hash"])).alias("live")))

@@ -212,10 +212,14 @@ KEY = "AKIA" + "QWERTY1234567890"
 def secret_rows():
     live = "token = 'abcdef123456' and x"
     rows = [(1, live, "en", "s1", len(live)), (2, None, None, None, None), (3, "", "en", "s1", 0), (4, "Secret: token: abcdefgh PASSWD=:=x=12345", "en", "s1", 40)]
-    rows += [(10 + i, f"é key {KEY} copied", ("en", "fr", "de")[i], f"s{i}", 0) for i in range(3)]
+    rows += [(10 + i, f"é key {KEY} copied {i}", ("en", "fr", "de")[i], f"s{i}", 0) for i in range(3)]
     rows += [(20, "deadbeef" * 4 + " AKIA" + "A" * 15 + " api_key=\"0123456789abcdef0123456789\"", "en", "s9", 0)] * 2
     rows += [(30, " ".join(f"apikey={i:06d}" for i in range(3000)), "en", "s3", 0)]
     rows += [(40, "ghp_" + "a1B2" * 10 + " -----BEGIN RSA PRIVATE KEY-----", "en", "s4", 0)]
+    # copies of one text are one document; a token begins where its run of characters does
+    rows += [(50 + i, "one text ghp_" + "z9Y8" * 10, ("en", "fr", "de")[i], f"s{i}", 0) for i in range(3)]
+    web = "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
+    rows += [(60, f"{web} é({web}),{web}. x{web} a.{web} eyJshort.eyJshort.x eyJ{'a' * 40}.{'b' * 9}", "en", "s6", 0), (61, web, "en", "s6", 0)]
     return rows
 
 
@@ -224,16 +228,18 @@ def brute_spans(text):
     for i, (kind, p, g, n) in enumerate(secret_scan.BASE + secret_scan.ADDED):
         for m in re.finditer(p, text or "", re.ASCII):
             if len(m.group(g)) >= n:
-                out.append((m.start(), i, kind, m.end(), m.group(g)))
+                out.append((m.start(g if kind == "jwt" else 0), i, kind, m.end(), m.group(g)))
     return sorted(out)
 
 
 def test_secret_scan(frame):
     rows = secret_rows()
-    owners = defaultdict(set)
+    owners, of_text = defaultdict(set), defaultdict(set)
     for _, t, lang, source, _ in rows:
+        of_text[t or ""].add((source or "", lang or ""))
+    for t, o in of_text.items():
         for *_, v in brute_spans(t):
-            owners[v].add((source, lang))
+            owners[v].add(min(o))
     got = secret_scan.report(secret_scan.scan(frame(rows, DOCS))).collect()
     text = {r[0]: r[1] for r in rows}
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
@@ -246,6 +252,18 @@ def test_secret_scan(frame):
         assert r["spans"] == ",".join(f"{s[2]}:{s[0]}:{s[3]}" for s in spans if s[1] < 3 or s in live)
         assert r["n_live"] == len(live)
     assert {r["doc_id"]: r["n_example"] for r in got}[10] == 1
+    assert {r["doc_id"]: r["n_live"] for r in got}[50] == 1 and sum(k.startswith("jwt") for r in got if r["doc_id"] == 60 for k in r["spans"].split(",")) == 3
+
+
+def test_secret_scan_time_follows_the_length(frame):
+    """A million characters that begin a token everywhere, and other long runs."""
+    import time
+    rows = [(1, "eyJ" * 340000, "en", "s1", 0), (2, "eyJabcdefgh." * 80000, "en", "s1", 0), (3, "-----BEGIN " * 90000, "en", "s1", 0), (4, "token" * 200000, "en", "s1", 0), (5, "0123abcd " * 110000, "en", "s1", 0)]
+    secret_scan.report(secret_scan.scan(frame([(0, "token = 'abcdef123456'", "en", "s", 0)], DOCS))).collect()
+    begun = time.time()
+    got = secret_scan.report(secret_scan.scan(frame(rows, DOCS))).collect()
+    assert time.time() - begun < 40 and len(got) == 5
+    assert {r["doc_id"]: r["spans"] for r in got} == {d: ",".join(f"{k}:{a}:{b}" for a, _, k, b, _ in brute_spans(t)) if d != 1 else "" for d, t, *_ in rows}
 
 
 def test_secret_redaction(frame):
