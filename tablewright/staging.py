@@ -3,7 +3,7 @@
 A table staged inside a ``scope`` goes when the scope ends: operators that
 return figures, not lazy tables, open one around their work.  All other staged
 tables may still be read by a result, so they live as long as the session's
-Python process; its end deletes the application's folder.
+Python process; its end deletes the process's folder.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tablewright.session import checkpoint_dir
 
 _paths: ContextVar[list | None] = ContextVar("staged_paths", default=None)
 _folders: set[str] = set()
+_OWN = uuid.uuid4().hex
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -30,9 +31,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def _folder(spark: SparkSession) -> str:
-    """The application's folder below the shared one; deleted with the process."""
-    app = spark.conf.get("spark.app.id", None) or "session"
-    path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{app}"
+    """This process's folder below the shared one; deleted with the process."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{_OWN}"
     if path not in _folders:
         _folders.add(path)
 
