@@ -7,14 +7,13 @@ and "first n rows" samples taken by an explicit order key (TakeOrdered).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.scalars import bin_edges, hist_bin, to_text
 from tablewright.operators.audit import missing_table
-from tablewright.operators.stats import fence_stats, freq_table, iqr_fences, nunique, quantiles
+from tablewright.operators.stats import fence_stats, iqr_fences, nunique, quantiles
 from tablewright.schema import as_double, categorical_cols, dtype_name, numeric_cols, q
 
 
