@@ -1,13 +1,15 @@
 """URL filter: domain rules first, then a list of canonical URLs through a
 blocked Bloom filter and an exact join.
 
-The filter has a fixed number of blocks (a parameter) of eight 64-bit words.  A
-listed URL's hash names a block and sets one bit in each word; blocks are
-combined with ``bit_or``, map-side first.  At most ``blocks`` rows result,
-whatever the list's length, so the filter is broadcast with a proven bound.
+The filter has blocks of eight 64-bit words, one for KEYS listed URLs (under 0.2 %
+of other URLs pass), BLOCKS at most.  A listed URL's hash names a block and sets
+one bit in each word; blocks are combined with ``bit_or``, map-side first.  At
+most BLOCKS rows result, whatever the list's length, so the filter is broadcast
+with a proven bound.
 Pages whose eight bits are all set are possible hits and go on to a hash join
 with the listed URLs, which removes false positives; the others need no
-shuffle.  A longer list makes the filter pass more, never the result differ.
+shuffle.  A list beyond BLOCKS * KEYS URLs makes the filter pass more, never the
+result differ.
 
 Null URLs and URLs without ``://`` have an empty host, path and canonical form
 and are never listed.  Repeated pages and URLs are each judged; an empty list
@@ -24,8 +26,8 @@ from tablewright.llm.common import stage, with_id
 #: (verdict, host, path); the longest rule wins.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: 2**14 blocks of 64 bytes: one megabyte.
-BLOCKS = 1 << 14
+#: Listed URLs a block (512 bits), and blocks at most: 32 MB of words for 8 million URLs.
+KEYS, BLOCKS = 16, 1 << 19
 
 
 def _rest(url: Column) -> Column:
@@ -71,16 +73,23 @@ def _bits(key: str, blocks: int) -> dict[str, Column]:
     return out
 
 
+def blocks_for(n: int) -> int:
+    """Blocks for ``n`` listed keys: a power of two, BLOCKS at most."""
+    return min(BLOCKS, 1 << max(0, -(-n // KEYS) - 1).bit_length())
+
+
 def bloom(listed: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
     """(block, w0 .. w7) of the listed keys: at most ``blocks`` rows."""
     bits = listed.select(*[c.alias(n) for n, c in _bits(key, blocks).items()])
     return bits.groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"w{i}") for i in range(8)])
 
 
-def listed_hits(df: DataFrame, listed: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
+def listed_hits(df: DataFrame, listed: DataFrame, key: str, blocks: int | None = None) -> DataFrame:
     """``df`` with ``listed`` (boolean): whether its ``key`` is among the listed
-    keys.  ``listed``: a frame with a column of the same name."""
+    keys.  ``listed``: a frame with a column of the same name.  ``blocks``: None
+    to follow the length of the list."""
     listed = stage(listed.select(key).where(F.col(key) != "").distinct(), "url-list")
+    blocks = blocks or blocks_for(listed.count())
     filt = F.broadcast(bloom(listed, key, blocks))
     tested = df.withColumns(_bits(key, blocks)).join(filt, "block", "left")
     passes = F.lit(True)
@@ -91,7 +100,7 @@ def listed_hits(df: DataFrame, listed: DataFrame, key: str, blocks: int = BLOCKS
     return hits.select(*df.columns, "listed").unionByName(tested.where("NOT possible").drop("possible").withColumn("listed", F.lit(False)))
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", blocks: int | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, listed.  ``listed``
     has a column ``canonical``; listed pages without a rule are blocked."""
     with_id(with_id(pages, id_col), url_col)
