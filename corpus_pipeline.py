@@ -5,11 +5,17 @@ Parquet below the shared folder and hands the reread table to the next.  All
 stages but the last return the columns of their input.
 
 1. quality classifier: rows it rejects go;
-2. n-gram Jaccard join: of each group of near duplicates the row with the
-   smallest id stays (rows without an id all stay);
+2. n-gram Jaccard join: of each group of near duplicates one row stays, that
+   with the smallest id (null ids last, of equal ids any one);
 3. benchmark decontamination: rows that hold a benchmark item go;
 4. secret scan: live-looking credentials are replaced in the texts;
 5. byte-level BPE: token ids, with the decoded bytes' digest.
+
+Every stage reads null texts as empty, texts whole, and ids as they come: null
+and repeated ids are rows like others.  Rows without words are linked with
+nothing and hold neither items nor credentials, so only the classifier can drop
+them; an empty table stays empty; other columns are carried along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,10 +33,20 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row goes when its id isn't its component's smallest.  Rows that share the
-    smallest id are one document and stay together."""
-    out = stage(jaccard.jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """Rows are linked by a row number, written once with them, so that neither
+    repeated nor missing ids decide what goes.  The row that stays is one minimum
+    a component (combined map-side), the rows that go are found by row number, so
+    no join has a component as its key."""
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows", "zstd")
+    linked = jaccard.jaccard_components(rows, row).select(F.col("doc_id").alias("r"), "component_id")
+    ids = rows.select(F.col(row).alias("r"), F.col("`doc_id`").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "r"))
+    stays = linked.join(ids, "r").groupBy("component_id").agg(first.alias("first")).select("first.r")
+    gone = stage(ids.select("r").join(stays, "r", "left_anti").withColumnRenamed("r", row), "pipeline-copies")
+    return rows.join(gone, row, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
