@@ -124,7 +124,7 @@ def test_urls(frame):
             "x://y://z/net", "http://a.com/" + "p" * 100000]
     rows = [(i, u) for i, u in enumerate(urls)] + [(i, "http://hot.com/same") for i in range(100, 160)] + [(200, "http://hot.com/same/?utm_a=1"), (None, "http://hot.com/same")]
     pages = frame(rows, "page_id long, url string")
-    for blocks in (1, url_filter.BLOCKS):  # one block: the filter passes nearly everything, the join decides
+    for blocks in (None, 1, url_filter.BLOCKS):  # one block: the filter passes nearly everything, the join decides
         got = url_filter.filter_urls(pages, url_filter.tracked(pages), blocks=blocks).collect()
         assert Counter(r["page_id"] for r in got) == Counter(i for i, _ in rows)
         listed = {"http://a.com/p?utm_source=feed", "https://www.a.com/p/", "http://a.com/p.html#top", "http://a.com/p?b=1&a=2&utm_x=1", "http://a.com/p?a=2&ref=z&b=1", "http://hot.com/same", "http://hot.com/same/?utm_a=1"}
@@ -137,6 +137,21 @@ def test_urls(frame):
     assert url_filter.filter_urls(pages.limit(0), url_filter.tracked(pages)).collect() == []
 
 
+def test_filter_follows_the_list(spark):
+    """Blocks grow with the list up to the bound; few unlisted keys pass."""
+    assert [url_filter.blocks_for(n) for n in (0, 1, 16, 17, 1000, 10**12)] == [1, 1, 1, 2, 64, url_filter.BLOCKS]
+    for n in (10, 3000, 40000):
+        listed = spark.range(n).selectExpr("concat('h/', id) AS k")
+        blocks = url_filter.blocks_for(n)
+        filt = {r["block"]: r for r in url_filter.bloom(listed, "k", blocks).collect()}
+        assert len(filt) <= blocks
+
+        def passed(df):
+            keys = df.select(*[c.alias(name) for name, c in url_filter._bits("k", blocks).items()]).collect()
+            return sum(r["block"] in filt and all(filt[r["block"]][f"w{i}"] & r[f"b{i}"] for i in range(8)) for r in keys)
+        assert passed(listed) == n and passed(spark.range(20000).selectExpr("concat('other/', id) AS k")) <= 200
+
+
 # ---- pipeline -----------------------------------------------------------------
 
 def test_pipeline(spark):
@@ -171,6 +186,39 @@ def test_pipeline(spark):
     assert P.run(spark, SF0001).count() == len(final)
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_removes_copies_by_row(spark, frame):
+    """Repeated and missing ids: of each group one row stays, and no other text goes."""
+    import corpus_pipeline as P
+    from tests.llm.test_text_operators import words
+    a, b, c, d = (" ".join(words(60, seed)) for seed in (1, 2, 3, 4))
+    rows = [(1, a), (5, a + " end"), (5, b), (7, b), (None, c), (None, c), (9, d), (9, d), (None, a), (3, None), (3, ""), (4, "x"), (4, "x")]
+    df = frame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("_row", F.lit("extra"))
+    out = P.deduplicate(spark, df, "")
+    assert out.columns == df.columns and {r["_row"] for r in out.collect()} == {"extra"}
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (None, c), (9, d), (3, None), (3, ""), (4, "x")], key=str)
+
+
+def test_pipeline_edge_rows(spark, frame):
+    """No rows, and null, empty, very long and repeated ones, through all stages."""
+    import corpus_pipeline as P
+    from tests.llm.test_text_operators import words
+    long = " ".join(words(60000, 9)) + " token=abcdef123456"
+    rows = [(1, None), (1, ""), (None, " ".join(words(80, 5))), (2, long), (2, long), (3, "short")]
+    for n in (0, len(rows)):
+        docs = frame([(i, t, "en", "s", 0) for i, t in rows[:n]], DOCS)
+        for name, step in P.STAGES[1:]:
+            docs = P.stage(step(spark, docs, SF0001), "test-edges")
+            if name == "secret scans" and n:
+                assert [r["text"] for r in docs.where("doc_id = 2").collect()] == [long.replace("abcdef123456", "[secret:assign]")]
+        assert docs.count() == (5 if n else 0)
+    none = frame([], DOCS)
+    assert P.classify(spark, none, SF0001).collect() == []
+
+
 @pytest.mark.parametrize("name", sorted(k for k in E.queries() if k.startswith("op")))
 def test_registered(spark, name):
     """Every query keeps a row for each row it judges."""
