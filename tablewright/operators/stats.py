@@ -11,12 +11,12 @@ import math
 import sys
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tablewright.schema import as_double, is_missing, q
 from tablewright.session import ship_by_value
+from tablewright.staging import scope, staged
 
 # The counting function of the quantiles runs on executors.
 ship_by_value(sys.modules[__name__])
@@ -327,10 +327,19 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*parts)
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def _repeated_hashes(df: DataFrame, with_nulls: bool = False):
-    """(persisted table of hash counts, #hashes seen more than once, row count,
-    null cells).  With ``with_nulls`` each row's null count rides along, so a
-    caller also gets the missing-cell total from the same pass."""
+    """(staged table of the hashes seen more than once, their number, row count,
+    null cells).  The figures are observed while the table is written, which
+    holds repeated hashes only, so its size tells later joins what they join.
+    With ``with_nulls`` each row's null count rides along, so a caller also gets
+    the missing-cell total from the same pass."""
     aggs = [F.count(F.lit(1)).alias("_n")]
     if with_nulls:
         per_row = None
@@ -338,28 +347,28 @@ def _repeated_hashes(df: DataFrame, with_nulls: bool = False):
             e = is_missing(df, c).cast("long")
             per_row = e if per_row is None else per_row + e
         aggs.append(F.sum(per_row).alias("_z"))
-    hc = df.groupBy(row_hash(df).alias("_h")).agg(*aggs)
-    hc = hc.persist(StorageLevel.MEMORY_AND_DISK)
-    tot = hc.agg(F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("rep"),
-                 (F.sum("_z") if with_nulls else F.lit(0)).alias("z")).collect()[0]
-    return hc, int(tot["rep"] or 0), int(tot["rows"] or 0), int(tot["z"] or 0)
+    seen = Observation()
+    hashes = df.groupBy(row_hash(df).alias("_h")).agg(*aggs).observe(
+        seen, F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("rep"),
+        F.sum("_z" if with_nulls else F.lit(0)).alias("z"))
+    rep = staged(hashes.filter("_n > 1").select("_h"), "row-hashes")
+    tot = seen.get
+    return rep, int(tot["rep"] or 0), int(tot["rows"] or 0), int(tot["z"] or 0)
 
 
 def kpi_counts(df: DataFrame) -> tuple[int, int, int]:
     """(rows, missing cells, duplicate rows) in two scans: the hash pass also
     sums null cells; the second pass groups only rows whose hash repeats."""
-    hc, n_rep, rows, missing = _repeated_hashes(df, with_nulls=True)
-    try:
-        return rows, missing, _duplicates_among(df, hc, n_rep)
-    finally:
-        hc.unpersist()
+    with scope(df.sparkSession):
+        rep, n_rep, rows, missing = _repeated_hashes(df, with_nulls=True)
+        return rows, missing, _duplicates_among(df, rep, n_rep)
 
 
-def _duplicates_among(df: DataFrame, hc: DataFrame, n_rep: int) -> int:
+def _duplicates_among(df: DataFrame, rep: DataFrame, n_rep: int) -> int:
     if n_rep == 0:
         return 0
-    rep = hc.filter("_n > 1").select("_h")
-    cand = df.withColumn("_h", row_hash(df)).join(rep, "_h", "left_semi").drop("_h")
+    h = _free(df, "_h")
+    cand = df.withColumn(h, row_hash(df)).join(rep.withColumnRenamed("_h", h), h, "left_semi").drop(h)
     row = (cand.groupBy(*[F.col(q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
                .agg(F.sum(F.col("n") - F.lit(1)).alias("d")).collect()[0])
     return int(row["d"] or 0)
@@ -372,8 +381,25 @@ def duplicate_count(df: DataFrame) -> int:
     whose hash is unique cannot have a copy.  Pass 2 groups, by all columns,
     only the rows whose hash repeats -- copies plus the rare collision -- so
     wide rows are shuffled only when they may be duplicates."""
-    hc, n_rep, _, _ = _repeated_hashes(df)
-    try:
-        return _duplicates_among(df, hc, n_rep)
-    finally:
-        hc.unpersist()
+    with scope(df.sparkSession):
+        rep, n_rep, _, _ = _repeated_hashes(df)
+        return _duplicates_among(df, rep, n_rep)
+
+
+def distinct_rows(df: DataFrame, label: str) -> tuple[DataFrame, int, int]:
+    """(distinct rows, number of rows, number of distinct rows); the first is
+    staged under ``label``.
+
+    As in ``duplicate_count`` a pass over row hashes comes first.  Rows whose
+    hash is unique are written as they are read, however wide; only rows whose
+    hash repeats are grouped by all columns (combined map-side, so a row copied
+    a billion times is one row per task)."""
+    h, again = _free(df, "_h"), _free(df, "_again")
+    rep, n_rep, rows, _ = _repeated_hashes(df)
+    if n_rep == 0:
+        return staged(df, label), rows, rows
+    rep = rep.select(F.col("_h").alias(h), F.lit(True).alias(again))
+    tagged = staged(df.withColumn(h, row_hash(df)).join(rep, h, "left").drop(h), label)
+    once = tagged.filter(F.col(again).isNull()).drop(again)
+    copies = staged(tagged.filter(F.col(again)).drop(again).dropDuplicates(), f"{label}-copies")
+    return once.unionByName(copies), rows, once.count() + copies.count()

@@ -26,10 +26,9 @@ from pyspark.sql import types as T
 from tablewright.functions.parse import parse_num, parse_ts
 from tablewright.functions.scalars import clip as clip_expr
 from tablewright.operators.stats import (
-    agg_chunks, exact_quantiles, fence_stats, iqr_fences, modes, quantiles,
+    agg_chunks, distinct_rows, exact_quantiles, fence_stats, iqr_fences, modes, quantiles,
 )
 from tablewright.schema import as_double, is_numeric_type, nan_to_null, q, text_cols
-from tablewright.staging import staged
 
 # The report keys, and the change labels of the summary table.
 REPORT_LISTS = [
@@ -150,12 +149,6 @@ class PrepPlan:
         return rows
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage after the distinct: later statistics jobs read the written
-    copy (columns pruned) instead of re-running the shuffle."""
-    return staged(df, "prepared-rows")
-
-
 def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) -> PrepPlan:
     o = options or PrepOptions(**kw)
     plan = PrepPlan(options=o)
@@ -166,15 +159,9 @@ def fit_preparation(df: DataFrame, options: PrepOptions | None = None, **kw) ->
 
     cur = df
     if o.drop_duplicates:
-        # one shuffle: distinct rows with their multiplicity (map-side combined,
-        # so a row copied a billion times costs one row per map task), written
-        # once; both row counts come from the written copy.
-        grouped = _materialize(df.groupBy(*[F.col(q(c)) for c in df.columns])
-                               .agg(F.count(F.lit(1)).alias("__copies")))
-        tot = grouped.agg(F.sum("__copies").alias("rows"), F.count(F.lit(1)).alias("distinct")).collect()[0]
-        report["original_rows"] = int(tot["rows"] or 0)
-        report["duplicate_rows_removed"] = report["original_rows"] - int(tot["distinct"])
-        cur = grouped.drop("__copies")
+        # written once: later statistics jobs read the written rows (columns pruned)
+        cur, report["original_rows"], kept = distinct_rows(df, "prepared-rows")
+        report["duplicate_rows_removed"] = report["original_rows"] - kept
         plan.deduped = cur
     else:
         report["original_rows"] = df.count()

@@ -102,3 +102,38 @@ def test_audit_ties_keep_schema_order(spark):
     assert [r["column"] for r in a["missing"].collect()] == ["zeta", "alpha"]
     note = preparation_notes(a).collect()[0]["note"]
     assert "zeta (50.0%)" in note
+
+
+def _exchanged(spark, df, monkeypatch):
+    """Columns of every exchange in the plans that ``distinct_rows`` writes."""
+    from tablewright.operators import stats
+    seen, write = [], stats.staged
+
+    def spy(frame, label):
+        out = write(frame, label)
+        seen.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return out
+    monkeypatch.setattr(stats, "staged", spy)
+    return stats.distinct_rows(df, "test-distinct"), seen
+
+
+def test_distinct_by_hash_first(spark, monkeypatch):
+    """Equal to a plain distinct; rows are grouped by their columns only where a
+    hash repeats; columns may bear the names used inside."""
+    rows = [(i % 700, None if i % 7 == 0 else f"t{i % 700}", float("nan") if i % 5 == 0 else float(i % 700), "x" * 50) for i in range(1000)]
+    df = spark.createDataFrame(rows + [(1, "hot", 0.0, "y")] * 500 + [(1, "hot", -0.0, "y")] * 3, "_h long, _again string, v double, wide string")
+    (got, n, kept), plans = _exchanged(spark, df, monkeypatch)
+    want = df.distinct()
+    assert got.columns == df.columns and (n, kept) == (1503, want.count()) and got.count() == kept
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # written: repeated hashes, all rows beside them (no grouping), copies grouped by all columns
+    hashes, tagged, copies = plans
+    assert "Aggregate [_groupingexpression" in hashes and "Aggregate" not in tagged and "Aggregate [_h" in copies
+
+
+def test_distinct_without_copies_shuffles_no_rows(spark, monkeypatch):
+    df = spark.range(500).selectExpr("id", "concat('wide ', id) AS w")
+    (got, n, kept), plans = _exchanged(spark, df, monkeypatch)
+    assert (n, kept, got.count()) == (500, 500, 500) and len(plans) == 2 and "Aggregate" not in plans[1] and "Join" not in plans[1]
+    (got, n, kept), _ = _exchanged(spark, df.limit(0), monkeypatch)
+    assert (n, kept, got.collect()) == (0, 0, [])
