@@ -15,12 +15,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.ml import models as M
-from tablewright.ml.compare import build_pipeline, has_two_classes, predict, scoring_model, train_and_compare
+from tablewright.ml.compare import build_pipeline, has_two_classes, predict, scoring_model, spread, train_and_compare
 from tablewright.ml.features import ExactMedianImputer, ModeImputer, PopulationScaler, preprocessor
 from tablewright.ml.split import assign_split_folds, split_sizes
 from tablewright.queries import register
 from tablewright.queries.sqlhelp import with_dirty
 from tablewright.sources.tables import dirty_orders, table
+from tablewright.staging import staged
 
 R = 6
 
@@ -210,7 +211,8 @@ def _fitted(spark, sf, task, name):
     else:
         df, target, feats, keys = table(spark, sf, "events"), "value", _EV_FEATS, ["event_id"]
     data = df.select(*keys, *feats, target).where(F.col(target).isNotNull())
-    tagged, _ = assign_split_folds(data, target, task, tie_cols=keys)
+    tagged, info = assign_split_folds(data, target, task, tie_cols=keys)
+    tagged = staged(spread(tagged, info["train_rows"] + info["test_rows"]), "split")
     train = tagged.filter("_split = 'train'")
     model = build_pipeline(train, target, feats, task, name).fit(train)
     scored = scoring_model(model).transform(tagged).select("_split", F.col(target).cast("double").alias("actual"), F.col("predicted").cast("double").alias("predicted"))

@@ -211,3 +211,26 @@ def test_two_class_models_score_in_a_session_that_has_observed(spark, cls_df):
         assert scoring_model(model).transform(df).where("predicted IS NOT NULL").count() == 240
     a = train_and_compare(df, "two", "classification", feature_columns=["feature_1", "feature_2"], key_cols=["id"], model_names=["Logistic Regression", "Random Forest"])
     assert a.leaderboard.count() == 2 and a.test_predictions.count() == 48
+
+
+def test_fits_run_on_all_cores(spark, monkeypatch):
+    """A table of one partition is spread before it is fitted on, alone and in a comparison."""
+    from pyspark.ml.regression import LinearRegression
+    from tablewright.ml import compare as C
+    monkeypatch.setattr(C, "LEAST_ROWS", 100)
+    cores, fitted = spark.sparkContext.defaultParallelism, []
+    monkeypatch.setattr(LinearRegression, "_fit", lambda self, df, f=LinearRegression._fit: (fitted.append(df.rdd.glom().map(len).collect()), f(self, df))[1])
+    df = spark.range(0, 200 * cores, 1, 1).selectExpr("id", "cast(id % 11 AS double) AS x", "cast(id % 7 AS double) AS y")
+    C.build_pipeline(df, "y", ["x"], "regression", "Linear Regression").fit(df)
+    train_and_compare(df, "y", "regression", feature_columns=["x"], key_cols=["id"], model_names=["Linear Regression"])
+    # alone, five folds and the refit; no core has none or much more than its share
+    assert len(fitted) == 7 and all(len(x) == cores and min(x) > 0 and max(x) <= 2 * sum(x) / cores for x in fitted)
+
+
+def test_tasks_of_a_fit_are_bounded_and_even(spark):
+    from tablewright.ml import compare as C
+    cores = spark.sparkContext.defaultParallelism
+    assert C._tasks(spark, 0) == C._tasks(spark, 1) == 1 and C._tasks(spark, C.LEAST_ROWS + 1) == min(2, cores)
+    for rows in (cores * C.LEAST_ROWS, cores * C.ROWS_PER_TASK, cores * C.ROWS_PER_TASK + 1, 10 ** 8):
+        n = C._tasks(spark, rows)
+        assert n % cores == 0 and rows <= n * C.ROWS_PER_TASK
