@@ -255,3 +255,25 @@ def test_large_forests_are_fitted_one_at_a_time(spark, reg_df, monkeypatch):
     monkeypatch.setattr(RandomForestRegressor, "_fit", fit)
     a = train_and_compare(reg_df, "target", "regression", feature_columns=["feature_1", "cat"], key_cols=["id"], model_names=["Random Forest"])
     assert len(seen) == 6 and max(seen) == 1 and a.leaderboard.first()["cv_folds"] == 5
+
+
+def test_forest_query_is_fitted_on_all_cores(spark, monkeypatch, tmp_path):
+    """Documents and labels of one file each are joined into few partitions; the
+    forest of ml_rf_cls gets its rows evenly over the cores, each one once."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.sql import functions as F
+    from tablewright.ml import compare as C
+    from tablewright.queries import all_queries
+    monkeypatch.setattr(C, "LEAST_ROWS", 100)
+    monkeypatch.setattr(M, "FOREST_TREES", 3)
+    cores, fitted = spark.sparkContext.defaultParallelism, []
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, df, f=RandomForestClassifier._fit: (fitted.append(df.rdd.glom().map(len).collect()), f(self, df))[1])
+    n = 250 * cores
+    rows = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.element_at(F.array(F.lit("de"), F.lit("en")), (F.col("id") % 2 + 1).cast("int")).alias("lang"),
+                                          F.lit("web").alias("source"), (F.col("id") * 7919 % 1009).alias("n_chars"), (F.col("id") % 3 == 0).cast("int").alias("quality"))
+    rows.drop("quality").write.parquet(f"{tmp_path}/documents.parquet")
+    rows.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+    facts = all_queries()["ml_rf_cls"](spark, str(tmp_path)).first()
+    assert (facts["train_rows"], facts["test_rows"], facts["scored_rows"]) == (n * 4 // 5, n // 5, n)
+    (parts,) = fitted
+    assert len(parts) == cores and sum(parts) == n * 4 // 5 and min(parts) > 0 and max(parts) <= 2 * sum(parts) / cores
