@@ -64,12 +64,18 @@ def scoped(fn):
     return run
 
 
+def staging_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared checkpoint folder, deleted with the scope."""
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _paths.get() is not None:
+        _paths.get().append(path)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet below the shared checkpoint folder and read
     back: later jobs prune columns, and a lost executor costs running tasks
     only."""
-    path = f"{_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    if _paths.get() is not None:
-        _paths.get().append(path)
+    path = staging_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
